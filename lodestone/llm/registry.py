@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_rules, packing, token_rollup, token_store
+from . import chat_format, line_rules, packing, token_rollup, token_store, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_line_frequency": line_rules.op1_line_frequency,
         "op3_token_store": token_store.op3_token_store,
         "op4_token_rollup": token_rollup.op4_token_rollup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_chat_format": chat_format.op6_chat_format,
         "op7_packing": packing.op7_packing,
     }
