@@ -9,6 +9,7 @@ and only saves time.
 
 from __future__ import annotations
 
+import itertools
 import sys
 from array import array
 
@@ -18,47 +19,108 @@ if sys.byteorder != "little":
     raise ImportError("ids are kept in little-endian order")
 
 
+_MARKS = (".", ",", ";", "!", "?")
+
+
 class Encoder:
     """text -> ids as little-endian bytes (uint16 where the vocabulary fits, else uint32)."""
 
-    def __init__(self, path: str, spaces_count: bool, most: int = 600_000):
+    def __init__(self, path: str, spaces_count: bool, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
         self._t.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self._t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
-        self._spaces, self._most, self._memo = spaces_count, most, {}
+        self._spaces, self._most, self._memo, self._heads, self._once = spaces_count, most, {}, {}, set()
+        self._marks = {m: self.whole(m) for m in ("", *_MARKS)}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self._t.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _pieces(self, text: str) -> list[str] | None:
+    def _core(self, w: str) -> tuple[str, str]:
+        """A simple word without a mark at its end, and that mark; both are always split apart."""
+        core, mark = (w[:-1], w[-1]) if w[-1:] in _MARKS else (w, "")
+        if mark and not core.isalpha():
+            return w, ""
         if not self._spaces:
-            return text.replace("\n", " ").split(" ")
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:].isspace():
-            return None
-        lines = text.split("\n")
-        out = lines[0].split(" ")
-        out[1:] = map(" ".__add__, out[1:])
-        for line in lines[1:]:
-            first, *rest = line.split(" ")
-            out.append("\n" + first)
-            out += map(" ".__add__, rest)
-        return out
+            if not core.isalpha() or max(core) >= "\u0130":  # beyond, lower case may hold marks
+                return w, ""
+            core = core.lower()
+        return core, mark
+
+    def _fill(self, new: set[str], lead: str) -> None:
+        """Adds words to the memo; a word with line feeds or a mark at its end is joined from its parts."""
+        memo = self._memo
+        odd = [w for w in new if "\n" in w] if lead else []
+        if odd:
+            new.difference_update(odd)
+            for w in odd:
+                first, *rest = w.split("\n")
+                new.add(first)
+                new.update(map("\n".__add__, rest))
+            new.difference_update(memo)
+        made = [(w, core, mark) for w, (core, mark) in zip(new, map(self._core, new), strict=True) if mark or core != w]
+        new.difference_update([w for w, _, _ in made])
+        new.update([core for _, core, _ in made])
+        new.difference_update(memo)
+        names = list(new)
+        for i in range(0, len(names), 20_000):
+            part = names[i : i + 20_000]
+            shown = [w if w[:1] == "\n" else lead + w for w in part] if lead else part
+            ids = [array(self._code, e.ids).tobytes() for e in self._t.encode_batch_fast(shown, add_special_tokens=False)]
+            memo.update(zip(part, ids, strict=True))
+        marks = self._marks
+        for w, core, mark in made:
+            memo[w] = memo[core] + marks[mark]
+        for w in odd:
+            first, *rest = w.split("\n")
+            memo[w] = memo[first] + b"".join(memo["\n" + x] for x in rest)
 
     def many(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
         memo = self._memo
+        if self._spaces:
+            plain = ["  " not in t and "\n\n" not in t and " \n" not in t and "\n " not in t and t[:1] not in (" ", "\n") and not t[-1:].isspace() for t in texts]
+            cut = [t.split(" ") if ok else () for t, ok in zip(texts, plain, strict=True)]
+            lead = " "
+        else:
+            cut = [t.replace("\n", " ").split(" ") for t in texts]
+            lead = ""
+        new = set().union(*cut)
+        self._once.difference_update(new)  # words of a second block stay
         if len(memo) > self._most:
-            memo.clear()
-        new = list({w for ws in cut if ws for w in ws}.difference(memo))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self._t.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[w] = array(self._code, e.ids).tobytes()
+            for w in self._once:
+                del memo[w]
+            self._once.clear()
+            if len(memo) > self._most * 4 // 5:
+                self._memo = memo = {w: memo[w] for w in new if w in memo}
+        new.difference_update(memo)
+        if new:
+            before = len(memo)
+            self._fill(new, lead)
+            self._once.update(itertools.islice(memo, before, None))
         get = memo.__getitem__
-        return [self.whole(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, cut, strict=True)]
+        if not self._spaces:
+            return [b"".join(map(get, ws)) for ws in cut]
+        out = []
+        for t, ok, ws in zip(texts, plain, cut, strict=True):
+            if not ok:
+                out.append(self.whole(t))
+                continue
+            head, _, more = ws[0].partition("\n")  # no space stands before the first word
+            rest = b"".join(map(get, ws[1:]))
+            if more or _:
+                out.append(self.whole(ws[0]) + rest)
+            else:
+                out.append(self._first(head) + rest)
+        return out
+
+    def _first(self, w: str) -> bytes:
+        if w not in self._heads:
+            if len(self._heads) > 50_000:
+                self._heads.clear()
+            self._heads[w] = self.whole(w)
+        return self._heads[w]
 
 
 _open: dict[tuple, Encoder] = {}

@@ -38,39 +38,44 @@ def directions(buckets: int = BUCKETS, dims: int = DIMS) -> np.ndarray:
 _DIRECTIONS = directions()
 
 
-def point(ids: np.ndarray) -> list[int]:
-    """Quantised coordinates of a document: projections of its unit count vector."""
-    if not len(ids):
-        return [1 << (BITS - 1)] * DIMS
-    at = (mix(ids.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
-    v = np.log1p(np.bincount(at, minlength=BUCKETS))
-    v = (v - v.mean()) @ _DIRECTIONS / (np.linalg.norm(v) or 1.0)
-    return [int(x) for x in np.clip((np.tanh(v) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)]
-
-
-def hilbert(x: list[int], bits: int = BITS) -> int:
-    """Place of a point on the Hilbert curve in len(x) dimensions."""
-    x, n = list(x), len(x)
+def points(docs: list[np.ndarray]) -> np.ndarray:
+    """Quantised coordinates of documents, a row each: projections of their unit count vectors."""
+    sizes = [len(d) for d in docs]
+    flat = np.concatenate(docs) if docs else np.zeros(0, np.uint16)
+    at = _BUCKET_OF[flat & 0xFFFF] + np.repeat(np.arange(len(docs)) * BUCKETS, sizes)
+    v = np.log1p(np.bincount(at, minlength=len(docs) * BUCKETS).reshape(len(docs), BUCKETS))
+    norm = np.sqrt((v * v).sum(1))
+    v = ((v - v.mean(1, keepdims=True)) @ _DIRECTIONS) / np.where(norm == 0, 1, norm)[:, None]
+    return np.clip((np.tanh(v) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+
+
+_BUCKET_OF = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def hilbert(p: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Places on the Hilbert curve of points, a row each: axes are turned level by level from the
+    coarsest, Gray-coded, and their bits interleaved."""
+    x = p.T.copy()
+    n = len(x)
     q = 1 << (bits - 1)
     while q > 1:
-        p = q - 1
+        low = q - 1
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= p
-            else:
-                t = (x[0] ^ x[i]) & p
-                x[0] ^= t
-                x[i] ^= t
+            on = (x[i] & q) > 0
+            swap = np.where(on, 0, (x[0] ^ x[i]) & low)
+            x[0] ^= np.where(on, low, swap)
+            if i:
+                x[i] ^= swap
         q >>= 1
     for i in range(1, n):
         x[i] ^= x[i - 1]
-    t, q = 0, 1 << (bits - 1)
+    t = np.zeros_like(x[0])
+    q = 1 << (bits - 1)
     while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
+        t ^= np.where((x[n - 1] & q) > 0, q - 1, 0)
         q >>= 1
-    x = [v ^ t for v in x]
-    out = 0
+    x ^= t
+    out = np.zeros_like(x[0])
     for b in range(bits - 1, -1, -1):
         for v in x:
             out = out << 1 | (v >> b & 1)
@@ -92,8 +97,10 @@ def encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
             for b in batches:
                 keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 for i in range(0, len(keys), 500):
-                    for k, e in zip(keys[i : i + 500], enc.many([t or "" for t in texts[i : i + 500]]), strict=True):
-                        yield hilbert(point(np.frombuffer(e, enc.dtype))), k, e + end
+                    ids = enc.many([t or "" for t in texts[i : i + 500]])
+                    curve = hilbert(points([np.frombuffer(e, enc.dtype) for e in ids])).tolist()
+                    for c, k, e in zip(curve, keys[i : i + 500], ids, strict=True):
+                        yield c, k, e + end
 
         yield from chunked(made(), schema)
 
