@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, line_rules, packing, token_rollup, token_store, toxicity
+from . import chat_format, decontamination, line_dedup, line_rules, packing, token_rollup, token_store, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_chat_format": chat_format.op6_chat_format,
         "op7_packing": packing.op7_packing,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
     }
 
@@ -22,4 +23,5 @@ def oracle_sql():
         "op1_line_frequency": line_rules.ORACLE,
         "op4_token_rollup": token_rollup.ORACLE,
         "op6_chat_format": chat_format.ORACLE,
+        "op8_line_dedup": line_dedup.ORACLE,
     }
