@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, line_dedup, line_rules, packing, token_rollup, token_store, toxicity
+from . import chat_format, decontamination, line_dedup, line_rules, packing, set_join, token_rollup, token_store, toxicity
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op7_packing": packing.op7_packing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
+        "op10_set_join": set_join.op10_set_join,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql():
         "op4_token_rollup": token_rollup.ORACLE,
         "op6_chat_format": chat_format.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
+        "op10_set_join": set_join.ORACLE,
     }
