@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, line_dedup, line_rules, packing, set_join, token_rollup, token_store, toxicity
+from . import chat_format, decontamination, line_dedup, line_rules, packing, set_join, substring_dedup, token_rollup, token_store, toxicity
 
 
 def queries():
     return {
         "op1_line_frequency": line_rules.op1_line_frequency,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_token_store": token_store.op3_token_store,
         "op4_token_rollup": token_rollup.op4_token_rollup,
         "op5_toxicity": toxicity.op5_toxicity,
@@ -22,6 +23,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_line_frequency": line_rules.ORACLE,
+        "op2_substring_dedup": substring_dedup.ORACLE,
         "op4_token_rollup": token_rollup.ORACLE,
         "op6_chat_format": chat_format.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
