@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -33,6 +34,9 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    # the shuffle files behind df are no longer needed; Spark's cleaner drops them once unreferenced
+    gc.collect()
+    spark._jvm.System.gc()
     return out
 
 

@@ -264,21 +264,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = 2_000
 
 def clean_only(docs: DataFrame, benchmark: DataFrame, block_chars: int = 2_000_000, **settings) -> DataFrame:
     """Rows of docs without any region of an item, all columns as they are; nothing is shuffled."""
-    import pandas as pd
-
     spark = docs.sparkSession
     for block in blocks(benchmark, block_chars):
-        index = spark.sparkContext.broadcast(Windows(block, **settings))
+        docs = docs.where(_clean(spark.sparkContext.broadcast(Windows(block, **settings)))(F.col("text").cast("string")))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(text: pd.Series, index=index) -> pd.Series:
-            ids = pa.array(range(len(text)), pa.int64())
-            batch = pa.RecordBatch.from_arrays([ids, pa.array([None if pd.isna(t) else t for t in text], pa.string())], ["doc_id", "text"])
-            bad = {i for b in _scan(index)(iter([batch])) for i in b.column(0).to_pylist()}
-            return pd.Series([i not in bad for i in range(len(text))], dtype=bool)
 
-        docs = docs.where(clean(F.col("text").cast("string")))
-    return docs
+def _clean(index):
+    import pandas as pd
+
+    def clean(text: pd.Series) -> pd.Series:
+        ids = pa.array(range(len(text)), pa.int64())
+        batch = pa.RecordBatch.from_arrays([ids, pa.array([None if pd.isna(t) else t for t in text], pa.string())], ["doc_id", "text"])
+        bad = {i for b in _scan(index)(iter([batch])) for i in b.column(0).to_pylist()}
+        return pd.Series([i not in bad for i in range(len(text))], dtype=bool)
+
+    clean.__annotations__ = {"text": pd.Series, "return": pd.Series}
+    return F.pandas_udf(clean, "boolean")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

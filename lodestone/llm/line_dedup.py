@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import documents_only, written
 
 
-_LETTERS = "entairos"
+_LETTERS = "enta"
 
 
 def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -60,11 +60,11 @@ def probe_keys(line: Column, n: Column, max_edits: int) -> Column:
 
 
 def letter_bag(line: Column) -> Column:
-    """Counts of eight letters, a byte each (modulo 256)."""
+    """Counts of four letters, a byte each (modulo 256)."""
     n = F.length(line)
-    out = F.lit(0).cast("long")
+    out = F.lit(0)
     for i, c in enumerate(_LETTERS):
-        count = (n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(255).cast("long")
+        count = (n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(255)
         out = out.bitwiseOR(F.shiftleft(count, 8 * i))
     return out
 
@@ -124,9 +124,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(lines: DataFrame, max_edits: int) -> DataFrame:
-    """Verified pairs (a, b) of ids of lines (id, line) within max_edits edits, a before b by length, then id."""
-    sized = lines.select("id", "line", F.length("line").alias("n"))
-    bagged = sized.select("id", "n", "line", letter_bag(F.col("line")).alias("bag"))
+    """Verified pairs (a, b) of ids of lines (id, line, bag) within max_edits edits, a before b by length, then id."""
+    bagged = lines.select("id", "bag", "line", F.length("line").alias("n"))
     index = bagged.select("id", "bag", F.explode(index_keys(F.col("line"), F.col("n"), max_edits)).alias("key"))
     probe = bagged.select(F.col("id").alias("other"), F.col("bag").alias("other_bag"), F.explode(probe_keys(F.col("line"), F.col("n"), max_edits)).alias("key"))
     met = index.join(probe, (index["key"] == probe["key"]) & (F.col("id") != F.col("other")) & bags_near(F.col("bag"), F.col("other_bag"), max_edits))
@@ -142,7 +141,7 @@ def line_verdicts(docs: DataFrame, max_edits: int = 2, min_chars: int = 20) -> D
     ident = F.xxhash64("line")
     place = F.struct("doc_id", "n")
     seen = lines.groupBy(ident.alias("id"), "line").agg(F.min(place).alias("first"))
-    seen = written(seen, "lines")
+    seen = written(seen.select("id", "line", "first", letter_bag(F.col("line")).alias("bag")), "lines")
     pairs = written(near_pairs(seen, max_edits), "pairs")
     first = seen.select("id", "first")
     fa, fb = first.select(F.col("id").alias("a"), F.col("first").alias("fa")), first.select(F.col("id").alias("b"), F.col("first").alias("fb"))

@@ -119,18 +119,19 @@ def cleaned(docs: DataFrame, verdicts: DataFrame, host: str = "source") -> DataF
     """Kept documents with the frequent lines taken out of their texts (same columns as docs)."""
     v = verdicts.where("kept").select(F.col("doc_id").alias("v_doc"), F.col("host").alias("v_host"), "removed_lines").dropDuplicates(["v_doc", "v_host"])
 
-    @F.pandas_udf("string")
-    def strip(text, gone):
+    import pandas as pd
+
+    def strip(text: pd.Series, gone: pd.Series) -> pd.Series:
         def one(t, g):
             if t is None or g is None or not len(g):
                 return t
             g = set(int(x) for x in g)
             return "\n".join(x for x in t.split("\n") if not words(x) or line_hash(x) not in g)
 
-        import pandas as pd
-
         return pd.Series([one(t, g) for t, g in zip(text, gone, strict=True)])
 
+    strip.__annotations__ = {"text": pd.Series, "gone": pd.Series, "return": pd.Series}
+    strip = F.pandas_udf(strip, "string")
     j = docs.join(v, docs["doc_id"].eqNullSafe(F.col("v_doc")) & docs[host].cast("string").eqNullSafe(F.col("v_host")))
     return j.select(*((strip("text", "removed_lines").alias("text") if c == "text" else docs[c]) for c in docs.columns))
 

@@ -227,10 +227,11 @@ def dedup_substrings(docs: DataFrame, k: int = 20, **settings) -> DataFrame:
     """docs whose text holds the kept words, joined by single spaces; texts without repeats are unchanged."""
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def strip(text, ranges):
+    def strip(text: pd.Series, ranges: pd.Series) -> pd.Series:
         return pd.Series([" ".join(_kept(words(t), [(r["start"], r["n"]) for r in rs], k)) for t, rs in zip(text, ranges, strict=True)])
 
+    strip.__annotations__ = {"text": pd.Series, "ranges": pd.Series, "return": pd.Series}
+    strip = F.pandas_udf(strip, "string")
     out = with_ranges(docs, k=k, **settings)
     text = F.when(F.col("ranges").isNull() | F.col("text").isNull(), F.col("text")).otherwise(strip("text", "ranges"))
     return out.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))

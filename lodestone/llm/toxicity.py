@@ -227,12 +227,12 @@ def without_toxic(docs: DataFrame, model: Neighbours, threshold: float = 0.5) ->
     """Rows of docs whose score is below the threshold, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
     def clean(text: pd.Series) -> pd.Series:
         m = shared.value
-        return text.map(lambda t: m.score(t)[0] < threshold)
+        return pd.Series([m.score(None if pd.isna(t) else t)[0] < threshold for t in text], dtype=bool)
 
-    return docs.where(clean(F.col("text").cast("string")))
+    clean.__annotations__ = {"text": pd.Series, "return": pd.Series}
+    return docs.where(F.pandas_udf(clean, "boolean")(F.col("text").cast("string")))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
