@@ -123,13 +123,13 @@ class _Forest:
         return True
 
 
-def _frequent_in(n: int, least: int, chunk_tokens: int = 1 << 22):
+def _frequent_in(n: int, chunk_tokens: int = 1 << 22):
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         def counted(held):
             t, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= least
+            keep = (c > 1) | (t < np.uint64(1 << 62))
             return pa.RecordBatch.from_arrays([pa.array(signed(t[keep])), pa.array(c[keep].astype(np.int64))], schema=schema)
 
         held, size = [], 0
@@ -147,9 +147,13 @@ def _frequent_in(n: int, least: int, chunk_tokens: int = 1 << 22):
 
 
 def frequent_tokens(docs: DataFrame, n: int, least: int, most: int) -> np.ndarray:
-    """Tokens by falling document frequency, at most ``most``: those seen ``least`` times by one task's chunk."""
-    local = docs.select("text").mapInArrow(_frequent_in(n, least), "token long, n long")
-    top = local.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most)
+    """Tokens that at least ``least`` documents hold, by falling frequency, at most ``most``.
+
+    Counts are over all documents for the lowest quarter of hashes, where prefixes lie; of higher
+    ones, tokens that no task meets twice are left out.
+    """
+    local = docs.select("text").mapInArrow(_frequent_in(n), "token long, n long")
+    top = local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most)
     got = top.toArrow()
     return got.column("token").to_numpy().astype(np.int64).view(np.uint64)
 
