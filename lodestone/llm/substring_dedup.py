@@ -56,7 +56,24 @@ def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     return less(0, width - step, n)[0] if step < width else at[:n]
 
 
-def segments(ws: list[str], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones(1, np.uint64)
+_inverses = np.ones(1, np.uint64)
+
+
+def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64 and of its inverse."""
+    global _powers, _inverses
+    if len(_powers) < n:
+        size = max(n, 1 << 15)
+        bases = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+        for x in bases:
+            x[0] = 1
+        _powers, _inverses = (np.cumprod(x) for x in bases)
+    return _powers[:n], _inverses[:n]
+
+
+def segments(ws: list[str], k: int, m: int, contents: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimiser, content hash, first word and number of windows of each segment of a text."""
     if len(ws) < k:
         z = np.zeros(0, np.int64)
@@ -66,10 +83,14 @@ def segments(ws: list[str], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.
     at = sliding_argmin(g, k - m + 1)
     start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     n = np.diff(np.append(start, len(at)))
-    win = rolling(h, k, 1)
-    place = mix(np.arange(len(win), dtype=np.uint64) - np.repeat(start, n).astype(np.uint64) + np.uint64(1))
-    content = mix(np.add.reduceat(mix(win ^ place), start) + n.astype(np.uint64))
-    return g[at[start]], content, start, n
+    mv = g[at[start]]
+    if not contents:
+        return mv, mv, start, n
+    # polynomial hash of a run of words, from prefix sums modulo 2**64
+    power, inverse = _grown(len(h))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h) * power)])
+    content = mix((sums[start + n + k - 1] - sums[start]) * inverse[start] + n.astype(np.uint64))
+    return mv, content, start, n
 
 
 _SEG = "mv long, content long, doc long, start int, n int"
@@ -87,7 +108,7 @@ def _segments_of(k: int, m: int, only_minimisers: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         for d, text in rows(batches, "doc_id", "text"):
-            mv, c, start, n = segments(words(text), k, m)
+            mv, c, start, n = segments(words(text), k, m, not only_minimisers)
             if len(mv):
                 held.append((signed(mv),) if only_minimisers else (signed(mv), signed(c), np.full(len(mv), NO_ID if d is None else d), start.astype(np.int32), n.astype(np.int32)))
                 size += len(mv)
@@ -190,9 +211,12 @@ def repeated_ranges(docs: DataFrame, k: int = 20, m: int = 5, most_segments: int
     kinds = written(seg.groupBy("mv", "content", "n").agg(F.min(place).alias("first")), "kinds")
     firsts = kinds.select(F.col("mv").alias("m_"), F.col("content").alias("c_"), F.col("n").alias("n_"), "first")
     copies = seg.join(firsts, (seg["mv"] == F.col("m_")) & (seg["content"] == F.col("c_")) & (seg["n"] == F.col("n_"))).where(place != F.col("first")).select("doc", "start", "n")
+    copies = written(copies, "copies")
+    discard(seg)
     contested = kinds.groupBy("mv").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("mv").alias("m_"), "kinds")
     asked = kinds.join(contested, kinds["mv"] == F.col("m_")).select("mv", "kinds", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "n")
     asked = written(asked, "asked")
+    discard(kinds)
     lists = asked.groupBy(F.col("doc").alias("asker")).agg(F.collect_list(F.struct("mv", "doc", "start", "n")).alias("asked"))
     own = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     texts = slim.join(lists, own == F.col("asker")).select("text", "asked")
@@ -204,7 +228,10 @@ def repeated_ranges(docs: DataFrame, k: int = 20, m: int = 5, most_segments: int
     win = content.join(hot, content["mv"] == F.col("h"), "left_semi").select("doc", "start", "words").mapInArrow(_windows(k), "w1 long, w2 long, doc long, start int")
     lead = win.groupBy("w1", "w2").agg(F.min(place).alias("first")).select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "first")
     later = win.join(lead, (win["w1"] == F.col("v1")) & (win["w2"] == F.col("v2"))).where(place != F.col("first")).select("doc", "start", F.lit(1).alias("n"))
-    return copies.unionAll(searched).unionAll(later)
+    found = written(searched.unionAll(later), "found")
+    discard(content)
+    discard(asked)
+    return copies.unionAll(found)
 
 
 def _kept(ws: list[str], ranges: list[tuple[int, int]], k: int) -> list[str]:
