@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -34,12 +35,18 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
-    # the shuffle files behind df are no longer needed; Spark's cleaner drops them once unreferenced
-    gc.collect()
-    spark._jvm.System.gc()
+    release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files that no plan refers to any more."""
+    for _ in range(2):  # the listener bus lets go of a finished query a moment later
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by written() that no later plan reads."""
     path = getattr(df, "_lodestone_path", None)

@@ -139,7 +139,9 @@ def line_verdicts(docs: DataFrame, max_edits: int = 2, min_chars: int = 20) -> D
     """doc_id, gone (line numbers that go) of the documents that lose lines."""
     lines = lines_of(docs).where(F.length("line") >= min_chars)
     ident = F.xxhash64("line")
-    place = F.struct("doc_id", "n")
+    # doc_id and line number as one number, which hash aggregation can hold
+    place = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("n")
+    place = place.cast("decimal(31,0)")
     seen = lines.groupBy(ident.alias("id"), "line").agg(F.min(place).alias("first"))
     seen = written(seen.select("id", "line", "first", letter_bag(F.col("line")).alias("bag")), "lines")
     pairs = written(near_pairs(seen, max_edits), "pairs")
