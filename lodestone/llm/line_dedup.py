@@ -22,13 +22,15 @@ empty result.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents_only, written
 
 
-_LETTERS = "enta"
+_LETTERS = "entairos"
 
 
 def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -60,11 +62,11 @@ def probe_keys(line: Column, n: Column, max_edits: int) -> Column:
 
 
 def letter_bag(line: Column) -> Column:
-    """Counts of four letters, a byte each (modulo 256)."""
+    """Counts of eight letters, a byte each (modulo 256)."""
     n = F.length(line)
-    out = F.lit(0)
+    out = F.lit(0).cast("long")
     for i, c in enumerate(_LETTERS):
-        count = (n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(255)
+        count = (n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(255).cast("long")
         out = out.bitwiseOR(F.shiftleft(count, 8 * i))
     return out
 
@@ -128,11 +130,18 @@ def near_pairs(lines: DataFrame, max_edits: int) -> DataFrame:
     bagged = lines.select("id", "bag", "line", F.length("line").alias("n"))
     index = bagged.select("id", "bag", F.explode(index_keys(F.col("line"), F.col("n"), max_edits)).alias("key"))
     probe = bagged.select(F.col("id").alias("other"), F.col("bag").alias("other_bag"), F.explode(probe_keys(F.col("line"), F.col("n"), max_edits)).alias("key"))
-    met = index.join(probe, (index["key"] == probe["key"]) & (F.col("id") != F.col("other")) & bags_near(F.col("bag"), F.col("other_bag"), max_edits))
-    ids = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    left, right = (lines.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-    both = ids.join(left, "a").join(right, "b")
-    return both.where(within("line_a", "line_b", max_edits)).select("a", "b")
+    met = index.hint("shuffle_hash").join(probe, (index["key"] == probe["key"]) & (F.col("id") != F.col("other")) & bags_near(F.col("bag"), F.col("other_bag"), max_edits))
+    ids = written(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "met")
+    # the lines are moved once, for both ends of all pairs
+    ends = ids.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(0).alias("end")), F.struct(F.col("b").alias("id"), F.lit(1).alias("end")))).alias("e")).select("a", "b", "e.id", "e.end")
+    text = ends.join(lines.select("id", "line"), "id")
+    both = text.groupBy("a", "b").agg(F.max(F.when(F.col("end") == 0, F.col("line"))).alias("line_a"), F.max(F.when(F.col("end") == 1, F.col("line"))).alias("line_b"))
+    likely = F.lit(0)
+    for c in string.ascii_lowercase + " ":
+        count = [F.length(x) - F.length(F.replace(F.col(x), F.lit(c), F.lit(""))) for x in ("line_a", "line_b")]
+        likely = likely + F.abs(count[0] - count[1])
+    sure = F.when(likely <= 2 * max_edits, within("line_a", "line_b", max_edits)).otherwise(F.lit(False))
+    return both.where(sure).select("a", "b")
 
 
 def line_verdicts(docs: DataFrame, max_edits: int = 2, min_chars: int = 20) -> DataFrame:
