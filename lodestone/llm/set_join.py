@@ -224,13 +224,14 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
     sig = written(slim.mapInArrow(_signatures(n, pct, order), "doc_id long, size long, s1 long, s2 long, prefix array<long>"), "signatures")
     first = sig.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("class_id")).select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("size").alias("t3"), "class_id")
     same = (sig["s1"] == F.col("t1")) & (sig["s2"] == F.col("t2")) & (sig["size"] == F.col("t3"))
-    members = written(sig.select("doc_id", "size", "s1", "s2").join(first, same, "left").select("doc_id", "size", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "members")
+    members = written(sig.select("doc_id", "size", "s1", "s2").join(first.hint("merge"), same, "left").select("doc_id", "size", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "members")
 
+    # sort-merge joins throughout: none of these tables has a size bound
     # prefix rows of one document per class, of tokens that two classes share
     heads = members.where("doc_id = class_id and size > 0").select(F.col("doc_id").alias("head")).distinct()
-    spread = sig.where("size > 0").join(heads, sig["doc_id"] == F.col("head"), "left_semi").select("doc_id", "size", F.posexplode("prefix").alias("pos", "token"))
+    spread = sig.where("size > 0").join(heads.hint("merge"), sig["doc_id"] == F.col("head"), "left_semi").select("doc_id", "size", F.posexplode("prefix").alias("pos", "token"))
     shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("doc_id").alias("least")).where("g > 1")
-    prefix = written(spread.join(shared, "token").select("token", "doc_id", "size", "pos", "g", "least"), "prefix")
+    prefix = written(spread.join(shared.hint("merge"), "token").select("token", "doc_id", "size", "pos", "g", "least"), "prefix")
     discard(sig)
     large = prefix.where((F.col("g") > small) & (F.col("doc_id") != F.col("least"))).select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
     p = prefix.where(F.col("g") <= small)
@@ -254,9 +255,9 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
     split = tasks.select("id", F.col("component").alias("c"), F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), F.when(F.col("at") <= F.col("o"), 0).otherwise(1).alias("side"))
     wanted = whole.unionAll(split)
     ids = placed.select("id")
-    texts = slim.join(ids, slim["doc_id"] == F.col("id"), "left_semi")
+    texts = slim.join(ids.hint("merge"), slim["doc_id"] == F.col("id"), "left_semi")
     sets = texts.mapInArrow(_sets(n), "doc_id long, size long, tokens binary")
-    shipped = sets.join(wanted, sets["doc_id"] == F.col("id")).select("c", "i", "j", "side", "id", "size", "tokens")
+    shipped = sets.join(wanted.hint("merge"), sets["doc_id"] == F.col("id")).select("c", "i", "j", "side", "id", "size", "tokens")
 
     def join_block(table: pa.Table) -> pa.Table:
         rows_ = sorted(zip(table.column("size").to_pylist(), table.column("id").to_pylist(), table.column("side").to_pylist(), table.column("tokens").to_pylist(), strict=True))
