@@ -165,9 +165,9 @@ def line_verdicts(docs: DataFrame, max_edits: int = 2, min_chars: int = 20) -> D
 
 def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20) -> DataFrame:
     """docs with the lines that go taken out of text; all columns and rows stay."""
-    verdicts = line_verdicts(documents_only(docs, "doc_id", "text"), max_edits, min_chars).withColumnRenamed("doc_id", "v_doc")
-    j = docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("v_doc")), "left")
-    gone = F.col("gone")
+    verdicts = line_verdicts(documents_only(docs, "doc_id", "text"), max_edits, min_chars).select(F.col("doc_id").alias("_line_dedup_doc"), F.col("gone").alias("_line_dedup_gone"))
+    j = docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("_line_dedup_doc")), "left")
+    gone = F.col("_line_dedup_gone")
     lines = F.split(docs["text"], "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
     text = F.when(gone.isNull(), docs["text"]).otherwise(kept)

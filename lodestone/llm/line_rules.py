@@ -117,7 +117,7 @@ def line_frequency_rules(docs: DataFrame, max_docs: int = 20, min_words: int = 1
 
 def cleaned(docs: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:
     """Kept documents with the frequent lines taken out of their texts (same columns as docs)."""
-    v = verdicts.where("kept").select(F.col("doc_id").alias("v_doc"), F.col("host").alias("v_host"), "removed_lines").dropDuplicates(["v_doc", "v_host"])
+    v = verdicts.where("kept").select(F.col("doc_id").alias("_rules_doc"), F.col("host").alias("_rules_host"), F.col("removed_lines").alias("_rules_lines")).dropDuplicates(["_rules_doc", "_rules_host"])
 
     import pandas as pd
 
@@ -132,8 +132,8 @@ def cleaned(docs: DataFrame, verdicts: DataFrame, host: str = "source") -> DataF
 
     strip.__annotations__ = {"text": pd.Series, "gone": pd.Series, "return": pd.Series}
     strip = F.pandas_udf(strip, "string")
-    j = docs.join(v, docs["doc_id"].eqNullSafe(F.col("v_doc")) & docs[host].cast("string").eqNullSafe(F.col("v_host")))
-    return j.select(*((strip("text", "removed_lines").alias("text") if c == "text" else docs[c]) for c in docs.columns))
+    j = docs.join(v, docs["doc_id"].eqNullSafe(F.col("_rules_doc")) & docs[host].cast("string").eqNullSafe(F.col("_rules_host")))
+    return j.select(*((strip("text", "_rules_lines").alias("text") if c == "text" else docs[c]) for c in docs.columns))
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

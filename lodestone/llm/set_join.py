@@ -293,8 +293,8 @@ def set_components(docs: DataFrame, **settings) -> DataFrame:
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """Rows of docs that are the least doc_id of their component; documents without words stay."""
-    own = set_components(docs, **settings).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("keep")).distinct()
-    return docs.join(own, docs["doc_id"].eqNullSafe(F.col("keep")), "left_semi")
+    own = set_components(docs, **settings).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_set_join_keep")).distinct()
+    return docs.join(own, docs["doc_id"].eqNullSafe(F.col("_set_join_keep")), "left_semi")
 
 
 def op10_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,9 +245,9 @@ def _kept(ws: list[str], ranges: list[tuple[int, int]], k: int) -> list[str]:
 
 
 def with_ranges(docs: DataFrame, **settings) -> DataFrame:
-    """docs with column ranges: array of (start, n), null where nothing repeats."""
-    found = repeated_ranges(docs, **settings).groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
-    return docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("doc"), "left").drop("doc")
+    """docs with column _ranges: array of (start, n), null where nothing repeats."""
+    found = repeated_ranges(docs, **settings).groupBy(F.col("doc").alias("_ranges_doc")).agg(F.collect_set(F.struct("start", "n")).alias("_ranges"))
+    return docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_ranges_doc"), "left").drop("_ranges_doc")
 
 
 def dedup_substrings(docs: DataFrame, k: int = 20, **settings) -> DataFrame:
@@ -255,12 +255,12 @@ def dedup_substrings(docs: DataFrame, k: int = 20, **settings) -> DataFrame:
     import pandas as pd
 
     def strip(text: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([" ".join(_kept(words(t), [(r["start"], r["n"]) for r in rs], k)) for t, rs in zip(text, ranges, strict=True)])
+        return pd.Series([None if rs is None else " ".join(_kept(words(t), [(r["start"], r["n"]) for r in rs], k)) for t, rs in zip(text, ranges, strict=True)])
 
     strip.__annotations__ = {"text": pd.Series, "ranges": pd.Series, "return": pd.Series}
     strip = F.pandas_udf(strip, "string")
     out = with_ranges(docs, k=k, **settings)
-    text = F.when(F.col("ranges").isNull() | F.col("text").isNull(), F.col("text")).otherwise(strip("text", "ranges"))
+    text = F.when(F.col("_ranges").isNull() | F.col("text").isNull(), F.col("text")).otherwise(strip("text", "_ranges"))
     return out.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -269,7 +269,7 @@ def _digest(k: int):
 
     def run(batches):
         def made():
-            for d, text, ranges in rows(batches, "doc_id", "text", "ranges"):
+            for d, text, ranges in rows(batches, "doc_id", "text", "_ranges"):
                 ws = words(text)
                 kept = _kept(ws, [(r["start"], r["n"]) for r in ranges or ()], k)
                 yield d, len(ws), len(ws) - len(kept), hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()

@@ -204,8 +204,8 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     parts = named.groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"))
     ask = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")).distinct()
     near = ask.join(F.broadcast(parts), (F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi"))).select("key", "part")
-    spans = named.select("part", "shard", "first_key", "last_key")
-    wanted = near.join(spans, (near["part"] == spans["part"]) & (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).select("key", "shard")
+    spans = spark.read.schema(_SHARDS).parquet(path).select("part", F.concat_ws("-", "part", "base").alias("shard"), "first_key", "last_key")
+    wanted = near.join(spans, (near["part"] == spans["part"]) & (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).select("key", F.col("shard").alias("in_shard"))
 
     def get(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, out = [], []
@@ -221,7 +221,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                     row += 1
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(out, pa.list_(pa.int64()))})
 
-    return wanted.groupBy("shard").cogroup(named.groupBy("shard")).applyInArrow(get, "doc_id long, ids array<long>")
+    return wanted.groupBy("in_shard").cogroup(named.groupBy("shard")).applyInArrow(get, "doc_id long, ids array<long>")
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,406 @@
+"""Operators of lodestone.llm against brute force, on small tables with nulls, ties and odd texts."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lodestone.llm import chat_format, decontamination, encoding, graph, line_dedup, line_rules, packing, set_join, substring_dedup, token_rollup, token_store, toxicity
+from lodestone.llm.common import WORD, words
+from lodestone.llm.fm_index import FMIndex, least_in
+
+DOC = "doc_id long, text string, lang string, source string"
+
+
+def corpus(seed=0, n=60):
+    """Texts with copies, near copies, shared lines, periodic and odd cases."""
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(80)] + ["Été", "你好", "🙂x", "a b", "A", "a"]
+    line = lambda k: " ".join(r.choice(vocab) for _ in range(k))
+    common = line(25)
+    out = [(0, None), (1, ""), (2, "one two"), (3, " \n\t "), (4, "a b " * 40), (5, "\n".join([common] * 3))]
+    for i in range(6, n):
+        kind = r.random()
+        if kind < 0.25 and len(out) > 8:
+            t = r.choice(out[6:] or out)[1] or ""
+        elif kind < 0.5 and len(out) > 8:
+            ws = (r.choice(out[6:])[1] or "").split(" ")
+            ws[r.randrange(len(ws))] = r.choice(vocab)
+            t = " ".join(ws)
+        else:
+            t = "\n".join(line(r.randint(1, 40)) for _ in range(r.randint(1, 4)))
+            if r.random() < 0.3:
+                t += "\n" + common + "\n" + line(5)
+        out.append((i, t))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"s{i % 2}" if i % 7 else None) for i, t in corpus()]
+    return spark.createDataFrame(rows, DOC)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+# --- 1 -------------------------------------------------------------------------------------------
+def test_base_counts_follow_their_definition():
+    for _, text in corpus(1):
+        t = text or ""
+        ws = WORD.findall(t)
+        n, chars, symbols, dup, rep = line_rules.base_counts(text)
+        win = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+        c = Counter(win)
+        marked = {i + k for i, w in enumerate(win) if c[w] > 1 for k in range(5)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (n, chars, symbols, dup, rep) == (len(ws), sum(map(len, ws)), sum(x in line_rules.SYMBOLS for x in t), len(lines) - len(set(lines)), len(marked))
+
+
+def test_line_rules_count_documents_per_host(spark, docs):
+    got = {r.doc_id: r for r in line_rules.line_frequency_rules(docs, max_docs=3).collect()}
+    rows = [(r.doc_id, r.text or "", r.source) for r in docs.collect()]
+    freq = Counter((s, h) for _, t, s in rows for h in {line_rules.line_hash(x) for x in t.split("\n") if words(x)})
+    for i, t, s in rows:
+        gone = sum(len(words(x)) for x in t.split("\n") if words(x) and freq[(s, line_rules.line_hash(x))] > 3)
+        assert got[i].removed_words == gone
+    assert line_rules.line_frequency_rules(empty(spark)).count() == 0
+    clean = {r.doc_id: r.text for r in line_rules.cleaned(docs, line_rules.line_frequency_rules(docs, max_docs=3)).collect()}
+    assert all(len(words(clean[i])) == len(words(t)) - got[i].removed_words for i, t, _ in rows if i in clean)
+
+
+def test_line_rules_keep_null_ids_and_repeated_rows(spark):
+    d = spark.createDataFrame([(None, "a b c", "en", None), (1, "x y " * 8, "en", "s"), (1, "x y " * 8, "en", "s")], DOC)
+    assert line_rules.line_frequency_rules(d).count() == 3
+
+
+# --- 2 -------------------------------------------------------------------------------------------
+def windows_removed(rows, k):
+    seen, out = {}, {}
+    for i, t in sorted(rows, key=lambda x: x[0]):
+        ws, gone = words(t), set()
+        for j in range(len(ws) - k + 1):
+            w = tuple(ws[j : j + k])
+            if w in seen:
+                gone |= set(range(j, j + k))
+            else:
+                seen[w] = True
+        out[i] = [w for j, w in enumerate(ws) if j not in gone]
+    return out
+
+
+@pytest.mark.parametrize("most", [2000, 1])
+def test_substring_dedup_equals_brute_force(spark, docs, most):
+    got = {r.doc_id: words(r.text) for r in substring_dedup.dedup_substrings(docs, k=20, most_segments=most, shard_segments=7).collect()}
+    want = windows_removed([(r.doc_id, r.text) for r in docs.collect()], 20)
+    assert got == want
+
+
+def test_substring_dedup_on_empty_table(spark):
+    assert substring_dedup.dedup_substrings(empty(spark)).count() == 0
+
+
+def test_fm_index_intervals_count_occurrences():
+    r = np.random.default_rng(0)
+    text = np.concatenate([[0], r.integers(1, 4, 300)])
+    index = FMIndex(text, 6)
+    pats = np.stack([text[i : i + 6] for i in range(1, 290)])
+    lo, hi = index.search(pats)
+    for p, a, b in zip(pats, lo, hi, strict=True):
+        at = [i for i in range(len(text) - 5) if (text[i : i + 6] == p).all()]
+        assert sorted(index.order[a:b]) == at
+    assert (least_in(index.order, lo, hi) == [index.order[a:b].min() for a, b in zip(lo, hi, strict=True)]).all()
+
+
+# --- 3, 7 ----------------------------------------------------------------------------------------
+@pytest.mark.parametrize("name,spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_equals_the_library(name, spaces):
+    e = encoding.Encoder(encoding.vocabulary(name), spaces, most=200)
+    r = random.Random(5)
+    chars = list(" \n\t\r\x0b  aAé́ßΣσ1٣'s#*你🙂</>|.,") + ["<|endoftext|>", "'ll", "\u0085", "\x1c", "İ", "\n\n", " \n", "Word", "word"]
+    texts = ["".join(r.choice(chars) for _ in range(r.randint(0, 12))) for _ in range(4000)] + [t or "" for _, t in corpus()]
+    for i in range(0, len(texts), 50):
+        assert e.many(texts[i : i + 50]) == [e.whole(t) for t in texts[i : i + 50]]
+
+
+def test_perfect_hash_is_minimal_and_rejects_strangers():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 5000)).astype(np.int64)
+    h = token_store.PerfectHash.build(keys.view(np.uint64))
+    assert sorted(h.slots(keys.view(np.uint64))) == list(range(len(keys)))
+
+
+def test_token_store_round_trip_and_lookup(spark, docs, tmp_path):
+    extra = spark.createDataFrame([(9, "again", "en", "s"), (9, "again", "en", "s"), (None, "no id", "en", "s")], DOC)
+    d = docs.unionByName(extra)
+    path = f"file://{tmp_path}/store"
+    vocab = encoding.vocabulary("byte_bpe_50k.json")
+    token_store.write_store(d, path, vocab, 2, shard_tokens=300)
+    e = encoding.Encoder(vocab, True)
+    rows = sorted(((r.doc_id, r.text or "") for r in d.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    at, want = 0, []
+    for i, t in rows:
+        ids = [*np.frombuffer(e.whole(t), e.dtype).tolist(), 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = [tuple(r) for r in token_store.read_documents(spark, path).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    ask = spark.createDataFrame([(9,), (4,), (123456,), (None,)], "doc_id long")
+    found = Counter(r.doc_id for r in token_store.lookup(spark, path, ask).collect())
+    assert found == Counter([9, 9, 9, 4, None])
+
+
+def test_packing_covers_every_id_once_without_padding(spark, docs):
+    vocab = encoding.vocabulary("word_bpe_49k.json")
+    rows = packing.pack(docs, vocab, most=64).collect()
+    e = encoding.Encoder(vocab, False)
+    by, seq = {}, Counter()
+    for r in rows:
+        by.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, e.dtype).tolist()))
+        seq[r.sequence_id] += r.length
+    for x in docs.collect():
+        ids = [*np.frombuffer(e.whole(x.text or ""), e.dtype).tolist(), 1]
+        assert sum((p for _, p in sorted(by[x.doc_id])), []) == ids
+    assert all(n <= 64 and n & (n - 1) == 0 for n in seq.values())
+    assert packing.pack(empty(spark), vocab).count() == 0
+
+
+def test_hilbert_neighbours_touch():
+    import itertools
+
+    p = np.array(list(itertools.product(range(8), repeat=3)))
+    h = packing.hilbert(p, 3)
+    assert sorted(h) == list(range(512))
+    assert (np.abs(np.diff(p[np.argsort(h)], axis=0)).sum(1) == 1).all()
+
+
+# --- 4 -------------------------------------------------------------------------------------------
+def test_rollup_is_idempotent_and_compacts(spark, docs, tmp_path):
+    r = token_rollup.Rollup(spark, f"file://{tmp_path}/roll")
+    assert r.totals().count() == 0
+    one = token_rollup.counted(docs, "words@1")
+    assert r.apply(1, token_rollup.inserts(one)) and not r.apply(1, token_rollup.inserts(one))
+    r.apply(2, token_rollup.deletes(one.where("source = 's1'")))
+    r.apply(3, token_rollup.revisions(one.where("source = 's0'"), token_rollup.counted(docs.where("source = 's0'"), "pieces@2")))
+    get = lambda: {(x.source, x.tokenizer): (x.n_docs, x.n_tokens) for x in r.totals().collect()}
+    before = get()
+    texts = [(x.source, x.text) for x in docs.collect()]
+    assert before[(None, "words@1")] == (sum(s is None for s, _ in texts), sum(len(words(t)) for s, t in texts if s is None))
+    assert before[("s1", "words@1")] == (0, 0) and before[("s0", "words@1")] == (0, 0)
+    r.apply(4, token_rollup.inserts(one.limit(0)))
+    r.compact(4)
+    assert get() == before and list(r.committed()) == [4]
+
+
+# --- 5 -------------------------------------------------------------------------------------------
+def test_block_max_search_is_exact():
+    r = random.Random(2)
+    ex = [(toxicity.terms(" ".join(r.choice(["idiot", "moron", "scum", "clown", "fine", "day"] if y else ["fine", "day", "sun"]) for _ in range(6))), y) for y in [0, 1] * 150]
+    m = toxicity.Neighbours(ex, k=5, least_z=1.0, least_precision=0.0)
+    assert m.n_blocks > 1
+    for c, _ in ex[:60]:
+        v = m.vector(c)
+        score = np.zeros(len(m.labels))
+        for t, w in v.items():
+            i, x = m.posts[t]
+            score[i] += w * x
+        want = sorted(((-s, i) for i, s in enumerate(score) if s > 0))[:5]
+        assert [i for _, i in m.top(v)] == [i for _, i in want] or np.allclose([s for s, _ in m.top(v)], [-s for s, _ in want])
+
+
+def test_toxicity_separates_held_out_rows(spark):
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):
+        y = int(r.random() < 0.2)
+        ws = [f"w{r.randint(0, 200)}" for _ in range(30)] + (["idiot", "moron", "scum"] if y else [])
+        r.shuffle(ws)
+        rows.append((i, " ".join(ws), "en", "s"))
+        labels.append((i, y))
+    rows += [(1000, None, "en", "s"), (1001, "", "en", "s"), (None, "idiot", "en", "s")]
+    d = spark.createDataFrame(rows, DOC)
+    m = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {x.doc_id: x.score for x in toxicity.score_documents(d, m).collect()}
+    y = dict(labels)
+    held = [i for i in y if toxicity.is_held_out(i)]
+    assert all((got[i] >= 0.5) == bool(y[i]) for i in held)
+    assert got[1000] == got[1001] < 0.5
+    kept = {x.doc_id for x in toxicity.without_toxic(d, m).collect()}
+    assert not kept & {i for i in held if y[i]} and {1000, 1001} <= kept
+    none = toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert none.score("idiot")[0] == 0.0
+
+
+# --- 6 -------------------------------------------------------------------------------------------
+def test_templates_round_trip_and_spans():
+    r = random.Random(4)
+    parts = ["###", "\\", "</turn>", "#", ":", "\n", "a", "### assistant:\n", "</turn>\n", "🙂"]
+    for _ in range(300):
+        turns = [("".join(r.choice(parts) for _ in range(r.randint(0, 3))) if r.random() < 0.2 else r.choice(["user", "assistant", ""]), "".join(r.choice(parts) for _ in range(r.randint(0, 6)))) for _ in range(r.randint(0, 5))]
+        f = chat_format.formatted(turns)
+        assert chat_format.parse(f["formatted"]) == turns
+        assert not f["rewrites"]
+        assert [chat_format.unescape(f["formatted"][a:b]) for a, b in f["loss"]] == [t for x, t in turns if x == "assistant"]
+
+
+def test_rewriting_templates_are_found():
+    last_marked = lambda m: "".join(f"[{x}{'*' if i == len(m) - 1 else ''}]{t}" for i, (x, t) in enumerate(m))
+    f = chat_format.formatted([("user", "a"), ("assistant", "b"), ("user", "c")], last_marked)
+    assert f["rewrites"] == [1, 2]
+
+
+def test_conversations_with_nulls_and_ties(spark):
+    t = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", None), (1, 1, None, "x"), (None, 0, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    got = {x.conv_id: chat_format.parse(x.formatted) for x in chat_format.format_chats(t).collect()}
+    assert got == {1: [("user", ""), ("user", ""), ("", "x")], None: [("assistant", "y")]}
+
+
+# --- 8 -------------------------------------------------------------------------------------------
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def mutated(r, n, length):
+    out = {"".join(r.choice("abcé🙂 ") for _ in range(length)) for _ in range(n)}
+    for b in list(out):
+        for _ in range(5):
+            q = list(b)
+            for _ in range(r.randint(1, 3)):
+                j = r.randrange(len(q))
+                r.choice([lambda: q.__setitem__(j, r.choice("abz")), lambda: q.__delitem__(j), lambda: q.insert(j, r.choice("aby"))])()
+            out.add("".join(q))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_edit_join_equals_brute_force(spark, k):
+    from pyspark.sql import functions as F
+
+    lines = mutated(random.Random(6), 20, 26)
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string").withColumn("bag", line_dedup.letter_bag(F.col("line")))
+    got = {(x.a, x.b) for x in line_dedup.near_pairs(df, k).collect()}
+    want = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if abs(len(lines[i]) - len(lines[j])) <= k and edits(lines[i], lines[j]) <= k}
+    assert got == want
+
+
+def test_line_dedup_judges_lines_on_the_input(spark):
+    r = random.Random(7)
+    pool = [x.strip() for x in mutated(r, 8, 24)] + ["short", ""]
+    rows = [(i, None if i == 3 else "\n".join(r.choice(pool) for _ in range(r.randint(1, 6))), "en", "s") for i in range(40)]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()}
+    first = {}
+    for i, t, *_ in rows:
+        for n, x in enumerate((t or "").split("\n")):
+            x = x.strip(" ")
+            if len(x) >= 20:
+                first.setdefault(x, (i, n))
+    late = {x for x in first for y in first if x != y and first[y] < first[x] and edits(x, y) <= 2}
+    for i, t, *_ in rows:
+        want = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if len(x.strip(" ")) < 20 or (first[x.strip(" ")] == (i, n) and x.strip(" ") not in late))
+        assert got[i] == want
+    assert line_dedup.dedup_lines(empty(spark)).count() == 0
+
+
+# --- 9 -------------------------------------------------------------------------------------------
+def test_banded_search_equals_brute_force():
+    r = random.Random(3)
+    for _ in range(150):
+        p = decontamination.normal("".join(r.choice("abcd ") for _ in range(60)).strip().replace("  ", "x ")) or "abcabcabcabc"
+        q = list(p)
+        for _ in range(r.randint(0, 7)):
+            j = r.randrange(len(q))
+            r.choice([lambda: q.__setitem__(j, "e"), lambda: q.__delitem__(j), lambda: q.insert(j, "f")])()
+        side = lambda: "".join(r.choice("abcd ") for _ in range(90))
+        t = decontamination.normal(side() + "".join(q) + side())
+        w = decontamination.Windows([(1, p)])
+        if not w.patterns:
+            continue
+        row = [0] * (len(t) + 1)
+        for i, a in enumerate(p):
+            new = [i + 1]
+            for j, b in enumerate(t):
+                new.append(min(row[j] + (a != b), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        found = w.find(decontamination.codes(t))
+        assert bool(found) == (min(row) <= w.k[0])
+        if found:
+            assert min(f[3] for f in found) == min(row)
+
+
+def test_contaminated_documents_go_and_clean_ones_stay(spark):
+    r = random.Random(8)
+    words_ = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
+    item = words_(40)
+    rows = [(i, words_(120), "en", "s") for i in range(20)]
+    rows[5] = (5, words_(30) + "\n" + item.upper().replace(" ", ", ") + " " + words_(30), "en", "s")
+    rows[6] = (6, words_(30) + " " + item[20:170] + " " + words_(30), "en", "s")
+    rows += [(30, None, "en", "s"), (31, "", "en", "s")]
+    d = spark.createDataFrame(rows, DOC)
+    b = spark.createDataFrame([(1, item), (2, None), (3, "tiny"), (4, words_(30))], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.contaminated(d, b).collect()}
+    assert got == {(5, 1), (6, 1)}
+    kept = {x.doc_id for x in decontamination.clean_only(d, b, block_chars=50).collect()}
+    assert kept == {x[0] for x in rows} - {5, 6}
+    span = decontamination.contaminated(d, b).where("doc_id = 5").first()
+    assert decontamination.normal(rows[5][1][span.start : span.end]) == decontamination.normal(item)
+    assert decontamination.contaminated(d, b.limit(0)).count() == 0 and decontamination.contaminated(empty(spark), b).count() == 0
+
+
+# --- 10 ------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("small,block", [(24, 400), (2, 5)])
+def test_set_join_equals_brute_force(spark, small, block):
+    rows = corpus(9, 90)
+    base = rows[20][1] or "a b c d e f g h"
+    ws = (base + " " + " ".join(f"q{i}" for i in range(60))).split()
+    r = random.Random(1)
+    for i in range(90, 130):
+        v = list(ws)
+        v[r.randrange(len(v))] = f"z{i}"
+        rows.append((i, " ".join(v)))
+    d = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], DOC)
+    sets = {i: frozenset(set_join.shingles(t).tolist()) for i, t in rows}
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    comp = {i: i for i in sets}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    degree = {i: len({b for j, b in sets.items() if b != a and near(a, b)}) for i, a in sets.items()}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and near(a, b):
+                x, y = find(i), find(j)
+                comp[max(x, y)] = min(x, y)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in set_join.set_components(d, small=small, block=block, least_frequent=3).collect()}
+    assert got == {i: (len(sets[i]), find(i), degree[i]) for i in sets}
+    kept = {x.doc_id for x in set_join.one_of_each(d).collect()}
+    assert kept == {i for i in sets if find(i) == i}
+
+
+def test_set_join_on_empty_and_null_rows(spark):
+    assert set_join.set_components(empty(spark)).count() == 0
+    d = spark.createDataFrame([(None, "a b c d e", "en", "s"), (1, None, "en", "s"), (2, "a b c d e", "en", "s"), (3, "a b c d e", "en", "s")], DOC)
+    got = sorted((str(x.doc_id), x.component_id) for x in set_join.set_components(d).collect())
+    assert ("2", 2) in got and ("3", 2) in got and ("1", 1) in got and len(got) == 4
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(100, 140)] + [(5, i) for i in range(200, 260)] + [(7, 7)]
+    got = {x.id: x.component for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[i] == 100 for i in range(100, 141)) and all(got[i] == 5 for i in range(200, 260)) and 7 not in got
+
+
+def test_hash_digests_use_whole_texts():
+    long = "x" * 200_000 + " end"
+    assert hashlib.sha256(" ".join(words(long)).encode()).hexdigest() == hashlib.sha256(long.encode()).hexdigest()
