@@ -72,14 +72,11 @@ def word_hashes(ws: list[str]) -> np.ndarray:
 class WordHashes:
     """word -> stable 64-bit hash with a bounded memo (the hash itself never depends on the memo)."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         import xxhash
 
         self._digest, self._memo, self._most = xxhash.xxh3_64_intdigest, {}, most
 
-    def __missing__(self, w: str) -> int:  # pragma: no cover - dict protocol helper
-        raise KeyError(w)
-
     def __call__(self, ws: list[str]) -> np.ndarray:
         memo, digest = self._memo, self._digest
         if len(memo) > self._most:
@@ -132,9 +129,11 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Tuples of the named columns, batch by batch."""
+    """Tuples of the named columns, a thousand rows in Python's memory at a time."""
     for b in batches:
-        yield from zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+        cols = [b.column(b.schema.get_field_index(n)) for n in names]
+        for i in range(0, b.num_rows, 1000):
+            yield from zip(*(c.slice(i, 1000).to_pylist() for c in cols), strict=True)
 
 
 def chunked(make: Iterator[tuple], schema: pa.Schema, most: int = 20_000, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:

@@ -25,11 +25,16 @@ _MARKS = (".", ",", ";", "!", "?")
 class Encoder:
     """text -> ids as little-endian bytes (uint16 where the vocabulary fits, else uint32)."""
 
-    def __init__(self, path: str, spaces_count: bool, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, spaces_count: bool, most: int = 300_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._t = Tokenizer.from_file(path)
         self._t.encode_special_tokens = True
+        # the same model for words of plain letters, which nothing normalises or splits
+        self._plain = Tokenizer.from_file(path)
+        self._plain.encode_special_tokens = True
+        self._plain.normalizer = None
+        self._plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.dtype = np.dtype("<u2" if self._t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._spaces, self._most, self._memo, self._heads, self._once = spaces_count, most, {}, {}, set()
@@ -49,6 +54,10 @@ class Encoder:
             core = core.lower()
         return core, mark
 
+    def _simple(self, w: str) -> bool:
+        """Letters below U+0130 only, and lower case where the vocabulary is."""
+        return w.isalpha() and max(w) < "\u0130" and (self._spaces or w.islower())
+
     def _fill(self, new: set[str], lead: str) -> None:
         """Adds words to the memo; a word with line feeds or a mark at its end is joined from its parts."""
         memo = self._memo
@@ -64,12 +73,14 @@ class Encoder:
         new.difference_update([w for w, _, _ in made])
         new.update([core for _, core, _ in made])
         new.difference_update(memo)
-        names = list(new)
-        for i in range(0, len(names), 20_000):
-            part = names[i : i + 20_000]
-            shown = [w if w[:1] == "\n" else lead + w for w in part] if lead else part
-            ids = [array(self._code, e.ids).tobytes() for e in self._t.encode_batch_fast(shown, add_special_tokens=False)]
-            memo.update(zip(part, ids, strict=True))
+        plain = list(filter(self._simple, new))
+        new.difference_update(plain)
+        for names, t in ((plain, self._plain), (list(new), self._t)):
+            for i in range(0, len(names), 20_000):
+                part = names[i : i + 20_000]
+                shown = [w if w[:1] == "\n" else lead + w for w in part] if lead else part
+                ids = [array(self._code, e.ids).tobytes() for e in t.encode_batch_fast(shown, add_special_tokens=False)]
+                memo.update(zip(part, ids, strict=True))
         marks = self._marks
         for w, core, mark in made:
             memo[w] = memo[core] + marks[mark]

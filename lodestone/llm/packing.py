@@ -95,11 +95,11 @@ def encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
 
         def made():
             for b in batches:
-                keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for i in range(0, len(keys), 500):
-                    ids = enc.many([t or "" for t in texts[i : i + 500]])
+                for i in range(0, b.num_rows, 500):
+                    part = b.slice(i, 500)
+                    ids = enc.many([t or "" for t in part.column(1).to_pylist()])
                     curve = hilbert(points([np.frombuffer(e, enc.dtype) for e in ids])).tolist()
-                    for c, k, e in zip(curve, keys[i : i + 500], ids, strict=True):
+                    for c, k, e in zip(curve, part.column(0).to_pylist(), ids, strict=True):
                         yield c, k, e + end
 
         yield from chunked(made(), schema)

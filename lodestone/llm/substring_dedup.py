@@ -73,7 +73,7 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[:n], _inverses[:n]
 
 
-def segments(ws: list[str], k: int, m: int, contents: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(ws: list[str], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimiser, content hash, first word and number of windows of each segment of a text."""
     if len(ws) < k:
         z = np.zeros(0, np.int64)
@@ -84,8 +84,6 @@ def segments(ws: list[str], k: int, m: int, contents: bool = True) -> tuple[np.n
     start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     n = np.diff(np.append(start, len(at)))
     mv = g[at[start]]
-    if not contents:
-        return mv, mv, start, n
     # polynomial hash of a run of words, from prefix sums modulo 2**64
     power, inverse = _grown(len(h))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h) * power)])
@@ -96,9 +94,8 @@ def segments(ws: list[str], k: int, m: int, contents: bool = True) -> tuple[np.n
 _SEG = "mv long, content long, doc long, start int, n int"
 
 
-def _segments_of(k: int, m: int, only_minimisers: bool):
-    full = pa.schema([("mv", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-    schema = pa.schema([full.field("mv")]) if only_minimisers else full
+def _segments_of(k: int, m: int):
+    schema = pa.schema([("mv", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
     def run(batches):
         held, size = [], 0
@@ -108,9 +105,9 @@ def _segments_of(k: int, m: int, only_minimisers: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         for d, text in rows(batches, "doc_id", "text"):
-            mv, c, start, n = segments(words(text), k, m, not only_minimisers)
+            mv, c, start, n = segments(words(text), k, m)
             if len(mv):
-                held.append((signed(mv),) if only_minimisers else (signed(mv), signed(c), np.full(len(mv), NO_ID if d is None else d), start.astype(np.int32), n.astype(np.int32)))
+                held.append((signed(mv), signed(c), np.full(len(mv), NO_ID if d is None else d), start.astype(np.int32), n.astype(np.int32)))
                 size += len(mv)
                 if size >= 100_000:
                     yield batch()
@@ -204,9 +201,10 @@ def _windows(k: int):
 def repeated_ranges(docs: DataFrame, k: int = 20, m: int = 5, most_segments: int = 2000, shard_segments: int = 10_000) -> DataFrame:
     """doc, start, n: runs of n windows that start earlier elsewhere (doc_id null is NO_ID)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    often = slim.mapInArrow(_segments_of(k, m, True), "mv long").groupBy("mv").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("mv").alias("o"))
-    seg = slim.mapInArrow(_segments_of(k, m, False), _SEG)
-    seg = written(seg.join(often, seg["mv"] == F.col("o"), "left_semi"), "segments")
+    every = written(slim.mapInArrow(_segments_of(k, m), _SEG), "every")
+    often = every.groupBy("mv").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("mv").alias("o"))
+    seg = written(every.join(often, every["mv"] == F.col("o"), "left_semi"), "segments")
+    discard(every)
     place = F.struct("doc", "start")
     kinds = written(seg.groupBy("mv", "content", "n").agg(F.min(place).alias("first")), "kinds")
     firsts = kinds.select(F.col("mv").alias("m_"), F.col("content").alias("c_"), F.col("n").alias("n_"), "first")

@@ -126,7 +126,7 @@ class Shard:
 _SHARDS = "part int, base long, n_docs long, n_tokens long, first_key long, last_key long, width int, keys binary, starts binary, payload binary, index binary"
 
 
-def write_store(docs: DataFrame, path: str, vocab: str, end_id: int, shard_tokens: int = 1 << 21) -> None:
+def write_store(docs: DataFrame, path: str, vocab: str, end_id: int, shard_tokens: int = 1 << 20) -> None:
     """Encodes docs (doc_id, text) and writes their shards to path."""
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
     schema = pa.schema(list(zip([c.split()[0] for c in _SHARDS.split(", ")], types, strict=True)))
@@ -147,10 +147,9 @@ def write_store(docs: DataFrame, path: str, vocab: str, end_id: int, shard_token
                 return (part, base, len(keys), held, keys[0], keys[-1], width, k.tobytes(), starts.tobytes(), b"".join(parts), pack_index(k))
 
             for b in batches:
-                ids = b.column(0).to_pylist()
-                texts = b.column(1).to_pylist()
-                for i in range(0, len(ids), 500):
-                    for k, e in zip(ids[i : i + 500], enc.many([t or "" for t in texts[i : i + 500]]), strict=True):
+                for i in range(0, b.num_rows, 500):
+                    rows_ = b.slice(i, 500)
+                    for k, e in zip(rows_.column(0).to_pylist(), enc.many([t or "" for t in rows_.column(1).to_pylist()]), strict=True):
                         k = NULL_KEY if k is None else k
                         if held >= shard_tokens and k != keys[-1]:
                             yield flush()
@@ -161,7 +160,7 @@ def write_store(docs: DataFrame, path: str, vocab: str, end_id: int, shard_token
             if keys:
                 yield flush()
 
-        yield from chunked(shards(), schema, 64)
+        yield from chunked(shards(), schema, 4)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     placed = slim.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
