@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import documents_only, written
 
 
-_LETTERS = "entairos"
+_LETTERS = "entairoslhdc"
+_BITS = 5
 
 
 def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -62,21 +63,21 @@ def probe_keys(line: Column, n: Column, max_edits: int) -> Column:
 
 
 def letter_bag(line: Column) -> Column:
-    """Counts of eight letters, a byte each (modulo 256)."""
-    n = F.length(line)
+    """Counts of twelve letters, five bits each (modulo 32)."""
+    n = F.octet_length(line)
     out = F.lit(0).cast("long")
     for i, c in enumerate(_LETTERS):
-        count = (n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(255).cast("long")
-        out = out.bitwiseOR(F.shiftleft(count, 8 * i))
+        count = (n - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND((1 << _BITS) - 1).cast("long")
+        out = out.bitwiseOR(F.shiftleft(count, _BITS * i))
     return out
 
 
 def bags_near(a: Column, b: Column, max_edits: int) -> Column:
     """True wherever two lines may be within max_edits edits: an edit moves two counts by one."""
-    total = F.lit(0)
+    total, mask = F.lit(0), (1 << _BITS) - 1
     for i in range(len(_LETTERS)):
-        d = F.shiftrightunsigned(a, 8 * i).bitwiseAND(255) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(255)
-        total = total + F.least(F.abs(d), 256 - F.abs(d))
+        d = F.abs(F.shiftrightunsigned(a, _BITS * i).bitwiseAND(mask) - F.shiftrightunsigned(b, _BITS * i).bitwiseAND(mask))
+        total = total + F.least(d, mask + 1 - d)
     return total <= 2 * max_edits
 
 
@@ -132,9 +133,9 @@ def near_pairs(lines: DataFrame, max_edits: int) -> DataFrame:
     probe = bagged.select(F.col("id").alias("other"), F.col("bag").alias("other_bag"), F.explode(probe_keys(F.col("line"), F.col("n"), max_edits)).alias("key"))
     met = index.hint("shuffle_hash").join(probe, (index["key"] == probe["key"]) & (F.col("id") != F.col("other")) & bags_near(F.col("bag"), F.col("other_bag"), max_edits))
     ids = written(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "met")
-    # the lines are moved once, for both ends of all pairs
+    # sort-merge joins from here on: no side has a size bound; the lines are moved once, for both ends of all pairs
     ends = ids.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(0).alias("end")), F.struct(F.col("b").alias("id"), F.lit(1).alias("end")))).alias("e")).select("a", "b", "e.id", "e.end")
-    text = ends.join(lines.select("id", "line"), "id")
+    text = ends.join(lines.select("id", "line").hint("merge"), "id")
     both = text.groupBy("a", "b").agg(F.max(F.when(F.col("end") == 0, F.col("line"))).alias("line_a"), F.max(F.when(F.col("end") == 1, F.col("line"))).alias("line_b"))
     likely = F.lit(0)
     for c in string.ascii_lowercase + " ":
@@ -156,17 +157,17 @@ def line_verdicts(docs: DataFrame, max_edits: int = 2, min_chars: int = 20) -> D
     pairs = written(near_pairs(seen, max_edits), "pairs")
     first = seen.select("id", "first")
     fa, fb = first.select(F.col("id").alias("a"), F.col("first").alias("fa")), first.select(F.col("id").alias("b"), F.col("first").alias("fb"))
-    late = pairs.join(fa, "a").join(fb, "b").select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-    judged = first.join(late.withColumn("late", F.lit(True)), "id", "left").select(F.col("id").alias("j"), "first", "late")
+    late = pairs.join(fa.hint("merge"), "a").join(fb.hint("merge"), "b").select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    judged = first.join(late.withColumn("late", F.lit(True)).hint("merge"), "id", "left").select(F.col("id").alias("j"), "first", "late")
     every = lines.select("doc_id", "n", ident.alias("id"))
-    gone = every.join(judged, F.col("id") == F.col("j")).where(F.col("late") | (place != F.col("first")))
+    gone = every.join(judged.hint("merge"), F.col("id") == F.col("j")).where(F.col("late") | (place != F.col("first")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("n")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20) -> DataFrame:
     """docs with the lines that go taken out of text; all columns and rows stay."""
     verdicts = line_verdicts(documents_only(docs, "doc_id", "text"), max_edits, min_chars).select(F.col("doc_id").alias("_line_dedup_doc"), F.col("gone").alias("_line_dedup_gone"))
-    j = docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("_line_dedup_doc")), "left")
+    j = docs.join(verdicts.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_line_dedup_doc")), "left")
     gone = F.col("_line_dedup_gone")
     lines = F.split(docs["text"], "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
