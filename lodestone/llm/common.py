@@ -47,6 +47,14 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def small_batches(spark: SparkSession, most: int = 2000) -> None:
+    """Keeps what Python workers hold at a time small: texts are long, Spark's default is 10000 rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by written() that no later plan reads."""
     path = getattr(df, "_lodestone_path", None)

@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+
 from . import chat_format, decontamination, line_dedup, line_rules, packing, set_join, substring_dedup, token_rollup, token_store, toxicity
+from .common import small_batches
+
+
+def _bounded(f):
+    @functools.wraps(f)
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
 
 
 def queries():
-    return {
-        "op1_line_frequency": line_rules.op1_line_frequency,
-        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
-        "op3_token_store": token_store.op3_token_store,
-        "op4_token_rollup": token_rollup.op4_token_rollup,
-        "op5_toxicity": toxicity.op5_toxicity,
-        "op6_chat_format": chat_format.op6_chat_format,
-        "op7_packing": packing.op7_packing,
-        "op8_line_dedup": line_dedup.op8_line_dedup,
-        "op9_decontamination": decontamination.op9_decontamination,
-        "op10_set_join": set_join.op10_set_join,
-    }
+    return {k: _bounded(f) for k, f in _QUERIES.items()}
+
+
+_QUERIES = {
+    "op1_line_frequency": line_rules.op1_line_frequency,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_token_store": token_store.op3_token_store,
+    "op4_token_rollup": token_rollup.op4_token_rollup,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_chat_format": chat_format.op6_chat_format,
+    "op7_packing": packing.op7_packing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_decontamination": decontamination.op9_decontamination,
+    "op10_set_join": set_join.op10_set_join,
+}
 
 
 def oracle_sql():
