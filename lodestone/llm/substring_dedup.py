@@ -203,8 +203,10 @@ def repeated_ranges(docs: DataFrame, k: int = 20, m: int = 5, most_segments: int
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = written(slim.mapInArrow(_segments_of(k, m), _SEG), "every")
     often = every.groupBy("mv").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("mv").alias("o"))
+    often = written(often, "often")  # so that both sides of the join are dealt anew and a hot minimiser can be split
     seg = written(every.join(often, every["mv"] == F.col("o"), "left_semi"), "segments")
     discard(every)
+    discard(often)
     place = F.struct("doc", "start")
     kinds = written(seg.groupBy("mv", "content", "n").agg(F.min(place).alias("first")), "kinds")
     firsts = kinds.select(F.col("mv").alias("m_"), F.col("content").alias("c_"), F.col("n").alias("n_"), "first")
