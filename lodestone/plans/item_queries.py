@@ -30,15 +30,12 @@ def active(spark, d):
     return B.items(spark, d).where(~F.col("deprecated")).select("id", "category")
 
 
-@query("s02_point_lookup", "SELECT DISTINCT i.id, i.category FROM items i JOIN log USING (id) WHERE false UNION SELECT id, category FROM items WHERE id IN (SELECT item_id FROM log)")
+@query("s02_point_lookup", "SELECT id, category FROM items WHERE id IN (SELECT item_id FROM log)")
 def lookup(spark, d):
     ids = B.log(spark, d).select(F.col("item_id").alias("id")).distinct()
     return B.items(spark, d).join(ids, "id", "left_semi").select("id", "category")
 
 
-ORACLES["s02_point_lookup"] = B.sql("SELECT id, category FROM items WHERE id IN (SELECT item_id FROM log)")
-
-
 @query("s03_category_scan", "SELECT id FROM items WHERE level1 = 'en' AND level2 = 'src2'")
 def category_scan(spark, d):
     return B.items(spark, d).where("level1 = 'en'").where("level2 = 'src2'").select("id")
@@ -136,12 +133,12 @@ def scope(spark, d):
     return B.audit(spark, d).where(T.in_scope("repo", ["src1", "src2"])).select("session_id")
 
 
-@query("p17_p18_attribution", """x AS (SELECT id, (score + 1) / 2 AS s FROM v0 WHERE query_id < 10)
-SELECT id, round(CASE WHEN s <= 0.2 THEN 0 ELSE least(pow((s - 0.2) / 0.8, 2), 1) END, 6) AS weight, round(CASE WHEN s <= 0.2 THEN 0 ELSE least(pow((s - 0.2) / (0.8 - 0.2), 2), 1) END, 6) AS plateau, round(s, 6) AS sim FROM x""")
+@query("p17_p18_attribution", """x AS (SELECT query_id, id, (score + 1) / 2 AS s FROM v0)
+SELECT query_id, id, round(CASE WHEN s <= 0.2 THEN 0 ELSE least(pow((s - 0.2) / 0.8, 2), 1) END, 6) AS weight, round(CASE WHEN s <= 0.2 THEN 0 ELSE least(pow((s - 0.2) / (0.8 - 0.2), 2), 1) END, 6) AS plateau, round(s, 6) AS sim FROM x""")
 def attribution(spark, d):
-    q = B.question_vectors(spark, d).where("query_id < 10")
-    got = S.nearest(B.vectors(spark, d), q, 1 << 20).select("id", ((F.col("score") + 1) / 2).alias("s"))
-    return got.select("id", F.round(T.attribution("s"), 6).alias("weight"), F.round(T.attribution("s", ceiling=0.8), 6).alias("plateau"), F.round("s", 6).alias("sim"))
+    q = B.question_vectors(spark, d)
+    got = S.nearest(B.vectors(spark, d), q, 1 << 20).select("query_id", "id", ((F.col("score") + 1) / 2).alias("s"))
+    return got.select("query_id", "id", F.round(T.attribution("s"), 6).alias("weight"), F.round(T.attribution("s", ceiling=0.8), 6).alias("plateau"), F.round("s", 6).alias("sim"))
 
 
 @query("p22_s18_excerpt", "SELECT id, CASE WHEN length(text) > 600 THEN left(text, 295) || chr(10) || chr(10) || '[...]' || chr(10) || chr(10) || right(text, 295) ELSE text END AS shown FROM items")

@@ -35,9 +35,9 @@ def tag_vocabulary(item_tags: DataFrame, least: int = 1) -> DataFrame:
     return item_tags.groupBy("tag").agg(F.countDistinct("item_id").alias("freq")).where(F.col("freq") >= least)
 
 
-def import_state(spark: SparkSession, path: str) -> DataFrame:
-    """text, category of a JSON state file; categories without a slash go below general/."""
-    rows = spark.read.json(path, multiLine=True, schema="engrams array<struct<text:string,category:string>>").select(F.explode("engrams").alias("e"))
+def import_state(spark: SparkSession, path: str, key: str = "items") -> DataFrame:
+    """text, category of the list under key in a JSON state file; categories without a slash go below general/."""
+    rows = spark.read.json(path, multiLine=True, schema=f"`{key}` array<struct<text:string,category:string>>").select(F.explode(key).alias("e"))
     c = F.coalesce(F.col("e.category"), F.lit("general"))
     return rows.select(F.col("e.text").alias("text"), F.when(c.contains("/"), c).otherwise(F.concat(F.lit("general/"), c)).alias("category"))
 

@@ -213,7 +213,7 @@ def test_files_round_trip(spark, tmp_path):
     v = spark.createDataFrame([(1, [3.0, 4.0])], "id long, embedding array<float>")
     files.write_index(v, f"file://{tmp_path}/ix")
     assert files.read_index(spark, f"file://{tmp_path}/ix").first().norm == 5.0 and files.read_index(spark, f"file://{tmp_path}/none") is None
-    (tmp_path / "s.json").write_text(json.dumps({"engrams": [{"text": "a", "category": "x"}, {"text": "b", "category": "y/z"}, {"text": "c"}]}))
+    (tmp_path / "s.json").write_text(json.dumps({"items": [{"text": "a", "category": "x"}, {"text": "b", "category": "y/z"}, {"text": "c"}]}))
     assert [r.category for r in files.import_state(spark, f"file://{tmp_path}/s.json").collect()] == ["general/x", "y/z", "general/general"]
     (tmp_path / "s.md").write_text("# t\n- one\n  - two\ntext\n")
     assert [r.text for r in files.import_markdown(spark, f"file://{tmp_path}/s.md").collect()] == ["one", "two"]
