@@ -45,6 +45,12 @@ def turns(spark, d):
     return X.turns(_lines(spark, d)).select("session", "line_no", "role", "text")
 
 
+@query("s12_turns")
+def whole_turns(spark, d):
+    """S12 keeps whole messages; the cut to 500 characters belongs to S11 and S13."""
+    return X.turns(_lines(spark, d), None).select("session", "line_no", "role", "text")
+
+
 @query("s11_transcript_text", _CUT + " SELECT session, right(string_agg(role || ': ' || text, chr(10) ORDER BY line_no), 800) AS text FROM t GROUP BY session")
 def transcript(spark, d):
     return X.transcript_text(X.turns(_lines(spark, d)), 800)
@@ -72,7 +78,7 @@ _WS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lam
 q AS (SELECT session, max(line_no) AS m FROM u GROUP BY session), k AS (SELECT u.session, u.line_no AS query_id, u.qw FROM u JOIN q ON q.session = u.session AND q.m = u.line_no)
 SELECT session, query_id, turn, shared::INT AS shared FROM (SELECT k.session, k.query_id, u.line_no AS turn, len(list_intersect(qw, tw)) AS shared, row_number() OVER (PARTITION BY k.session, k.query_id ORDER BY len(list_intersect(qw, tw)) DESC, u.line_no) AS r FROM k JOIN u USING (session) WHERE len(list_intersect(k.qw, tw)) >= 2) WHERE r = 1""".replace("list_intersect(qw, tw)", "list_intersect(k.qw, u.tw)").replace("list_intersect(k.qw, tw)", "list_intersect(k.qw, u.tw)"))
 def best_turn(spark, d):
-    t = X.turns(_lines(spark, d))
+    t = X.turns(_lines(spark, d), None)
     u = t.where("role = 'user'")
     last = u.groupBy("session").agg(F.max("line_no").alias("line_no"))
     return X.best_turn(u.join(last, ["session", "line_no"]).select("session", F.col("line_no").alias("query_id"), "text"), t)
@@ -84,14 +90,14 @@ w AS (SELECT n.session, b.q AS query_id, n.line_no AS turn, n.role, n.text, n.id
   FROM b JOIN n ON n.session = b.session AND n.idx BETWEEN b.base AND b.base + 5 WINDOW p AS (PARTITION BY n.session ORDER BY n.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT session, query_id, turn, role, text FROM w WHERE users = 0 AND (used <= 900 OR own)""")
 def window(spark, d):
-    t = X.turns(_lines(spark, d))
+    t = X.turns(_lines(spark, d), None)
     first = t.where("role = 'user'").groupBy("session").agg(F.min("line_no").alias("turn")).withColumn("query_id", F.col("turn"))
     return X.turn_window(first, t, budget=900)
 
 
 @query("x06_chunks")
 def chunks(spark, d):
-    return X.chunks(X.turns(_lines(spark, d)), 1500)
+    return X.chunks(X.turns(_lines(spark, d), None), 1500)
 
 
 _GATE = r"""g AS (SELECT session, line_no, text, trim(regexp_replace(text, '<[^>]+>.*?</[^>]+>', '', 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS b FROM turns WHERE role = 'user')

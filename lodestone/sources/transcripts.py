@@ -20,11 +20,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return e.withColumn("end", F.sum(size).over(w)).withColumn("start", F.col("end") - size).where("trim(value) <> ''")
 
 
-def turns(lines: DataFrame, most: int = 500) -> DataFrame:
+def turns(lines: DataFrame, most: int | None = 500) -> DataFrame:
     """session, line_no, role, text of user and assistant lines; other and malformed lines are left out.
 
     Content is a string or a list of parts; texts of parts are joined by a space. Injected blocks
-    are taken out, and texts cut.
+    are taken out, and texts cut to ``most`` characters; None keeps them whole.
     """
     j = lines.select("session", "line_no", F.from_json("value", _LINE).alias("j")).where(F.col("j.type").isin("user", "assistant"))
     content = F.col("j.message.content")
@@ -32,7 +32,7 @@ def turns(lines: DataFrame, most: int = 500) -> DataFrame:
     text = F.when(content.startswith("["), F.array_join(F.transform(parts, lambda p: p["text"]), " ")).otherwise(content)
     clean = F.regexp_replace(T.strip_blocks(F.coalesce(text, content)), r"^\s+|\s+$", "")
     role = F.coalesce(F.col("j.message.role"), F.col("j.type"))
-    return j.select("session", "line_no", F.to_timestamp("j.timestamp").alias("ts"), role.alias("role"), F.substring(clean, 1, most).alias("text")).where("text <> ''")
+    return j.select("session", "line_no", F.to_timestamp("j.timestamp").alias("ts"), role.alias("role"), (clean if most is None else F.substring(clean, 1, most)).alias("text")).where("text <> ''")
 
 
 def transcript_text(turn_rows: DataFrame, most: int = 8000) -> DataFrame:
@@ -85,9 +85,12 @@ def best_turn(shown: DataFrame, turn_rows: DataFrame) -> DataFrame:
     return m.withColumn("n", F.row_number().over(w)).where("n = 1").select("session", "query_id", "turn", "shared")
 
 
-def turn_window(matches: DataFrame, turn_rows: DataFrame, follow: int = 5, budget: int = 1500) -> DataFrame:
+def turn_window(matches: DataFrame, turn_rows: DataFrame, follow: int = 5, budget: int = 1500, rest: int = 100) -> DataFrame:
     """session, query_id, turn, role, text: the matched turn and what follows it, up to the next user
-    turn (included) and while the texts fit the budget."""
+    turn (included) and while at least ``rest`` characters of the budget are left.
+
+    The matched turn may use a third of the budget, each later one what is left of it.
+    """
     t = turn_rows.select("session", F.col("line_no").alias("at"), "role", "text")
     order = Window.partitionBy("session").orderBy("at")
     t = t.withColumn("idx", F.row_number().over(order))
@@ -95,15 +98,19 @@ def turn_window(matches: DataFrame, turn_rows: DataFrame, follow: int = 5, budge
     j = m.join(t, "session").where((F.col("idx") >= F.col("base")) & (F.col("idx") <= F.col("base") + follow))
     w = Window.partitionBy("session", "query_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     users = F.coalesce(F.sum(((F.col("role") == "user") & (F.col("idx") > F.col("base"))).cast("int")).over(w), F.lit(0))
-    used = F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)) + F.length("text")
-    return j.withColumn("users", users).withColumn("used", used).where((F.col("users") == 0) & ((F.col("used") <= budget) | (F.col("idx") == F.col("base")))).select("session", "query_id", F.col("at").alias("turn"), "role", "text")
+    own = F.col("idx") == F.col("base")
+    j = j.withColumn("text", F.when(own, F.left("text", F.lit(budget // 3))).otherwise(F.col("text")))
+    left = F.lit(budget) - F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))
+    shown = j.withColumn("users", users).withColumn("left", left).where((F.col("users") == 0) & (own | (F.col("left") >= rest)))
+    return shown.select("session", "query_id", F.col("at").alias("turn"), "role", F.substring("text", F.lit(1), F.col("left").cast("int")).alias("text"))
 
 
 def chunks(turn_rows: DataFrame, most: int = 30_000, overlap: float = 0.15, cut: int | None = None) -> DataFrame:
     """session, chunk, first_line, last_line, text: runs of whole messages that overlap.
 
-    A chunk takes messages while they fit; the next one begins so far back that it repeats at most
-    the overlap's share of characters, and always moves on. Sessions are walked one by one.
+    A chunk takes messages while they fit; the next one begins so far back that it repeats at least
+    the overlap's share of characters, or right after the chunk where that would be the chunk's own
+    start. A session that fits is one chunk. Sessions are walked one by one.
     """
 
     def walk(g):
@@ -113,8 +120,9 @@ def chunks(turn_rows: DataFrame, most: int = 30_000, overlap: float = 0.15, cut:
         lines = g["line_no"].tolist()
         msgs = [f"{r}: {t[:cut] if cut else t}" for r, t in zip(g["role"], g["text"], strict=True)]
         out, i, n = [], 0, len(msgs)
+        whole = sum(map(len, msgs)) + n - 1 <= most
         while i < n:
-            j, used = i, 0
+            j, used = (n if whole else i), 0
             while j < n and (j == i or used + len(msgs[j]) + 1 <= most):
                 used += len(msgs[j]) + 1
                 j += 1
@@ -122,10 +130,10 @@ def chunks(turn_rows: DataFrame, most: int = 30_000, overlap: float = 0.15, cut:
             if j >= n:
                 break
             back, k = 0, j
-            while k - 1 > i and back + len(msgs[k - 1]) + 1 <= most * overlap:
-                back += len(msgs[k - 1]) + 1
+            while k > i and back < int(most * overlap):
                 k -= 1
-            i = k
+                back += len(msgs[k]) + 1
+            i = k if k > i else j
         return pd.DataFrame(out, columns=["session", "chunk", "first_line", "last_line", "text"])
 
     return turn_rows.select("session", "line_no", "role", "text").groupBy("session").applyInPandas(walk, "session string, chunk long, first_line long, last_line long, text string")
