@@ -75,7 +75,7 @@ def vocabulary(spark, d):
 
 @query("s22_export_markdown", "SELECT category, '## ' || category || chr(10) || string_agg('- ' || substr(text, 1, 40), chr(10) ORDER BY id) AS block FROM items WHERE NOT deprecated GROUP BY category")
 def export(spark, d):
-    return files.export_markdown(B.items(spark, d).where("not deprecated").select("id", "category", F.substring("text", 1, 40).alias("text")))
+    return files.export_markdown(B.items(spark, d).where("not deprecated").select("id", "category", "text"))
 
 
 @query("s26_t05_log_page", "SELECT event_id AS id, event_type FROM log WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 20 OFFSET 40")
@@ -268,7 +268,7 @@ def backfill(spark, d):
 @query("j20_log_texts", "SELECT event_id AS id, 0::INT AS pos, l.item_id, coalesce(substr(i.text, 1, 20), '<deleted>') AS text FROM log l LEFT JOIN items i ON i.id = l.item_id AND NOT i.deprecated")
 def log_texts(spark, d):
     log = B.log(spark, d).select(F.col("event_id").alias("id"), F.array("item_id").alias("item_ids"))
-    live = B.items(spark, d).where("not deprecated").select("id", F.substring("text", 1, 20).alias("text"))
+    live = B.items(spark, d).where("not deprecated").select("id", "text")
     return M.log_texts(log, live).select("id", "pos", "item_id", "text")
 
 
