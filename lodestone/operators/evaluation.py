@@ -132,8 +132,14 @@ def yield_by(results: DataFrame, by: str) -> DataFrame:
     return results.groupBy(by).agg(F.avg(F.coalesce(F.col("positive") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0))).alias("mean_ratio"), (F.sum("positive") / F.sum("total")).alias("pooled"), F.count(F.lit(1)).alias("n_sessions"))
 
 
-def similarity_summary(pairs: DataFrame, least: float) -> DataFrame:
-    return pairs.agg(F.avg("similarity").alias("mean_sim"), F.max("similarity").alias("max_sim"), F.count_if(F.col("similarity") >= least).alias("n_above"))
+def similarity_summary(parts: DataFrame) -> DataFrame:
+    """mean_sim, max_sim, n_above of the parts that search.pair_parts() gives."""
+    return parts.agg((F.sum("total") / F.sum("n")).alias("mean_sim"), F.max("top").alias("max_sim"), F.coalesce(F.sum("n_above"), F.lit(0)).alias("n_above"))
+
+
+def top_pairs(parts: DataFrame, k: int = 10) -> DataFrame:
+    """a, b, similarity: the k best pairs of the parts."""
+    return parts.select(F.inline("best")).orderBy(F.desc("similarity"), "a", "b").limit(k)
 
 
 def reduction(groups: DataFrame) -> DataFrame:

@@ -47,9 +47,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 20
     The query set is taken in blocks of at most ``block`` rows, each a matrix that goes to all
     tasks; a task keeps k rows per query, and one small shuffle picks the k best of all.
     """
-    spark = vectors.sparkSession
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-    out = None
 
     def scan(shared):
         def run(batches):
@@ -59,8 +57,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 20
                 ids = t.column("id").to_numpy(zero_copy_only=False)
                 if not len(ids):
                     continue
-                e = np.stack([np.asarray(x, np.float64) for x in t.column("embedding").to_pylist()])
-                e = e / (np.sqrt((e * e).sum(1, keepdims=True)) + 1e-10)
+                e = _unit(t.column("embedding").to_pylist())
                 s = np.concatenate([best_s, m @ e.T], 1)
                 i = np.concatenate([best_i, np.tile(ids, (len(ids_q), 1))], 1)
                 order = np.stack([np.lexsort((i[r], -np.round(s[r], 9)))[:k] for r in range(len(ids_q))])
@@ -70,6 +67,80 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 20
 
         return run
 
+    return top_k(_scanned(vectors, queries, scan, "query_id long, id long, score double", block), k)
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, block: int = 2000, rows: int = 250) -> DataFrame:
+    """query_id, id, score: the cosine of every query with every vector, in the blocks of nearest().
+
+    A task streams its vectors, ``rows`` at a time against the block; nothing is ranked, capped or shuffled.
+    """
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def scan(shared):
+        def run(batches):
+            ids_q, m = shared.value
+            for t in _slices(batches, rows):
+                ids = t.column("id").to_numpy(zero_copy_only=False)
+                s = m @ _unit(t.column("embedding").to_pylist()).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids_q, len(ids))), pa.array(np.tile(ids, len(ids_q))), pa.array(s.ravel())], schema=schema)
+
+        return run
+
+    return _scanned(vectors, queries, scan, "query_id long, id long, score double", block)
+
+
+def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int = 2000, rows: int = 500) -> DataFrame:
+    """Parts of the distribution over all pairs a < b: a row of n, total, top and n_above per block and
+    task, and with it the task's k best pairs from least on as best array<struct<a, b, similarity>>.
+
+    Similarities count as rounded to nine digits.
+    """
+    schema = pa.schema([("n", pa.int64()), ("total", pa.float64()), ("top", pa.float64()), ("n_above", pa.int64()), ("best", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])))])
+
+    def scan(shared):
+        def run(batches):
+            ids_a, m = shared.value
+            n, total, top, above, best = 0, 0.0, None, 0, []
+            for t in _slices(batches, rows):
+                ids = t.column("id").to_numpy(zero_copy_only=False)
+                upper = ids_a[:, None] < ids[None, :]
+                s = np.round(m @ _unit(t.column("embedding").to_pylist()).T, 9)[upper]
+                if not len(s):
+                    continue
+                n, total, above = n + len(s), total + float(s.sum()), above + int((s >= least).sum())
+                top = float(s.max()) if top is None else max(top, float(s.max()))
+                bar = max(least, best[-1][0] * -1 if len(best) == k else least, np.partition(s, -k)[-k] if len(s) > k else least)
+                if top >= bar:
+                    at, (i, j) = np.nonzero(s >= bar)[0], np.nonzero(upper)
+                    a, b, near = ids_a[i[at]], ids[j[at]], s[at]
+                    first = np.lexsort((b, a, -near))[:k]
+                    best = sorted([*best, *zip((-near[first]).tolist(), a[first].tolist(), b[first].tolist(), strict=True)])[:k]
+            if n:
+                yield pa.RecordBatch.from_pylist([{"n": n, "total": total, "top": top, "n_above": above, "best": [{"a": a, "b": b, "similarity": -s} for s, a, b in best]}], schema=schema)
+
+        return run
+
+    own = vectors.select(F.col("id").alias("query_id"), "embedding")
+    return _scanned(vectors, own, scan, "n long, total double, top double, n_above long, best array<struct<a:long,b:long,similarity:double>>", block)
+
+
+def _unit(embeddings: list) -> np.ndarray:
+    e = np.array(embeddings, np.float64)
+    return e / (np.sqrt((e * e).sum(1, keepdims=True)) + 1e-10)
+
+
+def _slices(batches, rows: int):
+    for t in batches:
+        for i in range(0, t.num_rows, rows):
+            yield t.slice(i, rows)
+
+
+def _scanned(vectors: DataFrame, queries: DataFrame, scan, schema: str, block: int) -> DataFrame:
+    """Union of scan(broadcast of ids and unit vectors) over vectors, for blocks of queries."""
+    spark = vectors.sparkSession
+    out = None
+
     def blocks():
         held = []
         for r in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
@@ -82,14 +153,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 20
 
     slim = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding")
     for rows in blocks():
-        m = np.array([r.embedding for r in rows], np.float64)
-        m = m / (np.sqrt((m * m).sum(1, keepdims=True)) + 1e-10)
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), m))
-        part = slim.mapInArrow(scan(shared), "query_id long, id long, score double")
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), _unit([r.embedding for r in rows])))
+        part = slim.mapInArrow(scan(shared), schema)
         out = part if out is None else out.unionAll(part)
     if out is None:
-        out = spark.createDataFrame([], "query_id long, id long, score double")
-    return top_k(out, k)
+        out = spark.createDataFrame([], schema)
+    return out
 
 
 def rescope(ranked: DataFrame, items: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def scope(spark, d):
 SELECT query_id, id, round(CASE WHEN s <= 0.2 THEN 0 ELSE least(pow((s - 0.2) / 0.8, 2), 1) END, 6) AS weight, round(CASE WHEN s <= 0.2 THEN 0 ELSE least(pow((s - 0.2) / (0.8 - 0.2), 2), 1) END, 6) AS plateau, round(s, 6) AS sim FROM x""")
 def attribution(spark, d):
     q = B.question_vectors(spark, d)
-    got = S.nearest(B.vectors(spark, d), q, 1 << 20).select("query_id", "id", ((F.col("score") + 1) / 2).alias("s"))
+    got = S.similarities(B.vectors(spark, d), q).select("query_id", "id", ((F.col("score") + 1) / 2).alias("s"))
     return got.select("query_id", "id", F.round(T.attribution("s"), 6).alias("weight"), F.round(T.attribution("s", ceiling=0.8), 6).alias("plateau"), F.round("s", 6).alias("sim"))
 
 

@@ -222,8 +222,13 @@ def tiers(spark, d):
 
 @query("a28_similarity_summary", "c AS (SELECT round(list_inner_product(a.e, b.e) / (a.norm * b.norm), 9) AS s FROM questions p JOIN vn a ON a.id = p.query_id, vn b WHERE a.id <> b.id) SELECT round(avg(s), 6) AS mean_sim, round(max(s), 6) AS max_sim, count(*) FILTER (s >= 0.3)::BIGINT AS n_above FROM c")
 def distribution(spark, d):
-    n = S.nearest(B.vectors(spark, d), B.question_vectors(spark, d), 1 << 20).where("id <> query_id").select(F.round("score", 9).alias("similarity"))
-    return E.similarity_summary(n, 0.3).withColumn("mean_sim", F.round("mean_sim", 6)).withColumn("max_sim", F.round("max_sim", 6))
+    """Over all pairs a < b of vectors."""
+    return E.similarity_summary(S.pair_parts(B.vectors(spark, d), 0.3)).withColumn("mean_sim", F.round("mean_sim", 6)).withColumn("max_sim", F.round("max_sim", 6))
+
+
+@query("a28_top_pairs")
+def top_pairs(spark, d):
+    return E.top_pairs(S.pair_parts(B.vectors(spark, d), 0.3), 10).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("a29_reduction")
