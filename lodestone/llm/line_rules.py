@@ -89,7 +89,7 @@ _PROFILE = "doc_id long, host string, n_words long, word_chars long, n_symbols l
 
 def frequent_lines(profiles: DataFrame, max_docs: int) -> DataFrame:
     """(host, line, n_docs) of lines that more than max_docs documents of a host hold."""
-    per_doc = profiles.select("host", "doc_id", F.explode("lines").alias("line"))
+    per_doc = profiles.select("host", "doc_id", F.explode("lines").alias("line")).distinct()
     return per_doc.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
