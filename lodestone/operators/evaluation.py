@@ -1,4 +1,4 @@
-"""Reports over results, verdicts and labels."""
+"""Reports over results, verdicts and labels (A10-A31 but A22, E07-E16 but E10-E12, W03-W09, T10, T11)."""
 
 from __future__ import annotations
 

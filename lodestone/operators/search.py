@@ -1,4 +1,4 @@
-"""Hybrid retrieval for a whole set of queries at once: BM25, vectors, rank fusion and priors.
+"""Hybrid retrieval for a whole set of queries at once: BM25, vectors, rank fusion and priors (R01-R32 but R09 and R23-R26, T01-T04).
 
 Every function takes and returns DataFrames keyed by query_id and id, so a query set is one plan.
 Ties are broken by score rounded to nine digits, then id.
