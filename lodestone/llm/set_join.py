@@ -9,7 +9,8 @@
    Larger groups give only edges to their least class.
 4. Components of these candidate edges are the places where links can be. The sets of a component
    are shipped once, in blocks, and joined there: an inverted index whose lists are ordered by set
-   size is probed from the first entry that is large enough, and the counts of a set that is close
+   size gives counts, of which those from the first set that is large enough are read; whole lists
+   are added, without skipping inside them. The counts of a set that is close
    to the one before it are derived from that one's counts by the tokens in which they differ.
 5. Blocks report a spanning forest and link counts, so links within a group of near copies are
    found without being listed.
