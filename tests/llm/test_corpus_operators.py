@@ -281,17 +281,26 @@ def mutated(r, n, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("k", [1, 2, 3])
-def test_edit_join_equals_brute_force(spark, k):
+@pytest.mark.parametrize("k,block", [(1, 64), (2, 64), (3, 64), (2, 3)])
+def test_edit_join_equals_brute_force(spark, k, block):
     from pyspark.sql import functions as F
 
     lines = mutated(random.Random(6), 20, 26)
-    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string").withColumn("bag", line_dedup.letter_bag(F.col("line")))
-    got = {(x.a, x.b) for x in line_dedup.near_pairs(df, k).collect()}
-    want = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if abs(len(lines[i]) - len(lines[j])) <= k and edits(lines[i], lines[j]) <= k}
+    df = spark.createDataFrame(list(enumerate(lines)), "place long, line string").withColumn("place", F.col("place").cast("decimal(38,0)"))
+    got = {int(x.place) for x in line_dedup.late_lines(df, k, block).collect()}
+    want = {j for j in range(len(lines)) if any(abs(len(lines[i]) - len(lines[j])) <= k and edits(lines[i], lines[j]) <= k for i in range(j))}
     assert got == want
 
 
+def test_bands_equal_edit_distance(spark):
+    from pyspark.sql import functions as F
+
+    lines = mutated(random.Random(8), 6, 22)
+    pairs = [(a, b, edits(a, b) <= 2) for a in lines for b in lines]
+    got = spark.createDataFrame(pairs, "a string, b string, near boolean").select("near", line_dedup.within(F.col("a"), F.col("b"), 2).alias("w")).collect()
+    assert all(x.near == x.w for x in got)
+
+
 def test_line_dedup_judges_lines_on_the_input(spark):
     r = random.Random(7)
     pool = [x.strip() for x in mutated(r, 8, 24)] + ["short", ""]
@@ -301,11 +310,12 @@ def test_line_dedup_judges_lines_on_the_input(spark):
     for i, t, *_ in rows:
         for n, x in enumerate((t or "").split("\n")):
             x = x.strip(" ")
-            if len(x) >= 20:
+            if x:
                 first.setdefault(x, (i, n))
-    late = {x for x in first for y in first if x != y and first[y] < first[x] and edits(x, y) <= 2}
+    long = [x for x in first if len(x) >= 20]
+    late = {x for x in long for y in long if x != y and first[y] < first[x] and edits(x, y) <= 2}
     for i, t, *_ in rows:
-        want = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if len(x.strip(" ")) < 20 or (first[x.strip(" ")] == (i, n) and x.strip(" ") not in late))
+        want = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not x.strip(" ") or (first[x.strip(" ")] == (i, n) and x.strip(" ") not in late))
         assert got[i] == want
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
