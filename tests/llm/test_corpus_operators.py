@@ -191,8 +191,52 @@ def test_rollup_is_idempotent_and_compacts(spark, docs, tmp_path):
     assert before[(None, "words@1")] == (sum(s is None for s, _ in texts), sum(len(words(t)) for s, t in texts if s is None))
     assert before[("s1", "words@1")] == (0, 0) and before[("s0", "words@1")] == (0, 0)
     r.apply(4, token_rollup.inserts(one.limit(0)))
-    r.compact(4)
-    assert get() == before and list(r.committed()) == [4]
+    r.compact()
+    assert get() == before and r.committed() == {1, 2, 3, 4}
+    # batches delivered again after a compaction, and one that is new
+    assert not r.apply(1, token_rollup.inserts(one)) and not r.apply(3, token_rollup.inserts(one)) and get() == before
+    assert r.apply(5, token_rollup.inserts(one.where("source = 's1'")))
+    n = get()[("s1", "words@1")]
+    assert n == (sum(s == "s1" for s, _ in texts), sum(len(words(t)) for s, t in texts if s == "s1"))
+    r.compact()
+    assert get()[("s1", "words@1")] == n and not r.apply(5, token_rollup.inserts(one)) and r.committed() == {1, 2, 3, 4, 5}
+
+
+def test_rollup_survives_a_compaction_that_dies(spark, docs, tmp_path):
+    r = token_rollup.Rollup(spark, f"file://{tmp_path}/roll")
+    one = token_rollup.inserts(token_rollup.counted(docs, "words@1"))
+    assert r.apply(1, one) and r.apply(2, one.limit(0))
+    total = lambda: sorted((str(x.source), x.n_docs, x.n_tokens) for x in r.totals().collect())
+    before = total()
+
+    class Died(Exception):
+        pass
+
+    def die(*_):
+        raise Died
+
+    class Files:
+        def __init__(self, fs, **instead):
+            self.fs, self.instead = fs, instead
+
+        def __getattr__(self, name):
+            return self.instead.get(name) or getattr(self.fs, name)
+
+    whole = r._fs
+    for method in ("rename", "delete"):  # before the new marker, and before the old ones go
+        r._fs = Files(whole, **{method: die})
+        with pytest.raises(Died):
+            r.compact()
+        r._fs = whole
+        assert total() == before and r.committed() == {1, 2} and not r.apply(1, one)
+    r.compact()
+    assert total() == before and r.committed() == {1, 2}
+
+
+def test_rollup_texts_by_group_counts_rows_before_the_join(spark):
+    rows = [(None, "a b", None, "s"), (3, "a b", "en", "s"), (3, "a b", "en", "s"), (1, "x #", "en", "t"), (2, None, "en", "t")]
+    got = sorted((x.lang or "", x.source, x.copies, x.old, x.new, x.lead) for x in token_rollup.texts_by_group(spark.createDataFrame([(i, t, g, s) for i, t, g, s in rows], DOC)).collect())
+    assert got == [("", "s", 1, 2, None, True), ("en", "s", 2, 2, None, False), ("en", "t", 1, 2, 2, True)]
 
 
 # --- 5 -------------------------------------------------------------------------------------------
