@@ -1,31 +1,33 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Labelled documents are the examples. Terms are whole lower-case words and the prefixes of words
-(4 to 6 letters, so that compounds of one stem meet); those that stand in toxic examples beyond
-chance, and mostly there, form the vocabulary. An example is its unit TF-IDF vector
-over that vocabulary. Examples that carry no vocabulary term are alike for every query; they are
-kept as one class of their own with its observed rate.
-
-The index keeps, for each term, the examples that hold it and the largest weight within each
-block of examples. For a query, block bounds come first (query weight times block maximum, summed
-over its terms), blocks are scored exactly in descending order of bound, and the search ends when
-the next bound cannot beat the k-th best: the result is the exact top k. Votes are weighted by
-cosine, and a table fitted on held-in examples by leaving each one out maps the vote to the
-observed rate of toxic labels.
-
-The number of examples is bounded by ``max_examples`` (by hash of doc_id over all held-in labels,
-so the model and what each task loads stay the same at any input size); every document is scored.
-
-Defined cases: a null or empty text has no terms and gets the rate of that class; documents
-without label are scored alike; null labels are ignored; a doc_id with several labels is an
-example once, toxic if any label says so; without any example the score is 0; null doc_id is
-scored with held_out false; other columns are ignored.
+Labelled documents are the examples; all of them are in the index. Terms are whole lower-case words
+and the prefixes of words (4 and 6 letters, so that compounds of one stem meet). Every term that two
+examples hold is in the vocabulary. Its weight in a text is sublinear TF times IDF times relevance
+frequency, log2(2 + a / max(1, c)) for a toxic and c other examples that hold it: a factor of 1 for
+filler, which grows smoothly for terms that toxic examples favour. Vectors have length 1.
+
+The index is a list of examples by term. Lists of terms that more than one in eight examples hold
+carry the largest weight within each block of examples. For a query the short lists are added up
+first; a block's bound is its largest sum so far plus query weight times block maximum over the long
+lists. Blocks are scored exactly in descending order of bound, and the search ends when the next
+bound cannot reach the k-th best: the result is the exact top k. Votes are weighted by cosine, and a
+table fitted on the examples by leaving each one out maps the vote to the observed rate of toxic
+labels. The neighbours' doc_ids, cosines and labels are the evidence.
+
+The number of examples is bounded by ``max_examples`` (by hash of doc_id over all held-in labels)
+and what the driver holds of one by ``max_terms`` (the most frequent first), so the model and what
+each task loads stay the same at any input size; every document is scored, over all its words.
+
+Defined cases: a null or empty text, or one without a term of the vocabulary, has no neighbour and
+gets the rate of the examples without neighbours; documents without label are scored alike; null
+labels are ignored; a doc_id with several labels is toxic if any label says so; of rows that repeat
+a labelled doc_id the one whose text has the least hash is the example; an empty table gives an
+empty result; without any example the score is 0; a null doc_id is scored with held_out false;
+other columns are ignored. Ties of cosine go to the example that comes first in the index.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
 import re
 import zlib
 from collections import Counter
@@ -33,6 +35,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,135 +45,199 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 
 
-def terms(text: str | None) -> Counter:
-    """Term counts of a whole text."""
-    out: Counter = Counter()
-    if not text:
-        return out
-    for w, n in Counter(_LETTERS.findall(text.lower())).items():
-        out["=" + w] += n
-        for k in (4, 5, 6):
-            if len(w) > k:
-                out[w[:k]] += n
-    return out
+def word_terms(w: str) -> list[int]:
+    """Signed 64-bit hashes of a lower-case word's terms."""
+    names = ["=" + w, *(w[:k] for k in (4, 6) if len(w) > k)]
+    hashes = (xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in names)
+    return [h - (1 << 64) if h >> 63 else h for h in hashes]
+
+
+def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct term hashes of a whole text and their counts."""
+    ids: list[int] = []
+    times: list[int] = []
+    for w, n in Counter(_LETTERS.findall((text or "").lower())).items():
+        t = word_terms(w)
+        ids += t
+        times += [n] * len(t)
+    return _summed(np.array(ids, np.int64), np.array(times, np.int64))
+
+
+def _summed(ids: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, at = np.unique(ids, return_inverse=True)
+    return distinct, np.bincount(at, weights=times, minlength=len(distinct)).astype(np.int64)
+
+
+Example = tuple[int, np.ndarray, np.ndarray, int]  # doc_id, term hashes, counts, label
 
 
 class Neighbours:
     """Block-max inverted index over labelled examples."""
 
-    def __init__(self, examples: list[tuple[Counter, int]], k: int = 15, least_z: float = 5.0, least_df: int = 4, least_precision: float = 0.8, most_terms: int = 4000):
+    def __init__(self, examples: list[Example], k: int = 15, least_df: int = 2, long_share: float = 1 / 8):
         self.k = k
-        n = len(examples)
-        n1 = sum(y for _, y in examples)
-        self.prior = n1 / n if n else 0.0
-        df, df1 = Counter(), Counter()
-        for c, y in examples:
-            df.update(c.keys())
-            if y:
-                df1.update(c.keys())
-        scored = []
-        for t, d in df.items():
-            if d >= least_df and 0 < n1 < n:
-                e = d * self.prior
-                z = (df1[t] - e) / math.sqrt(e * (1 - self.prior) + 1e-9)
-                if z >= least_z and df1[t] >= least_df and df1[t] >= least_precision * d:
-                    scored.append((-z, t))
-        chosen = [t for _, t in heapq.nsmallest(most_terms, scored)]
-        self.idf = {t: math.log((1 + n) / (1 + df[t])) + 1 for t in chosen}
-        self.terms = {t: i for i, t in enumerate(chosen)}
-        held, labels, bare = [], [], [0, 0]
-        for c, y in examples:
-            v = self.vector(c)
-            if v:
-                held.append(v)
-                labels.append(y)
-            else:
-                bare[0] += 1
-                bare[1] += y
-        self.bare = (bare[1] + self.prior) / (bare[0] + 1)
-        order = sorted(range(len(held)), key=lambda i: (max(held[i], key=lambda t: (held[i][t], -t)), i))
+        self.n = n = len(examples)
+        labels = np.array([y for *_, y in examples], np.int64)
+        self.prior = float(labels.mean()) if n else 0.0
+        flat = np.concatenate([t for _, t, _, _ in examples]) if n else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(n), [len(t) for _, t, _, _ in examples])
+        self.vocabulary, at = np.unique(flat, return_inverse=True)
+        df = np.bincount(at, minlength=len(self.vocabulary))
+        toxic = np.bincount(at, weights=labels[owner], minlength=len(self.vocabulary))
+        self.weight = np.log((1 + n) / (1 + df)) * np.log2(2 + toxic / np.maximum(1, df - toxic))
+        chosen = df >= least_df
+        self.vocabulary, self.weight = self.vocabulary[chosen], self.weight[chosen]
+        self._place = {h: i for i, h in enumerate(self.vocabulary.tolist())}
+        self._memo: dict[str, tuple[int, ...]] = {}
+        held = [self.vector(t, c) for _, t, c, _ in examples]
+        # examples that share their heaviest term stand together, so that blocks differ in their maxima
+        heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in held]
+        order = sorted(range(n), key=lambda i: (heaviest[i], i))
         held = [held[i] for i in order]
-        self.labels = np.array([labels[i] for i in order], np.int8)
-        self.n_blocks = -(-len(held) // BLOCK)
-        posts: dict[int, list[tuple[int, float]]] = {}
-        for i, v in enumerate(held):
-            for t, w in v.items():
-                posts.setdefault(t, []).append((i, w))
-        self.posts = {t: (np.array([i for i, _ in p], np.int32), np.array([w for _, w in p])) for t, p in posts.items()}
-        self.bound = {}
-        for t, (i, w) in self.posts.items():
-            m = np.zeros(self.n_blocks)
-            np.maximum.at(m, i // BLOCK, w)
-            self.bound[t] = m
-        # by block, so that a block is scored from its own slice of a posting list
-        self.at = {t: np.searchsorted(i, np.arange(self.n_blocks + 1) * BLOCK) for t, (i, _) in self.posts.items()}
-        self.cut, self.rate = [0.0], [self.prior]
+        self.labels = labels[order].astype(np.int8)
+        self.doc_ids = np.array([examples[i][0] for i in order], np.int64)
+        self.n_blocks = -(-n // BLOCK)
+        sizes = [len(t) for t, _ in held]
+        term = np.concatenate([t for t, _ in held]) if n else np.zeros(0, np.int64)
+        value = np.concatenate([w for _, w in held]) if n else np.zeros(0)
+        example = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        by_term = np.argsort(term, kind="stable")
+        self.starts = np.searchsorted(term[by_term], np.arange(len(self.vocabulary) + 1))
+        self.lists, self.values = example[by_term], value[by_term].astype(np.float32)
+        long = np.flatnonzero(np.diff(self.starts) > long_share * n)
+        self.long = np.full(len(self.vocabulary), -1, np.int32)
+        self.long[long] = np.arange(len(long))
+        rows_ = np.zeros((len(long), self.n_blocks * BLOCK), np.float32)
+        for r, t in enumerate(long):
+            lo, hi = self.starts[t], self.starts[t + 1]
+            rows_[r, self.lists[lo:hi]] = self.values[lo:hi]
+        rows_ = rows_.reshape(len(long), self.n_blocks, BLOCK)
+        self.bounds = rows_.max(2)
+        self.rows = np.ascontiguousarray(rows_.transpose(1, 0, 2))  # block, long list, example
+        self.scored = 0  # blocks scored so far
         self._calibrate(held)
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        v = {self.terms[t]: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.terms}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()}
-
-    def top(self, v: dict[int, float], without: int = -1) -> list[tuple[float, int]]:
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("_place", "_memo")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._place, self._memo = {h: i for i, h in enumerate(self.vocabulary.tolist())}, {}
+
+    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vocabulary places and weights of a unit vector from sorted distinct term hashes."""
+        if not len(self.vocabulary):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == hashes
+        return self._unit(at[known], counts[known])
+
+    def _unit(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weight[at]
+        norm = np.sqrt((w * w).sum())
+        return (at, w / norm) if norm > 0 else (at[:0], w[:0])
+
+    def vector_of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The same from a whole text, with a bounded memo of words."""
+        memo, place = self._memo, self._place
+        if len(memo) > 100_000:
+            memo.clear()
+        ids: list[int] = []
+        times: list[int] = []
+        for w, n in Counter(_LETTERS.findall((text or "").lower())).items():
+            t = memo.get(w)
+            if t is None:
+                t = memo[w] = tuple(place[h] for h in word_terms(w) if h in place)
+            if t:
+                ids += t
+                times += [n] * len(t)
+        return self._unit(*_summed(np.array(ids, np.int64), np.array(times, np.int64)))
+
+    def top(self, v: tuple[np.ndarray, np.ndarray], without: int = -1) -> list[tuple[float, int]]:
         """Exact k nearest examples by cosine, ties by example number."""
-        bound = np.zeros(self.n_blocks)
-        for t, w in v.items():
-            if t in self.bound:
-                bound += w * self.bound[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == self.k and bound[b] + 1e-12 < best[0][0]:
+        t, w = v
+        if not len(t) or not self.n:
+            return []
+        row = self.long[t]
+        short = row < 0
+        lo = self.starts[t[short]]
+        size = self.starts[t[short] + 1] - lo
+        entry = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+        sums = np.bincount(self.lists[entry], weights=self.values[entry] * np.repeat(w[short], size), minlength=self.n_blocks * BLOCK)
+        if without >= 0:
+            sums[without] = -2.0
+        sums = sums.reshape(self.n_blocks, BLOCK)
+        asked = np.zeros(len(self.bounds), np.float32)
+        asked[row[~short]] = w[~short]
+        bound = sums.max(1) + asked @ self.bounds
+        order = np.argsort(-bound, kind="stable")
+        found_at, found = np.zeros(0, np.int64), np.zeros(0)
+        step, i = 4, 0
+        while i < len(order):
+            least = np.partition(found, len(found) - self.k)[len(found) - self.k] if len(found) >= self.k else 0.0
+            now = order[i : i + step]
+            now = now[bound[now] + 1e-6 >= least]
+            if not len(now):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in v.items():
-                if t in self.posts and self.bound[t][b] > 0:
-                    lo, hi = self.at[t][b], self.at[t][b + 1]
-                    i, x = self.posts[t]
-                    score[i[lo:hi] - b * BLOCK] += w * x[lo:hi]
-            for j in np.nonzero(score)[0]:
-                i = int(b) * BLOCK + int(j)
-                if i != without:
-                    item = (float(score[j]), -i)
-                    if len(best) < self.k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-        return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
+            self.scored += len(now)
+            cols = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            score = np.concatenate([sums[b] + asked @ self.rows[b] for b in now.tolist()])
+            found_at, found = np.concatenate([found_at, cols]), np.concatenate([found, score])
+            i += step
+            step *= 2
+        some = found > 0
+        found_at, found = found_at[some], found[some]
+        best = np.lexsort((found_at, -found))[: self.k]
+        return list(zip(found[best].tolist(), found_at[best].tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(s for s, _ in near)
-        return (sum(s * self.labels[i] for s, i in near) + self.prior * 0.1) / (total + 0.1)
-
-    def _calibrate(self, held: list[dict[int, float]]) -> None:
-        """Isotonic fit of label on leave-one-out vote."""
-        pairs = sorted((self.vote(self.top(v, i)), int(self.labels[i])) for i, v in enumerate(held))
-        pools: list[list[float]] = []
-        for x, y in pairs:
-            pools.append([x, y, 1])
-            while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-                x1, y1, n1 = pools.pop()
-                pools[-1] = [max(pools[-1][0], x1), pools[-1][1] + y1, pools[-1][2] + n1]
+        return (sum(s * int(self.labels[i]) for s, i in near) + self.prior * 0.1) / (total + 0.1)
+
+    def _calibrate(self, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Isotonic fit of label on leave-one-out vote, and the rate of examples without neighbours."""
+        self.cut, self.rate, self.bare = [0.0], [self.prior], self.prior
+        pairs, bare = [], []
+        for i, v in enumerate(held):
+            near = self.top(v, i)
+            if near:
+                pairs.append((self.vote(near), int(self.labels[i])))
+            else:
+                bare.append(int(self.labels[i]))
+        self.bare = (sum(bare) + self.prior) / (len(bare) + 1)
+        pools = isotonic(pairs)
         if pools:
-            self.cut, self.rate = [p[0] for p in pools], [(p[1] + self.prior) / (p[2] + 1) for p in pools]
+            self.cut = [x for x, _, _ in pools]
+            self.rate = [(y + self.prior) / (m + 1) for _, y, m in pools]
+        self.scored = 0
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        v = self.vector(terms(text))
-        if not v:
+        near = self.top(self.vector_of(text))
+        if not near:
             return self.bare, []
-        near = self.top(v)
         vote = self.vote(near)
         rate = float(np.interp(vote, self.cut, self.rate))
         # the vote itself orders documents within a pool
         return min(1.0, max(0.0, 0.95 * rate + 0.05 * vote)), near
 
 
+def isotonic(pairs: list[tuple[float, int]]) -> list[tuple[float, float, int]]:
+    """(mean vote, sum of labels, size) of the pools of the least-squares monotone fit of label on vote."""
+    pools: list[list[float]] = []
+    for x, y in sorted(pairs):
+        pools.append([x, y, 1])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            x1, y1, n1 = pools.pop()
+            pools[-1] = [pools[-1][0] + x1, pools[-1][1] + y1, pools[-1][2] + n1]
+    return [(x / m, y, int(m)) for x, y, m in pools]
+
+
 def held_out(doc_id):
     """crc32 of the decimal id, remainder 0 by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def examples(docs: DataFrame, labels: DataFrame, label: str, max_examples: int) -> list[tuple[Counter, int]]:
+def examples(docs: DataFrame, labels: DataFrame, label: str, max_examples: int, max_terms: int) -> list[Example]:
     """At most max_examples held-in examples, the smallest by hash of doc_id, in that order.
 
     The sample is drawn on ids alone; then only its texts are read.
@@ -179,48 +246,54 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, max_examples: int)
     y = y.groupBy("l_id").agg(F.max("y").alias("y")).where(~held_out("l_id"))
     drawn = y.withColumn("h", F.xxhash64(F.lit(7), "l_id")).orderBy("h", "l_id").limit(max_examples)
     ids = F.broadcast(drawn)  # max_examples rows at most
-    got = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("l_id")).select("h", "doc_id", "y", "text")
+    text = F.col("text").cast("string")
+    got = docs.select("doc_id", text.alias("text")).join(ids, F.col("doc_id") == F.col("l_id")).select("h", "l_id", "y", "text")
 
     def shrink(batches):
-        schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("y", pa.int32()), ("t", pa.list_(pa.string())), ("n", pa.list_(pa.int32()))])
+        schema = pa.schema([("h", pa.int64()), ("l_id", pa.int64()), ("y", pa.int32()), ("x", pa.int64()), ("t", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 
         def made():
-            for h, d, yy, text in rows(batches, "h", "doc_id", "y", "text"):
-                c = terms(text)
-                yield h, d, yy, list(c.keys()), list(c.values())
+            for h, d, yy, text in rows(batches, "h", "l_id", "y", "text"):
+                t, n = terms(text)
+                keep = np.sort(np.lexsort((t, -n))[:max_terms])
+                yield h, d, yy, xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1, t[keep], n[keep]
 
-        yield from chunked(made(), schema, 500)
+        yield from chunked(made(), schema, 200)
 
-    out = {}
-    for r in got.mapInArrow(shrink, "h long, doc_id long, y int, t array<string>, n array<int>").toLocalIterator():
-        c = Counter(dict(zip(r.t, r.n, strict=True)))
-        out[(r.h, r.doc_id, tuple(sorted(c.items())) if (r.h, r.doc_id) in out else ())] = (c, r.y)
-    return [out[k] for k in sorted(out)]
+    shrunk = got.mapInArrow(shrink, "h long, l_id long, y int, x long, t array<long>, n array<long>")
+    one = shrunk.groupBy("h", "l_id").agg(F.min_by(F.struct("y", "t", "n"), "x").alias("e")).select("h", "l_id", "e.*").toArrow()
+    order = np.lexsort((one.column("l_id").to_numpy(), one.column("h").to_numpy()))
+    one = one.take(pa.array(order)).combine_chunks()
+    ids_, ys = one.column("l_id").to_pylist(), one.column("y").to_pylist()
+    return [(i, t.values.to_numpy(), n.values.to_numpy(), yy) for i, t, n, yy in zip(ids_, one.column("t"), one.column("n"), ys, strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 4000, **settings) -> Neighbours:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 4000, max_terms: int = 3000, **settings) -> Neighbours:
     """The index over held-in labelled rows, at most max_examples of them."""
-    return Neighbours(examples(docs, labels, label, max_examples), **settings)
+    return Neighbours(examples(docs, labels, label, max_examples, max_terms), **settings)
+
+
+_SCORED = "doc_id long, score double, neighbours array<struct<doc_id: long, cosine: double, label: int>>"
 
 
 def score_documents(docs: DataFrame, model: Neighbours) -> DataFrame:
-    """doc_id, score, n_neighbours and best_cosine of every row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    """doc_id, score and neighbours (doc_id, cosine, label; nearest first) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("neighbours", near_type)])
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_neighbours", pa.int64()), ("best_cosine", pa.float64())])
         m = shared.value
 
         def made():
             for d, text in rows(batches, "doc_id", "text"):
                 s, near = m.score(text)
-                yield d, s, len(near), near[0][0] if near else 0.0
+                yield d, s, [{"doc_id": int(m.doc_ids[i]), "cosine": c, "label": int(m.labels[i])} for c, i in near]
 
-        yield from chunked(made(), schema)
+        yield from chunked(made(), schema, 2000)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, score double, n_neighbours long, best_cosine double")
+    return slim.mapInArrow(run, _SCORED)
 
 
 def without_toxic(docs: DataFrame, model: Neighbours, threshold: float = 0.5) -> DataFrame:
@@ -239,7 +312,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_documents(docs, fit(docs, labels))
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_neighbours", "best_cosine")
+    near = F.col("neighbours")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), near["doc_id"].alias("neighbour_ids"), F.coalesce(F.get(near, F.lit(0))["cosine"], F.lit(0.0)).alias("best_cosine"))
 
 
 def is_held_out(doc_id: int) -> bool:
