@@ -1,7 +1,8 @@
 """A compressed full-text index over word codes: BWT in a wavelet matrix, searched backward.
 
 Suffixes are sorted by their first ``depth`` symbols, which is enough for exact intervals of
-patterns up to that length. Each wavelet level is a bit vector with one popcount per 64 bits.
+patterns up to that length. Each wavelet level is a bit vector with one popcount per 64 bits. Of
+the suffix order itself only the rank of each suffix's place is kept, in 32 bits.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ class Bits:
 
 
 class FMIndex:
-    def __init__(self, text: np.ndarray, depth: int):
-        """text: codes from 0; 0 parts the segments and is searched for by no pattern."""
+    def __init__(self, text: np.ndarray, depth: int, place: np.ndarray | None = None):
+        """text: codes from 0; 0 parts the segments and is searched for by no pattern.
+
+        place: rank of each position's place, for matching statistics against earlier places.
+        """
         self.n = n = len(text)
         rank = text.astype(np.int64)
         step = 1
@@ -37,8 +41,9 @@ class FMIndex:
             after[: n - step] = rank[step:] + 1
             _, rank = np.unique(rank * (n + int(rank.max()) + 2) + after, return_inverse=True)
             step *= 2
-        self.order = np.argsort(rank, kind="stable")
-        bwt = text[self.order - 1].astype(np.int64)
+        order = np.argsort(rank, kind="stable")
+        self.place = None if place is None else place[order].astype(np.int32)
+        bwt = text[order - 1].astype(np.int64)
         size = int(text.max()) + 1 if n else 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
         self.levels = []
@@ -72,6 +77,26 @@ class FMIndex:
             live = live[hi[live] - lo[live] > alone]
         return lo, hi
 
+    def matching(self, text: np.ndarray, ends: np.ndarray, room: np.ndarray, own: np.ndarray, least: int) -> np.ndarray:
+        """Matching statistics: length of the longest match that ends at each place of ends.
+
+        A match is a run of words that the index holds at an earlier place too. text[e - l + 1] for
+        l up to room are the words before an end e, own the rank of each position's place; lengths
+        below ``least`` are given as 0. All ends are extended to the left together, a word a step.
+        """
+        n = len(ends)
+        lo, hi, length = np.zeros(n, np.int64), np.full(n, self.n, np.int64), np.zeros(n, np.int64)
+        live, l = np.flatnonzero(room >= least), 0
+        while len(live):
+            l += 1
+            lo[live], hi[live] = self.extend(text[ends[live] - l + 1], lo[live], hi[live])
+            live = live[hi[live] - lo[live] > 1]
+            if l >= least and len(live):
+                live = live[least_in(self.place, lo[live], hi[live]) < own[ends[live] - l + 1]]
+                length[live] = l
+                live = live[room[live] > l]
+        return length
+
 
 def least_in(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Least value in each non-empty interval; intervals are equal or apart."""

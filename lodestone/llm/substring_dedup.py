@@ -2,26 +2,29 @@
 
 A window is ``k`` consecutive words. Its minimiser is the first least hash of the word ``m``-grams
 in it; consecutive windows that share that very m-gram form a segment, so no segment holds a window
-twice. Equal windows have equal minimisers, so
-all places of a window lie in segments of one minimiser value, and shards by minimiser need no
-document to be searched in more than its own shards.
+twice. Equal windows have equal minimisers, so all places of a window lie in segments of one
+minimiser value, and shards by minimiser need no document to be searched in more than its own
+shards.
 
 1. Segments whose minimiser occurs once are dropped; equal segments are folded to their first
    place (all later ones repeat it from end to end).
 2. Where different segments share a minimiser, their words are brought together in shards. A shard
-   is an FM-index over word codes (wavelet matrix); all its segments are streamed through it, a
-   window at a time by backward search, and each interval's least place tells which windows start
-   earlier elsewhere.
+   is an FM-index over word codes (wavelet matrix); all its segments are streamed through it by
+   backward search, which gives matching statistics: for each word the length of the longest run
+   that ends there and stands at an earlier place too. Runs of k words and more are reported.
 3. Minimisers with more than ``most_segments`` different segments (a passage that very many
-   documents hold, in different surroundings) go another exact way: their windows are reduced to
-   least places by aggregation, which combines before the shuffle.
-4. The ranges found are gathered by document, and their words removed.
-
-Place means (doc_id, number of the first word). Windows are judged on the input.
-
-Defined cases: a null text has no words; a null doc_id comes first; rows with equal doc_id are one
-document whose ranges are united, which changes nothing for equal rows; texts of fewer than k
-words stay whole; an empty table gives an empty result; other columns are ignored.
+   documents hold, in different surroundings) go another exact way, as one of them would not fit a
+   shard: their windows are reduced to least places by aggregation, which combines before the
+   shuffle.
+4. The runs found are gathered by row, and their words removed.
+
+Place means (doc_id, hash of the text, number of the first word). Windows are judged on the input.
+
+Defined cases: a null text has no words; a null doc_id comes first (doc_ids are above
+-2**63 + 2**32); rows with equal doc_id are told apart by their texts, each loses what is repeated
+in it alone, and rows that are equal in both are one row in several copies and come back alike;
+texts of fewer than k words stay whole; an empty table gives an empty result; other columns stay as
+they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunked, discard, documents_only, mix, rolling, rows, signed, word_hashes, words, written
-from .fm_index import FMIndex, least_in
+from .fm_index import FMIndex
 
 NO_ID = -(1 << 63)
 
@@ -91,11 +94,21 @@ def segments(ws: list[str], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.
     return mv, content, start, n
 
 
-_SEG = "mv long, content long, doc long, start int, n int"
+_SEG = "mv long, content long, doc long, at long, n int"
+
+
+def _row(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two numbers that name a row: doc_id, and 31 bits of the text's hash in front of word numbers.
+
+    Where doc_id is null, further 32 bits of the hash stand for it, in front of all doc_ids.
+    """
+    h = F.xxhash64(text)
+    doc = F.when(doc_id.isNull(), F.lit(NO_ID) + F.shiftrightunsigned(h, 32)).otherwise(doc_id.cast("long"))
+    return doc, F.shiftleft(h.bitwiseAND((1 << 31) - 1), 32)
 
 
 def _segments_of(k: int, m: int):
-    schema = pa.schema([("mv", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+    schema = pa.schema([("mv", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
         held, size = [], 0
@@ -104,10 +117,10 @@ def _segments_of(k: int, m: int):
             cols = [np.concatenate([x[i] for x in held]) for i in range(len(schema))]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-        for d, text in rows(batches, "doc_id", "text"):
+        for d, r, text in rows(batches, "doc", "row", "text"):
             mv, c, start, n = segments(words(text), k, m)
             if len(mv):
-                held.append((signed(mv), signed(c), np.full(len(mv), NO_ID if d is None else d), start.astype(np.int32), n.astype(np.int32)))
+                held.append((signed(mv), signed(c), np.full(len(mv), d), r + start, n.astype(np.int32)))
                 size += len(mv)
                 if size >= 100_000:
                     yield batch()
@@ -120,134 +133,132 @@ def _segments_of(k: int, m: int):
 
 def _contents(k: int):
     """Words of the asked segments of each text."""
-    schema = pa.schema([("mv", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("words", pa.string())])
+    schema = pa.schema([("mv", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("words", pa.string())])
 
     def run(batches):
         def made():
             for text, asked in rows(batches, "text", "asked"):
                 ws = words(text)
                 for a in asked:
-                    part = ws[a["start"] : a["start"] + a["n"] + k - 1]
-                    if len(part) == a["n"] + k - 1:
-                        yield a["mv"], a["doc"], a["start"], " ".join(part)
+                    start = a["at"] & 0xFFFFFFFF
+                    yield a["mv"], a["doc"], a["at"], " ".join(ws[start : start + a["n"] + k - 1])
 
         yield from chunked(made(), schema)
 
     return run
 
 
-def repeated(doc: np.ndarray, start: np.ndarray, texts: list[list[str]], k: int) -> list[tuple[int, int]]:
-    """(segment, window) of all windows of a shard's segments that start earlier in the shard."""
+def repeated(doc: np.ndarray, at: np.ndarray, texts: list[list[str]], k: int) -> list[tuple[int, int, int]]:
+    """(segment, first word, words) of the longest runs of k words or more that stand earlier in the shard."""
     codes: dict[str, int] = {}
-    parts = [np.array([0, *(codes.setdefault(w, len(codes) + 1) for w in t)], np.int64) for t in texts]
+    parts = [np.array([0, *(codes.setdefault(w, len(codes) + 1) for w in t)], np.int32) for t in texts]
     sizes = np.array([len(p) for p in parts])
     text = np.concatenate(parts)
-    index = FMIndex(text, k)
     owner = np.repeat(np.arange(len(parts)), sizes)
     within = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) - 1
+    d, a = doc[owner], at[owner] + within
+    same = np.lexsort((a, d))
+    # equal places (copies of a row) get equal ranks
+    new = np.concatenate([[False], (d[same][1:] != d[same][:-1]) | (a[same][1:] != a[same][:-1])])
     place = np.empty(len(text), np.int64)
-    place[np.lexsort((start[owner] + within, doc[owner]))] = np.arange(len(text))
-    same = np.lexsort((start[owner] + within, doc[owner]))
-    # equal places (rows that repeat a doc_id) get equal ranks
-    new = np.concatenate([[False], (doc[owner][same][1:] != doc[owner][same][:-1]) | ((start[owner] + within)[same][1:] != (start[owner] + within)[same][:-1])])
     place[same] = np.cumsum(new)
-    first = np.flatnonzero((within >= 0) & (within <= sizes[owner] - 1 - k))
+    index = FMIndex(text, int(sizes.max()) - 1, place)
+    ends = np.flatnonzero(within >= k - 1)
     out = []
-    for i in range(0, len(first), 1 << 16):
-        at = first[i : i + (1 << 16)]
-        patterns = text[at[:, None] + np.arange(k)]
-        lo, hi = index.search(patterns, alone=1)
-        many = hi - lo > 1
-        lo, hi, at = lo[many], hi[many], at[many]
-        early = least_in(place[index.order], lo, hi) < place[at]
-        out += list(zip(owner[at[early]].tolist(), within[at[early]].tolist(), strict=True))
+    for i in range(0, len(ends), 1 << 16):
+        e = ends[i : i + (1 << 16)]
+        length = index.matching(text, e, within[e] + 1, place, k)
+        # a run that goes on with the next word is reported there
+        goes_on = np.concatenate([(e[1:] == e[:-1] + 1) & (length[1:] == length[:-1] + 1), [False]])
+        hit = (length >= k) & ~goes_on
+        e, length = e[hit], length[hit]
+        out += list(zip(owner[e].tolist(), (within[e] - length + 1).tolist(), length.tolist(), strict=True))
     return out
 
 
-_RANGE = "doc long, start int, n int"
-
-
-def _as_ranges(doc: list[int], at: list[int]) -> pa.Table:
-    return pa.table({"doc": pa.array(doc, pa.int64()), "start": pa.array(at, pa.int32()), "n": pa.array([1] * len(at), pa.int32())})
+_RANGE = "doc long, at long, n int"
 
 
 def _search_shard(k: int):
     def run(table: pa.Table) -> pa.Table:
-        doc, start = table.column("doc").to_numpy(), table.column("start").to_numpy().astype(np.int64)
-        found = repeated(doc, start, [t.split(" ") for t in table.column("words").to_pylist()], k)
-        return _as_ranges([int(doc[s]) for s, _ in found], [int(start[s]) + w for s, w in found])
+        doc, at = table.column("doc").to_numpy(), table.column("at").to_numpy()
+        found = repeated(doc, at, [t.split(" ") for t in table.column("words").to_pylist()], k)
+        return pa.table({"doc": pa.array([int(doc[s]) for s, _, _ in found], pa.int64()), "at": pa.array([int(at[s]) + w for s, w, _ in found], pa.int64()), "n": pa.array([n for *_, n in found], pa.int32())})
 
     return run
 
 
 def _windows(k: int):
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc", pa.int64()), ("start", pa.int32())])
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
 
     def run(batches):
         for b in batches:
             cols = [[], [], [], []]
-            for doc, start, text in zip(*(b.column(c).to_pylist() for c in ("doc", "start", "words")), strict=True):
+            for doc, at, text in zip(*(b.column(c).to_pylist() for c in ("doc", "at", "words")), strict=True):
                 h = word_hashes(text.split(" "))
                 a = rolling(h, k)
                 cols[0].append(signed(a))
                 cols[1].append(signed(rolling(h, k, 1)))
                 cols[2].append(np.full(len(a), doc))
-                cols[3].append(start + np.arange(len(a), dtype=np.int32))
+                cols[3].append(at + np.arange(len(a)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, k: int = 20, m: int = 5, most_segments: int = 2000, shard_segments: int = 10_000) -> DataFrame:
-    """doc, start, n: runs of n windows that start earlier elsewhere (doc_id null is NO_ID)."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def repeated_runs(docs: DataFrame, k: int = 20, m: int = 5, most_segments: int = 2000, shard_segments: int = 10_000) -> DataFrame:
+    """doc, at, n: runs of n words that stand earlier elsewhere, by _row and number of the first word."""
+    doc, row = _row(F.col("doc_id"), F.col("text"))
+    slim = docs.select(doc.alias("doc"), row.alias("row"), F.col("text").cast("string").alias("text"))
     every = written(slim.mapInArrow(_segments_of(k, m), _SEG), "every")
     often = every.groupBy("mv").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("mv").alias("o"))
     often = written(often, "often")  # so that both sides of the join are dealt anew and a hot minimiser can be split
     seg = written(every.join(often, every["mv"] == F.col("o"), "left_semi"), "segments")
     discard(every)
     discard(often)
-    place = F.struct("doc", "start")
+    place = F.struct("doc", "at")
     kinds = written(seg.groupBy("mv", "content", "n").agg(F.min(place).alias("first")), "kinds")
     firsts = kinds.select(F.col("mv").alias("m_"), F.col("content").alias("c_"), F.col("n").alias("n_"), "first")
-    copies = seg.join(firsts, (seg["mv"] == F.col("m_")) & (seg["content"] == F.col("c_")) & (seg["n"] == F.col("n_"))).where(place != F.col("first")).select("doc", "start", "n")
-    copies = written(copies, "copies")
+    copies = seg.join(firsts, (seg["mv"] == F.col("m_")) & (seg["content"] == F.col("c_")) & (seg["n"] == F.col("n_"))).where(place != F.col("first"))
+    copies = written(copies.select("doc", "at", (F.col("n") + (k - 1)).alias("n")), "copies")
     discard(seg)
     contested = kinds.groupBy("mv").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("mv").alias("m_"), "kinds")
-    asked = kinds.join(contested, kinds["mv"] == F.col("m_")).select("mv", "kinds", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "n")
+    asked = kinds.join(contested, kinds["mv"] == F.col("m_")).select("mv", "kinds", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n")
     asked = written(asked, "asked")
     discard(kinds)
-    lists = asked.groupBy(F.col("doc").alias("asker")).agg(F.collect_list(F.struct("mv", "doc", "start", "n")).alias("asked"))
-    own = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    texts = slim.join(lists, own == F.col("asker")).select("text", "asked")
-    content = written(texts.mapInArrow(_contents(k), "mv long, doc long, start int, words string"), "contents")
+    own_row = F.shiftleft(F.shiftright("at", 32), 32)
+    lists = asked.groupBy(F.col("doc").alias("asker"), own_row.alias("asker_row")).agg(F.collect_list(F.struct("mv", "doc", "at", "n")).alias("asked"))
+    texts = slim.join(lists, (F.col("doc") == F.col("asker")) & (F.col("row") == F.col("asker_row"))).select("text", "asked")
+    content = written(texts.mapInArrow(_contents(k), "mv long, doc long, at long, words string"), "contents")
     hot = asked.where(F.col("kinds") > most_segments).select(F.col("mv").alias("h")).distinct()
     n_shards = max(1, -(-asked.count() // shard_segments))
     sharded = content.join(hot, content["mv"] == F.col("h"), "left_anti").groupBy(F.pmod(F.xxhash64("mv"), F.lit(n_shards)).alias("shard"))
     searched = sharded.applyInArrow(_search_shard(k), _RANGE)
-    win = content.join(hot, content["mv"] == F.col("h"), "left_semi").select("doc", "start", "words").mapInArrow(_windows(k), "w1 long, w2 long, doc long, start int")
+    win = content.join(hot, content["mv"] == F.col("h"), "left_semi").select("doc", "at", "words").mapInArrow(_windows(k), "w1 long, w2 long, doc long, at long")
     lead = win.groupBy("w1", "w2").agg(F.min(place).alias("first")).select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "first")
-    later = win.join(lead, (win["w1"] == F.col("v1")) & (win["w2"] == F.col("v2"))).where(place != F.col("first")).select("doc", "start", F.lit(1).alias("n"))
+    later = win.join(lead, (win["w1"] == F.col("v1")) & (win["w2"] == F.col("v2"))).where(place != F.col("first")).select("doc", "at", F.lit(k).alias("n"))
     found = written(searched.unionAll(later), "found")
     discard(content)
     discard(asked)
     return copies.unionAll(found)
 
 
-def _kept(ws: list[str], ranges: list[tuple[int, int]], k: int) -> list[str]:
+def _kept(ws: list[str], ranges: list[tuple[int, int]]) -> list[str]:
     edge = np.zeros(len(ws) + 1, np.int64)
     for start, n in ranges:
-        if start < len(ws):
-            edge[start] += 1
-            edge[min(len(ws), start + n + k - 1)] -= 1
+        edge[start] += 1
+        edge[start + n] -= 1
     gone = np.cumsum(edge[:-1]) > 0
     return [w for w, g in zip(ws, gone.tolist(), strict=True) if not g] if gone.any() else ws
 
 
 def with_ranges(docs: DataFrame, **settings) -> DataFrame:
-    """docs with column _ranges: array of (start, n), null where nothing repeats."""
-    found = repeated_ranges(docs, **settings).groupBy(F.col("doc").alias("_ranges_doc")).agg(F.collect_set(F.struct("start", "n")).alias("_ranges"))
-    return docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_ranges_doc"), "left").drop("_ranges_doc")
+    """docs with column _ranges: array of (first word, words), null where nothing repeats."""
+    found = repeated_runs(documents_only(docs, "doc_id", "text"), **settings)
+    start = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("start")
+    found = found.groupBy(F.col("doc").alias("_ranges_doc"), F.shiftleft(F.shiftright("at", 32), 32).alias("_ranges_row")).agg(F.collect_set(F.struct(start, "n")).alias("_ranges"))
+    doc, row = _row(docs["doc_id"], docs["text"])
+    return docs.join(found, (doc == F.col("_ranges_doc")) & (row == F.col("_ranges_row")), "left").drop("_ranges_doc", "_ranges_row")
 
 
 def dedup_substrings(docs: DataFrame, k: int = 20, **settings) -> DataFrame:
@@ -255,7 +266,7 @@ def dedup_substrings(docs: DataFrame, k: int = 20, **settings) -> DataFrame:
     import pandas as pd
 
     def strip(text: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([None if rs is None else " ".join(_kept(words(t), [(r["start"], r["n"]) for r in rs], k)) for t, rs in zip(text, ranges, strict=True)])
+        return pd.Series([None if rs is None else " ".join(_kept(words(t), [(r["start"], r["n"]) for r in rs])) for t, rs in zip(text, ranges, strict=True)])
 
     strip.__annotations__ = {"text": pd.Series, "ranges": pd.Series, "return": pd.Series}
     strip = F.pandas_udf(strip, "string")
@@ -264,14 +275,14 @@ def dedup_substrings(docs: DataFrame, k: int = 20, **settings) -> DataFrame:
     return out.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
-def _digest(k: int):
+def _digest():
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
         def made():
             for d, text, ranges in rows(batches, "doc_id", "text", "_ranges"):
                 ws = words(text)
-                kept = _kept(ws, [(r["start"], r["n"]) for r in ranges or ()], k)
+                kept = _kept(ws, [(r["start"], r["n"]) for r in ranges or ()])
                 yield d, len(ws), len(ws) - len(kept), hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()
 
         yield from chunked(made(), schema)
@@ -281,7 +292,7 @@ def _digest(k: int):
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents_only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    return with_ranges(docs).mapInArrow(_digest(20), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_ranges(docs).mapInArrow(_digest(), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE = r"""
