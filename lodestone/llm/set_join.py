@@ -7,11 +7,11 @@
 3. Token groups of at most ``small`` classes give pairs, which are counted; a pair stays if its
    shared prefix tokens and what can still follow their last positions allow the overlap.
    Larger groups give only edges to their least class.
-4. Components of these candidate edges are the places where links can be. The sets of a component
-   are shipped once, in blocks, and joined there: an inverted index whose lists are ordered by set
-   size gives counts, of which those from the first set that is large enough are read; whole lists
-   are added, without skipping inside them. The counts of a set that is close
-   to the one before it are derived from that one's counts by the tokens in which they differ.
+4. Components of these candidate edges are the places where links can be. A component is cut into
+   blocks of about ``block_tokens`` tokens in order of set size, and only blocks whose sizes can
+   reach the threshold meet. What is in a block is joined there by ``links``: index lists are read
+   in blocks of entries that are skipped by size and position, and the answers of a set that is
+   close to one already answered are derived from that one's by the tokens in which they differ.
 5. Blocks report a spanning forest and link counts, so links within a group of near copies are
    found without being listed.
 
@@ -20,8 +20,9 @@ tokens is bounded (``most_frequent``) and broadcast.
 
 Defined cases: null texts and texts without words have empty sets, link with nothing and form
 classes of their own; with fewer words than n the whole sequence is the one element; rows with
-equal doc_id are one document if their sets are equal, else both rows are reported under that id;
-null doc_ids are reported but link with nothing; other columns are ignored.
+equal doc_id are one document, which is linked by the sets of all its rows (doc_ids are below
+2**62); null doc_ids are reported but link with nothing; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, chunked, discard, documents_only, mix, rolling, rows, signed, word_hashes, written
@@ -61,45 +62,136 @@ def needed(a, b, pct: int):
     return -(-(a + b) * pct // (100 + pct))
 
 
-def links(sets: list[np.ndarray], pct: int, left: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+class Skipping:
+    """Index over sets in order of size: whole lists by token, and lists of prefix tokens in blocks.
+
+    Tokens are numbered by falling rarity, so prefixes hold the rarest. An entry of a prefix list is
+    a set and the token's position in it; entries are ordered by set size, then position, and a
+    block of them is known by its largest set and least position.
+    """
+
+    BLOCK = 16
+
+    def __init__(self, sets: list[np.ndarray], pct: int):
+        self.pct, self.sizes = pct, np.array([len(s) for s in sets], np.int64)
+        n = len(sets)
+        self.first = np.searchsorted(self.sizes, -(-self.sizes * pct // 100))  # smaller sets cannot link
+        self.last = np.searchsorted(self.sizes, self.sizes * 100 // pct, "right")
+        _, local, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+        owner = np.repeat(np.arange(n), self.sizes)
+        local = rank[local]
+        order = np.lexsort((local, owner))
+        self.mine = np.split(local[order], np.cumsum(self.sizes)[:-1])
+        order = np.lexsort((owner, local))
+        self.holders = owner[order]
+        self.starts = np.searchsorted(local[order], np.arange(len(often) + 1))
+        self.prefix = self.sizes - -(-self.sizes * pct // 100) + 1
+        token = np.concatenate([m[:p] for m, p in zip(self.mine, self.prefix, strict=True)])
+        held = np.repeat(np.arange(n), self.prefix)
+        pos = np.arange(len(held)) - np.repeat(np.cumsum(self.prefix) - self.prefix, self.prefix)
+        order = np.lexsort((held, pos, self.sizes[held], token))
+        token, self.entry, self.pos = token[order], held[order], pos[order]
+        self.lists = np.searchsorted(token, np.arange(len(often) + 1))
+        number = np.arange(len(token)) - self.lists[token]
+        self.heads = np.flatnonzero(number % self.BLOCK == 0)
+        self.head_at = np.searchsorted(self.heads, self.lists)
+        self.ends = np.append(self.heads[1:], len(token))
+        size = self.sizes[self.entry]
+        self.least, self.most = (f.reduceat(size, self.heads) for f in (np.minimum, np.maximum)) if len(token) else (size, size)
+        self.least_pos = np.minimum.reduceat(self.pos, self.heads) if len(token) else self.pos
+        self.mark = np.zeros(len(often), bool)
+        self.read = self.skipped = self.derived = 0
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Sets j < i that share a prefix token at positions that allow the overlap."""
+        s, out = int(self.sizes[i]), []
+        low = -(-s * self.pct // 100)
+        for p, t in enumerate(self.mine[i][: self.prefix[i]].tolist()):
+            a, b = self.lists[t], self.lists[t + 1]
+            if b - a < 2:
+                continue
+            h = slice(self.head_at[t], self.head_at[t + 1])
+            most, least = self.most[h], self.least[h]
+            reach = 1 + np.minimum(s - p - 1, most - self.least_pos[h] - 1)
+            fits = (most >= low) & (least <= s) & (reach >= needed(s, np.maximum(least, low), self.pct))
+            for x, y in zip(self.heads[h][fits].tolist(), self.ends[h][fits].tolist(), strict=True):
+                e = self.entry[x:y]
+                size = self.sizes[e]
+                ok = (e < i) & (size >= low) & (1 + np.minimum(s - p - 1, size - self.pos[x:y] - 1) >= needed(s, size, self.pct))
+                out.append(e[ok])
+                self.read += y - x
+            self.skipped += int(b - a) - int((self.ends[h][fits] - self.heads[h][fits]).sum())
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+    def add(self, counts: np.ndarray, tokens, lo: int, hi: int, by: int = 1) -> None:
+        """Counts of shared tokens with the sets from lo up to hi; the rest of each list is skipped."""
+        if lo >= hi:
+            return
+        for t in tokens:
+            x = self.holders[self.starts[t] : self.starts[t + 1]]
+            if len(x) > 1:  # a list of one entry holds no other set
+                a, b = x.searchsorted((lo, hi))
+                counts[x[a:b]] += by
+                self.read += int(b - a)
+                self.skipped += len(x) - int(b - a)
+
+    def overlap(self, i: int, js: np.ndarray) -> np.ndarray:
+        self.mark[self.mine[i]] = True
+        out = np.array([self.mark[self.mine[j]].sum() for j in js.tolist()], np.int64)
+        self.mark[self.mine[i]] = False
+        return out
+
+
+def links(sets: list[np.ndarray], pct: int, left: np.ndarray | None = None, index: Skipping | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(i, linked j < i) over sets sorted by size; with left, only pairs of different sides.
 
-    Counts of shared tokens come from index lists, or from the counts of the set before by what
-    differs; smaller sets that cannot reach the threshold by size are skipped as one block.
+    Sets are answered in order of their least hashes, which brings similar ones together. A set with
+    many candidates keeps its counts against all sets of fitting size; a later set that differs from
+    one of the last such sets by at most a quarter derives its own from them.
     """
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    token, local = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(local, kind="stable")  # by token, then by set, which is by size
-    lists, bounds = owner[order], np.searchsorted(local[order], np.arange(len(token) + 1))
-    mine = np.split(local, np.cumsum(sizes)[:-1]) if n else []
-    counts, last = None, None
-    for i in range(n):
-        lo = int(np.searchsorted(sizes, -(-sizes[i] * pct // 100)))  # smaller sets cannot link
+    if not sets:
+        return
+    x = index or Skipping(sets, pct)
+    n, kept = len(sets), []
+    for i in sorted(range(n), key=lambda i: tuple(sets[i][:3].tolist())):
+        lo = int(x.first[i])
         if lo >= i:
             continue
-        own = mine[i]
-        gone = new = None
-        if last is not None:
-            gone, new = np.setdiff1d(mine[last], own, assume_unique=True), np.setdiff1d(own, mine[last], assume_unique=True)
-        if gone is None or len(gone) + len(new) > len(own) // 2:
-            counts, add, sub = np.zeros(n, np.int64), own, ()
+        own, size = x.mine[i], int(x.sizes[i])
+        best = None
+        x.mark[own] = True
+        for r, counts in kept:
+            shared = int(x.mark[x.mine[r]].sum())
+            apart = size + int(x.sizes[r]) - 2 * shared
+            if apart * 4 <= size and (best is None or apart < best[0]):
+                best = apart, r, counts
+        x.mark[own] = False
+        if best:
+            _, r, known = best
+            a, b = max(lo, int(x.first[r])), min(i, int(x.last[r]))
+            counts = np.zeros(n, np.int32)
+            if a < b:
+                counts[a:b] = known[a:b]
+                x.add(counts, np.setdiff1d(own, x.mine[r], assume_unique=True).tolist(), a, b)
+                x.add(counts, np.setdiff1d(x.mine[r], own, assume_unique=True).tolist(), a, b, -1)
+                x.add(counts, own.tolist(), lo, min(a, i))
+                x.add(counts, own.tolist(), max(b, lo), i)
+            else:
+                x.add(counts, own.tolist(), lo, i)
+            x.derived += 1
+            j, c = np.arange(lo, i), counts[lo:i]
         else:
-            add, sub = new, gone
-        for t in add:
-            part = lists[bounds[t] : bounds[t + 1]]
-            if len(part) > 1:  # a list of one entry holds no other set
-                counts[part] += 1
-        for t in sub:
-            part = lists[bounds[t] : bounds[t + 1]]
-            if len(part) > 1:
-                counts[part] -= 1
-        last = i
-        j = np.arange(lo, i)
-        hit = counts[lo:i] * (100 + pct) >= (sizes[i] + sizes[lo:i]) * pct
-        j = j[hit]
+            j = x.candidates(i)
+            if len(j) > 48:
+                counts = np.zeros(n, np.int32)
+                x.add(counts, own.tolist(), lo, int(x.last[i]))
+                kept = [*kept[-7:], (i, counts)]
+                c = counts[j]
+            else:
+                c = x.overlap(i, j)
+        j = j[c * (100 + pct) >= (size + x.sizes[j]) * pct]
         if left is not None:
             j = j[left[j] != left[i]]
         if len(j):
@@ -178,6 +270,10 @@ class Order:
         return np.concatenate([s[~hot], late])
 
 
+def _set_hash(s: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist())
+
+
 def _signatures(n: int, pct: int, order):
     schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
@@ -187,8 +283,7 @@ def _signatures(n: int, pct: int, order):
         def made():
             for d, text in rows(batches, "doc_id", "text"):
                 s = shingles(text, n)
-                x = xxhash.xxh3_128_digest(s.tobytes())
-                s1, s2 = np.frombuffer(x, "<i8").tolist()
+                s1, s2 = _set_hash(s)
                 p = by(s)[: prefix_size(len(s), pct)] if len(s) and d is not None else s[:0]
                 yield d, len(s), s1, s2, signed(np.ascontiguousarray(p))
 
@@ -198,75 +293,99 @@ def _signatures(n: int, pct: int, order):
 
 
 def _sets(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
         def made():
             for d, text in rows(batches, "doc_id", "text"):
                 s = shingles(text, n)
-                yield d, len(s), s.tobytes()
+                yield d, _set_hash(s)[0], s.tobytes()
 
         yield from chunked(made(), schema, 2000)
 
     return run
 
 
-def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block: int = 400, least_frequent: int = 12, most_frequent: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """Classes and links of docs (doc_id, text).
+def _classes(sig: DataFrame) -> DataFrame:
+    """class_id, lead, s1, s2, size of each distinct set; lead is its least doc_id.
+
+    class_id is lead; where rows of one doc_id lead several sets, the others get a hash from 2**62 on.
+    """
+    sets = sig.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("lead"))
+    several = sets.groupBy("lead").agg(F.min("s1").alias("one"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("lead").alias("of"), "one")
+    other = F.shiftrightunsigned(F.xxhash64("s1", "s2", "size"), 2).bitwiseOR(1 << 62)
+    named = sets.join(several.hint("merge"), F.col("lead") == F.col("of"), "left")
+    return named.select(F.when(F.col("one") != F.col("s1"), other).otherwise(F.col("lead")).alias("class_id"), "lead", "s1", "s2", "size")
+
+
+def _blocks(placed: DataFrame, block_tokens: int) -> DataFrame:
+    """placed with the block of each class in its component: by size, about block_tokens tokens each.
+
+    Only one row per component and set size goes through the window.
+    """
+    by_size = placed.groupBy("component", "size").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("component").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    sized = by_size.select(F.col("component").alias("of"), F.col("size").alias("each"), "n", F.coalesce(F.sum(F.col("n") * F.col("size")).over(before), F.lit(0)).alias("before"))
+    j = placed.join(sized, (placed["component"] == F.col("of")) & (placed["size"] == F.col("each")))
+    at = F.floor((F.col("before") + F.pmod(F.xxhash64("id"), F.col("n")) * F.col("size")) / block_tokens)
+    return j.select("id", "component", "size", "lead", "s1", at.cast("int").alias("at"))
+
+
+def _meetings(cut: DataFrame, pct: int) -> DataFrame:
+    """Where each class is needed: pairs of blocks (i <= j) of a component whose sizes can reach pct."""
+    spans = cut.groupBy("component", "at").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    a, b = (spans.select(F.col("component").alias(f"c{x}"), F.col("at").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ij")
+    pairs = a.join(b, (F.col("ci") == F.col("cj")) & (F.col("i") <= F.col("j")) & (F.col("high_i") * 100 >= F.col("low_j") * pct)).select("ci", "i", "j")
+    ends = pairs.select(F.col("ci").alias("c"), "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("own"))
+    met = cut.join(ends, (F.col("component") == F.col("c")) & (F.col("at") == F.col("own")))
+    return met.select("c", "i", "j", F.when(F.col("own") == F.col("i"), 0).otherwise(1).alias("side"), "id", "size", F.col("lead").alias("of"), F.col("s1").alias("h"))
+
+
+def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block_tokens: int = 1 << 20, least_frequent: int = 12, most_frequent: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes, links and bridges of docs (doc_id, text).
 
-    First table: doc_id, size, class_id (least doc_id with an equal set). Second: class_id, to
+    First table: doc_id, size, class_id, lead (least doc_id with an equal set). Second: class_id, to
     (links of a spanning forest; null for rows that only count), n_links (links of class_id to
-    other classes that the row stands for).
+    other classes that the row stands for). Third: u, v: classes that rows of one doc_id lead.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_tokens(slim, n, least_frequent, most_frequent)
     order = spark.sparkContext.broadcast(Order(frequent))
     sig = written(slim.mapInArrow(_signatures(n, pct, order), "doc_id long, size long, s1 long, s2 long, prefix array<long>"), "signatures")
-    first = sig.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("class_id")).select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("size").alias("t3"), "class_id")
+    classes = written(_classes(sig), "classes")
+    names = classes.select("class_id", "lead", F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("size").alias("t3"))
     same = (sig["s1"] == F.col("t1")) & (sig["s2"] == F.col("t2")) & (sig["size"] == F.col("t3"))
-    members = written(sig.select("doc_id", "size", "s1", "s2").join(first.hint("merge"), same, "left").select("doc_id", "size", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "members")
+    members = written(sig.select("doc_id", "size", "s1", "s2").join(names.hint("merge"), same, "left").select("doc_id", "size", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("size") > 0, F.col("lead")).otherwise(F.col("doc_id")).alias("lead")), "members")
 
     # sort-merge joins throughout: none of these tables has a size bound
     # prefix rows of one document per class, of tokens that two classes share
-    heads = members.where("doc_id = class_id and size > 0").select(F.col("doc_id").alias("head")).distinct()
-    spread = sig.where("size > 0").join(heads.hint("merge"), sig["doc_id"] == F.col("head"), "left_semi").select("doc_id", "size", F.posexplode("prefix").alias("pos", "token"))
-    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("doc_id").alias("least")).where("g > 1")
-    prefix = written(spread.join(shared.hint("merge"), "token").select("token", "doc_id", "size", "pos", "g", "least"), "prefix")
+    spread = sig.join(names.hint("merge"), same & (sig["doc_id"] == F.col("lead"))).select("class_id", "size", F.posexplode("prefix").alias("pos", "token"))
+    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("class_id").alias("least")).where("g > 1")
+    prefix = written(spread.join(shared.hint("merge"), "token").select("token", "class_id", "size", "pos", "g", "least"), "prefix")
     discard(sig)
-    large = prefix.where((F.col("g") > small) & (F.col("doc_id") != F.col("least"))).select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    large = prefix.where((F.col("g") > small) & (F.col("class_id") != F.col("least"))).select(F.col("class_id").alias("u"), F.col("least").alias("v"))
     p = prefix.where(F.col("g") <= small)
-    a, b = (p.select("token", F.col("doc_id").alias(x), F.col("size").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
+    a, b = (p.select("token", F.col("class_id").alias(x), F.col("size").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * pct)
     pairs = a.join(b, (a["token"] == b["token"]) & (F.col("a") > F.col("b")) & fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     reach = F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     near = pairs.where(reach * (100 + pct) >= (F.col("na") + F.col("nb")) * pct).select(F.col("a").alias("u"), F.col("b").alias("v"))
     place = components(large.unionAll(near))
-    sizes = members.where("doc_id = class_id").select(F.col("doc_id").alias("id"), "size").distinct()
-    placed = written(place.join(sizes, "id"), "placed")
+    placed = written(place.join(classes.select(F.col("class_id").alias("id"), "lead", "s1", "size"), "id"), "placed")
     discard(prefix)
 
-    # blocks of a component by size; pairs of blocks whose sizes fit meet in a task
-    total = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    few = total.where(F.col("n") <= block).select("component")
-    many = total.where(F.col("n") > block).select("component", (F.ceil(F.col("n") / block)).cast("int").alias("blocks"))
-    whole = placed.join(few, "component").select("id", F.col("component").alias("c"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
-    cut = placed.join(many, "component").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tasks = cut.select("id", "component", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    split = tasks.select("id", F.col("component").alias("c"), F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), F.when(F.col("at") <= F.col("o"), 0).otherwise(1).alias("side"))
-    wanted = whole.unionAll(split)
-    ids = placed.select("id")
-    texts = slim.join(ids.hint("merge"), slim["doc_id"] == F.col("id"), "left_semi")
-    sets = texts.mapInArrow(_sets(n), "doc_id long, size long, tokens binary")
-    shipped = sets.join(wanted.hint("merge"), sets["doc_id"] == F.col("id")).select("c", "i", "j", "side", "id", "size", "tokens")
+    met = _meetings(_blocks(placed, block_tokens), pct)
+    ids = placed.select(F.col("lead").alias("of")).distinct()
+    texts = slim.join(ids.hint("merge"), slim["doc_id"] == F.col("of"), "left_semi")
+    sets = texts.mapInArrow(_sets(n), "doc_id long, s1 long, tokens binary")
+    shipped = sets.join(met.hint("merge"), (sets["doc_id"] == F.col("of")) & (sets["s1"] == F.col("h"))).select("c", "i", "j", "side", "id", "size", "tokens")
 
     def join_block(table: pa.Table) -> pa.Table:
-        rows_ = sorted(zip(table.column("size").to_pylist(), table.column("id").to_pylist(), table.column("side").to_pylist(), table.column("tokens").to_pylist(), strict=True))
-        seen, kept = set(), []
-        for r in rows_:
-            if r[1] not in seen:  # rows that repeat a doc_id
-                seen.add(r[1])
-                kept.append(r)
+        kept = {}  # repeated rows of a doc_id have equal sets here
+        for r in zip(*(table.column(x).to_pylist() for x in ("size", "id", "side", "tokens")), strict=True):
+            kept[r[1]] = r
+        kept = sorted(kept.values(), key=lambda r: r[:2])
         sets_ = [np.frombuffer(r[3], np.uint64) for r in kept]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         side = np.array([r[2] for r in kept]) if i != j else None
@@ -280,16 +399,16 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
         return pa.table({"class_id": pa.array(cols[0], pa.int64()), "to": pa.array(cols[1], pa.int64()), "n_links": pa.array(cols[2], pa.int64())})
 
     found = written(shipped.groupBy("c", "i", "j").applyInArrow(join_block, "class_id long, to long, n_links long"), "links")
-    return members, found
+    return members, found, classes.where("class_id <> lead").select(F.col("class_id").alias("u"), F.col("lead").alias("v"))
 
 
 def set_components(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, n_links (to classes of other sets) of every row."""
-    members, found = set_links(docs, **settings)
-    comp = components(found.where("to is not null").select(F.col("class_id").alias("u"), F.col("to").alias("v")))
+    members, found, bridges = set_links(docs, **settings)
+    comp = components(found.where("to is not null").select(F.col("class_id").alias("u"), F.col("to").alias("v")).unionAll(bridges))
     degree = found.where("to is null").groupBy("class_id").agg(F.sum("n_links").alias("n_links")).withColumnRenamed("class_id", "c")
     out = members.join(comp, members["class_id"] == F.col("id"), "left").join(degree, members["class_id"] == F.col("c"), "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "lead").alias("component_id"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
