@@ -104,16 +104,53 @@ def test_substring_dedup_on_empty_table(spark):
     assert substring_dedup.dedup_substrings(empty(spark)).count() == 0
 
 
+def test_substring_dedup_tells_rows_apart(spark):
+    ws = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, ws("a", 30), "en", "s"), (5, ws("b", 40), "en", "s"), (5, ws("a", 30) + " " + ws("c", 10), "en", "s"), (None, ws("d", 25), "en", "s"), (None, ws("e", 5) + " " + ws("d", 25), "en", "s"), (7, ws("b", 40), "en", "s"), (5, ws("b", 40), "en", "s")]
+    d = spark.createDataFrame(rows, DOC).withColumnRenamed("lang", "at").withColumnRenamed("source", "row")
+    out = substring_dedup.dedup_substrings(d)
+    assert out.columns == d.columns
+    got = sorted((str(r.doc_id), r.text) for r in out.collect())
+    nulls = [t for i, t in got if i == "None"]
+    assert sorted(nulls) in (sorted([ws("d", 25), ws("e", 5)]), sorted(["", ws("e", 5) + " " + ws("d", 25)]))
+    assert [x for x in got if x[0] != "None"] == sorted([("1", ws("a", 30)), ("5", ws("b", 40)), ("5", ws("b", 40)), ("5", ws("c", 10)), ("7", "")])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matching_statistics_find_all_repeats_alone(seed):
+    r = random.Random(seed)
+    k, texts = 4, []
+    for _ in range(25):
+        t = [r.choice("abcde") for _ in range(r.randint(1, 14))]
+        texts.append(r.choice(texts) if texts and r.random() < 0.2 else t)
+    doc, at = np.array([r.randrange(12) for _ in texts]), np.array([r.randrange(1000) for _ in texts])
+    found = substring_dedup.repeated(doc, at, texts, k)
+    where = {}
+    for i, t in enumerate(texts):
+        for n in range(k, len(t) + 1):
+            for j in range(len(t) - n + 1):
+                where.setdefault(tuple(t[j : j + n]), []).append((doc[i], at[i] + j))
+    longest = {}
+    for i, t in enumerate(texts):
+        for e in range(len(t)):
+            for n in range(k, e + 2):
+                j = e - n + 1
+                if min(where[tuple(t[j : e + 1])]) < (doc[i], at[i] + j):
+                    longest[i, e] = n
+    want = {(i, e - n + 1, n) for (i, e), n in longest.items() if longest.get((i, e + 1)) != n + 1}
+    assert set(found) == want and len(found) == len(want)
+
+
 def test_fm_index_intervals_count_occurrences():
     r = np.random.default_rng(0)
     text = np.concatenate([[0], r.integers(1, 4, 300)])
-    index = FMIndex(text, 6)
+    index = FMIndex(text, 6, np.arange(len(text)))
     pats = np.stack([text[i : i + 6] for i in range(1, 290)])
     lo, hi = index.search(pats)
     for p, a, b in zip(pats, lo, hi, strict=True):
         at = [i for i in range(len(text) - 5) if (text[i : i + 6] == p).all()]
-        assert sorted(index.order[a:b]) == at
-    assert (least_in(index.order, lo, hi) == [index.order[a:b].min() for a, b in zip(lo, hi, strict=True)]).all()
+        assert sorted(index.place[a:b]) == at
+    assert (least_in(index.place, lo, hi) == [index.place[a:b].min() for a, b in zip(lo, hi, strict=True)]).all()
 
 
 # --- 3, 7 ----------------------------------------------------------------------------------------
@@ -240,42 +277,122 @@ def test_rollup_texts_by_group_counts_rows_before_the_join(spark):
 
 
 # --- 5 -------------------------------------------------------------------------------------------
-def test_block_max_search_is_exact():
-    r = random.Random(2)
-    ex = [(toxicity.terms(" ".join(r.choice(["idiot", "moron", "scum", "clown", "fine", "day"] if y else ["fine", "day", "sun"]) for _ in range(6))), y) for y in [0, 1] * 150]
-    m = toxicity.Neighbours(ex, k=5, least_z=1.0, least_precision=0.0)
-    assert m.n_blocks > 1
-    for c, _ in ex[:60]:
-        v = m.vector(c)
-        score = np.zeros(len(m.labels))
-        for t, w in v.items():
-            i, x = m.posts[t]
-            score[i] += w * x
-        want = sorted(((-s, i) for i, s in enumerate(score) if s > 0))[:5]
-        assert [i for _, i in m.top(v)] == [i for _, i in want] or np.allclose([s for s, _ in m.top(v)], [-s for s, _ in want])
+TOXIC = ["idiot", "moron", "scum", "clown", "idiotic"]
+FILLER = ["fine", "day", "sun", "sunny", "river", "stone", "walks", "walking", "tree", "house", "garden", "bread"]
 
 
-def test_toxicity_separates_held_out_rows(spark):
-    r = random.Random(3)
-    rows, labels = [], []
-    for i in range(400):
-        y = int(r.random() < 0.2)
-        ws = [f"w{r.randint(0, 200)}" for _ in range(30)] + (["idiot", "moron", "scum"] if y else [])
+def labelled(seed, n):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        y = int(r.random() < 0.3)
+        ws = [r.choice(FILLER) + r.choice(["", "", r.choice("abcdefgh")]) for _ in range(r.randint(0, 12))]
+        ws += [r.choice(TOXIC) for _ in range(r.randint(1, 3))] * y
         r.shuffle(ws)
-        rows.append((i, " ".join(ws), "en", "s"))
-        labels.append((i, y))
-    rows += [(1000, None, "en", "s"), (1001, "", "en", "s"), (None, "idiot", "en", "s")]
+        out.append((i, " ".join(ws), y))
+    return out
+
+
+def names(text):
+    import re
+
+    return Counter(x for w in re.findall(r"[^\W\d_]+", text.lower()) for x in ["=" + w, *(w[:k] for k in (4, 6) if len(w) > k)])
+
+
+def brute_model(rows):
+    """Scores by definition: TF-IDF vectors as dictionaries, all cosines, vote, monotone fit by max-min."""
+    n, bags, ys = len(rows), [names(t) for _, t, _ in rows], [y for *_, y in rows]
+    df = Counter(x for b in bags for x in b)
+    tox = Counter(x for b, y in zip(bags, ys) for x in b if y)
+    weight = {x: np.log((1 + n) / (1 + d)) * np.log2(2 + tox[x] / max(1, d - tox[x])) for x, d in df.items() if d >= 2}
+
+    def vec(bag):
+        v = {x: (1 + np.log(c)) * weight[x] for x, c in bag.items() if x in weight}
+        norm = np.sqrt(sum(w * w for w in v.values()))
+        return {x: w / norm for x, w in v.items()} if norm else {}
+
+    vs, prior = [vec(b) for b in bags], sum(ys) / n
+
+    def near(v, without=-1):
+        cos = [(sum(w * u.get(x, 0) for x, w in v.items()), i) for i, u in enumerate(vs) if i != without]
+        return sorted((c for c in cos if c[0] > 1e-9), reverse=True)[:5]
+
+    vote = lambda nn: (sum(c * ys[i] for c, i in nn) + prior * 0.1) / (sum(c for c, _ in nn) + 0.1)
+    loo = [near(v, i) for i, v in enumerate(vs)]
+    pairs = sorted((vote(nn), y) for nn, y in zip(loo, ys) if nn)
+    bare = [y for nn, y in zip(loo, ys) if not nn]
+    fit = [max(min(np.mean([y for _, y in pairs[a : c + 1]]) for c in range(i, len(pairs))) for a in range(i + 1)) for i in range(len(pairs))]
+    return vec, near, vote, pairs, fit, (sum(bare) + prior) / (len(bare) + 1)
+
+
+def as_examples(rows):
+    return [(i, *toxicity.terms(t), y) for i, t, y in rows]
+
+
+def test_votes_and_neighbours_equal_brute_force():
+    rows = labelled(2, 140)
+    m = toxicity.Neighbours(as_examples(rows), k=5)
+    vec, near, vote, *_ = brute_model(rows)
+    assert m.n_blocks > 2
+    for _, t, _ in labelled(3, 50):
+        got, want = m.top(m.vector_of(t)), near(vec(names(t)))
+        assert np.allclose([c for c, _ in got], [c for c, _ in want], atol=1e-5)
+        sure = {rows[i][0] for c, i in want if c > want[-1][0] + 1e-5}
+        assert sure <= {int(m.doc_ids[i]) for _, i in got}
+        if len({round(c, 4) for c, _ in want}) == len(want):  # without ties the votes are the same
+            assert abs(m.vote(got) - vote(want)) < 1e-4
+        for (a, b), (c, d) in zip([m.vector_of(t)], [m.vector(*toxicity.terms(t))]):
+            assert (a == c).all() and np.allclose(b, d)
+
+
+def test_calibration_is_the_monotone_fit():
+    r = random.Random(1)
+    for _ in range(30):
+        pairs = [(round(r.random(), 1), int(r.random() < 0.4)) for _ in range(r.randint(1, 25))]
+        got = [y / n for _, y, n in toxicity.isotonic(pairs) for _ in range(n)]
+        p = sorted(pairs)
+        want = [max(min(np.mean([y for _, y in p[a : c + 1]]) for c in range(i, len(p))) for a in range(i + 1)) for i in range(len(p))]
+        assert np.allclose(got, want)
+    rows = labelled(4, 120)
+    m = toxicity.Neighbours(as_examples(rows), k=5)
+    *_, bare = brute_model(rows)
+    assert abs(m.bare - bare) < 1e-9 and m.cut == sorted(m.cut) and m.rate[0] < 0.2 < 0.8 < m.rate[-1]
+
+
+def test_blocks_that_cannot_matter_are_skipped():
+    rows = labelled(5, 60 * toxicity.BLOCK)
+    m = toxicity.Neighbours(as_examples(rows), k=5)
+    asked = [t for _, t, _ in labelled(6, 50)]
+    for t in asked:
+        m.top(m.vector_of(t))
+    assert m.scored < 0.5 * m.n_blocks * len(asked) and len(m.doc_ids) == len(rows)
+
+
+def test_toxicity_separates_held_out_rows(spark):
+    data = [(i, t, y) for i, t, y in labelled(7, 500)]
+    rows = [(i, t, "en", "s") for i, t, _ in data] + [(1000, None, "en", "s"), (1001, "", "en", "s"), (None, "idiot", "en", "s"), (1, "other text", "en", "s")]
     d = spark.createDataFrame(rows, DOC)
-    m = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    got = {x.doc_id: x.score for x in toxicity.score_documents(d, m).collect()}
-    y = dict(labels)
-    held = [i for i in y if toxicity.is_held_out(i)]
-    assert all((got[i] >= 0.5) == bool(y[i]) for i in held)
-    assert got[1000] == got[1001] < 0.5
-    kept = {x.doc_id for x in toxicity.without_toxic(d, m).collect()}
-    assert not kept & {i for i in held if y[i]} and {1000, 1001} <= kept
+    labels = spark.createDataFrame([(i, y) for i, _, y in data] + [(1000, None), (None, 1), (2, data[2][2])], "doc_id long, toxic int")
+    m = toxicity.fit(d, labels)
+    assert len(m.doc_ids) == len({i for i, *_ in data if not toxicity.is_held_out(i)})
+    got = {x.doc_id: x for x in toxicity.score_documents(d, m).collect() if x.doc_id != 1}
+    held = [(i, y) for i, _, y in data if toxicity.is_held_out(i)]
+    assert all((got[i].score >= 0.5) == bool(y) for i, y in held if i != 1)
+    assert not {x.doc_id for r in got.values() for x in r.neighbours} & {i for i, _ in held}
+    assert all(x.label == data[x.doc_id][2] for r in got.values() for x in r.neighbours)
+    assert got[1000].score == got[1001].score < 0.5 and got[1000].neighbours == []
+    kept = {x.doc_id for x in toxicity.without_toxic(d.withColumnRenamed("lang", "score"), m).collect()}
+    assert not kept & {i for i, y in held if y and i != 1} and {1000, 1001} <= kept
     none = toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert none.score("idiot")[0] == 0.0
+    assert none.score("idiot") == (0.0, [])
+    assert toxicity.score_documents(empty(spark), m).count() == 0 and len(toxicity.fit(empty(spark), labels).doc_ids) == 0
+
+
+def test_very_long_labelled_texts_are_bounded_on_the_driver(spark):
+    long = " ".join("".join(chr(97 + (i * p) % 26) for p in (1, 3, 5, 7)) + chr(97 + i % 26) for i in range(20_000))
+    d = spark.createDataFrame([(1, long, "en", "s"), (2, "idiot " * 5000, "en", "s"), (3, None, "en", "s")], DOC)
+    got = toxicity.examples(d, spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int"), "toxic", 10, 50)
+    assert all(len(t) <= 50 and len(t) == len(c) for _, t, c, _ in got) and {i for i, *_ in got} <= {1, 2, 3}
 
 
 # --- 6 -------------------------------------------------------------------------------------------
@@ -410,7 +527,7 @@ def test_contaminated_documents_go_and_clean_ones_stay(spark):
 
 
 # --- 10 ------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("small,block", [(24, 400), (2, 5)])
+@pytest.mark.parametrize("small,block", [(24, 1 << 20), (2, 500)])
 def test_set_join_equals_brute_force(spark, small, block):
     rows = corpus(9, 90)
     base = rows[20][1] or "a b c d e f g h"
@@ -436,12 +553,59 @@ def test_set_join_equals_brute_force(spark, small, block):
             if i < j and near(a, b):
                 x, y = find(i), find(j)
                 comp[max(x, y)] = min(x, y)
-    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in set_join.set_components(d, small=small, block=block, least_frequent=3).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in set_join.set_components(d, small=small, block_tokens=block, least_frequent=3).collect()}
     assert got == {i: (len(sets[i]), find(i), degree[i]) for i in sets}
     kept = {x.doc_id for x in set_join.one_of_each(d).collect()}
     assert kept == {i for i in sets if find(i) == i}
 
 
+def similar_sets(seed, groups=12, copies=14, size=60):
+    r = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        base = r.integers(0, 1 << 62, size + int(r.integers(0, 20))).astype(np.uint64)
+        for _ in range(copies):
+            s = base.copy()
+            for at in r.integers(0, len(s), int(r.integers(0, 8))):
+                s[at] = r.integers(0, 1 << 62)
+            out.append(np.unique(s[: len(s) - int(r.integers(0, 6))]))
+    return sorted(out, key=len)
+
+
+@pytest.mark.parametrize("copies", [1, 14, 90])
+def test_links_equal_all_pairs_and_skip(copies):
+    sets = similar_sets(copies, groups=6, copies=copies)
+    side = np.arange(len(sets)) % 2
+    full = [frozenset(s.tolist()) for s in sets]
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(full[i] & full[j]) >= 85 * len(full[i] | full[j])}
+    index = set_join.Skipping(sets, 85)
+    assert {(i, int(j)) for i, js in set_join.links(sets, 85, index=index) for j in js} == want
+    assert {(i, int(j)) for i, js in set_join.links(sets, 85, side) for j in js} == {(i, j) for i, j in want if side[i] != side[j]}
+    if copies > 1:
+        assert index.skipped > 0
+    if copies > 48:
+        assert index.derived > len(sets) / 4
+
+
+def test_candidates_read_no_block_that_positions_rule_out():
+    sets = similar_sets(5, groups=1, copies=40, size=200)
+    index = set_join.Skipping(sets, 85)
+    for i in range(len(sets)):
+        index.candidates(i)
+    assert index.skipped > 0
+    all_entries = sum(int(index.lists[t + 1] - index.lists[t]) for i in range(len(sets)) for t in index.mine[i][: index.prefix[i]] if index.lists[t + 1] - index.lists[t] > 1)
+    assert index.read + index.skipped == all_entries
+
+
+def test_set_join_keeps_links_of_every_row_of_a_document(spark):
+    words_ = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, words_, "en", "s"), (2, "b c d e f g", "en", "s"), (2, words_ + " z", "en", "s"), (3, "b c d e f g", "en", "s"), (2, "b c d e f g", "en", "s"), (4, "lone words of four or five", "en", "s")]
+    d = spark.createDataFrame(rows, DOC).withColumnRenamed("lang", "size").withColumnRenamed("source", "component")
+    got = {(x.doc_id, x.n_shingles): x.component_id for x in set_join.set_components(d).collect()}
+    assert got == {(1, 37): 1, (2, 3): 1, (2, 38): 1, (3, 3): 1, (4, 3): 4}
+    assert {x.doc_id for x in set_join.one_of_each(d).collect()} == {1, 4}
+
+
 def test_set_join_on_empty_and_null_rows(spark):
     assert set_join.set_components(empty(spark)).count() == 0
     d = spark.createDataFrame([(None, "a b c d e", "en", "s"), (1, None, "en", "s"), (2, "a b c d e", "en", "s"), (3, "a b c d e", "en", "s")], DOC)
