@@ -28,6 +28,7 @@ other columns are ignored. Ties of cosine go to the example that comes first in
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -43,32 +44,24 @@ from .common import chunked, documents_only, rows
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+BATCH = 16  # texts whose blocks are scored together
 
 
-def word_terms(w: str) -> list[int]:
-    """Signed 64-bit hashes of a lower-case word's terms."""
-    names = ["=" + w, *(w[:k] for k in (4, 6) if len(w) > k)]
-    hashes = (xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in names)
-    return [h - (1 << 64) if h >> 63 else h for h in hashes]
+def word_terms(w: str) -> list[str]:
+    """Terms of a lower-case word."""
+    return ["=" + w, *(w[:k] for k in (4, 6) if len(w) > k)]
 
 
-def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct term hashes of a whole text and their counts."""
-    ids: list[int] = []
-    times: list[int] = []
+def terms(text: str | None) -> tuple[list[str], list[int]]:
+    """Distinct terms of a whole text and their counts."""
+    out: Counter = Counter()
     for w, n in Counter(_LETTERS.findall((text or "").lower())).items():
-        t = word_terms(w)
-        ids += t
-        times += [n] * len(t)
-    return _summed(np.array(ids, np.int64), np.array(times, np.int64))
+        for t in word_terms(w):
+            out[t] += n
+    return list(out), list(out.values())
 
 
-def _summed(ids: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, at = np.unique(ids, return_inverse=True)
-    return distinct, np.bincount(at, weights=times, minlength=len(distinct)).astype(np.int64)
-
-
-Example = tuple[int, np.ndarray, np.ndarray, int]  # doc_id, term hashes, counts, label
+Example = tuple[int, "list[str] | pa.Array", "list[int] | np.ndarray", int]  # doc_id, terms, counts, label
 
 
 class Neighbours:
@@ -79,17 +72,19 @@ class Neighbours:
         self.n = n = len(examples)
         labels = np.array([y for *_, y in examples], np.int64)
         self.prior = float(labels.mean()) if n else 0.0
-        flat = np.concatenate([t for _, t, _, _ in examples]) if n else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(n), [len(t) for _, t, _, _ in examples])
-        self.vocabulary, at = np.unique(flat, return_inverse=True)
-        df = np.bincount(at, minlength=len(self.vocabulary))
-        toxic = np.bincount(at, weights=labels[owner], minlength=len(self.vocabulary))
-        self.weight = np.log((1 + n) / (1 + df)) * np.log2(2 + toxic / np.maximum(1, df - toxic))
+        flat = pa.concat_arrays([pa.array([], pa.string()), *(t if isinstance(t, pa.Array) else pa.array(t, pa.string()) for _, t, _, _ in examples)]).dictionary_encode()
+        at, sizes = flat.indices.to_numpy(), [len(c) for _, _, c, _ in examples]
+        owner = np.repeat(np.arange(n), sizes)
+        df = np.bincount(at, minlength=len(flat.dictionary))
+        toxic = np.bincount(at, weights=labels[owner], minlength=len(df))
         chosen = df >= least_df
-        self.vocabulary, self.weight = self.vocabulary[chosen], self.weight[chosen]
-        self._place = {h: i for i, h in enumerate(self.vocabulary.tolist())}
-        self._memo: dict[str, tuple[int, ...]] = {}
-        held = [self.vector(t, c) for _, t, c, _ in examples]
+        self.vocabulary = flat.dictionary.filter(pa.array(chosen)).to_pylist()
+        self.weight = (np.log((1 + n) / (1 + df)) * np.log2(2 + toxic / np.maximum(1, df - toxic)))[chosen]
+        self._place, self._memo = {w: i for i, w in enumerate(self.vocabulary)}, {}
+        place = np.where(chosen, np.cumsum(chosen) - 1, -1)[at]
+        held = []
+        for p, (_, _, c, _) in zip(np.split(place, np.cumsum(sizes)[:-1]), examples, strict=True) if n else ():
+            held.append(self._unit(p[p >= 0], np.asarray(c, np.int64)[p >= 0]))
         # examples that share their heaviest term stand together, so that blocks differ in their maxima
         heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in held]
         order = sorted(range(n), key=lambda i: (heaviest[i], i))
@@ -122,15 +117,7 @@ class Neighbours:
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._place, self._memo = {h: i for i, h in enumerate(self.vocabulary.tolist())}, {}
-
-    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary places and weights of a unit vector from sorted distinct term hashes."""
-        if not len(self.vocabulary):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == hashes
-        return self._unit(at[known], counts[known])
+        self._place, self._memo = {w: i for i, w in enumerate(self.vocabulary)}, {}
 
     def _unit(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weight[at]
@@ -140,70 +127,74 @@ class Neighbours:
     def vector_of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The same from a whole text, with a bounded memo of words."""
         memo, place = self._memo, self._place
-        if len(memo) > 100_000:
+        if len(memo) > 150_000:
             memo.clear()
-        ids: list[int] = []
-        times: list[int] = []
-        for w, n in Counter(_LETTERS.findall((text or "").lower())).items():
-            t = memo.get(w)
-            if t is None:
-                t = memo[w] = tuple(place[h] for h in word_terms(w) if h in place)
-            if t:
-                ids += t
-                times += [n] * len(t)
-        return self._unit(*_summed(np.array(ids, np.int64), np.array(times, np.int64)))
+        counts = Counter(_LETTERS.findall((text or "").lower()))
+        for w in itertools.filterfalse(memo.__contains__, counts):
+            memo[w] = tuple(place[t] for t in word_terms(w) if t in place)
+        known = [memo[w] for w in counts]
+        sizes = list(map(len, known))
+        ids = np.fromiter(itertools.chain.from_iterable(known), np.int64, sum(sizes))
+        times = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), sizes)
+        distinct, at = np.unique(ids, return_inverse=True)
+        return self._unit(distinct, np.bincount(at, weights=times, minlength=len(distinct)))
 
     def top(self, v: tuple[np.ndarray, np.ndarray], without: int = -1) -> list[tuple[float, int]]:
         """Exact k nearest examples by cosine, ties by example number."""
-        t, w = v
-        if not len(t) or not self.n:
-            return []
+        cos, at = self.top_many([v], None if without < 0 else [without])[0]
+        return list(zip(cos.tolist(), at.tolist(), strict=True))
+
+    def top_many(self, vs: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(cosines, example numbers) of top() for several queries, whose blocks are scored together."""
+        d, pad = len(vs), self.n_blocks * BLOCK
+        if not self.n:
+            return [(np.zeros(0), np.zeros(0, np.int64))] * d
+        doc = np.repeat(np.arange(d), [len(t) for t, _ in vs])
+        t, w = np.concatenate([t for t, _ in vs]), np.concatenate([w for _, w in vs])
         row = self.long[t]
         short = row < 0
         lo = self.starts[t[short]]
         size = self.starts[t[short] + 1] - lo
         entry = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
-        sums = np.bincount(self.lists[entry], weights=self.values[entry] * np.repeat(w[short], size), minlength=self.n_blocks * BLOCK)
-        if without >= 0:
-            sums[without] = -2.0
-        sums = sums.reshape(self.n_blocks, BLOCK)
-        asked = np.zeros(len(self.bounds), np.float32)
-        asked[row[~short]] = w[~short]
-        bound = sums.max(1) + asked @ self.bounds
-        order = np.argsort(-bound, kind="stable")
-        found_at, found = np.zeros(0, np.int64), np.zeros(0)
-        step, i = 4, 0
-        while i < len(order):
-            least = np.partition(found, len(found) - self.k)[len(found) - self.k] if len(found) >= self.k else 0.0
-            now = order[i : i + step]
-            now = now[bound[now] + 1e-6 >= least]
-            if not len(now):
-                break
-            self.scored += len(now)
-            cols = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            score = np.concatenate([sums[b] + asked @ self.rows[b] for b in now.tolist()])
-            found_at, found = np.concatenate([found_at, cols]), np.concatenate([found, score])
-            i += step
-            step *= 2
-        some = found > 0
-        found_at, found = found_at[some], found[some]
-        best = np.lexsort((found_at, -found))[: self.k]
-        return list(zip(found[best].tolist(), found_at[best].tolist(), strict=True))
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        total = sum(s for s, _ in near)
-        return (sum(s * int(self.labels[i]) for s, i in near) + self.prior * 0.1) / (total + 0.1)
+        sums = np.bincount(self.lists[entry] + np.repeat(doc[short] * pad, size), weights=self.values[entry] * np.repeat(w[short], size), minlength=d * pad)
+        if without is not None:
+            sums[np.arange(d) * pad + without] = -2.0
+        sums = sums.reshape(d, self.n_blocks, BLOCK)
+        asked = np.zeros((d, len(self.bounds)), np.float32)
+        asked[doc[~short], row[~short]] = w[~short]
+        bound = sums.max(2) + asked @ self.bounds
+        score = np.full((d, self.n_blocks, BLOCK), -1.0)
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :4], True, 1)
+        least = np.zeros(d)
+        for now in (first, ~first):
+            now &= bound + 1e-6 >= least[:, None]
+            self.scored += int(now.sum())
+            for b in np.flatnonzero(now.any(0)).tolist():
+                q = np.flatnonzero(now[:, b])
+                score[q, b] = sums[q, b] + asked[q] @ self.rows[b]
+            least = np.maximum(0.0, np.partition(score.reshape(d, pad), pad - min(self.k, pad), axis=1)[:, pad - min(self.k, pad)])
+        out = []
+        for s, x in zip(score.reshape(d, pad), least.tolist(), strict=True):
+            at = np.flatnonzero((s >= x) & (s > 0))
+            at = at[np.lexsort((at, -s[at]))[: self.k]]
+            out.append((s[at], at))
+        return out
+
+    def vote(self, cos: np.ndarray, at: np.ndarray) -> float:
+        return float(((cos * self.labels[at]).sum() + self.prior * 0.1) / (cos.sum() + 0.1))
 
     def _calibrate(self, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Isotonic fit of label on leave-one-out vote, and the rate of examples without neighbours."""
         self.cut, self.rate, self.bare = [0.0], [self.prior], self.prior
         pairs, bare = [], []
-        for i, v in enumerate(held):
-            near = self.top(v, i)
-            if near:
-                pairs.append((self.vote(near), int(self.labels[i])))
-            else:
-                bare.append(int(self.labels[i]))
+        for i in range(0, len(held), BATCH):
+            without = list(range(i, min(i + BATCH, len(held))))
+            for n, (cos, at) in zip(without, self.top_many(held[i : i + BATCH], without), strict=True):
+                if len(at):
+                    pairs.append((self.vote(cos, at), int(self.labels[n])))
+                else:
+                    bare.append(int(self.labels[n]))
         self.bare = (sum(bare) + self.prior) / (len(bare) + 1)
         pools = isotonic(pairs)
         if pools:
@@ -211,14 +202,22 @@ class Neighbours:
             self.rate = [(y + self.prior) / (m + 1) for _, y, m in pools]
         self.scored = 0
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.top(self.vector_of(text))
-        if not near:
-            return self.bare, []
-        vote = self.vote(near)
-        rate = float(np.interp(vote, self.cut, self.rate))
-        # the vote itself orders documents within a pool
-        return min(1.0, max(0.0, 0.95 * rate + 0.05 * vote)), near
+    def score_many(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, cosines and example numbers of each text's neighbours."""
+        out = []
+        for i in range(0, len(texts), BATCH):
+            for cos, at in self.top_many([self.vector_of(t) for t in texts[i : i + BATCH]]):
+                if not len(at):
+                    out.append((self.bare, cos, at))
+                    continue
+                vote = self.vote(cos, at)
+                rate = float(np.interp(vote, self.cut, self.rate))
+                # the vote itself orders documents within a pool
+                out.append((min(1.0, max(0.0, 0.95 * rate + 0.05 * vote)), cos, at))
+        return out
+
+    def score(self, text: str | None) -> float:
+        return self.score_many([text])[0][0]
 
 
 def isotonic(pairs: list[tuple[float, int]]) -> list[tuple[float, float, int]]:
@@ -250,25 +249,24 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, max_examples: int,
     got = docs.select("doc_id", text.alias("text")).join(ids, F.col("doc_id") == F.col("l_id")).select("h", "l_id", "y", "text")
 
     def shrink(batches):
-        schema = pa.schema([("h", pa.int64()), ("l_id", pa.int64()), ("y", pa.int32()), ("x", pa.int64()), ("t", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+        schema = pa.schema([("h", pa.int64()), ("l_id", pa.int64()), ("y", pa.int32()), ("x", pa.int64()), ("t", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
         def made():
             for h, d, yy, text in rows(batches, "h", "l_id", "y", "text"):
-                t, n = terms(text)
-                keep = np.sort(np.lexsort((t, -n))[:max_terms])
-                yield h, d, yy, xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1, t[keep], n[keep]
+                most = sorted(zip(*terms(text), strict=True), key=lambda x: (-x[1], x[0]))[:max_terms]
+                yield h, d, yy, xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1, [t for t, _ in most], [n for _, n in most]
 
         yield from chunked(made(), schema, 200)
 
-    shrunk = got.mapInArrow(shrink, "h long, l_id long, y int, x long, t array<long>, n array<long>")
+    shrunk = got.mapInArrow(shrink, "h long, l_id long, y int, x long, t array<string>, n array<long>")
     one = shrunk.groupBy("h", "l_id").agg(F.min_by(F.struct("y", "t", "n"), "x").alias("e")).select("h", "l_id", "e.*").toArrow()
     order = np.lexsort((one.column("l_id").to_numpy(), one.column("h").to_numpy()))
     one = one.take(pa.array(order)).combine_chunks()
     ids_, ys = one.column("l_id").to_pylist(), one.column("y").to_pylist()
-    return [(i, t.values.to_numpy(), n.values.to_numpy(), yy) for i, t, n, yy in zip(ids_, one.column("t"), one.column("n"), ys, strict=True)]
+    return [(i, t.values, n.values.to_numpy(), yy) for i, t, n, yy in zip(ids_, one.column("t"), one.column("n"), ys, strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 4000, max_terms: int = 3000, **settings) -> Neighbours:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = 2500, max_terms: int = 3000, **settings) -> Neighbours:
     """The index over held-in labelled rows, at most max_examples of them."""
     return Neighbours(examples(docs, labels, label, max_examples, max_terms), **settings)
 
@@ -279,18 +277,19 @@ _SCORED = "doc_id long, score double, neighbours array<struct<doc_id: long, cosi
 def score_documents(docs: DataFrame, model: Neighbours) -> DataFrame:
     """doc_id, score and neighbours (doc_id, cosine, label; nearest first) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("neighbours", near_type)])
+    near = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("neighbours", pa.list_(near))])
 
     def run(batches):
         m = shared.value
-
-        def made():
-            for d, text in rows(batches, "doc_id", "text"):
-                s, near = m.score(text)
-                yield d, s, [{"doc_id": int(m.doc_ids[i]), "cosine": c, "label": int(m.labels[i])} for c, i in near]
-
-        yield from chunked(made(), schema, 2000)
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                got = m.score_many(part.column("text").to_pylist())
+                at = np.concatenate([x for *_, x in got])
+                flat = pa.StructArray.from_arrays([pa.array(m.doc_ids[at]), pa.array(np.concatenate([c for _, c, _ in got])), pa.array(m.labels[at].astype(np.int32))], fields=list(near))
+                ends = np.concatenate([[0], np.cumsum([len(x) for *_, x in got])])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, *_ in got]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], schema=schema)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, _SCORED)
@@ -301,8 +300,8 @@ def without_toxic(docs: DataFrame, model: Neighbours, threshold: float = 0.5) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(text: pd.Series) -> pd.Series:
-        m = shared.value
-        return pd.Series([m.score(None if pd.isna(t) else t)[0] < threshold for t in text], dtype=bool)
+        got = shared.value.score_many([None if pd.isna(t) else t for t in text])
+        return pd.Series([s < threshold for s, *_ in got], dtype=bool)
 
     clean.__annotations__ = {"text": pd.Series, "return": pd.Series}
     return docs.where(F.pandas_udf(clean, "boolean")(F.col("text").cast("string")))
