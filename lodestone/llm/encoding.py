@@ -21,20 +21,23 @@ if sys.byteorder != "little":
 
 _MARKS = (".", ",", ";", "!", "?")
 
+# bytes as the characters that byte-level vocabularies write them in: visible Latin-1 characters
+# stand for themselves, the others for those from U+0100 on, in order
+_VISIBLE = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
 
 class Encoder:
     """text -> ids as little-endian bytes (uint16 where the vocabulary fits, else uint32)."""
 
     def __init__(self, path: str, spaces_count: bool, most: int = 300_000):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
         self._t.encode_special_tokens = True
-        # the same model for words of plain letters, which nothing normalises or splits
-        self._plain = Tokenizer.from_file(path)
-        self._plain.encode_special_tokens = True
-        self._plain.normalizer = None
-        self._plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # words of plain letters go to the model at once, as nothing normalises or splits them
+        self._model = self._t.model
+        self._letters = not any(any(c.isalpha() for c in t.content) and not t.special for t in self._t.get_added_tokens_decoder().values())
         self.dtype = np.dtype("<u2" if self._t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._spaces, self._most, self._memo, self._heads, self._once = spaces_count, most, {}, {}, set()
@@ -43,24 +46,18 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self._t.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _core(self, w: str) -> tuple[str, str]:
-        """A simple word without a mark at its end, and that mark; both are always split apart."""
-        core, mark = (w[:-1], w[-1]) if w[-1:] in _MARKS else (w, "")
-        if mark and not core.isalpha():
-            return w, ""
-        if not self._spaces:
-            if not core.isalpha() or max(core) >= "\u0130":  # beyond, lower case may hold marks
-                return w, ""
-            core = core.lower()
-        return core, mark
-
-    def _simple(self, w: str) -> bool:
-        """Letters below U+0130 only, and lower case where the vocabulary is."""
-        return w.isalpha() and max(w) < "\u0130" and (self._spaces or w.islower())
+    def _alone(self, w: str) -> bytes:
+        """Ids of a word that neither the normaliser nor the pre-tokeniser would change or split."""
+        shown = w if w.isascii() and w[0] != " " else w.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array(self._code, [t.id for t in self._model.tokenize(shown)]).tobytes()
 
     def _fill(self, new: set[str], lead: str) -> None:
-        """Adds words to the memo; a word with line feeds or a mark at its end is joined from its parts."""
-        memo = self._memo
+        """Adds words to the memo; a word with line feeds or a mark at its end is joined from its parts.
+
+        Words of letters below U+0130 are simple: beyond, lower case may hold marks. A mark at the
+        end of such a word is always split off.
+        """
+        memo, marks, alone = self._memo, self._marks, self._alone
         odd = [w for w in new if "\n" in w] if lead else []
         if odd:
             new.difference_update(odd)
@@ -69,21 +66,25 @@ class Encoder:
                 new.add(first)
                 new.update(map("\n".__add__, rest))
             new.difference_update(memo)
-        made = [(w, core, mark) for w, (core, mark) in zip(new, map(self._core, new), strict=True) if mark or core != w]
-        new.difference_update([w for w, _, _ in made])
-        new.update([core for _, core, _ in made])
-        new.difference_update(memo)
-        plain = list(filter(self._simple, new))
-        new.difference_update(plain)
-        for names, t in ((plain, self._plain), (list(new), self._t)):
-            for i in range(0, len(names), 20_000):
-                part = names[i : i + 20_000]
-                shown = [w if w[:1] == "\n" else lead + w for w in part] if lead else part
-                ids = [array(self._code, e.ids).tobytes() for e in t.encode_batch_fast(shown, add_special_tokens=False)]
-                memo.update(zip(part, ids, strict=True))
-        marks = self._marks
-        for w, core, mark in made:
-            memo[w] = memo[core] + marks[mark]
+        others, lower = [], not self._spaces
+        for w in new:
+            mark = w[-1:]
+            core = w[:-1] if mark in marks else w
+            if core.isalpha() and self._letters and (core.isascii() or max(core) < "\u0130"):
+                if lower:
+                    core = core.lower()
+                got = memo.get(core)
+                if got is None:
+                    got = memo[core] = alone(lead + core)
+                if core != w:
+                    memo[w] = got + marks[w[len(core) :]]
+            else:
+                others.append(w)
+        for i in range(0, len(others), 20_000):
+            part = others[i : i + 20_000]
+            shown = [w if w[:1] == "\n" else lead + w for w in part] if lead else part
+            ids = [array(self._code, e.ids).tobytes() for e in self._t.encode_batch_fast(shown, add_special_tokens=False)]
+            memo.update(zip(part, ids, strict=True))
         for w in odd:
             first, *rest = w.split("\n")
             memo[w] = memo[first] + b"".join(memo["\n" + x] for x in rest)
