@@ -1,13 +1,18 @@
-"""Hybrid retrieval for a whole set of queries at once: BM25, vectors, rank fusion and priors (R01-R32 but R09 and R23-R26, T01-T04).
+"""Hybrid retrieval for a whole set of queries at once: BM25, vectors, rank fusion and priors.
 
 Every function takes and returns DataFrames keyed by query_id and id, so a query set is one plan.
-Ties are broken by score rounded to nine digits, then id.
+Ties are broken by score rounded to nine digits, then id. Query sets are taken in blocks of bounded
+size: the two lists need the blocks on the driver, so they run small jobs while the plan is built.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,24 +26,94 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score")
     return scored.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < k)
 
 
+class Best:
+    """The k best (score rounded to nine digits, then least id) of each of n queries, fed in batches."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.ids = k, np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: a row per query, a column per id; -inf for no candidate."""
+        s = np.concatenate([self.scores, scores], 1)
+        i = np.concatenate([self.ids, np.broadcast_to(ids, scores.shape)], 1)
+        if s.shape[1] <= self.k:
+            self.scores, self.ids = s, i
+            return
+        r = -np.round(s, 9)
+        least = np.partition(r, self.k - 1, axis=1)[:, self.k - 1]
+        row, col = np.nonzero(r <= least[:, None])
+        order = np.lexsort((i[row, col], r[row, col], row))
+        row, col = row[order], col[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[nth < self.k].reshape(-1, self.k), col[nth < self.k].reshape(-1, self.k)
+        self.scores, self.ids = s[row, col], i[row, col]
+
+    def batch(self, query_ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+        row, col = np.nonzero(np.isfinite(self.scores))
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(self.ids[row, col]), pa.array(self.scores[row, col])], schema=schema)
+
+
+_FOUND = "query_id long, id long, score double"
+_FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+
 # --- lists ------------------------------------------------------------------------------------
-def bm25(items: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+def bm25(items: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, block: int = 2000) -> DataFrame:
     """query_id, id, score, rank0: best items (id, text) that share a token with a query (query_id, text).
 
-    Negative idf is replaced by ``floor`` times the mean idf of the vocabulary. Only postings of
-    query terms are joined to queries; document lengths and frequencies come from one token scan.
+    Negative idf is replaced by ``floor`` times the mean idf of the vocabulary. Document frequencies
+    come from one token scan. Then each block of at most ``block`` queries, with the idf of its
+    terms, goes to all tasks; a task scores its items as they stream by and keeps k per query.
     """
-    tf = items.select("id", F.explode(T.tokens("text")).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dl = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = items.agg(F.count(F.lit(1)).alias("n")).crossJoin(tf.agg(F.sum("tf").alias("total"))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-    raw = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg((floor * F.avg("raw")).alias("low"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw")).alias("idf"))
-    q = queries.select("query_id", F.explode(T.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = q.join(idf, "term").join(tf, "term").join(dl, "id")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return top_k(hits.groupBy("query_id", "id").agg(F.sum(part).alias("score")), k)
+    docs = items.select(F.col("id").cast("long").alias("id"), F.coalesce(T.tokens("text"), F.array().cast("array<string>")).alias("tokens"))
+    n = items.count()
+    seen = docs.select(F.posexplode(F.array_distinct("tokens")).alias("pos", "term"), F.size("tokens").alias("dl"))
+    df = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("pos") == 0, F.col("dl"))).alias("dl")).persist()
+    raw = F.log(F.lit(n + 0.5) - F.col("df")) - F.log(F.col("df") + 0.5)
+    stats = df.agg(F.sum("dl").alias("total"), F.avg(raw).alias("mean")).first()
+    avgdl, low = (stats["total"] or 0) / n if n else 0.0, floor * (stats["mean"] or 0.0)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce(T.tokens("text"), F.array().cast("array<string>")).alias("tokens"))
+    out = None
+    for rows in _blocks_of(asked, block):
+        counts = [Counter(r.tokens) for r in rows]
+        words = docs.sparkSession.createDataFrame([(w,) for w in sorted(set().union(*counts))], "term string")
+        idf = {r.term: low if r.raw < 0 else r.raw for r in df.join(F.broadcast(words), "term").select("term", raw.alias("raw")).collect()}
+        terms = sorted(idf)
+        place = {w: i for i, w in enumerate(terms)}
+        use = sorted((place[w], q, c * idf[w]) for q, cs in enumerate(counts) for w, c in cs.items() if w in place)
+        t, q, weight = (np.array(x) for x in zip(*use, strict=True)) if use else (np.zeros(0, np.int64),) * 3
+        starts = np.searchsorted(t, np.arange(len(terms) + 1))
+        ids = np.array([r.query_id for r in rows], np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast((ids, terms, starts, q.astype(np.int64), weight.astype(np.float64)))
+        part = docs.mapInArrow(_bm25_scan(shared, k, k1, b, avgdl), _FOUND)
+        out = part if out is None else out.unionAll(part)
+    df.unpersist()
+    return top_k(docs.sparkSession.createDataFrame([], _FOUND) if out is None else out, k)
+
+
+def _bm25_scan(shared, k: int, k1: float, b: float, avgdl: float):
+    def run(batches):
+        query_ids, terms, starts, q, weight = shared.value
+        best, words, n_q = Best(len(query_ids), k), pa.array(terms, pa.string()), len(query_ids)
+        for t in _slices(batches, max(1, 4_000_000 // max(1, n_q))):
+            ids, tokens = t.column("id").to_numpy(zero_copy_only=False), t.column("tokens")
+            size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+            term = pc.fill_null(pc.index_in(tokens.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(ids)), size)[term >= 0]
+            key, tf = np.unique(doc * max(1, len(terms)) + term[term >= 0], return_counts=True)
+            if not len(key):
+                continue
+            doc, term = key // len(terms), key % len(terms)
+            value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / avgdl))
+            n = starts[term + 1] - starts[term]
+            at = np.arange(n.sum()) + np.repeat(starts[term] - (np.cumsum(n) - n), n)
+            cell = np.repeat(doc, n) + q[at] * len(ids)
+            score = np.bincount(cell, weights=np.repeat(value, n) * weight[at], minlength=n_q * len(ids))
+            score[np.bincount(cell, minlength=len(score)) == 0] = -np.inf
+            best.add(ids, score.reshape(n_q, len(ids)))
+        yield best.batch(query_ids, _FOUND_ARROW)
+
+    return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000) -> DataFrame:
@@ -47,27 +122,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 20
     The query set is taken in blocks of at most ``block`` rows, each a matrix that goes to all
     tasks; a task keeps k rows per query, and one small shuffle picks the k best of all.
     """
-    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def scan(shared):
         def run(batches):
             ids_q, m = shared.value
-            best_s, best_i = np.full((len(ids_q), 0), 0.0), np.zeros((len(ids_q), 0), np.int64)
-            for t in batches:
-                ids = t.column("id").to_numpy(zero_copy_only=False)
-                if not len(ids):
-                    continue
-                e = _unit(t.column("embedding").to_pylist())
-                s = np.concatenate([best_s, m @ e.T], 1)
-                i = np.concatenate([best_i, np.tile(ids, (len(ids_q), 1))], 1)
-                order = np.stack([np.lexsort((i[r], -np.round(s[r], 9)))[:k] for r in range(len(ids_q))])
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids_q, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], schema=schema)
+            best = Best(len(ids_q), k)
+            for t in _slices(batches, 1000):
+                best.add(t.column("id").to_numpy(zero_copy_only=False), m @ _unit(t.column("embedding").to_pylist()).T)
+            yield best.batch(ids_q, _FOUND_ARROW)
 
         return run
 
-    return top_k(_scanned(vectors, queries, scan, "query_id long, id long, score double", block), k)
+    return top_k(_scanned(vectors, queries, scan, _FOUND, block), k)
 
 
 def similarities(vectors: DataFrame, queries: DataFrame, block: int = 2000, rows: int = 250) -> DataFrame:
@@ -136,23 +202,24 @@ def _slices(batches, rows: int):
             yield t.slice(i, rows)
 
 
+def _blocks_of(rows: DataFrame, block: int):
+    """Lists of at most ``block`` rows, fetched a partition at a time."""
+    held = []
+    for r in rows.toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def _scanned(vectors: DataFrame, queries: DataFrame, scan, schema: str, block: int) -> DataFrame:
     """Union of scan(broadcast of ids and unit vectors) over vectors, for blocks of queries."""
     spark = vectors.sparkSession
     out = None
-
-    def blocks():
-        held = []
-        for r in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
-            held.append(r)
-            if len(held) == block:
-                yield held
-                held = []
-        if held:
-            yield held
-
     slim = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding")
-    for rows in blocks():
+    for rows in _blocks_of(queries.where("embedding is not null").select("query_id", "embedding"), block):
         shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), _unit([r.embedding for r in rows])))
         part = slim.mapInArrow(scan(shared), schema)
         out = part if out is None else out.unionAll(part)
@@ -168,16 +235,26 @@ def rescope(ranked: DataFrame, items: DataFrame) -> DataFrame:
 
 
 # --- fusion -----------------------------------------------------------------------------------
-def fuse(lists: list[DataFrame], k: int) -> DataFrame:
-    """query_id, id, rrf: sum of 1 / (k + rank0 + 1) over ranked lists."""
-    both = lists[0].select("query_id", "id", "rank0")
-    for x in lists[1:]:
-        both = both.unionByName(x.select("query_id", "id", "rank0"))
-    return both.groupBy("query_id", "id").agg(F.sum(1.0 / (k + 1 + F.col("rank0"))).alias("rrf"))
+def anchors(items: DataFrame) -> DataFrame:
+    """k, ceiling, floor of rank fusion over items, as one row."""
+    k = F.greatest(F.lit(1), F.floor(F.col("n") / 5))
+    one = items.agg(F.count(F.lit(1)).alias("n")).select(k.cast("int").alias("k"))
+    return one.select("k", (F.lit(2.0) / (F.col("k") + 1)).alias("ceiling"), (F.lit(1.0) / (F.col("k") + 10)).alias("floor"))
+
 
+def fuse(lists: list[DataFrame], scale: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, id, rrf, score: sum of 1 / (k + rank0 + 1) over ranked lists, and that between the anchors of scale.
 
-def normalised(fused: DataFrame, floor: float, ceiling: float) -> DataFrame:
-    return fused.withColumn("score", (F.col("rrf") - floor) / (ceiling - floor))
+    With names, also the score of each list under its name, null where the list does not hold the id.
+    """
+    both = None
+    for i, x in enumerate(lists):
+        own = [(F.col("score") if i == j else F.lit(None).cast("double")).alias(n) for j, n in enumerate(names)]
+        x = x.select("query_id", "id", "rank0", *own)
+        both = x if both is None else both.unionByName(x)
+    j = both.crossJoin(F.broadcast(scale))  # one row
+    f = j.groupBy("query_id", "id").agg(F.sum(1.0 / (F.col("k") + 1 + F.col("rank0"))).alias("rrf"), F.first("ceiling").alias("ceiling"), F.first("floor").alias("floor"), *(F.max(n).alias(n) for n in names))
+    return f.select("query_id", "id", "rrf", ((F.col("rrf") - F.col("floor")) / (F.col("ceiling") - F.col("floor"))).alias("score"), *names)
 
 
 def abstain(fused: DataFrame, vector_list: DataFrame, least: float = 0.55) -> DataFrame:
@@ -287,15 +364,104 @@ def isolated_scope(items: DataFrame, item_tags: DataFrame, audit: DataFrame, rep
     return items.join(ties.where(F.col("repo").isin(isolated or [""])).select("id"), "id", "left_anti")
 
 
-def search(items: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, n_items: int, list_size: int = 10, top: int = 3, abstain_below: float = 0.55, min_top1: float = 0.40, item_tags: DataFrame | None = None, relevance: DataFrame | None = None, keep_parts: bool = False) -> DataFrame:
-    """The whole path: gate, two lists, abstention, fusion, normalisation, feedback, top-k, floor."""
-    k, hi, lo = T.anchors(n_items)
+@dataclass(frozen=True)
+class Settings:
+    """Thresholds and weights of search(); the defaults are those of a normal session."""
+
+    list_size: int = 10
+    top: int = 3
+    abstain_below: float = 0.55
+    min_top1: float = 0.40
+    floor: float | None = None
+    tag_weight: float = 0.25
+    tag_floor: float = 0.5
+    tag_miss: float = 0.20
+    tag_penalty: float = 0.0
+    feedback_weight: float = V.FEEDBACK_WEIGHT
+    recency: float = 0.003
+
+
+def tag_evidence(candidates: DataFrame, item_tags: DataFrame, prompt: DataFrame | None, tag_pairs: DataFrame | None, relevance: DataFrame | None, floor: float) -> DataFrame:
+    """query_id, id, asked, gain, near, avg_rel, evals: what the content tags of candidates say.
+
+    Each tag gets its best similarity to the query's prompt tags (gain: sum of squares above floor,
+    near: the best). Relevance is averaged over the tags from floor on if there are any, else over
+    all; tags without a score count as 0.
+    """
+    t = candidates.select("query_id", "id").join(item_tags.select(F.col("item_id").alias("id"), "tag"), "id")
+    if prompt is not None and tag_pairs is not None:
+        asked = prompt.groupBy("query_id").agg(F.collect_set("tag").alias("others"))
+        e = t.join(asked, "query_id", "left").select("query_id", "id", "tag", F.explode_outer("others").alias("other"))
+        e = e.join(tag_pairs.select("tag", "other", "sim"), ["tag", "other"], "left")
+        t = e.groupBy("query_id", "id", "tag").agg(F.max("sim").alias("b"), F.max(F.col("other").isNotNull()).alias("asked"))
+    else:
+        t = t.select("query_id", "id", "tag", F.lit(None).cast("double").alias("b"), F.lit(False).alias("asked"))
+    if relevance is not None:
+        t = t.join(relevance.select(F.col("item_id").alias("id"), "tag", F.col("score").alias("rel"), (F.col("positive_evals") + F.col("negative_evals")).alias("ev")), ["id", "tag"], "left")
+    else:
+        t = t.withColumns({"rel": F.lit(0.0), "ev": F.lit(0)})
+    hit = F.coalesce(F.col("b") >= floor, F.lit(False))
+    rel, ev, gain = F.coalesce("rel", F.lit(0.0)), F.coalesce("ev", F.lit(0)), F.greatest(F.lit(0.0), (F.coalesce("b", F.lit(0.0)) - floor) / (1 - floor))
+    hits = F.count_if(hit)
+    return t.groupBy("query_id", "id").agg(
+        F.max("asked").alias("asked"),
+        F.sum(gain * gain).alias("gain"),
+        F.max("b").alias("near"),
+        F.when(hits > 0, F.sum(F.when(hit, rel).otherwise(0.0)) / hits).otherwise(F.sum(rel) / F.count(F.lit(1))).alias("avg_rel"),
+        F.when(hits > 0, F.sum(F.when(hit, ev).otherwise(0))).otherwise(F.sum(ev)).alias("evals"),
+    )
+
+
+def search(items: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, item_tags: DataFrame | None = None, relevance: DataFrame | None = None, prompt: DataFrame | None = None, tag_pairs: DataFrame | None = None, now: Column | None = None, category: str | None = None, bridge: DataFrame | None = None, tags: list[str] | None = None, settings: Settings | None = None, diagnostics: bool = False) -> DataFrame:
+    """query_id, rank0, id, score of the whole path, for a set of queries.
+
+    Gate, two lists over items (id, text, category, refreshed_at; those in scope), abstention, fusion
+    between anchors, then one prior after another: the query's repository (column repo of queries),
+    closeness of content tags to prompt tags (prompt: query_id, tag; tag_pairs: tag, other, sim),
+    feedback over the tags that match, recency. Last come the filters by category (bridge: item_id,
+    path) and by required tags, the cut, the least best score and the floor. What is not given is
+    left out. diagnostics adds the nine parts of each score.
+    """
+    o = settings or Settings()
     asked = queries.where(T.low_information("text").isNull())
-    vec = rescope(nearest(vectors, query_vectors.join(asked.select("query_id"), "query_id", "left_semi"), list_size), items)
-    kw = bm25(items, asked, list_size)
-    scored = normalised(fuse([vec, kw], k), lo, hi)
-    scored = abstain(scored, vec, abstain_below)
-    if item_tags is not None and relevance is not None:
-        scored = feedback(scored, item_tags, relevance)
-    best = best_at_least(top_k(scored, top), min_top1)
-    return best if keep_parts else best.select("query_id", "rank0", "id", F.round("score", 4).alias("score"))
+    vec = rescope(nearest(vectors, query_vectors.join(asked.select("query_id"), "query_id", "left_semi"), o.list_size), items)
+    docs = items.select("id", F.concat_ws(" ", "text", *(["category"] if "category" in items.columns else [])).alias("text"))
+    kw = bm25(docs, asked, o.list_size)
+    c = fuse([vec, kw], anchors(items), ("vector_sim", "bm25"))
+    best_vector = F.max("vector_sim").over(Window.partitionBy("query_id"))
+    c = c.withColumn("_best", best_vector).where(F.col("_best").isNull() | (F.col("_best") >= o.abstain_below)).drop("_best", "rrf")
+    c = c.na.fill(0.0, ["vector_sim", "bm25"]).withColumnRenamed("score", "rrf_normalized")
+    zero = F.lit(0.0)
+    parts = {"repo_delta": zero, "feedback_delta": zero, "tag_affinity": zero, "best_tag_sim": zero, "tag_bonus": zero, "recency_multiplier": F.lit(1.0)}
+    c = c.withColumns(parts)
+    if relevance is not None and "repo" in queries.columns:
+        at = asked.where("repo is not null").select("query_id", F.concat(F.lit("repo:"), "repo").alias("tag"))
+        s = F.col("rel_score")
+        delta = F.when(s > 0, 0.05 * F.least(s, F.lit(1.0))).when(s <= 0, -0.08 * F.least(F.abs(s), F.lit(1.0)))
+        rel = relevance.where(F.col("positive_evals") + F.col("negative_evals") >= 3).select(F.col("item_id").alias("id"), "tag", F.col("score").alias("rel_score"))
+        c = c.join(at, "query_id", "left").join(rel, ["id", "tag"], "left").withColumn("repo_delta", F.coalesce(delta, zero)).drop("tag", "rel_score")
+    if item_tags is not None:
+        c = c.join(tag_evidence(c, item_tags, prompt, tag_pairs, relevance, o.tag_floor), ["query_id", "id"], "left")
+        if prompt is not None:
+            c = c.join(prompt.select("query_id", F.lit(True).alias("prompted")).distinct(), "query_id", "left")
+            miss = F.when(F.col("near") < o.tag_miss, o.tag_penalty).otherwise(0.0)
+            value = F.when(F.col("prompted").isNull(), zero).when(F.col("evals").isNull(), o.tag_penalty / 2).otherwise(o.tag_weight * F.coalesce("gain", zero) + miss)
+            c = c.withColumns({"tag_affinity": value, "best_tag_sim": F.coalesce("near", zero), "tag_bonus": F.coalesce("gain", zero)}).drop("prompted")
+        bad = (F.coalesce("evals", F.lit(0)) >= V.FEEDBACK_EVALUATIONS) & (F.coalesce("avg_rel", zero) < V.FEEDBACK_FLOOR)
+        c = c.where(~bad).withColumn("feedback_delta", o.feedback_weight * F.coalesce("avg_rel", zero)).drop("asked", "gain", "near", "avg_rel", "evals")
+    if now is not None:
+        fresh = items.select("id", T.recency("refreshed_at", F.lit(None).cast("timestamp"), now, o.recency).alias("fresh"))
+        c = c.join(fresh, "id", "left").withColumn("recency_multiplier", F.coalesce("fresh", F.lit(1.0))).drop("fresh")
+    c = c.withColumn("score", (F.col("rrf_normalized") + F.col("repo_delta") + F.col("tag_affinity") + F.col("feedback_delta")) * F.col("recency_multiplier"))
+    if category is not None:
+        linked = bridge if bridge is not None else items.select(F.col("id").alias("item_id"), F.col("category").alias("path"))
+        c = c.join(in_category(items, linked, category).select("id"), "id", "left_semi")
+    if tags:
+        c = c.join(with_all_tags(items, item_tags, [t.strip().lower() for t in tags]).select("id"), "id", "left_semi")
+    best = top_k(c, o.top)
+    w = Window.partitionBy("query_id")
+    best = best.withColumn("_best", F.max(F.round("score", 4)).over(w)).where(F.col("_best") >= o.min_top1).drop("_best")
+    if o.floor is not None:
+        best = best.where(F.round("score", 4) >= o.floor)
+    out = best.withColumn("score", F.round("score", 4))
+    return out.select("query_id", "rank0", "id", "score", *(["vector_sim", "bm25", "rrf_normalized", *parts] if diagnostics else []))

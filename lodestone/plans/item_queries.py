@@ -73,7 +73,7 @@ def vocabulary(spark, d):
     return files.tag_vocabulary(B.item_tags(spark, d), 2)
 
 
-@query("s22_export_markdown", "SELECT category, '## ' || category || chr(10) || string_agg('- ' || substr(text, 1, 40), chr(10) ORDER BY id) AS block FROM items WHERE NOT deprecated GROUP BY category")
+@query("s22_export_markdown", "SELECT category, '## ' || category || chr(10) || string_agg('- ' || text, chr(10) ORDER BY id) AS block FROM items WHERE NOT deprecated GROUP BY category")
 def export(spark, d):
     return files.export_markdown(B.items(spark, d).where("not deprecated").select("id", "category", "text"))
 
@@ -164,10 +164,13 @@ def servers(spark, d):
 
 
 # --- sets and upserts -----------------------------------------------------------------------------
-@query("u01_insert_or_ignore", "SELECT session_id, item_id, min(seq) AS seq FROM shown GROUP BY ALL")
+@query("u01_insert_or_ignore", """o AS (SELECT session_id, item_id, min(seq) + 1000000 AS seq FROM shown WHERE item_id % 3 = 0 GROUP BY ALL)
+SELECT session_id, item_id, seq FROM o UNION ALL SELECT session_id, item_id, min(seq) FROM shown WHERE item_id % 3 <> 0 GROUP BY ALL""")
 def insert(spark, d):
+    """A third of the pairs is known already, under other numbers: those stay."""
     s = B.shown(spark, d).select("session_id", "item_id", "seq")
-    return M.insert_or_ignore(s.limit(0), s, ["session_id", "item_id"], ["seq"])
+    known = s.where("item_id % 3 = 0").groupBy("session_id", "item_id").agg((F.min("seq") + 1000000).alias("seq"))
+    return M.insert_or_ignore(known, s, ["session_id", "item_id"], ["seq"])
 
 
 @query("u02_replace_tags", "SELECT item_id, tag FROM item_tags WHERE item_id NOT IN (SELECT item_id FROM ev) UNION SELECT item_id, tag FROM ev")
@@ -202,11 +205,19 @@ def matches(spark, d):
     return M.match_counts(empty.select("item_id", "repo", "times_matched", F.col("last_matched").cast(m.schema["ts"].dataType).alias("last_matched")), m)
 
 
-@query("m03_processed_sessions", "SELECT session_id, max(ts) AS processed_at, max((event_type = 'error')::INT)::INT AS had_friction, max(item_id) AS extracted, arg_max(CASE WHEN event_type = 'signup' THEN 't' || event_id END, CASE WHEN event_type = 'signup' THEN (ts, event_id) END) AS title FROM log GROUP BY session_id")
+@query("m03_processed_sessions", """n AS (SELECT session_id, max((ts, event_id)) AS at, max((event_type = 'error')::INT) AS fr, max(item_id) AS ex,
+  arg_max(CASE WHEN event_type = 'signup' THEN 't' || event_id END, CASE WHEN event_type = 'signup' THEN (ts, event_id) END) AS title FROM log WHERE event_id % 2 = 1 GROUP BY session_id),
+o AS (SELECT session_id, max((ts, event_id)) AS at, 2 AS fr, min(item_id) AS ex, 'old ' || session_id AS title FROM log WHERE event_id % 2 = 0 AND user_id % 2 = 0 GROUP BY session_id)
+SELECT session_id, greatest(coalesce(o.at, n.at), coalesce(n.at, o.at)).ts AS processed_at, greatest(coalesce(o.fr, 0), coalesce(n.fr, 0))::INT AS had_friction, greatest(coalesce(o.ex, n.ex), coalesce(n.ex, o.ex)) AS extracted,
+  CASE WHEN n.title IS NULL THEN o.title WHEN o.title IS NULL OR n.at > o.at THEN n.title ELSE o.title END AS title FROM o FULL JOIN n USING (session_id)""")
 def processed(spark, d):
+    """Sessions of even users were processed before, under an old title; the newest title that is known wins."""
     log = B.log(spark, d)
-    row = log.select("session_id", F.struct("ts", "event_id").alias("processed_at"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("had_friction"), F.col("item_id").alias("extracted"), F.when(F.col("event_type") == "signup", F.concat(F.lit("t"), F.col("event_id").cast("string"))).alias("title"))
-    return M.processed_sessions(row.limit(0), row).withColumn("processed_at", F.col("processed_at.ts"))
+    at = F.struct("ts", "event_id")
+    title = F.max_by(F.concat(F.lit("t"), F.col("event_id").cast("string")), F.when(F.col("event_type") == "signup", at))
+    new = log.where("event_id % 2 = 1").groupBy("session_id").agg(F.max(at).alias("processed_at"), F.max((F.col("event_type") == "error").cast("int")).alias("had_friction"), F.max("item_id").alias("extracted"), title.alias("title"))
+    old = log.where("event_id % 2 = 0 and user_id % 2 = 0").groupBy("session_id").agg(F.max(at).alias("processed_at"), F.lit(2).alias("had_friction"), F.min("item_id").alias("extracted")).withColumn("title", F.concat(F.lit("old "), "session_id"))
+    return M.processed_sessions(old, new).withColumn("processed_at", F.col("processed_at.ts"))
 
 
 @query("m04_occurrence_bump", """s AS (SELECT item_id AS id, session_id, min(seq) AS seq FROM shown GROUP BY ALL),
@@ -217,9 +228,13 @@ def bump(spark, d):
     return M.occurrence_bump(B.items(spark, d), seen).select("id", "occurrence_count")
 
 
-@query("m05_first_shown", "SELECT session_id, item_id, min(shown_at) AS shown_at FROM shown GROUP BY ALL")
+@query("m05_first_shown", """o AS (SELECT session_id, item_id, 'before' AS hook_event FROM shown WHERE item_id % 4 = 0 GROUP BY ALL)
+SELECT session_id, item_id, hook_event FROM o UNION ALL SELECT DISTINCT session_id, item_id, 'view' FROM shown WHERE item_id % 4 <> 0""")
 def first_shown(spark, d):
-    return B.shown(spark, d).groupBy("session_id", "item_id").agg(F.min("shown_at").alias("shown_at"))
+    """What a session has been shown before keeps its first record."""
+    s = B.shown(spark, d).select("session_id", "item_id", "hook_event", "seq")
+    known = s.where("item_id % 4 = 0").select("session_id", "item_id", F.lit("before").alias("hook_event"), F.lit(0).cast("long").alias("seq")).distinct()
+    return M.insert_or_ignore(known, s, ["session_id", "item_id"], ["seq"]).select("session_id", "item_id", "hook_event")
 
 
 @query("m06_latest_audit", "SELECT session_id, max(ts) AS ts FROM log GROUP BY session_id")
@@ -265,7 +280,7 @@ def backfill(spark, d):
     return M.missing_repo_tags(B.items(spark, d), B.audit(spark, d), B.item_tags(spark, d))
 
 
-@query("j20_log_texts", "SELECT event_id AS id, 0::INT AS pos, l.item_id, coalesce(substr(i.text, 1, 20), '<deleted>') AS text FROM log l LEFT JOIN items i ON i.id = l.item_id AND NOT i.deprecated")
+@query("j20_log_texts", "SELECT event_id AS id, 0::INT AS pos, l.item_id, coalesce(i.text, '<deleted>') AS text FROM log l LEFT JOIN items i ON i.id = l.item_id AND NOT i.deprecated")
 def log_texts(spark, d):
     log = B.log(spark, d).select(F.col("event_id").alias("id"), F.array("item_id").alias("item_ids"))
     live = B.items(spark, d).where("not deprecated").select("id", "text")
@@ -339,14 +354,19 @@ def survivors(spark, d):
     return _map(spark, d)[1].select("survivor", "absorbed")
 
 
-@query("m12_merge_items", _MAP + """SELECT i.id, (CASE WHEN i.id IN (SELECT survivor FROM mp) THEN (SELECT sum(o.occurrence_count) FROM g o WHERE o.survivor = i.id) ELSE i.occurrence_count END)::INT AS occurrence_count,
+@query("m12_merge_items", _MAP + """, ss AS (SELECT o.survivor AS id, list(source_session ORDER BY (k.id <> o.survivor), k.id) AS l FROM items k JOIN g o USING (id) WHERE o.n > 1 GROUP BY 1),
+sf AS (SELECT id, list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i]) AS l FROM ss)
+SELECT i.id, (CASE WHEN i.id IN (SELECT survivor FROM mp) THEN (SELECT sum(o.occurrence_count) FROM g o WHERE o.survivor = i.id) ELSE i.occurrence_count END)::INT AS occurrence_count,
 (CASE WHEN i.id IN (SELECT survivor FROM mp) THEN (SELECT max(k.refreshed_s) FROM items k JOIN g o USING (id) WHERE o.survivor = i.id) ELSE i.refreshed_s END)::BIGINT AS refreshed_s,
-i.deprecated OR i.id IN (SELECT absorbed FROM mp) AS deprecated, i.dedup_verified AND i.id NOT IN (SELECT survivor FROM mp) AS dedup_verified FROM items i""")
+i.deprecated OR i.id IN (SELECT absorbed FROM mp) AS deprecated, i.dedup_verified AND i.id NOT IN (SELECT survivor FROM mp) AS dedup_verified,
+CASE WHEN i.id IN (SELECT survivor FROM mp) AND i.id % 2 = 0 THEN 'merged ' || i.id ELSE i.text END AS text, array_to_string(coalesce(sf.l, [i.source_session]), ',') AS sessions FROM items i LEFT JOIN sf USING (id)""")
 def merged(spark, d):
+    """Survivors with even ids get a new text; all get the sessions of their group."""
     i, m = _map(spark, d)
     m = m.select("survivor", "absorbed")
-    out = D.merge_items(i, m, spark.createDataFrame([], "survivor long, canonical_text string"))
-    return out.select("id", "occurrence_count", F.unix_timestamp("refreshed_at").alias("refreshed_s"), "deprecated", "dedup_verified")
+    texts = m.where("survivor % 2 = 0").select("survivor", F.concat(F.lit("merged "), F.col("survivor").cast("string")).alias("canonical_text")).distinct()
+    out = D.merge_items(i, m, texts)
+    return out.select("id", "occurrence_count", F.unix_timestamp("refreshed_at").alias("refreshed_s"), "deprecated", "dedup_verified", "text", F.array_join("source_sessions", ",").alias("sessions"))
 
 
 @query("u04_merge_tags", _MAP + "SELECT DISTINCT coalesce(survivor, item_id) AS item_id, tag FROM item_tags LEFT JOIN mp ON absorbed = item_id")
@@ -403,10 +423,9 @@ def curated(spark, d):
 @query("j15_unmerged_pairs", """c AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.e, b.e) / (a.norm * b.norm) AS s FROM vn a, vn b WHERE a.id < b.id),
 o AS (SELECT a, b, s FROM c WHERE round(s, 9) >= 0.3),
 k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(s, 9) DESC, y) - 1 AS r FROM (SELECT a AS x, b AS y, s FROM o UNION ALL SELECT b, a, s FROM o))
-SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b, round(s, 6) AS similarity FROM k WHERE r < 8 ORDER BY 3 DESC, 1, 2 LIMIT 25""")
+SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b, round(s, 6) AS similarity FROM k WHERE r < 8 AND (x + y) % 3 <> 0 ORDER BY 3 DESC, 1, 2 LIMIT 25""")
 def unmerged(spark, d):
+    """A third of the pairs has been merged already, in either direction."""
     p = D.self_candidates(B.vectors(spark, d), 0.3).select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), F.round("similarity", 6).alias("similarity")).distinct()
-    none = spark.createDataFrame([], "survivor long, absorbed long")
-    return D.unmerged_pairs(p, none, 25)
-
-
+    merged = p.where("(a + b) % 3 = 0").select(F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("survivor"), F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("absorbed"))
+    return D.unmerged_pairs(p, merged, 25)

@@ -12,7 +12,7 @@ _MODULES = (search_queries, item_queries, feedback_queries, report_queries, tran
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_queries.QUERIES["r_hybrid_search"](spark, sf_dir)
+    return search_queries.QUERIES["r_full_search"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

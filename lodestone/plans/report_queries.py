@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -118,25 +120,30 @@ def metrics(spark, d):
     return _rounded(E.retrieval_metrics(S.top_k(SQ._fused(spark, d)[2], 3), _labels(spark, d)))
 
 
+#: 1440 configurations: 8 tag weights, 6 repository weights, 6 abstention and 5 least best scores.
+_W_TAG, _W_REPO = [0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.35, 0.5], [0.0, 0.05, 0.1, 0.2, 0.5, 1.0]
+_ABSTAIN, _MIN_TOP1 = [0.0, 0.2, 0.25, 0.3, 0.55, 1.0], [0.0, 0.1, 0.3, 0.4, 0.6]
+
+
 def _configs(spark):
-    rows = [(i * 9 + j * 3 + k, wt, wr, ab) for i, wt in enumerate((0.0, 0.1, 0.25, 0.5)) for j, wr in enumerate((0.0, 0.05, 0.2)) for k, ab in enumerate((0.0, 0.3, 1.0))]
-    return spark.createDataFrame([(*r, 0.4) for r in rows], "config_id long, w_tag double, w_repo double, abstain double, min_top1 double")
+    rows = itertools.product(enumerate(_W_TAG), enumerate(_W_REPO), enumerate(_ABSTAIN), enumerate(_MIN_TOP1))
+    return spark.createDataFrame([(i * 180 + j * 30 + k * 5 + m, a, b, c, e) for (i, a), (j, b), (k, c), (m, e) in rows], "config_id long, w_tag double, w_repo double, abstain double, min_top1 double")
 
 
-_SWEEP = """cf AS (SELECT (i * 9 + j * 3 + k)::BIGINT AS config_id, [0.0, 0.1, 0.25, 0.5][i + 1]::DOUBLE AS w_tag, [0.0, 0.05, 0.2][j + 1]::DOUBLE AS w_repo, [0.0, 0.3, 1.0][k + 1]::DOUBLE AS ab
-  FROM (SELECT unnest(range(4)) AS i), (SELECT unnest(range(3)) AS j), (SELECT unnest(range(3)) AS k)),
+_SWEEP = f"""cf AS (SELECT (i * 180 + j * 30 + k * 5 + m)::BIGINT AS config_id, {_W_TAG}[i + 1]::DOUBLE AS w_tag, {_W_REPO}[j + 1]::DOUBLE AS w_repo, {_ABSTAIN}[k + 1]::DOUBLE AS ab, {_MIN_TOP1}[m + 1]::DOUBLE AS mt
+  FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(6)) AS j), (SELECT unnest(range(6)) AS k), (SELECT unnest(range(5)) AS m)),
 vb AS (SELECT query_id, max(score) AS vec_best FROM vl GROUP BY query_id),
 pt AS (SELECT query_id, id, f.score AS base, coalesce(r.score, 0) AS tag, coalesce(CASE WHEN c.score > 0 THEN 0.05 * least(c.score, 1) WHEN c.score < 0 THEN -0.08 * least(abs(c.score), 1) ELSE 0 END, 0) AS repo, vec_best
   FROM fused f LEFT JOIN vb USING (query_id) LEFT JOIN (SELECT * FROM rel WHERE tag = 'view') r ON r.item_id = id LEFT JOIN (SELECT * FROM rel WHERE tag = 'click' AND pos + neg >= 3) c ON c.item_id = id),
-sc AS (SELECT config_id, query_id, id, base + w_tag * tag + w_repo * repo AS score FROM pt, cf WHERE vec_best IS NULL OR vec_best >= ab),
+sc AS (SELECT config_id, mt, query_id, id, base + w_tag * tag + w_repo * repo AS score FROM pt, cf WHERE vec_best IS NULL OR vec_best >= ab),
 rk AS (SELECT *, row_number() OVER (PARTITION BY config_id, query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank0, max(score) OVER (PARTITION BY config_id, query_id) AS b FROM sc),
-sw AS (SELECT * FROM rk WHERE rank0 < 3 AND b >= 0.4)
+sw AS (SELECT * FROM rk WHERE rank0 < 3 AND b >= mt)
 """
 
 
 @query("e07_sweep", _LABELS + ", " + _SWEEP + ", " + _metrics_sql("sw", "config_id"))
 def sweep(spark, d):
-    """36 configurations over all questions, re-scored from parts computed once."""
+    """1440 configurations over all questions, re-scored from parts computed once."""
     _, vec, fused = SQ._fused(spark, d)
     rel = _rel(spark, d)
     best = vec.groupBy("query_id").agg(F.max("score").alias("vec_best"))
@@ -153,8 +160,8 @@ def best_configs(spark, d):
 @query("e08_ablation", _LABELS + """, x AS (SELECT 'keyword' AS preset, query_id, id, score, rank0 FROM kw UNION ALL SELECT 'vector', query_id, id, score, rank0 FROM vl
 UNION ALL SELECT 'fused', query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 FROM fused), """ + _metrics_sql("x", "preset"))
 def ablation(spark, d):
-    _, kw, vec = SQ._lists(spark, d)
-    fused = S.top_k(SQ._fused(spark, d)[2], 1 << 30)
+    items, kw, vec = SQ._lists(spark, d)
+    fused = S.top_k(SQ._fused_of(items, kw, vec), 20)  # two lists of ten
     r = None
     for name, x in (("keyword", kw), ("vector", vec), ("fused", fused)):
         p = x.select(F.lit(name).alias("preset"), "query_id", "id", "score", "rank0")
@@ -220,13 +227,16 @@ def tiers(spark, d):
     return y.groupBy(F.when(F.col("total") == 0, "none").when(F.col("positive") >= F.col("total") * 0.5, "high").otherwise("low").alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a28_similarity_summary", "c AS (SELECT round(list_inner_product(a.e, b.e) / (a.norm * b.norm), 9) AS s FROM questions p JOIN vn a ON a.id = p.query_id, vn b WHERE a.id <> b.id) SELECT round(avg(s), 6) AS mean_sim, round(max(s), 6) AS max_sim, count(*) FILTER (s >= 0.3)::BIGINT AS n_above FROM c")
+_PAIRS = "c AS (SELECT a.id AS a, b.id AS b, round(list_inner_product(a.e, b.e) / (a.norm * b.norm), 9) AS s FROM vn a, vn b WHERE a.id < b.id) "
+
+
+@query("a28_similarity_summary", _PAIRS + "SELECT round(avg(s), 6) AS mean_sim, round(max(s), 6) AS max_sim, count(*) FILTER (s >= 0.3)::BIGINT AS n_above FROM c")
 def distribution(spark, d):
     """Over all pairs a < b of vectors."""
     return E.similarity_summary(S.pair_parts(B.vectors(spark, d), 0.3)).withColumn("mean_sim", F.round("mean_sim", 6)).withColumn("max_sim", F.round("max_sim", 6))
 
 
-@query("a28_top_pairs")
+@query("a28_top_pairs", _PAIRS + "SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.3 ORDER BY s DESC, a, b LIMIT 10")
 def top_pairs(spark, d):
     return E.top_pairs(S.pair_parts(B.vectors(spark, d), 0.3), 10).select("a", "b", F.round("similarity", 6).alias("similarity"))
 

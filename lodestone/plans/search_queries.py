@@ -34,10 +34,13 @@ def _lists(spark, d):
     return items, kw, vec
 
 
+def _fused_of(items, kw, vec):
+    return S.fuse([vec, kw], S.anchors(items))
+
+
 def _fused(spark, d):
     items, kw, vec = _lists(spark, d)
-    k, hi, lo = T.anchors(items.count())
-    return items, vec, S.normalised(S.fuse([vec, kw], k), lo, hi)
+    return items, vec, _fused_of(items, kw, vec)
 
 
 @query("r04_bm25_topk", "SELECT query_id, rank0::INT AS rank0, id, round(score, 6) AS score FROM kw")
@@ -63,16 +66,15 @@ def fusion(spark, d):
 _BEST = """best AS (SELECT query_id FROM vl GROUP BY query_id HAVING max(score) < 0.55),
 fb AS (SELECT t.item_id AS id, sum(coalesce(r.score, 0)) / count(*) AS a, sum(coalesce(r.pos + r.neg, 0)) AS n FROM item_tags t LEFT JOIN rel r USING (item_id, tag) GROUP BY t.item_id),
 s AS (SELECT query_id, id, score + 0.2 * coalesce(a, 0) AS score FROM fused LEFT JOIN fb USING (id) WHERE query_id NOT IN (SELECT query_id FROM best) AND NOT (coalesce(n, 0) >= 3 AND coalesce(a, 0) < -0.1)),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank0, max(score) OVER (PARTITION BY query_id) AS b FROM s) WHERE rank0 < 3 AND b >= 0.4)
-SELECT query_id, rank0::INT AS rank0, id, round(score, 6) AS score FROM t"""
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank0, max(score) OVER (PARTITION BY query_id) AS b FROM s) WHERE rank0 < 3 AND round(b, 4) >= 0.4)
+SELECT query_id, rank0::INT AS rank0, id, round(score, 4) AS score FROM t"""
 
 
 @query("r_hybrid_search", _BEST)
 def hybrid(spark, d):
-    """The flagship: all benchmark questions through the whole path."""
-    items = B.items(spark, d)
-    out = S.search(_docs(spark, d), B.questions(spark, d), B.vectors(spark, d), B.question_vectors(spark, d), items.count(), item_tags=B.item_tags(spark, d), relevance=fb.relevance(B.verdict_events(spark, d)), keep_parts=True)
-    return out.select("query_id", "rank0", "id", F.round("score", 6).alias("score"))
+    """All benchmark questions through lists, fusion and feedback."""
+    rel = fb.relevance(B.verdict_events(spark, d))
+    return S.search(B.items(spark, d), B.questions(spark, d), B.vectors(spark, d), B.question_vectors(spark, d), B.item_tags(spark, d), rel).select("query_id", "rank0", "id", "score")
 
 
 @query("r05_abstain", "SELECT query_id, count(*)::BIGINT AS n FROM fused WHERE query_id NOT IN (SELECT query_id FROM vl GROUP BY query_id HAVING max(score) < 0.55) GROUP BY query_id")
@@ -132,13 +134,85 @@ g AS (SELECT query_id, id, sum(pow(greatest(0, (b - 0.5) / 0.5), 2)) AS g, max(b
 SELECT c.query_id, c.id, round(CASE WHEN it.tag IS NULL THEN -0.05 WHEN coalesce(n, 0) < 0.2 THEN -0.1 ELSE 0.25 * g END, 6) AS affinity FROM c LEFT JOIN it USING (id) LEFT JOIN g USING (query_id, id)""")
 def affinities(spark, d):
     tags, prompt = _prompt_tags(spark, d)
-    a, b = tags.select("tag", F.col("embedding").alias("ea")), tags.select(F.col("tag").alias("other"), F.col("embedding").alias("eb"))
-    pairs = a.crossJoin(F.broadcast(b)).select("tag", "other", T.cosine("ea", "eb").alias("sim"))
+    pairs = _pairs(tags)
     own = B.vectors(spark, d).select(F.col("id").alias("item_id"), F.concat(F.lit("label"), F.col("label").cast("string")).alias("tag"))
     out = S.affinity(_fused(spark, d)[2], own, prompt, pairs, penalty=-0.1)
     return out.select("query_id", "id", F.round("affinity", 6).alias("affinity"))
 
 
+def _pairs(tags):
+    a, b = tags.select("tag", F.col("embedding").alias("ea")), tags.select(F.col("tag").alias("other"), F.col("embedding").alias("eb"))
+    return a.crossJoin(F.broadcast(b)).select("tag", "other", T.cosine("ea", "eb").alias("sim"))
+
+
+_FULL = _TAGV + """, p3 AS (SELECT query_id, tag FROM pt WHERE rank0 < 3),
+it AS (SELECT id, 'label' || label AS tag FROM vec),
+pr AS (SELECT a.tag, b.tag AS other, list_inner_product(a.e, b.e) / (a.norm * b.norm) AS sim FROM tn a, tn b),
+rel2 AS (SELECT item_id, tag, sum(0.3 * raw * pow(0.7, n)) AS score, count(*) FILTER (raw > 0) AS pos, count(*) FILTER (raw < 0) AS neg FROM (SELECT *, row_number() OVER (PARTITION BY item_id, tag ORDER BY seq DESC) - 1 AS n
+  FROM (SELECT item_id, 'label' || label AS tag, value / 250.0 - 1.0 AS raw, event_id AS seq FROM log JOIN vec ON vec.id = item_id UNION ALL SELECT item_id, 'repo:src' || (user_id % 3), value / 250.0 - 1.0, event_id FROM log)) GROUP BY item_id, tag),
+c0 AS (SELECT f.query_id, f.id, f.score AS rrf, coalesce(v.score, 0) AS vector_sim, coalesce(k.score, 0) AS bm25,
+  coalesce(CASE WHEN r.pos + r.neg >= 3 THEN CASE WHEN r.score > 0 THEN 0.05 * least(r.score, 1) ELSE -0.08 * least(abs(r.score), 1) END END, 0) AS repo_delta
+  FROM fused f LEFT JOIN vl v USING (query_id, id) LEFT JOIN kw k USING (query_id, id) LEFT JOIN rel2 r ON r.item_id = f.id AND r.tag = 'repo:src' || (f.query_id % 3)
+  WHERE f.query_id NOT IN (SELECT query_id FROM vl GROUP BY query_id HAVING max(score) < 0.2)),
+tb AS (SELECT c0.query_id, c0.id, it.tag, max(sim) AS b FROM c0 JOIN it USING (id) JOIN p3 USING (query_id) JOIN pr ON pr.tag = it.tag AND pr.other = p3.tag GROUP BY ALL),
+tg2 AS (SELECT query_id, id, sum(pow(greatest(0, (b - 0.5) / 0.5), 2)) AS g, max(b) AS m FROM tb GROUP BY ALL),
+ft AS (SELECT c0.query_id, c0.id, it.tag, tb.b >= 0.5 AS hit FROM c0 JOIN it USING (id) LEFT JOIN tb ON tb.query_id = c0.query_id AND tb.id = c0.id AND tb.tag = it.tag),
+fs AS (SELECT query_id, id, CASE WHEN count(*) FILTER (hit) > 0 THEN coalesce(sum(score) FILTER (hit), 0) / count(*) FILTER (hit) ELSE coalesce(sum(score), 0) / count(*) END AS a,
+  CASE WHEN count(*) FILTER (hit) > 0 THEN coalesce(sum(pos + neg) FILTER (hit), 0) ELSE coalesce(sum(pos + neg), 0) END AS n FROM ft LEFT JOIN rel2 ON item_id = id AND rel2.tag = ft.tag GROUP BY query_id, id),
+c1 AS (SELECT c0.*, CASE WHEN query_id NOT IN (SELECT query_id FROM p3) THEN 0 WHEN m IS NOT NULL THEN 0.25 * g + CASE WHEN m < 0.2 THEN -0.1 ELSE 0 END WHEN id NOT IN (SELECT id FROM it) THEN -0.05 ELSE 0 END AS tag_affinity,
+  coalesce(m, 0) AS best_tag_sim, coalesce(g, 0) AS tag_bonus, 0.2 * coalesce(a, 0) AS feedback_delta, 1 / (1 + 0.003 * greatest((1735689600 - refreshed_s) / 86400.0, 0)) AS recency_multiplier, category
+  FROM c0 LEFT JOIN tg2 USING (query_id, id) LEFT JOIN fs USING (query_id, id) JOIN items USING (id) WHERE NOT (coalesce(n, 0) >= 3 AND coalesce(a, 0) < -0.1)),
+c2 AS (SELECT *, (rrf + repo_delta + tag_affinity + feedback_delta) * recency_multiplier AS score FROM c1)
+"""
+_SHOWN = "query_id, rank0::INT AS rank0, id, round(score, 4) AS score"
+_NINE = ", ".join(f"round({c}, 4) AS {n}" for c, n in [(x, x) for x in ("vector_sim", "bm25")] + [("rrf", "rrf_normalized")] + [(x, x) for x in ("repo_delta", "feedback_delta", "tag_affinity", "best_tag_sim", "tag_bonus", "recency_multiplier")])
+
+
+def _cut(top, least, where="true", floor=-9):
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank0, max(round(score, 4)) OVER (PARTITION BY query_id) AS b FROM c2 WHERE {where}) WHERE rank0 < {top} AND b >= {least} AND round(score, 4) >= {floor}"""
+
+
+def _full(spark, d, repo=True, diagnostics=False, **more):
+    """search() with everything it can use: repositories, content tags, feedback, recency."""
+    tags, prompt = _prompt_tags(spark, d)
+    label = F.concat(F.lit("label"), F.col("label").cast("string"))
+    own = B.vectors(spark, d).select(F.col("id").alias("item_id"), label.alias("tag"))
+    log = B.log(spark, d).select("item_id", "user_id", (F.col("value") / 250.0 - 1.0).alias("raw"), F.lit(1.0).alias("weight"), F.col("event_id").alias("seq"))
+    events = log.join(own, "item_id").select("item_id", "tag", "raw", "weight", "seq").unionByName(log.select("item_id", F.concat(F.lit("repo:src"), (F.col("user_id") % 3).cast("string")).alias("tag"), "raw", "weight", "seq"))
+    q = B.questions(spark, d)
+    if repo:
+        q = q.withColumn("repo", F.concat(F.lit("src"), (F.col("query_id") % 3).cast("string")))
+    return S.search(B.items(spark, d), q, B.vectors(spark, d), B.question_vectors(spark, d), own, fb.relevance(events), prompt, _pairs(tags), F.timestamp_seconds(F.lit(1735689600)), diagnostics=diagnostics, **more)
+
+
+@query("r_full_search", _FULL + f", t AS ({_cut(3, 0.05)}) SELECT {_SHOWN}, {_NINE} FROM t")
+def full(spark, d):
+    """The flagship: every step of the path (R01-R15, R17), with the nine parts of each score."""
+    out = _full(spark, d, diagnostics=True, settings=S.Settings(abstain_below=0.2, min_top1=0.05, tag_penalty=-0.1))
+    return out.select("query_id", "rank0", "id", "score", *(F.round(c, 4).alias(c) for c in out.columns[4:]))
+
+
+@query("r16_hook_floor", _FULL + f", t AS ({_cut(3, 0.05, floor=0.2)}) SELECT {_SHOWN} FROM t")
+def floored(spark, d):
+    return _full(spark, d, settings=S.Settings(abstain_below=0.2, min_top1=0.05, floor=0.2, tag_penalty=-0.1))
+
+
+_INTERACTIVE = _FULL.replace("r.pos + r.neg >= 3", "false")
+
+
+@query("r27_interactive", _INTERACTIVE + f""", t AS ({_cut(5, -9, "(category LIKE 'en%' OR id IN (SELECT id FROM items WHERE category LIKE 'en%')) AND id IN (SELECT id FROM it WHERE tag = 'label1')")}) SELECT {_SHOWN} FROM t""")
+def interactive(spark, d):
+    """No repository; filters by category and by required tags (R14), five results."""
+    return _full(spark, d, repo=False, category="en", tags=["Label1 "], settings=S.Settings(top=5, abstain_below=0.2, min_top1=-9.0, tag_penalty=-0.1))
+
+
+@query("r28_tool_server", _FULL + f""", t AS ({_cut(5, 0.05)}) SELECT {_SHOWN} FROM t WHERE id IN (SELECT item_id FROM item_tags WHERE tag = 'en')""")
+def tool_server(spark, d):
+    """The search as it is, with the tag filter after the cut."""
+    found = _full(spark, d, settings=S.Settings(top=5, abstain_below=0.2, min_top1=0.05, tag_penalty=-0.1))
+    return found.join(S.with_all_tags(B.items(spark, d), B.item_tags(spark, d), ["en"]).select("id"), "id", "left_semi").select("query_id", "rank0", "id", "score")
+
+
 @query("r12_feedback", """fb AS (SELECT t.item_id AS id, sum(coalesce(r.score, 0)) / count(*) AS a, sum(coalesce(r.pos + r.neg, 0)) AS n FROM (SELECT DISTINCT item_id, tag FROM ev) t LEFT JOIN rel r USING (item_id, tag) GROUP BY t.item_id)
 SELECT query_id, id, round(score + 0.2 * coalesce(a, 0), 6) AS score FROM fused LEFT JOIN fb USING (id) WHERE NOT (coalesce(n, 0) >= 3 AND coalesce(a, 0) < -0.1)""")
 def fed_back(spark, d):
@@ -188,8 +262,8 @@ def pinned(spark, d):
 
 @query("r17_diagnostics", "SELECT f.query_id, f.id, v.rank0::INT AS vector_rank, k.rank0::INT AS keyword_rank, round(v.score, 6) AS cosine, round(k.score, 6) AS bm25, round(f.score, 6) AS score FROM fused f LEFT JOIN vl v USING (query_id, id) LEFT JOIN kw k USING (query_id, id)")
 def diagnostics(spark, d):
-    _, kw, vec = _lists(spark, d)
-    _, _, fused = _fused(spark, d)
-    j = fused.join(vec.select("query_id", "id", F.col("rank0").alias("vector_rank"), F.round("score", 6).alias("cosine")), ["query_id", "id"], "left")
-    j = j.join(kw.select("query_id", "id", F.col("rank0").alias("keyword_rank"), F.round("score", 6).alias("bm25")), ["query_id", "id"], "left")
-    return j.select("query_id", "id", "vector_rank", "keyword_rank", "cosine", "bm25", F.round("score", 6).alias("score"))
+    items, kw, vec = _lists(spark, d)
+    fused = S.fuse([vec, kw], S.anchors(items), ("cosine", "bm25"))
+    j = fused.join(vec.select("query_id", "id", F.col("rank0").alias("vector_rank")), ["query_id", "id"], "left")
+    j = j.join(kw.select("query_id", "id", F.col("rank0").alias("keyword_rank")), ["query_id", "id"], "left")
+    return j.select("query_id", "id", "vector_rank", "keyword_rank", *(F.round(c, 6).alias(c) for c in ("cosine", "bm25", "score")))

@@ -45,7 +45,10 @@ def turns(spark, d):
     return X.turns(_lines(spark, d)).select("session", "line_no", "role", "text")
 
 
-@query("s12_turns")
+_WHOLE = r"t AS (SELECT session, line_no, role, text FROM (SELECT session, line_no, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM turns) WHERE text <> '')"
+
+
+@query("s12_turns", _WHOLE + " SELECT session, line_no, role, text FROM t")
 def whole_turns(spark, d):
     """S12 keeps whole messages; the cut to 500 characters belongs to S11 and S13."""
     return X.turns(_lines(spark, d), None).select("session", "line_no", "role", "text")
@@ -74,7 +77,7 @@ def narration(spark, d):
 _WS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))"
 
 
-@query("j16_best_turn", _CUT + f""", u AS (SELECT session, line_no, list_slice({_WS}, 1, 20) AS tw, list_slice({_WS}, 1, 10) AS qw FROM t WHERE role = 'user'),
+@query("j16_best_turn", _WHOLE + f""", u AS (SELECT session, line_no, list_slice({_WS}, 1, 20) AS tw, list_slice({_WS}, 1, 10) AS qw FROM t WHERE role = 'user'),
 q AS (SELECT session, max(line_no) AS m FROM u GROUP BY session), k AS (SELECT u.session, u.line_no AS query_id, u.qw FROM u JOIN q ON q.session = u.session AND q.m = u.line_no)
 SELECT session, query_id, turn, shared::INT AS shared FROM (SELECT k.session, k.query_id, u.line_no AS turn, len(list_intersect(qw, tw)) AS shared, row_number() OVER (PARTITION BY k.session, k.query_id ORDER BY len(list_intersect(qw, tw)) DESC, u.line_no) AS r FROM k JOIN u USING (session) WHERE len(list_intersect(k.qw, tw)) >= 2) WHERE r = 1""".replace("list_intersect(qw, tw)", "list_intersect(k.qw, u.tw)").replace("list_intersect(k.qw, tw)", "list_intersect(k.qw, u.tw)"))
 def best_turn(spark, d):
@@ -84,11 +87,11 @@ def best_turn(spark, d):
     return X.best_turn(u.join(last, ["session", "line_no"]).select("session", F.col("line_no").alias("query_id"), "text"), t)
 
 
-@query("j17_turn_window", _CUT + """, n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY line_no) AS idx FROM t),
+@query("j17_turn_window", _WHOLE + """, n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY line_no) AS idx FROM t),
 b AS (SELECT session, min(idx) AS base, min(line_no) AS q FROM n WHERE role = 'user' GROUP BY session),
-w AS (SELECT n.session, b.q AS query_id, n.line_no AS turn, n.role, n.text, n.idx = b.base AS own, coalesce(sum((n.role = 'user' AND n.idx > b.base)::INT) OVER p, 0) AS users, coalesce(sum(length(n.text)) OVER p, 0) + length(n.text) AS used
-  FROM b JOIN n ON n.session = b.session AND n.idx BETWEEN b.base AND b.base + 5 WINDOW p AS (PARTITION BY n.session ORDER BY n.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT session, query_id, turn, role, text FROM w WHERE users = 0 AND (used <= 900 OR own)""")
+v AS (SELECT n.session, b.q AS query_id, n.line_no AS turn, n.role, n.idx, b.base, CASE WHEN n.idx = b.base THEN left(n.text, 300) ELSE n.text END AS text FROM b JOIN n ON n.session = b.session AND n.idx BETWEEN b.base AND b.base + 5),
+w AS (SELECT *, coalesce(sum((role = 'user' AND idx > base)::INT) OVER p, 0) AS users, 900 - coalesce(sum(length(text)) OVER p, 0) AS rest FROM v WINDOW p AS (PARTITION BY session ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT session, query_id, turn, role, left(text, greatest(rest, 0)::BIGINT) AS text FROM w WHERE users = 0 AND (idx = base OR rest >= 100)""")
 def window(spark, d):
     t = X.turns(_lines(spark, d), None)
     first = t.where("role = 'user'").groupBy("session").agg(F.min("line_no").alias("turn")).withColumn("query_id", F.col("turn"))

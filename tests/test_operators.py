@@ -21,7 +21,7 @@ EV = "item_id long, tag string, raw double, weight double, seq long"
 def test_fusion_order(spark):
     rows = [(1, 0, 1), (1, 1, 2), (1, 2, 3)], [(1, 0, 2), (1, 1, 4), (1, 2, 1)]
     lists = [spark.createDataFrame(r, "query_id long, rank0 int, id long") for r in rows]
-    got = [(r.id, round(r.rrf, 6)) for r in S.top_k(S.fuse(lists, 60).withColumn("score", F.col("rrf")), 9).orderBy("rank0").collect()]
+    got = [(r.id, round(r.rrf, 6)) for r in S.top_k(S.fuse(lists, spark.createDataFrame([(60, 1.0, 0.0)], "k int, ceiling double, floor double")), 9).orderBy("rank0").collect()]
     assert got == [(2, 0.032522), (1, 0.032266), (4, 0.016129), (3, 0.015873)]
 
 
