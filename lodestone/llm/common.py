@@ -165,3 +165,18 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def documents_only(docs: DataFrame, *cols: str) -> DataFrame:
     """The named columns alone, so that further columns of any name cannot clash."""
     return docs.select(*(F.col(f"`{c}`") for c in cols))
+
+
+def only_marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose key (a long) is not in ids (id), before they are moved.
+
+    ids are marked in 2**26 bits, as 2**20 words at most: what is broadcast has that bound at any
+    size, and the more ids there are the more rows pass. What passes is still to be joined.
+    """
+    at = F.xxhash64(F.col(key))
+    word, bit = (lambda x: F.pmod(x, F.lit(1 << 20))), (lambda x: F.shiftright(x, 20).bitwiseAND(63).cast("int"))
+    of = F.xxhash64(F.col("id"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(of))
+    marks = ids.select(word(of).alias("_mark_word"), one.alias("bit")).groupBy("_mark_word").agg(F.bit_or("bit").alias("_mark_bits"))
+    hit = rows.join(F.broadcast(marks), word(at) == F.col("_mark_word"))
+    return hit.where(F.call_function("shiftright", F.col("_mark_bits"), bit(at)).bitwiseAND(1) == 1).drop("_mark_word", "_mark_bits")

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_only, written
+from .common import documents_only, only_marked, written
 
 _LETTERS = ("entairoslhdc", "upmgvfbywqkx")
 _BITS = 5
@@ -166,26 +166,13 @@ def shared_keys(lines: DataFrame, max_edits: int) -> DataFrame:
     return members.distinct().select("key", F.shiftright("id", 1).alias("id"), (F.col("id").bitwiseAND(1) == 1).alias("own"))
 
 
-def only_marked(lines: DataFrame, keys: DataFrame) -> DataFrame:
-    """lines without most of those whose id is not in keys, before their texts are moved.
-
-    ids are marked in 2**26 bits, as 2**20 words at most: what is broadcast has that bound at any
-    size, and the more ids there are the more lines pass.
-    """
-    word, bit = (lambda x: F.pmod(x, F.lit(1 << 20))), (lambda x: F.shiftright(x, 20).bitwiseAND(63).cast("int"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("id")))
-    marks = keys.select(word(F.col("id")).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    hit = lines.join(F.broadcast(marks), word(F.col("id")) == F.col("word"))
-    return hit.where(F.call_function("shiftright", F.col("bits"), bit(F.col("id"))).bitwiseAND(1) == 1).drop("word", "bits")
-
-
 def late_lines(lines: DataFrame, max_edits: int, block: int = 64) -> DataFrame:
     """Places of lines (place, line) that have a different line within max_edits edits at a smaller place."""
     keys = written(shared_keys(lines, max_edits), "keys")
     sizes = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     sized = keys.join(sizes, "key").withColumnRenamed("id", "of")
     named = lines.withColumn("id", F.shiftright(F.shiftleft(F.xxhash64("line"), 1), 1))
-    texts = only_marked(named, keys).join(sized.hint("shuffle_hash"), F.col("id") == F.col("of"))
+    texts = only_marked(named, "id", keys).join(sized.hint("shuffle_hash"), F.col("id") == F.col("of"))
     bags = [letter_bag(F.col("line"), x).alias(f"bag{i}") for i, x in enumerate(_LETTERS)]
     at = F.pmod(F.xxhash64("place", "key"), F.col("blocks")).cast("int").alias("at")
     asked = written(texts.select("key", "own", "blocks", at, "place", F.length("line").alias("n"), *bags, "line"), "asked")

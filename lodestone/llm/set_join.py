@@ -1,6 +1,7 @@
 """Exact Jaccard join of word n-gram sets, with skipping by set relations.
 
-1. Sets that are equal become one class; copies never take part in the join.
+1. Texts are cut into n-grams once; the sets are written and read from then on. Sets that are equal
+   become one class; copies never take part in the join.
 2. Tokens (n-gram hashes) are ordered by hash, with tokens that many documents hold put last. Two
    sets that reach the threshold share a token among the first few of both (prefix filter).
    Tokens that one class alone holds there are dropped.
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, chunked, discard, documents_only, mix, rolling, rows, signed, word_hashes, written
+from .common import WORD, chunked, discard, documents_only, mix, only_marked, rolling, rows, signed, word_hashes, written
 from .graph import components
 
 
@@ -216,7 +217,25 @@ class _Forest:
         return True
 
 
-def _frequent_in(n: int, chunk_tokens: int = 1 << 22):
+def _sets(n: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.binary())])
+
+    def run(batches):
+        def made():
+            for d, text in rows(batches, "doc_id", "text"):
+                s = shingles(text, n).tobytes()
+                s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(s), "<i8").tolist()
+                yield d, len(s) // 8, s1, s2, s
+
+        yield from chunked(made(), schema, 2000)
+
+    return run
+
+
+_SETS = "doc_id long, size long, s1 long, s2 long, tokens binary"
+
+
+def _frequent_in(chunk_tokens: int = 1 << 21):
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
@@ -226,10 +245,9 @@ def _frequent_in(n: int, chunk_tokens: int = 1 << 22):
             return pa.RecordBatch.from_arrays([pa.array(signed(t[keep])), pa.array(c[keep].astype(np.int64))], schema=schema)
 
         held, size = [], 0
-        for (text,) in rows(batches, "text"):
-            s = shingles(text, n)
-            held.append(s)
-            size += len(s)
+        for (tokens,) in rows(batches, "tokens"):
+            held.append(np.frombuffer(tokens, np.uint64))
+            size += len(held[-1])
             if size >= chunk_tokens:
                 yield counted(held)
                 held, size = [], 0
@@ -239,13 +257,13 @@ def _frequent_in(n: int, chunk_tokens: int = 1 << 22):
     return run
 
 
-def frequent_tokens(docs: DataFrame, n: int, least: int, most: int) -> np.ndarray:
+def frequent_tokens(sets: DataFrame, least: int, most: int) -> np.ndarray:
     """Tokens that at least ``least`` documents hold, by falling frequency, at most ``most``.
 
     Counts are over all documents for the lowest quarter of hashes, where prefixes lie; of higher
     ones, tokens that no task meets twice are left out.
     """
-    local = docs.select("text").mapInArrow(_frequent_in(n), "token long, n long")
+    local = sets.select("tokens").mapInArrow(_frequent_in(), "token long, n long")
     top = local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most)
     got = top.toArrow()
     return got.column("token").to_numpy().astype(np.int64).view(np.uint64)
@@ -270,36 +288,16 @@ class Order:
         return np.concatenate([s[~hot], late])
 
 
-def _set_hash(s: np.ndarray) -> tuple[int, int]:
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist())
-
-
-def _signatures(n: int, pct: int, order):
+def _prefixes(pct: int, order):
     schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         by = order.value
 
         def made():
-            for d, text in rows(batches, "doc_id", "text"):
-                s = shingles(text, n)
-                s1, s2 = _set_hash(s)
-                p = by(s)[: prefix_size(len(s), pct)] if len(s) and d is not None else s[:0]
-                yield d, len(s), s1, s2, signed(np.ascontiguousarray(p))
-
-        yield from chunked(made(), schema, 2000)
-
-    return run
-
-
-def _sets(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("tokens", pa.binary())])
-
-    def run(batches):
-        def made():
-            for d, text in rows(batches, "doc_id", "text"):
-                s = shingles(text, n)
-                yield d, _set_hash(s)[0], s.tobytes()
+            for d, size, s1, s2, tokens in rows(batches, "doc_id", "size", "s1", "s2", "tokens"):
+                p = by(np.frombuffer(tokens, np.uint64))[: prefix_size(size, pct)]
+                yield d, size, s1, s2, signed(np.ascontiguousarray(p))
 
         yield from chunked(made(), schema, 2000)
 
@@ -350,20 +348,22 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_tokens(slim, n, least_frequent, most_frequent)
-    order = spark.sparkContext.broadcast(Order(frequent))
-    sig = written(slim.mapInArrow(_signatures(n, pct, order), "doc_id long, size long, s1 long, s2 long, prefix array<long>"), "signatures")
+    sets = written(slim.mapInArrow(_sets(n), _SETS), "sets")
+    order = spark.sparkContext.broadcast(Order(frequent_tokens(sets, least_frequent, most_frequent)))
+    sig = sets.select("doc_id", "size", "s1", "s2")
     classes = written(_classes(sig), "classes")
     names = classes.select("class_id", "lead", F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("size").alias("t3"))
-    same = (sig["s1"] == F.col("t1")) & (sig["s2"] == F.col("t2")) & (sig["size"] == F.col("t3"))
-    members = written(sig.select("doc_id", "size", "s1", "s2").join(names.hint("merge"), same, "left").select("doc_id", "size", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("size") > 0, F.col("lead")).otherwise(F.col("doc_id")).alias("lead")), "members")
+    same = (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("size") == F.col("t3"))
+    members = written(sig.join(names.hint("merge"), same, "left").select("doc_id", "size", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("size") > 0, F.col("lead")).otherwise(F.col("doc_id")).alias("lead")), "members")
 
     # sort-merge joins throughout: none of these tables has a size bound
     # prefix rows of one document per class, of tokens that two classes share
-    spread = sig.join(names.hint("merge"), same & (sig["doc_id"] == F.col("lead"))).select("class_id", "size", F.posexplode("prefix").alias("pos", "token"))
+    prefixes = sets.where("size > 0 and doc_id is not null").mapInArrow(_prefixes(pct, order), "doc_id long, size long, s1 long, s2 long, prefix array<long>")
+    heads = written(prefixes.join(names.hint("merge"), same & (F.col("doc_id") == F.col("lead"))).select("class_id", "size", "prefix"), "prefixes")
+    spread = heads.select("class_id", "size", F.posexplode("prefix").alias("pos", "token"))
     shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("class_id").alias("least")).where("g > 1")
     prefix = written(spread.join(shared.hint("merge"), "token").select("token", "class_id", "size", "pos", "g", "least"), "prefix")
-    discard(sig)
+    discard(heads)
     large = prefix.where((F.col("g") > small) & (F.col("class_id") != F.col("least"))).select(F.col("class_id").alias("u"), F.col("least").alias("v"))
     p = prefix.where(F.col("g") <= small)
     a, b = (p.select("token", F.col("class_id").alias(x), F.col("size").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
@@ -376,10 +376,8 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
     discard(prefix)
 
     met = _meetings(_blocks(placed, block_tokens), pct)
-    ids = placed.select(F.col("lead").alias("of")).distinct()
-    texts = slim.join(ids.hint("merge"), slim["doc_id"] == F.col("of"), "left_semi")
-    sets = texts.mapInArrow(_sets(n), "doc_id long, s1 long, tokens binary")
-    shipped = sets.join(met.hint("merge"), (sets["doc_id"] == F.col("of")) & (sets["s1"] == F.col("h"))).select("c", "i", "j", "side", "id", "size", "tokens")
+    near_sets = only_marked(sets.select("doc_id", "s1", "tokens"), "doc_id", placed.select(F.col("lead").alias("id")))
+    shipped = near_sets.join(met.hint("merge"), (near_sets["doc_id"] == F.col("of")) & (near_sets["s1"] == F.col("h"))).select("c", "i", "j", "side", "id", "size", "tokens")
 
     def join_block(table: pa.Table) -> pa.Table:
         kept = {}  # repeated rows of a doc_id have equal sets here
@@ -399,6 +397,7 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
         return pa.table({"class_id": pa.array(cols[0], pa.int64()), "to": pa.array(cols[1], pa.int64()), "n_links": pa.array(cols[2], pa.int64())})
 
     found = written(shipped.groupBy("c", "i", "j").applyInArrow(join_block, "class_id long, to long, n_links long"), "links")
+    discard(sets)
     return members, found, classes.where("class_id <> lead").select(F.col("class_id").alias("u"), F.col("lead").alias("v"))
 
 
