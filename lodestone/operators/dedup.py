@@ -30,16 +30,10 @@ def self_candidates(items: DataFrame, least: float = 0.5, k: int = 8) -> DataFra
 
 
 def word_pairs(items: DataFrame, least: float = 0.7, by: str = "min") -> DataFrame:
-    """a, b, overlap: pairs of items (id, text) whose word sets overlap by more than least.
+    """a, b, overlap: pairs of items (id, text) whose word sets overlap by more than least."""
+    from .retrieval import word_overlaps
 
-    Only pairs that share a word meet; each word's list is joined once and shared words are counted.
-    """
-    w = items.select("id", T.word_set("text").alias("ws")).where(F.size("ws") > 0)
-    e = w.select("id", F.size("ws").alias("n"), F.explode("ws").alias("word"))
-    a, b = (e.select("word", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    least_of = F.least if by == "min" else F.greatest
-    c = a.join(b, "word").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    return c.select("a", "b", (F.col("c") / least_of("na", "nb")).alias("overlap")).where(F.col("overlap") > least)
+    return word_overlaps(items.select(F.col("id").alias("a"), "text"), items.select(F.col("id").alias("b"), "text"), least, by).where("a < b")
 
 
 def unmerged_pairs(pairs: DataFrame, merges: DataFrame, n: int) -> DataFrame:

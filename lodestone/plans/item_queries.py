@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import dedup as D
+from lodestone.operators import retrieval as R
 from lodestone.operators import search as S
 from lodestone.operators import state as M
 from lodestone.sources import files
@@ -121,11 +122,8 @@ def tokens(spark, d):
 q AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS ws FROM questions)
 SELECT query_id, id, round(len(list_intersect(q.ws, w.ws)) / least(len(q.ws), len(w.ws)), 6) AS overlap FROM q, w WHERE len(list_intersect(q.ws, w.ws)) > 0.7 * least(len(q.ws), len(w.ws)) AND len(w.ws) > 0""")
 def question_overlap(spark, d):
-    q = B.questions(spark, d).select("query_id", T.word_set("text").alias("ws")).select("query_id", F.size("ws").alias("nq"), F.explode("ws").alias("word"))
-    w = B.items(spark, d).select("id", T.word_set("text").alias("ws")).select("id", F.size("ws").alias("nw"), F.explode("ws").alias("word"))
-    c = q.join(w, "word").groupBy("query_id", "id", "nq", "nw").agg(F.count(F.lit(1)).alias("c"))
-    o = F.col("c") / F.least("nq", "nw")
-    return c.where(o > 0.7).select("query_id", "id", F.round(o, 6).alias("overlap"))
+    got = R.word_overlaps(B.questions(spark, d).withColumnRenamed("query_id", "a"), B.items(spark, d).select(F.col("id").alias("b"), "text"))
+    return got.select(F.col("a").alias("query_id"), F.col("b").alias("id"), F.round("overlap", 6).alias("overlap"))
 
 
 @query("p15_scope", "SELECT session_id FROM audit WHERE repo NOT IN ('src1', 'src2')")
@@ -205,9 +203,9 @@ def matches(spark, d):
     return M.match_counts(empty.select("item_id", "repo", "times_matched", F.col("last_matched").cast(m.schema["ts"].dataType).alias("last_matched")), m)
 
 
-@query("m03_processed_sessions", """n AS (SELECT session_id, max((ts, event_id)) AS at, max((event_type = 'error')::INT) AS fr, max(item_id) AS ex,
+@query("m03_processed_sessions", """n AS (SELECT session_id, max(struct_pack(ts := ts, e := event_id)) AS at, max((event_type = 'error')::INT) AS fr, max(item_id) AS ex,
   arg_max(CASE WHEN event_type = 'signup' THEN 't' || event_id END, CASE WHEN event_type = 'signup' THEN (ts, event_id) END) AS title FROM log WHERE event_id % 2 = 1 GROUP BY session_id),
-o AS (SELECT session_id, max((ts, event_id)) AS at, 2 AS fr, min(item_id) AS ex, 'old ' || session_id AS title FROM log WHERE event_id % 2 = 0 AND user_id % 2 = 0 GROUP BY session_id)
+o AS (SELECT session_id, max(struct_pack(ts := ts, e := event_id)) AS at, 2 AS fr, min(item_id) AS ex, 'old ' || session_id AS title FROM log WHERE event_id % 2 = 0 AND user_id % 2 = 0 GROUP BY session_id)
 SELECT session_id, greatest(coalesce(o.at, n.at), coalesce(n.at, o.at)).ts AS processed_at, greatest(coalesce(o.fr, 0), coalesce(n.fr, 0))::INT AS had_friction, greatest(coalesce(o.ex, n.ex), coalesce(n.ex, o.ex)) AS extracted,
   CASE WHEN n.title IS NULL THEN o.title WHEN o.title IS NULL OR n.at > o.at THEN n.title ELSE o.title END AS title FROM o FULL JOIN n USING (session_id)""")
 def processed(spark, d):
