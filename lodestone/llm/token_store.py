@@ -8,11 +8,13 @@ that gives a key's slot, where its first row and a 32-bit fingerprint are kept.
 few words of the bit arrays, one slot and the payload; a key that was never stored fails the
 fingerprint test, up to one chance in 2**32.
 
-The position of a shard among all ids needs only one total per range partition.
+The position of a shard among all ids needs only one total per range partition. A lookup finds the
+shards of its keys in the key ranges alone, and reads the row groups that hold those.
 
 Defined cases: a null text holds the end id alone; a null doc_id is stored first, under a reserved
-key; rows with equal doc_id are stored next to each other, ordered by text, and one lookup gives
-them all; an empty table gives an empty store; other columns are ignored.
+key; rows with equal doc_id are stored next to each other, by hash of their texts, however many
+shards and partitions they fill, and a lookup gives them all; repeated rows are stored each; an empty
+table gives an empty store; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -123,12 +125,12 @@ class Shard:
         return int(self.starts[row]), int(self.starts[row + 1])
 
 
-_SHARDS = "part int, base long, n_docs long, n_tokens long, first_key long, last_key long, width int, keys binary, starts binary, payload binary, index binary"
+_SHARDS = "part int, shard long, base long, n_docs long, n_tokens long, first_key long, last_key long, width int, keys binary, starts binary, payload binary, index binary"
 
 
 def write_store(docs: DataFrame, path: str, vocab: str, end_id: int, shard_tokens: int = 1 << 20) -> None:
     """Encodes docs (doc_id, text) and writes their shards to path."""
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    types = [pa.int32(), *[pa.int64()] * 6, pa.int32(), *[pa.binary()] * 4]
     schema = pa.schema(list(zip([c.split()[0] for c in _SHARDS.split(", ")], types, strict=True)))
 
     def run(batches):
@@ -138,22 +140,22 @@ def write_store(docs: DataFrame, path: str, vocab: str, end_id: int, shard_token
         part = TaskContext.get().partitionId()
 
         def shards():
-            keys, parts, held, base = [], [], 0, 0
+            keys, parts, held, base, n = [], [], 0, 0, 0
 
             def flush():
                 lens = np.array([len(p) // width for p in parts], np.int64)
                 k = np.array(keys, "<i8")
                 starts = np.concatenate([[0], np.cumsum(lens)]).astype("<u8")
-                return (part, base, len(keys), held, keys[0], keys[-1], width, k.tobytes(), starts.tobytes(), b"".join(parts), pack_index(k))
+                return (part, (part << 32) + n, base, len(keys), held, keys[0], keys[-1], width, k.tobytes(), starts.tobytes(), b"".join(parts), pack_index(k))
 
             for b in batches:
                 for i in range(0, b.num_rows, 500):
                     rows_ = b.slice(i, 500)
                     for k, e in zip(rows_.column(0).to_pylist(), enc.many([t or "" for t in rows_.column(1).to_pylist()]), strict=True):
                         k = NULL_KEY if k is None else k
-                        if held >= shard_tokens and k != keys[-1]:
+                        if held >= shard_tokens:
                             yield flush()
-                            base, keys, parts, held = base + held, [], [], 0
+                            base, keys, parts, held, n = base + held, [], [], 0, n + 1
                         keys.append(k)
                         parts.append(e + end)
                         held += len(e) // width + 1
@@ -163,8 +165,10 @@ def write_store(docs: DataFrame, path: str, vocab: str, end_id: int, shard_token
         yield from chunked(shards(), schema, 4)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    placed = slim.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    placed.mapInArrow(run, _SHARDS).write.option("compression", "uncompressed").parquet(path)
+    slim = slim.withColumn("h", F.xxhash64("text"))  # rows of one doc_id, or of none, are dealt too
+    placed = slim.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    # row groups of a few shards, so that a lookup reads little besides
+    placed.mapInArrow(run, _SHARDS).write.option("compression", "uncompressed").option("parquet.block.size", 8 << 20).parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -192,19 +196,29 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         yield from chunked(made(), schema)
 
     # one row per range partition: as many as the writer had tasks
-    found = shards.drop("n_docs", "n_tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int")
+    found = shards.drop("shard", "n_docs", "n_tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int")
     return found.join(F.broadcast(bases), "part").select("doc_id", (F.col("start") + F.col("before")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the stored documents among keys (doc_id); unknown keys give no row."""
+def lookup(spark: SparkSession, path: str, keys: DataFrame, most_pushed: int = 5000) -> DataFrame:
+    """(doc_id, ids) of the stored documents among keys (doc_id); unknown keys give no row.
+
+    Shards are found in their key ranges, without any payload. The numbers of up to ``most_pushed``
+    asked shards go down to the scan, which then reads the row groups that hold them; more are
+    joined after a scan of all. Either way only asked shards are moved.
+    """
     shards = spark.read.schema(_SHARDS).parquet(path)
-    named = shards.withColumn("shard", F.concat_ws("-", "part", "base"))
-    parts = named.groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"))
+    spans = shards.select("part", "shard", "first_key", "last_key")
+    parts = spans.groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"))
     ask = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")).distinct()
-    near = ask.join(F.broadcast(parts), (F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi"))).select("key", "part")
-    spans = spark.read.schema(_SHARDS).parquet(path).select("part", F.concat_ws("-", "part", "base").alias("shard"), "first_key", "last_key")
-    wanted = near.join(spans, (near["part"] == spans["part"]) & (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).select("key", F.col("shard").alias("in_shard"))
+    # one row per range partition: as many as the writer had tasks
+    near = ask.join(F.broadcast(parts), (F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi"))).select("key", F.col("part").alias("p"))
+    wanted = near.join(spans, (F.col("p") == F.col("part")) & (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).select("key", "shard")
+    asked = [r.shard for r in wanted.select("shard").distinct().limit(most_pushed + 1).collect()]
+    if len(asked) <= most_pushed:
+        held = shards.where(F.col("shard").isin(asked)) if asked else shards.limit(0)
+    else:
+        held = shards.join(wanted.select("shard").distinct(), "shard", "left_semi")
 
     def get(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, out = [], []
@@ -220,7 +234,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                     row += 1
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(out, pa.list_(pa.int64()))})
 
-    return wanted.groupBy("in_shard").cogroup(named.groupBy("shard")).applyInArrow(get, "doc_id long, ids array<long>")
+    return wanted.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(get, "doc_id long, ids array<long>")
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,24 +170,38 @@ def test_perfect_hash_is_minimal_and_rejects_strangers():
     assert sorted(h.slots(keys.view(np.uint64))) == list(range(len(keys)))
 
 
-def test_token_store_round_trip_and_lookup(spark, docs, tmp_path):
-    extra = spark.createDataFrame([(9, "again", "en", "s"), (9, "again", "en", "s"), (None, "no id", "en", "s")], DOC)
+@pytest.mark.parametrize("pushed", [5000, 0])
+def test_token_store_round_trip_and_lookup(spark, docs, tmp_path, pushed):
+    from pyspark.sql import functions as F
+
+    extra = spark.createDataFrame([(9, "again", "en", "s"), (9, "again", "en", "s"), (None, "no id", "en", "s")] + [(None, "x " * 90 + str(i), "en", "s") for i in range(12)], DOC)
     d = docs.unionByName(extra)
     path = f"file://{tmp_path}/store"
     vocab = encoding.vocabulary("byte_bpe_50k.json")
-    token_store.write_store(d, path, vocab, 2, shard_tokens=300)
+    token_store.write_store(d.withColumnRenamed("lang", "part").withColumnRenamed("source", "shard"), path, vocab, 2, shard_tokens=300)
     e = encoding.Encoder(vocab, True)
-    rows = sorted(((r.doc_id, r.text or "") for r in d.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    at, want = 0, []
-    for i, t in rows:
-        ids = [*np.frombuffer(e.whole(t), e.dtype).tolist(), 2]
-        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    rows = d.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h, r.text or ""))
+    at, want, stored = 0, [], Counter()
+    for r in rows:
+        ids = [*np.frombuffer(e.whole(r.text or ""), e.dtype).tolist(), 2]
+        want.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        stored[r.doc_id, tuple(ids)] += 1
         at += len(ids)
     got = [tuple(r) for r in token_store.read_documents(spark, path).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    ask = spark.createDataFrame([(9,), (4,), (123456,), (None,)], "doc_id long")
-    found = Counter(r.doc_id for r in token_store.lookup(spark, path, ask).collect())
-    assert found == Counter([9, 9, 9, 4, None])
+    assert spark.read.parquet(path).where(f"first_key = {token_store.NULL_KEY}").count() > 1  # one key, several shards
+    ask = spark.createDataFrame([(9,), (4,), (123456,), (None,), (9,)], "doc_id long")
+    found = Counter((r.doc_id, tuple(r.ids)) for r in token_store.lookup(spark, path, ask, pushed).collect())
+    assert found == Counter({k: n for k, n in stored.items() if k[0] in (9, 4, None)})
+    assert token_store.lookup(spark, path, ask.where("doc_id = 123456"), pushed).count() == 0
+
+
+def test_token_store_of_an_empty_table(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(empty(spark), path, encoding.vocabulary("byte_bpe_50k.json"), 2)
+    assert token_store.read_documents(spark, path).count() == 0
+    assert token_store.lookup(spark, path, spark.createDataFrame([(1,)], "doc_id long")).count() == 0
 
 
 def test_packing_covers_every_id_once_without_padding(spark, docs):
