@@ -2,9 +2,16 @@
 
 toxicity: documents whose score is 0.5 or more go. line_dedup: lines that repeat earlier lines, or
 differ from them by two edits at most, are taken out of the texts. set_join: of each group of
-documents linked by 85 % equal 4-word shingles, the one with the least doc_id stays.
+documents linked by a Jaccard similarity of at least 0.8 of their 5-word shingles, the one with the
+least doc_id stays.
 decontamination: documents that hold a benchmark passage go. packing: what is left becomes pieces
 of full sequences in Hilbert-curve order.
+
+Defined cases: a null text or an empty one has no toxic neighbour, no line, no shingle and no
+benchmark passage, so it stays through all stages and is packed as its end id; rows with a null
+doc_id, repeated rows and very long texts go through every stage as its operator states; an empty
+table gives no pieces; further columns of documents are carried to the last stage, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def set_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return set_join.one_of_each(docs)
+    return set_join.one_of_each(docs, n=5, pct=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
