@@ -10,7 +10,7 @@ FILLERS = [
     r"anything else\??", r"what do you think\??", r"how about (it|that)\??", r"I (don'?t know|mean)[,.]?\s*", r"wait[,.]?\s*",
 ]
 INTERRUPTION = r"^\[Request interrupted"
-SESSION_REFERENCE = r"^(can we |let'?s |should we )?(consider|close|mark|finish|move)\s+#?[0-9]+"
+SESSION_REFERENCE = r"^(can we |let'?s |should we )?(consider|close|mark|finish|move)\s+#?\d+"
 INJECTED_BLOCKS = ["ide_opened_file", "ide_selection", "task-notification", "system-reminder"]
 
 # --- fixed values: tool queries -----------------------------------------------------------

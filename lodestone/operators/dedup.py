@@ -9,6 +9,7 @@ from lodestone.functions import text as T
 
 from .feedback import merged_relevance
 from .search import nearest
+from .state import numbered
 
 
 def bootstrap_mode(verified_count: int) -> bool:
@@ -51,7 +52,7 @@ def first_by_text(rows: DataFrame, order: list[str]) -> DataFrame:
     """First row of each text, numbered densely in order."""
     w = Window.partitionBy("text").orderBy(*order)
     one = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return one.withColumn("dense_id", F.row_number().over(Window.orderBy(*order)) - 1)
+    return numbered(one, order, "dense_id")
 
 
 def batches(groups: DataFrame, budget: int = 6000) -> DataFrame:

@@ -14,6 +14,17 @@ from lodestone.functions import text as T
 CURATED, REJECTED = 1, 2
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their places (from 0) in order, without bringing them into one task: ranges are
+    numbered apart, and one count per range goes to all."""
+    placed = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    before = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = before.select("_range", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return placed.withColumn("_at", at).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_before", "_at")
+
+
 # --- sets ---------------------------------------------------------------------------------------
 def insert_or_ignore(state: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """State plus new rows whose keys are unknown; of new rows with equal keys the first in order."""
@@ -44,9 +55,8 @@ def id_accounting(expected: DataFrame, given: DataFrame) -> DataFrame:
 def add_items(items: DataFrame, new: DataFrame, order: str, now: Column) -> DataFrame:
     """New items (without id) get the ids after the largest, in the given order."""
     top = items.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    w = Window.orderBy(order)
     levels = T.category_levels("category")
-    fresh = new.withColumn("_n", F.row_number().over(w)).crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("_n")).drop("_n", "top")
+    fresh = numbered(new, [order], "_n").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("_n") + 1).drop("_n", "top")
     fresh = fresh.select("*", *levels).withColumns({"created_at": now, "updated_at": now, "refreshed_at": now, "deprecated": F.lit(False), "pinned": F.lit(False)})
     return items.unionByName(fresh, allowMissingColumns=True)
 

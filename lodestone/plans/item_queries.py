@@ -332,7 +332,7 @@ def lonely(spark, d):
 
 @query("j21_first_by_text", "SELECT id, (row_number() OVER (ORDER BY id) - 1)::INT AS dense_id FROM (SELECT min(id) AS id FROM items GROUP BY text)")
 def first_text(spark, d):
-    return D.first_by_text(B.items(spark, d).select("id", "text"), ["id"]).select("id", "dense_id")
+    return D.first_by_text(B.items(spark, d).select("id", "text"), ["id"]).select("id", F.col("dense_id").cast("int").alias("dense_id"))
 
 
 def _map(spark, d):

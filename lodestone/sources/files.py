@@ -102,3 +102,50 @@ def parsed_objects(rows: DataFrame, column: str, schema: str) -> DataFrame:
     """rows with column object: from the first brace to the last, fences ignored."""
     bare = F.regexp_replace(F.col(column), "```(json)?", "")
     return rows.withColumn("object", F.from_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0), schema))
+
+
+# --- labels, sessions and offsets -----------------------------------------------------------------
+def labelled_rows(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
+    """run, file and the columns of schema of label files: JSON lines, or the list under key of JSON files.
+
+    run is the folder a file lies in, so a folder of runs is one table.
+    """
+    if key is None:
+        rows = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    else:
+        whole = spark.read.schema(f"`{key}` array<struct<{_fields(schema)}>>").json(path, multiLine=True)
+        rows = whole.select(F.explode(key).alias("e"), F.col("_metadata.file_path").alias("_file")).select("e.*", "_file")
+    parts = F.split("_file", "/")
+    return rows.select(F.element_at(parts, -2).alias("run"), F.element_at(parts, -1).alias("file"), *[c for c in rows.columns if c != "_file"])
+
+
+def _fields(schema: str) -> str:
+    return ", ".join(":".join(f.split(None, 1)) for f in schema.split(", "))
+
+
+def sessions_found(spark: SparkSession, path: str, least_bytes: int = 10_240) -> DataFrame:
+    """session, path, bytes, modified of transcripts below path (a glob) that are large enough; no content is read."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return files.where(F.col("bytes") >= least_bytes).select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("session"), "path", "bytes", "modified")
+
+
+def moved_offsets(offsets: DataFrame, done: DataFrame) -> DataFrame:
+    """offsets (session, offset) after what was consumed (session, offset): none ever moves back."""
+    return offsets.unionByName(done.select("session", "offset")).groupBy("session").agg(F.max("offset").alias("offset"))
+
+
+def write_offsets(offsets: DataFrame, path: str, version: int) -> str:
+    """A snapshot of offsets in a folder of its own; the newest version that is complete counts."""
+    at = f"{path}/v={version}"
+    offsets.select("session", "offset").write.mode("errorifexists").parquet(at)
+    return at
+
+
+def read_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete snapshot; empty where there is none."""
+    empty = spark.createDataFrame([], "session string, offset long")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.schema("session string, offset long").parquet(f"{path}/v={max(done)}") if done else empty
