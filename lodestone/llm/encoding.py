@@ -30,7 +30,7 @@ _BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not
 class Encoder:
     """text -> ids as little-endian bytes (uint16 where the vocabulary fits, else uint32)."""
 
-    def __init__(self, path: str, spaces_count: bool, most: int = 300_000):
+    def __init__(self, path: str, spaces_count: bool, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
@@ -106,7 +106,7 @@ class Encoder:
             self._once.clear()
             if len(memo) > self._most * 4 // 5:
                 self._memo = memo = {w: memo[w] for w in new if w in memo}
-        new.difference_update(memo)
+        new = set(itertools.filterfalse(memo.__contains__, new))
         if new:
             before = len(memo)
             self._fill(new, lead)

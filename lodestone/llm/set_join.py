@@ -339,7 +339,7 @@ def _meetings(cut: DataFrame, pct: int) -> DataFrame:
     return met.select("c", "i", "j", F.when(F.col("own") == F.col("i"), 0).otherwise(1).alias("side"), "id", "size", F.col("lead").alias("of"), F.col("s1").alias("h"))
 
 
-def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block_tokens: int = 1 << 20, least_frequent: int = 12, most_frequent: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block_tokens: int = 1 << 19, least_frequent: int = 12, most_frequent: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes, links and bridges of docs (doc_id, text).
 
     First table: doc_id, size, class_id, lead (least doc_id with an equal set). Second: class_id, to
@@ -359,11 +359,10 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
     # sort-merge joins throughout: none of these tables has a size bound
     # prefix rows of one document per class, of tokens that two classes share
     prefixes = sets.where("size > 0 and doc_id is not null").mapInArrow(_prefixes(pct, order), "doc_id long, size long, s1 long, s2 long, prefix array<long>")
-    heads = written(prefixes.join(names.hint("merge"), same & (F.col("doc_id") == F.col("lead"))).select("class_id", "size", "prefix"), "prefixes")
-    spread = heads.select("class_id", "size", F.posexplode("prefix").alias("pos", "token"))
-    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("class_id").alias("least")).where("g > 1")
-    prefix = written(spread.join(shared.hint("merge"), "token").select("token", "class_id", "size", "pos", "g", "least"), "prefix")
-    discard(heads)
+    spread = prefixes.join(names.hint("merge"), same & (F.col("doc_id") == F.col("lead"))).select("class_id", "size", F.posexplode("prefix").alias("pos", "token"))
+    of_token = Window.partitionBy("token")
+    shared = spread.withColumns({"g": F.count(F.lit(1)).over(of_token), "least": F.min("class_id").over(of_token)})
+    prefix = written(shared.where("g > 1"), "prefix")
     large = prefix.where((F.col("g") > small) & (F.col("class_id") != F.col("least"))).select(F.col("class_id").alias("u"), F.col("least").alias("v"))
     p = prefix.where(F.col("g") <= small)
     a, b = (p.select("token", F.col("class_id").alias(x), F.col("size").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
