@@ -120,5 +120,6 @@ fused AS (SELECT query_id, id, rrf, (rrf - lo) / (hi - lo) AS score FROM rrf, an
 """
 
 
-def sql(body: str) -> str:
-    return "WITH " + SQL.strip() + "\n" + (body if body.lstrip().upper().startswith("SELECT") else ", " + body)
+def sql(body: str, recursive: bool = False) -> str:
+    start = "WITH RECURSIVE " if recursive else "WITH "
+    return start + SQL.strip() + "\n" + (body if body.lstrip().upper().startswith("SELECT") else ", " + body)

@@ -11,11 +11,11 @@ from . import base as B
 QUERIES, ORACLES = {}, {}
 
 
-def query(name, sql=None):
+def query(name, sql=None, recursive=False):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = B.sql(sql)
+            ORACLES[name] = B.sql(sql, recursive)
         return f
 
     return add
@@ -61,7 +61,16 @@ def pins(spark, d):
     return fb.pin_state(r, i).select("id", "pinned")
 
 
-@query("m10_pin_history")
+_TAGS = ("click", "view", "purchase", "signup", "error")
+_MOVED = ", ".join(f"CASE WHEN tag = '{t}' THEN greatest(-3, least(3, 0.7 * coalesce({t}_, 0) + 0.3 * x)) ELSE {t}_ END AS {t}_" for t in _TAGS)
+_MEAN = "(" + " + ".join(f"coalesce({t}_, 0)" for t in _TAGS) + ") / (" + " + ".join(f"({t}_ IS NOT NULL)::INT" for t in _TAGS) + ")"
+
+
+@query("m10_pin_history", f"""o AS (SELECT item_id, tag, abs(raw) * 2.0 AS x, (raw <> 0)::INT AS up, seq, row_number() OVER (PARTITION BY item_id ORDER BY seq) AS n FROM ev),
+w AS (SELECT DISTINCT item_id, 0::BIGINT AS n, 0::BIGINT AS seq, 0 AS pos, false AS pinned, false AS moved, {", ".join(f"NULL::DOUBLE AS {t}_" for t in _TAGS)} FROM o
+UNION ALL SELECT item_id, n, seq, pos, CASE WHEN NOT pinned AND pos >= 5 AND mean > 0.6 THEN true WHEN pinned AND pos >= 5 AND mean < 0.2 THEN false ELSE pinned END, (NOT pinned AND pos >= 5 AND mean > 0.6) OR (pinned AND pos >= 5 AND mean < 0.2), {", ".join(t + "_" for t in _TAGS)}
+  FROM (SELECT *, {_MEAN} AS mean FROM (SELECT o.item_id, o.n, o.seq, w.pos + o.up AS pos, w.pinned, {_MOVED} FROM w JOIN o ON o.item_id = w.item_id AND o.n = w.n + 1)))
+SELECT item_id, seq, pinned FROM w WHERE moved""", True)
 def history(spark, d):
     e = B.verdict_events(spark, d).withColumn("raw", F.abs("raw")).withColumn("weight", F.lit(2.0))
     return fb.pin_history(e)

@@ -16,11 +16,11 @@ from . import base as B
 QUERIES, ORACLES = {}, {}
 
 
-def query(name, sql=None):
+def query(name, sql=None, recursive=False):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = B.sql(sql)
+            ORACLES[name] = B.sql(sql, recursive)
         return f
 
     return add
@@ -397,12 +397,21 @@ def merged_shown(spark, d):
     return D.merge_shown(B.shown(spark, d).select("session_id", "item_id", "shown_at"), m)
 
 
-@query("x07_greedy_chunks")
+@query("x07_greedy_chunks", """w AS (SELECT 0 AS pos, (SELECT min(id) FROM vec) AS id, [(SELECT min(id) FROM vec)] AS seen
+UNION ALL SELECT pos + 1, id, list_append(seen, id) FROM (SELECT w.pos, w.seen, arg_max(b.id, (round(list_inner_product(a.e, b.e) / (a.norm * b.norm), 9), -b.id)) AS id FROM w JOIN vn a ON a.id = w.id, vn b WHERE NOT list_contains(w.seen, b.id) GROUP BY w.pos, w.seen))
+SELECT id, pos::BIGINT AS pos, (pos // 20)::BIGINT AS chunk FROM w""", True)
 def greedy(spark, d):
     return D.greedy_chunks(B.vectors(spark, d).select("id", "embedding"))
 
 
-@query("x05_batches")
+@query("x05_batches", _CAND + """, g AS (SELECT source_id, any_value(length(s.text)) AS chars, list(struct_pack(id := target_id, n := length(t.text))) AS near, row_number() OVER (ORDER BY source_id) AS n
+  FROM r JOIN items s ON s.id = source_id JOIN items t ON t.id = target_id WHERE rank0 < 8 GROUP BY source_id),
+walk AS (SELECT 0::BIGINT AS n, -1::BIGINT AS source_id, 0::BIGINT AS batch, 0::BIGINT AS used, []::BIGINT[] AS shown
+UNION ALL SELECT n, source_id, CASE WHEN over THEN batch + 1 ELSE batch END, CASE WHEN over THEN whole ELSE used + cost END, CASE WHEN over THEN ids ELSE list_distinct(list_concat(shown, ids)) END FROM (
+  SELECT *, len(shown) > 0 AND used + cost > 6000 AS over FROM (SELECT g.n, g.source_id, batch, used, shown, list_append(list_transform(near, lambda c: c.id), g.source_id) AS ids,
+    chars + coalesce(list_sum(list_transform(near, lambda c: c.n)), 0)::BIGINT AS whole,
+    CASE WHEN list_contains(shown, g.source_id) THEN 0 ELSE chars END + coalesce(list_sum(list_transform(list_filter(near, lambda c: NOT list_contains(shown, c.id)), lambda c: c.n)), 0)::BIGINT AS cost FROM walk JOIN g ON g.n = walk.n + 1)))
+SELECT source_id, batch FROM walk WHERE n > 0""", True)
 def batches(spark, d):
     u, v = _pools(spark, d)
     c = D.candidates(u, v, 0.3)

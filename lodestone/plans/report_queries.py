@@ -18,11 +18,11 @@ from . import search_queries as SQ
 QUERIES, ORACLES = {}, {}
 
 
-def query(name, sql=None):
+def query(name, sql=None, recursive=False):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = B.sql(sql)
+            ORACLES[name] = B.sql(sql, recursive)
         return f
 
     return add
@@ -144,12 +144,7 @@ sw AS (SELECT * FROM rk WHERE rank0 < 3 AND b >= mt)
 @query("e07_sweep", _LABELS + ", " + _SWEEP + ", " + _metrics_sql("sw", "config_id"))
 def sweep(spark, d):
     """1440 configurations over all questions, re-scored from parts computed once."""
-    _, vec, fused = SQ._fused(spark, d)
-    rel = _rel(spark, d)
-    best = vec.groupBy("query_id").agg(F.max("score").alias("vec_best"))
-    tag = rel.where("tag = 'view'").select(F.col("item_id").alias("id"), F.col("score").alias("tag"))
-    parts = fused.select("query_id", "id", F.col("score").alias("base")).join(best, "query_id", "left").join(tag, "id", "left").join(S.repo_prior(rel, "click").withColumnRenamed("repo_prior", "repo"), "id", "left").na.fill(0.0, ["tag", "repo"])
-    return _rounded(E.sweep(parts, _labels(spark, d), _configs(spark)), "config_id")
+    return _rounded(E.sweep(sweep_parts(spark, d), _labels(spark, d), _configs(spark)), "config_id")
 
 
 @query("t11_best_configs", _LABELS + ", " + _SWEEP + ", mm AS (" + "WITH " + _metrics_sql("sw", "config_id") + ") SELECT config_id, composite FROM mm ORDER BY round(composite, 9), config_id LIMIT 5")
@@ -157,16 +152,34 @@ def best_configs(spark, d):
     return E.best_configs(sweep(spark, d), 5).select("config_id", "composite")
 
 
-@query("e08_ablation", _LABELS + """, x AS (SELECT 'keyword' AS preset, query_id, id, score, rank0 FROM kw UNION ALL SELECT 'vector', query_id, id, score, rank0 FROM vl
-UNION ALL SELECT 'fused', query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 FROM fused), """ + _metrics_sql("x", "preset"))
+#: preset: content tags, repository prior and feedback (1 or 0), abstention, least best score
+_PRESETS = [("semantic_only", 0, 0, 0, 0.0, 0.0), ("semantic_plus_tags", 1, 0, 0, 0.0, 0.0), ("semantic_plus_tags_repo", 1, 1, 0, 0.0, 0.0), ("semantic_plus_filters", 1, 0, 0, 0.55, 0.40), ("hook_current", 1, 1, 1, 0.55, 0.40), ("interactive_current", 1, 1, 1, 0.0, 0.0)]
+
+
+@query("e08_ablation", _LABELS + ", " + SQ._FULL.replace("max(score) < 0.2", "max(score) < -9") + f""", pz AS (SELECT * FROM (VALUES {str(_PRESETS)[1:-1]}) AS x(preset, wt, wr, wf, ab, mt)),
+x AS (SELECT preset, ab, mt, query_id, id, (rrf + wr * repo_delta + wt * tag_affinity + wf * feedback_delta) * recency_multiplier AS score, max(vector_sim) OVER (PARTITION BY preset, query_id) AS vb FROM c2, pz),
+rx AS (SELECT *, row_number() OVER (PARTITION BY preset, query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank0, max(score) OVER (PARTITION BY preset, query_id) AS b FROM x),
+ax AS (SELECT * FROM rx WHERE rank0 < 3 AND b >= mt AND vb >= ab), """ + _metrics_sql("ax", "preset"))
 def ablation(spark, d):
-    items, kw, vec = SQ._lists(spark, d)
-    fused = S.top_k(SQ._fused_of(items, kw, vec), 20)  # two lists of ten
-    r = None
-    for name, x in (("keyword", kw), ("vector", vec), ("fused", fused)):
-        p = x.select(F.lit(name).alias("preset"), "query_id", "id", "score", "rank0")
-        r = p if r is None else r.unionByName(p)
-    return _rounded(E.retrieval_metrics(r, _labels(spark, d), ["preset"]), "preset")
+    """The six presets, scored from the parts of one search that keeps all candidates."""
+    parts = SQ._full(spark, d, diagnostics=True, settings=S.Settings(top=20, abstain_below=-9.0, min_top1=-9.0, tag_penalty=-0.1))
+    presets = spark.createDataFrame(_PRESETS, "preset string, wt int, wr int, wf int, ab double, mt double")
+    x = parts.crossJoin(F.broadcast(presets))  # two lists of ten a query, six rows
+    score = (F.col("rrf_normalized") + F.col("wr") * F.col("repo_delta") + F.col("wt") * F.col("tag_affinity") + F.col("wf") * F.col("feedback_delta")) * F.col("recency_multiplier")
+    w = Window.partitionBy("preset", "query_id")
+    x = x.withColumns({"score": score, "vb": F.max("vector_sim").over(w)})
+    x = x.withColumns({"rank0": F.row_number().over(w.orderBy(F.round("score", 9).desc(), "id")) - 1, "b": F.max("score").over(w)})
+    best = x.where((F.col("rank0") < 3) & (F.col("b") >= F.col("mt")) & (F.col("vb") >= F.col("ab")))
+    return _rounded(E.retrieval_metrics(best.select("preset", "query_id", "rank0", "id", "score"), _labels(spark, d), ["preset"]), "preset")
+
+
+def sweep_parts(spark, d):
+    """query_id, id, base, vec_best, tag, repo: what every configuration of the sweep is scored from."""
+    _, vec, fused = SQ._fused(spark, d)
+    rel = _rel(spark, d)
+    best = vec.groupBy("query_id").agg(F.max("score").alias("vec_best"))
+    tag = rel.where("tag = 'view'").select(F.col("item_id").alias("id"), F.col("score").alias("tag"))
+    return fused.select("query_id", "id", F.col("score").alias("base")).join(best, "query_id", "left").join(tag, "id", "left").join(S.repo_prior(rel, "click").withColumnRenamed("repo_prior", "repo"), "id", "left").na.fill(0.0, ["tag", "repo"])
 
 
 @query("a15_bucket_metrics", _LABELS + """, k AS (SELECT query_id, max(score) AS best FROM fused GROUP BY query_id)
@@ -241,7 +254,12 @@ def top_pairs(spark, d):
     return E.top_pairs(S.pair_parts(B.vectors(spark, d), 0.3), 10).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("a29_reduction")
+@query("a29_reduction", """c AS (SELECT a.id AS x, b.id AS y, list_inner_product(a.e, b.e) / (a.norm * b.norm) AS s FROM vn a, vn b WHERE a.id <> b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(s, 9) DESC, y) - 1 AS r FROM c WHERE round(s, 9) >= 0.3),
+g AS (SELECT list(y) AS ids, row_number() OVER (ORDER BY x) AS n FROM k WHERE r < 8 GROUP BY x),
+w AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS seen, 0 AS kept
+UNION ALL SELECT n, CASE WHEN c THEN list_distinct(list_concat(seen, ids)) ELSE seen END, kept + c::INT FROM (SELECT g.n, seen, kept, ids, len(list_filter(ids, lambda i: NOT list_contains(seen, i))) >= 2 AS c FROM w JOIN g ON g.n = w.n + 1))
+SELECT kept::INT AS n_groups, len(seen)::INT AS n_ids, (len(seen) - kept)::INT AS n_removed FROM w ORDER BY n DESC LIMIT 1""", True)
 def reduction(spark, d):
     p = D.self_candidates(B.vectors(spark, d), 0.3)
     g = p.groupBy(F.col("source_id").alias("pos")).agg(F.array_sort(F.collect_list("target_id")).alias("ids"))
