@@ -13,7 +13,7 @@ def buffered_turns(lines: DataFrame, least_chars: int = 20_000, least_bytes: int
     """session, text, offset: new text of a session once it has gathered enough.
 
     lines: session, line_no, text, end (bytes). Below the thresholds text stays in state and the
-    offset does not move; a session without input for ttl_ms is forgotten.
+    offset does not move, so that text is read again from there; a session without input for ttl_ms is forgotten.
     """
 
     def run(key, frames, state: GroupState):
@@ -43,9 +43,16 @@ def buffered_turns(lines: DataFrame, least_chars: int = 20_000, least_bytes: int
     return lines.groupBy("session").applyInPandasWithState(run, "session string, text string, offset long", "held string, size long, offset long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def first_shown(shown: DataFrame) -> DataFrame:
-    """First showing of an item per session."""
-    return shown.dropDuplicates(["session_id", "item_id"])
+def first_shown(shown: DataFrame, event_time: str | None = None, within: str = "24 hours") -> DataFrame:
+    """First showing of an item per session.
+
+    On a stream, name the event time: a pair is then remembered for ``within``, after which the
+    session is taken to be over, so state is bounded by the sessions of that time.
+    """
+    keys = ["session_id", "item_id"]
+    if event_time is None:
+        return shown.dropDuplicates(keys)
+    return shown.withWatermark(event_time, within).dropDuplicatesWithinWatermark(keys)
 
 
 def running_relevance(events: DataFrame, alpha: float = V.EMA_ALPHA, limit: float = V.EMA_LIMIT) -> DataFrame:

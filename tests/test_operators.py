@@ -252,6 +252,15 @@ def test_turns_are_held_below_the_threshold(spark, tmp_path):
     assert [(r.session, r.offset) for r in got] == [("a", 30005)] and len(got[0].text) == 30004
 
 
+def test_first_showings_on_a_stream(spark, tmp_path):
+    schema = "session_id string, item_id bigint, at timestamp"
+    for n in range(2):
+        spark.sql(f"select * from values ('a', 1L, timestamp'2024-01-01 0{n}:00:00'), ('a', {n + 2}L, timestamp'2024-01-01 0{n}:00:00'), ('b', 1L, timestamp'2024-01-01 0{n}:30:00') as t(session_id, item_id, at)").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/shown")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/shown")
+    got = run_stream(spark, Z.first_shown(stream, "at"), tmp_path, "first", "append")
+    assert sorted((r.session_id, r.item_id) for r in got) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
+
+
 def test_queue_and_coverage(spark):
     r = spark.createDataFrame([("a", "p1", 1), ("b", "p2", 2), ("a", "p3", 3)], "session string, path string, seq long")
     assert [(x.session, x.path) for x in Z.coalesced_queue(r).collect()] == [("a", "p3"), ("b", "p2")]
