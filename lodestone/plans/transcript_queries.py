@@ -13,11 +13,11 @@ from . import base as B
 QUERIES, ORACLES = {}, {}
 
 
-def query(name, sql=None):
+def query(name, sql=None, recursive=False):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = B.sql(sql)
+            ORACLES[name] = B.sql(sql, recursive)
         return f
 
     return add
@@ -98,7 +98,12 @@ def window(spark, d):
     return X.turn_window(first, t, budget=900)
 
 
-@query("x06_chunks")
+@query("x06_chunks", _WHOLE + """, m AS (SELECT session, line_no, role || ': ' || text AS x, row_number() OVER (PARTITION BY session ORDER BY line_no) - 1 AS k FROM t),
+p AS (SELECT session, count(*) AS n, sum(length(x)) + count(*) - 1 <= 1500 AS one, list_prepend(0::HUGEINT, list(s ORDER BY k)) AS ps FROM (SELECT *, sum(length(x) + 1) OVER (PARTITION BY session ORDER BY k) AS s FROM m) GROUP BY session),
+w AS (SELECT session, -1::BIGINT AS chunk, 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS nxt FROM p
+UNION ALL SELECT session, chunk + 1, i, j, CASE WHEN greatest(i, b - 1) > i THEN b - 1 ELSE j END FROM (SELECT *, len(list_filter(ps[1:j], lambda y: ps[j + 1] - y >= 225)) AS b FROM (
+  SELECT p.session, chunk, nxt AS i, ps, CASE WHEN one THEN n ELSE nxt + greatest(1, len(list_filter(ps[nxt + 2:], lambda y: y - ps[nxt + 1] <= 1500))) END AS j, n FROM w JOIN p ON p.session = w.session WHERE w.j < n)))
+SELECT w.session, chunk, min(line_no) AS first_line, max(line_no) AS last_line, string_agg(x, chr(10) ORDER BY k) AS text FROM w JOIN m ON m.session = w.session AND k >= i AND k < j WHERE chunk >= 0 GROUP BY w.session, chunk""", True)
 def chunks(spark, d):
     return X.chunks(X.turns(_lines(spark, d), None), 1500)
 
