@@ -175,3 +175,21 @@ def divergence(results: DataFrame, a: str, b: str, least: float = 0.05) -> DataF
 def pivot_report(rows: DataFrame, by: str, across: str, value: str) -> DataFrame:
     """Mean of value by one key, a column for each value of another; rows with errors left out."""
     return rows.where(F.col("error").isNull()).groupBy(by).pivot(across).agg(F.avg(value))
+
+
+def threshold_report(pairs: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """threshold, n_pairs, n_items, mean_similarity of candidate pairs (source_id, target_id, similarity) from each threshold on."""
+    j = pairs.crossJoin(F.broadcast(thresholds)).where(F.round("similarity", 9) >= F.col("threshold"))
+    return j.groupBy("threshold").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("source_id").alias("n_items"), F.avg("similarity").alias("mean_similarity"))
+
+
+def variant_report(verdicts: DataFrame, baseline: str) -> DataFrame:
+    """variant, n, positive, yield_ and agreement with the baseline variant on items that both judged.
+
+    verdicts: variant, item_id, score (one a variant and item).
+    """
+    sign = F.when(F.col("score") > 0.1, 1).when(F.col("score") < -0.1, -1).otherwise(0)
+    v = verdicts.select("variant", "item_id", sign.alias("sign"))
+    base = v.where(F.col("variant") == baseline).select("item_id", F.col("sign").alias("base"))
+    g = v.join(base, "item_id", "left").groupBy("variant")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sign") == 1).alias("positive"), F.avg((F.col("sign") == 1).cast("double")).alias("yield_"), F.avg((F.col("sign") == F.col("base")).cast("double")).alias("agreement"))

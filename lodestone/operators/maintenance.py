@@ -174,3 +174,19 @@ def gate_outcome(items: DataFrame, verdicts: DataFrame, groups: DataFrame, label
     final = one.withColumn("final", F.col("alone") + F.col("merged_groups")).drop("alone")
     pct = lambda a, b: F.coalesce(100 * F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     return final.withColumn("good_recall", pct("good_found", "good_total")).withColumn("bad_avoidance", pct("bad_avoided", "bad_total"))
+
+
+# --- listings -----------------------------------------------------------------------------------
+def verbose_listing(items: DataFrame, relevance: DataFrame, repo_stats: DataFrame, titles: DataFrame) -> DataFrame:
+    """id, category, best, tags, repos, titles of active items: their scores by tag, matches by repository and sessions' titles, best first."""
+    r = relevance.groupBy(F.col("item_id").alias("id")).agg(F.max(F.round("score", 6)).alias("best"), F.array_sort(F.collect_list("tag")).alias("tags"))
+    p = repo_stats.groupBy(F.col("item_id").alias("id")).agg(F.array_sort(F.collect_list(F.concat_ws(":", "repo", F.col("times_matched").cast("string")))).alias("repos"))
+    s = items.select("id", F.explode("source_sessions").alias("session_id")).join(titles, "session_id").groupBy("id").agg(F.array_sort(F.collect_set("title")).alias("titles"))
+    none = F.array().cast("array<string>")
+    j = items.where("not deprecated").select("id", "category").join(r, "id", "left").join(p, "id", "left").join(s, "id", "left")
+    return j.select("id", "category", F.coalesce("best", F.lit(0.0)).alias("best"), *(F.coalesce(c, none).alias(c) for c in ("tags", "repos", "titles")))
+
+
+def labelled_sessions(labels: DataFrame, items: DataFrame) -> DataFrame:
+    """label_id, session_id: sessions whose items hold a label's text (label_id, text)."""
+    return labels.join(items.select("text", F.explode("source_sessions").alias("session_id")), "text").select("label_id", "session_id").distinct()

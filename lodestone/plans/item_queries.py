@@ -58,10 +58,12 @@ def uncurated(spark, d):
     return M.uncurated(B.items(spark, d)).select("id")
 
 
-@query("s08_vector_index", "SELECT vec_id AS id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+@query("s07_s08_vector_index", "SELECT vec_id AS id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, len(embedding)::INT AS dims FROM embeddings")
 def vector_index(spark, d):
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return B.vectors(spark, d).select("id", F.round(norm, 6).alias("norm"))
+    """The index is written as a whole (S08) and loaded again."""
+    path = f"{files.scratch(spark)}/index"
+    files.write_index(B.vectors(spark, d), path)
+    return files.read_index(spark, path).select("id", F.round("norm", 6).alias("norm"), F.size("embedding").alias("dims"))
 
 
 @query("s09_tag_bags", "SELECT item_id, string_agg(tag, ' ' ORDER BY tag) AS bag FROM item_tags GROUP BY item_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import workspace as W
 from lodestone.operators import dedup as D
+from lodestone.operators import evaluation as E
 from lodestone.operators import feedback as fb
 from lodestone.operators import maintenance as U
 from lodestone.operators import retrieval as R
@@ -16,6 +17,7 @@ from lodestone.sources import transcripts as X
 from lodestone.streaming import sessions as Z
 
 from . import base as B
+from . import report_queries as RQ
 from . import search_queries as SQ
 from . import transcript_queries as TQ
 
@@ -526,3 +528,43 @@ def before(spark, d):
 def work(spark, d):
     g = B.log(spark, d).groupBy(F.col("session_id").alias("session")).agg(F.floor(F.sum("value")).alias("bytes"), (F.count(F.lit(1)) * 37).alias("offset"))
     return Z.needs_work(g.select("session", "bytes"), g.select("session", "offset"), 1000).select("session", "from_offset")
+
+
+@query("r32_verbose_listing", """m AS (SELECT item_id, 'r' || (user_id % 4) AS repo, count(*) AS n FROM log GROUP BY ALL), r AS (SELECT item_id AS id, max(round(score, 6)) AS best, string_agg(tag, ',' ORDER BY tag) AS tags FROM rel GROUP BY 1),
+p AS (SELECT item_id AS id, string_agg(repo || ':' || n, ',' ORDER BY repo || ':' || n) AS repos FROM m GROUP BY 1), s AS (SELECT i.id, string_agg(DISTINCT 'title ' || a.repo, ',') AS titles FROM items i JOIN audit a ON a.session_id = i.source_session GROUP BY 1)
+SELECT id, category, coalesce(best, 0) AS best, coalesce(tags, '') AS tags, coalesce(repos, '') AS repos, coalesce(titles, '') AS titles FROM items LEFT JOIN r USING (id) LEFT JOIN p USING (id) LEFT JOIN s USING (id) WHERE NOT deprecated""")
+def verbose(spark, d):
+    stats = B.log(spark, d).groupBy("item_id", _text("r", F.col("user_id") % 4).alias("repo")).agg(F.count(F.lit(1)).alias("times_matched"))
+    titles = B.audit(spark, d).select("session_id", _text("title ", F.col("repo")).alias("title"))
+    got = U.verbose_listing(B.items(spark, d), _rel(spark, d), stats, titles)
+    return got.select("id", "category", "best", *(F.array_join(c, ",").alias(c) for c in ("tags", "repos", "titles")))
+
+
+@query("j22_labelled_sessions", "SELECT DISTINCT l.id AS label_id, i.source_session AS session_id FROM items l JOIN items i ON l.text = i.text WHERE l.quality IS NOT NULL")
+def labelled_sessions(spark, d):
+    i = B.items(spark, d)
+    return U.labelled_sessions(i.where("quality is not null").select(F.col("id").alias("label_id"), "text"), i)
+
+
+@query("e13_variants", """v AS (SELECT tag AS variant, item_id, CASE WHEN score > 0.1 THEN 1 WHEN score < -0.1 THEN -1 ELSE 0 END AS s FROM rel), b AS (SELECT item_id, s AS base FROM v WHERE variant = 'click')
+SELECT variant, count(*)::BIGINT AS n, count(*) FILTER (s = 1)::BIGINT AS positive, round(avg((s = 1)::INT), 6) AS yield_, round(avg((s = base)::INT), 6) AS agreement FROM v LEFT JOIN b USING (item_id) GROUP BY variant""")
+def variants(spark, d):
+    """Each event type as the verdicts of another judge."""
+    got = E.variant_report(_rel(spark, d).select(F.col("tag").alias("variant"), "item_id", "score"), "click")
+    return got.withColumns({c: F.round(c, 6) for c in ("yield_", "agreement")})
+
+
+@query("e16_dedup_thresholds", """c AS (SELECT a.id AS source_id, b.id AS target_id, list_inner_product(a.e, b.e) / (a.norm * b.norm) AS s FROM vn a, vn b WHERE a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY round(s, 9) DESC, target_id) - 1 AS rank0 FROM c WHERE round(s, 9) >= 0.25), h AS (SELECT unnest([0.25, 0.3, 0.35, 0.4]) AS threshold)
+SELECT threshold::DOUBLE AS threshold, count(*)::BIGINT AS n_pairs, count(DISTINCT source_id)::BIGINT AS n_items, round(avg(s), 6) AS mean_similarity FROM r, h WHERE rank0 < 8 AND round(s, 9) >= threshold GROUP BY threshold""")
+def thresholds(spark, d):
+    pairs = D.self_candidates(B.vectors(spark, d), 0.25)
+    got = E.threshold_report(pairs, spark.createDataFrame([(x,) for x in (0.25, 0.3, 0.35, 0.4)], "threshold double"))
+    return got.withColumn("mean_similarity", F.round("mean_similarity", 6))
+
+
+@query("r29_one_configuration", RQ._LABELS + ", " + SQ._FULL + f", t AS ({SQ._cut(3, 0.05)}), " + RQ._metrics_sql("t"))
+def one_configuration(spark, d):
+    """The metrics of the whole path under one configuration."""
+    found = SQ._full(spark, d, settings=S.Settings(abstain_below=0.2, min_top1=0.05, tag_penalty=-0.1))
+    return RQ._rounded(E.retrieval_metrics(found, RQ._labels(spark, d)))

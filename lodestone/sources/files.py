@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that all machines share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return f"{root.rstrip('/')}/lodestone-files/{uuid.uuid4().hex}"
+
+
 def write_index(vectors: DataFrame, path: str) -> None:
     """(id, embedding, norm), sorted by id within files."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
