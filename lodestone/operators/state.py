@@ -10,19 +10,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.sources.files import scratch
 
 CURATED, REJECTED = 1, 2
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with their places (from 0) in order, without bringing them into one task: ranges are
-    numbered apart, and one count per range goes to all."""
-    placed = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    before = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    before = before.select("_range", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return placed.withColumn("_at", at).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_before", "_at")
+def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """rows with their places (from 0) in order, without bringing them into one task.
+
+    Rows are written once, by ranges of order and sorted within each; a row's place is its index in
+    its file plus the rows of the files before. Bounds of ranges are drawn once, as every later step
+    reads what was written. Rows that are equal in order share ranges, so many of them need a
+    last entry of order that tells them apart (such as F.rand(7)); their mutual order is undefined.
+    """
+    spark = rows.sparkSession
+    path = scratch(spark)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", 0).option("compression", "zstd").parquet(path)
+    placed = spark.read.schema(rows.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    part = F.regexp_extract("_file", r"part-(\d+)", 1).cast("int")
+    w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    before = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select("_file", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_file").withColumn(name, F.col("_before") + F.col("_at")).drop("_file", "_before", "_at")
 
 
 # --- sets ---------------------------------------------------------------------------------------

@@ -41,3 +41,17 @@ def test_rows_are_numbered_without_one_task(spark):
     got = {r.k: r.n for r in M.numbered(d, ["k"], "n").collect()}
     assert got == {k: n for n, k in enumerate(sorted(got))} and len(got) == 500
     assert M.numbered(d.limit(0), ["k"], "n").count() == 0
+
+
+def test_two_million_rows_get_each_number_once(spark):
+    n = 2_000_000
+    d = spark.range(n).select((F.col("id") * 1_000_003 % n).alias("k"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("t"))
+    got = M.numbered(d, ["k"], "n")
+    assert got.where("n <> k").count() == 0 and got.select("n").distinct().count() == n
+
+
+def test_many_equal_rows_are_numbered_in_several_files(spark):
+    d = spark.range(200_000).select(F.lit(5).alias("k"), "id")
+    got = M.numbered(d, ["k", F.rand(7)], "n")
+    r = got.agg(F.countDistinct("n").alias("n"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    assert (r.n, r.lo, r.hi) == (200_000, 0, 199_999)
