@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import chat_format, decontamination, line_dedup, line_rules, packing, set_join, substring_dedup, token_rollup, token_store, toxicity
+from . import bpe, chat_format, decontamination, infilling, line_dedup, line_rules, packing, resampling, set_join, substring_dedup, token_rollup, token_store, toxicity
 from .common import small_batches
 
 
@@ -32,6 +32,9 @@ _QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_set_join": set_join.op10_set_join,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_fill_in_middle": infilling.op13_fill_in_middle,
 }
 
 
@@ -43,4 +46,6 @@ def oracle_sql():
         "op6_chat_format": chat_format.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op10_set_join": set_join.ORACLE,
+        "op11_importance_resampling": resampling.ORACLE,
+        "op13_fill_in_middle": infilling.ORACLE,
     }
