@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 
 from .feedback import merged_relevance
-from .search import nearest
+from .metric_join import best_pairs
 from .state import numbered
 
 
@@ -17,12 +17,8 @@ def bootstrap_mode(verified_count: int) -> bool:
 
 
 def candidates(unverified: DataFrame, verified: DataFrame, least: float = 0.5, k: int = 8) -> DataFrame:
-    """source_id, target_id, similarity, rank0: best verified items (id, embedding) of each unverified one."""
-    got = nearest(verified, unverified.select(F.col("id").alias("query_id"), "embedding"), k + 1)
-    keep = got.where((F.col("query_id") != F.col("id")) & (F.round("score", 9) >= least))
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
-    ranked = keep.withColumn("rank0", F.row_number().over(w) - 1).where(F.col("rank0") < k)
-    return ranked.select(F.col("query_id").alias("source_id"), F.col("id").alias("target_id"), F.col("score").alias("similarity"), "rank0")
+    """source_id, target_id, similarity, rank0: best verified items (id, embedding) of each unverified one, by an exact join over cells."""
+    return best_pairs(unverified, verified, least, k)
 
 
 def self_candidates(items: DataFrame, least: float = 0.5, k: int = 8) -> DataFrame:

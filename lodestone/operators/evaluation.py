@@ -133,7 +133,7 @@ def yield_by(results: DataFrame, by: str) -> DataFrame:
 
 
 def similarity_summary(parts: DataFrame) -> DataFrame:
-    """mean_sim, max_sim, n_above of the parts that search.pair_parts() gives."""
+    """mean_sim, max_sim, n_above of the parts that metric_join.pair_parts() gives."""
     return parts.agg((F.sum("total") / F.sum("n")).alias("mean_sim"), F.max("top").alias("max_sim"), F.coalesce(F.sum("n_above"), F.lit(0)).alias("n_above"))
 
 

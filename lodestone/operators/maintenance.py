@@ -9,6 +9,7 @@ from lodestone.functions import text as T
 
 from . import dedup as D
 from . import state as M
+from .search import nearest
 
 
 # --- items --------------------------------------------------------------------------------------
@@ -90,7 +91,9 @@ def dedup_payload(items: DataFrame) -> DataFrame:
 
 def target_candidates(vectors: DataFrame, target: int, least: float = 0.5, k: int = 8) -> DataFrame:
     """Candidates of one item against all others, whatever their state."""
-    return D.candidates(vectors.where(F.col("id") == target), vectors.where(F.col("id") != target), least, k)
+    asked = vectors.where(F.col("id") == target).select(F.col("id").alias("query_id"), "embedding")
+    near = nearest(vectors.where(F.col("id") != target), asked, k).where(F.round("score", 9) >= least)
+    return near.select(F.col("query_id").alias("source_id"), F.col("id").alias("target_id"), F.col("score").alias("similarity"), "rank0")
 
 
 def merged_context(context: DataFrame, id_map: DataFrame) -> DataFrame:

@@ -156,41 +156,6 @@ def similarities(vectors: DataFrame, queries: DataFrame, block: int = 2000, rows
     return _scanned(vectors, queries, scan, "query_id long, id long, score double", block)
 
 
-def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int = 2000, rows: int = 500) -> DataFrame:
-    """Parts of the distribution over all pairs a < b: a row of n, total, top and n_above per block and
-    task, and with it the task's k best pairs from least on as best array<struct<a, b, similarity>>.
-
-    Similarities count as rounded to nine digits.
-    """
-    schema = pa.schema([("n", pa.int64()), ("total", pa.float64()), ("top", pa.float64()), ("n_above", pa.int64()), ("best", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])))])
-
-    def scan(shared):
-        def run(batches):
-            ids_a, m = shared.value
-            n, total, top, above, best = 0, 0.0, None, 0, []
-            for t in _slices(batches, rows):
-                ids = t.column("id").to_numpy(zero_copy_only=False)
-                upper = ids_a[:, None] < ids[None, :]
-                s = np.round(m @ _unit(t.column("embedding").to_pylist()).T, 9)[upper]
-                if not len(s):
-                    continue
-                n, total, above = n + len(s), total + float(s.sum()), above + int((s >= least).sum())
-                top = float(s.max()) if top is None else max(top, float(s.max()))
-                bar = max(least, best[-1][0] * -1 if len(best) == k else least, np.partition(s, -k)[-k] if len(s) > k else least)
-                if top >= bar:
-                    at, (i, j) = np.nonzero(s >= bar)[0], np.nonzero(upper)
-                    a, b, near = ids_a[i[at]], ids[j[at]], s[at]
-                    first = np.lexsort((b, a, -near))[:k]
-                    best = sorted([*best, *zip((-near[first]).tolist(), a[first].tolist(), b[first].tolist(), strict=True)])[:k]
-            if n:
-                yield pa.RecordBatch.from_pylist([{"n": n, "total": total, "top": top, "n_above": above, "best": [{"a": a, "b": b, "similarity": -s} for s, a, b in best]}], schema=schema)
-
-        return run
-
-    own = vectors.select(F.col("id").alias("query_id"), "embedding")
-    return _scanned(vectors, own, scan, "n long, total double, top double, n_above long, best array<struct<a:long,b:long,similarity:double>>", block)
-
-
 def _unit(embeddings: list) -> np.ndarray:
     e = np.array(embeddings, np.float64)
     return e / (np.sqrt((e * e).sum(1, keepdims=True)) + 1e-10)

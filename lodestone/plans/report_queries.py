@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import dedup as D
 from lodestone.operators import evaluation as E
 from lodestone.operators import feedback as fb
+from lodestone.operators import metric_join as M
 from lodestone.operators import search as S
 
 from . import base as B
@@ -246,12 +247,12 @@ _PAIRS = "c AS (SELECT a.id AS a, b.id AS b, round(list_inner_product(a.e, b.e)
 @query("a28_similarity_summary", _PAIRS + "SELECT round(avg(s), 6) AS mean_sim, round(max(s), 6) AS max_sim, count(*) FILTER (s >= 0.3)::BIGINT AS n_above FROM c")
 def distribution(spark, d):
     """Over all pairs a < b of vectors."""
-    return E.similarity_summary(S.pair_parts(B.vectors(spark, d), 0.3)).withColumn("mean_sim", F.round("mean_sim", 6)).withColumn("max_sim", F.round("max_sim", 6))
+    return E.similarity_summary(M.pair_parts(B.vectors(spark, d), 0.3)).withColumn("mean_sim", F.round("mean_sim", 6)).withColumn("max_sim", F.round("max_sim", 6))
 
 
 @query("a28_top_pairs", _PAIRS + "SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.3 ORDER BY s DESC, a, b LIMIT 10")
 def top_pairs(spark, d):
-    return E.top_pairs(S.pair_parts(B.vectors(spark, d), 0.3), 10).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return E.top_pairs(M.pair_parts(B.vectors(spark, d), 0.3), 10).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("a29_reduction", """c AS (SELECT a.id AS x, b.id AS y, list_inner_product(a.e, b.e) / (a.norm * b.norm) AS s FROM vn a, vn b WHERE a.id <> b.id),

@@ -11,8 +11,26 @@ from pyspark.sql import functions as F
 
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that all machines share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    return f"{_own(spark)}/{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    """The folder of this application's steps."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    return f"{root.rstrip('/')}/lodestone-files/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/lodestone-files/{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts lineage: df as a Parquet table in the shared folder, read again."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the steps that this application has stored, once no result that reads them is needed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def write_index(vectors: DataFrame, path: str) -> None:
