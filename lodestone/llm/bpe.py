@@ -9,8 +9,8 @@ of n bytes costs n log n, even one that is a whole long text. Decoding concatena
 strings of the ids and reads the whole as UTF-8.
 
 Documents are encoded where they lie: no shuffle, no key, nothing on the driver but the path of the
-vocabulary file. A worker keeps the ids of short pieces that it has met, a bounded number; ids
-never depend on that memo.
+vocabulary file. A worker keeps the ids of the short pieces that it has met last, 800 000 at most
+(about 200 MB); ids never depend on that memo.
 
 The pattern asks which code points are letters, digits or spaces. The library's own tables decide
 for texts with code points that are younger than this Python's tables (Unicode 15.1).
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -45,7 +46,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, most: int = 200_000, longest: int = 32):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 32):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, cut = spec["model"], spec["pre_tokenizer"] or {}
@@ -54,11 +55,13 @@ class Bpe:
         self._path, self._most, self._longest = path, most, longest
         vocab = model["vocab"]
         chars = {chr(b): b for b in range(256) if b not in _BYTE_CHARS} | {chr(c): b for b, c in _BYTE_CHARS.items()}
-        self._byte_ids = [vocab[c] for c, _ in sorted(chars.items(), key=lambda x: x[1])]
-        self._merges = {}
+        byte_ids = [vocab[c] for c, _ in sorted(chars.items(), key=lambda x: x[1])]
+        self._byte_ids = bytes(byte_ids) if max(byte_ids) < 256 else byte_ids
+        self._shift, self._ranks, self._made = max(vocab.values()).bit_length(), {}, []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self._merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self._ranks[vocab[a] << self._shift | vocab[b]] = rank
+            self._made.append(vocab[a + b])
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError(f"{path} has added tokens that match by their surroundings")
@@ -71,34 +74,38 @@ class Bpe:
         for s, i in added.items():
             self._strings[i] = s.encode()
         self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._known: set[str] = set()
         self._library = None
 
     def merged(self, symbols: list[int]) -> list[int]:
-        """Ids of a piece from the ids of its bytes."""
-        n, pair = len(symbols), self._merges.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*m, i) for i in range(n - 1) if (m := pair((symbols[i], symbols[i + 1])))]
-        heap = [(rank, i, new) for rank, new, i in heap]
+        """Ids of a piece from the ids of its bytes. Entries of the heap are rank << 32 | place."""
+        n, rank_of, shift, made = len(symbols), self._ranks.get, self._shift, self._made
+        heap = [r << 32 | i for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank_of(a << shift | b)) is not None]
+        if not heap:
+            return symbols
         heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            rank, i, new = heappop(heap)
-            j = after[i]
-            if symbols[i] < 0 or j >= n or pair((symbols[i], symbols[j])) != (rank, new):
+            entry = heappop(heap)
+            i = entry & 0xFFFFFFFF
+            a, j = symbols[i], after[i]
+            if a < 0 or j >= n or rank_of(a << shift | symbols[j]) != entry >> 32:
                 continue  # stale
-            symbols[i], symbols[j] = new, -1
+            symbols[i] = new = made[entry >> 32]
+            symbols[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := pair((new, symbols[k])):
-                    heappush(heap, (m[0], i, m[1]))
-            if (k := before[i]) >= 0 and (m := pair((symbols[k], new))):
-                heappush(heap, (m[0], k, m[1]))
+                if (r := rank_of(new << shift | symbols[k])) is not None:
+                    heappush(heap, r << 32 | i)
+            if (k := before[i]) >= 0 and (r := rank_of(symbols[k] << shift | new)) is not None:
+                heappush(heap, r << 32 | k)
         return [s for s in symbols if s >= 0]
 
     def _of_piece(self, piece: str) -> bytes:
-        at = self._byte_ids
-        return np.array(self.merged([at[b] for b in piece.encode("utf-8", "surrogatepass")]), "<u4").tobytes()
+        held, at = piece.encode("utf-8", "surrogatepass"), self._byte_ids
+        return array("I", self.merged(list(held.translate(at)) if isinstance(at, bytes) else [at[b] for b in held])).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
@@ -113,11 +120,17 @@ class Bpe:
             return b"".join(map(memo.__getitem__, pieces))
         except KeyError:
             if len(memo) > self._most:
-                memo.clear()
-            own = {}
+                self._older, self._memo = memo, {}
+                memo = self._memo
+            older, long = self._older, []
             for p in set(pieces).difference(memo):
-                (memo if len(p) <= self._longest else own)[p] = self._of_piece(p)
-            return b"".join(memo[p] if p in memo else own[p] for p in pieces)
+                memo[p] = older.get(p) or self._of_piece(p)
+                if len(p) > self._longest:
+                    long.append(p)
+            ids = b"".join(map(memo.__getitem__, pieces))
+            for p in long:
+                del memo[p]
+            return ids
 
     def _young(self, text: str) -> bool:
         """Whether text has a code point that Python's tables do not know."""

@@ -114,9 +114,9 @@ def test_merges_of_any_bytes_equal_the_rule_that_scans_for_the_least_rank():
     for _ in range(500):
         symbols = [own._byte_ids[r.choice(b"aabehinrt sou")] for _ in range(r.randint(0, 30))]
         want = list(symbols)
-        while found := [(m, i) for i, p in enumerate(zip(want, want[1:])) if (m := own._merges.get(p))]:
-            (_, new), i = min(found)
-            want[i : i + 2] = [new]
+        while found := [(m, i) for i, (a, b) in enumerate(zip(want, want[1:])) if (m := own._ranks.get(a << own._shift | b)) is not None]:
+            rank, i = min(found)
+            want[i : i + 2] = [own._made[rank]]
         assert own.merged(symbols) == want
 
 
