@@ -12,8 +12,9 @@ Documents are encoded where they lie: no shuffle, no key, nothing on the driver
 vocabulary file. A worker keeps the ids of the short pieces that it has met last, 800 000 at most
 (about 200 MB); ids never depend on that memo.
 
-The pattern asks which code points are letters, digits or spaces. The library's own tables decide
-for texts with code points that are younger than this Python's tables (Unicode 15.1).
+The pattern asks which code points are letters, digits or spaces. Where Python's classes are not
+those of the library (numbers that are no decimal digits, such as fractions, separators of
+information, code points that are younger than Python's tables), the library cuts the text.
 
 Defined cases: a null text is an empty text (no ids, decoded as empty); a null list of ids decodes
 as empty, ids outside the vocabulary decode as nothing, bytes that are no UTF-8 as U+FFFD, both as
@@ -24,7 +25,9 @@ by decoded(), whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -32,21 +35,48 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents_only
 from .encoding import _BYTE_CHARS, vocabulary
 
-#: The pattern of byte-level vocabularies (a fixed value).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: How byte-level vocabularies cut texts: letters, digits and other signs with a space before them,
+#: endings after an apostrophe, white space.
+PIECES = r" ?[^\W\d_]++| ?\d++|'(?:[sdmt]|ll|ve|re)| ?(?:[^\s\w]|_)++|\s+(?!\S)|\s+"
+
+
+class _Met(dict):
+    """piece -> ids of the pieces met since it was made; older holds those met before. Long pieces are not kept."""
+
+    def __init__(self, make, longest: int, older: dict):
+        super().__init__()
+        self._make, self._longest, self._older = make, longest, older
+        if isinstance(older, _Met):
+            older._older = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._older.get(piece) or self._make(piece)
+        if len(piece) <= self._longest:
+            self[piece] = ids
+        return ids
+
+
+def _alike(c: str) -> bool:
+    """Whether c is a letter, a digit, white space or none of them to Python's patterns and to the library alike."""
+    kind = unicodedata.category(c)
+    if kind == "Cn":
+        return False
+    by_tables = "space" if kind[0] == "Z" or c in "\t\n\x0b\x0c\r\x85" else "letter" if kind[0] == "L" else "digit" if kind[0] == "N" else "sign"
+    by_pattern = "space" if c.isspace() else "digit" if c.isdecimal() else "letter" if c.isalnum() else "sign"
+    return by_tables == by_pattern
 
 
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 32):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, cut = spec["model"], spec["pre_tokenizer"] or {}
@@ -66,15 +96,14 @@ class Bpe:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError(f"{path} has added tokens that match by their surroundings")
         self._special = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
-        self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self._pieces = regex.compile(PIECES).findall
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self._ascii, self._pieces = re.compile(PIECES, re.ASCII).findall, re.compile(PIECES).findall
         self._strings = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for s, i in vocab.items():
             self._strings[i] = bytes(chars[c] for c in s) if all(c in chars for c in s) else s.encode()
         for s, i in added.items():
             self._strings[i] = s.encode()
-        self._memo: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._memo = _Met(self._of_piece, longest, {})
         self._known: set[str] = set()
         self._library = None
 
@@ -114,28 +143,16 @@ class Bpe:
         return b"".join(self._special.get(x) or self._plain(x) for x in self._cut.split(text))
 
     def _plain(self, text: str) -> bytes:
-        pieces = self._pieces(text) if text.isascii() or not self._young(text) else self._by_library(text)
         memo = self._memo
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            if len(memo) > self._most:
-                self._older, self._memo = memo, {}
-                memo = self._memo
-            older, long = self._older, []
-            for p in set(pieces).difference(memo):
-                memo[p] = older.get(p) or self._of_piece(p)
-                if len(p) > self._longest:
-                    long.append(p)
-            ids = b"".join(map(memo.__getitem__, pieces))
-            for p in long:
-                del memo[p]
-            return ids
-
-    def _young(self, text: str) -> bool:
-        """Whether text has a code point that Python's tables do not know."""
+        if len(memo) > self._most:
+            memo = self._memo = _Met(self._of_piece, self._longest, memo)
+        pieces = self._ascii(text) if text.isascii() else self._by_library(text) if self._odd(text) else self._pieces(text)
+        return b"".join(map(memo.__getitem__, pieces))
+
+    def _odd(self, text: str) -> bool:
+        """Whether text has a code point that Python's classes hold for something else than the library."""
         new = set(text).difference(self._known)
-        if any(unicodedata.category(c) == "Cn" for c in new):
+        if not all(map(_alike, new)):
             return True
         self._known |= new
         return False
@@ -202,8 +219,12 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bpe(path)
         for part in batches:
-            lists = part.column(part.num_columns - 1)
-            texts = pa.array([b.decode([i for i in x.values.to_pylist() if i is not None and i >= 0] if x.is_valid else []) for x in lists], pa.string())
+            lists = pc.fill_null(part.column(part.num_columns - 1), [])
+            flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).tolist()
+            odd = len(flat) > 0 and int(flat.min()) < 0
+            own = (flat[i:j] for i, j in itertools.pairwise(starts))
+            texts = pa.array([b.decode((x[x >= 0] if odd else x).tolist()) for x in own], pa.string())
             columns = [part.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, texts], names=[*kept, text])
 
