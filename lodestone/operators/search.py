@@ -377,7 +377,7 @@ def tag_evidence(candidates: DataFrame, item_tags: DataFrame, prompt: DataFrame
     )
 
 
-def search(items: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, item_tags: DataFrame | None = None, relevance: DataFrame | None = None, prompt: DataFrame | None = None, tag_pairs: DataFrame | None = None, now: Column | None = None, category: str | None = None, bridge: DataFrame | None = None, tags: list[str] | None = None, settings: Settings | None = None, diagnostics: bool = False) -> DataFrame:
+def search(items: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, item_tags: DataFrame | None = None, relevance: DataFrame | None = None, prompt: DataFrame | None = None, tag_pairs: DataFrame | None = None, now: Column | None = None, category: str | None = None, bridge: DataFrame | None = None, tags: list[str] | None = None, settings: Settings | None = None, diagnostics: bool = False, index=None) -> DataFrame:
     """query_id, rank0, id, score of the whole path, for a set of queries.
 
     Gate, two lists over items (id, text, category, refreshed_at; those in scope), abstention, fusion
@@ -385,13 +385,14 @@ def search(items: DataFrame, queries: DataFrame, vectors: DataFrame, query_vecto
     closeness of content tags to prompt tags (prompt: query_id, tag; tag_pairs: tag, other, sim),
     feedback over the tags that match, recency. Last come the filters by category (bridge: item_id,
     path) and by required tags, the cut, the least best score and the floor. What is not given is
-    left out. diagnostics adds the nine parts of each score.
+    left out. diagnostics adds the nine parts of each score. index (postings.Postings over the same
+    items) gives the keyword list in place of a scan of items.
     """
     o = settings or Settings()
     asked = queries.where(T.low_information("text").isNull())
     vec = rescope(nearest(vectors, query_vectors.join(asked.select("query_id"), "query_id", "left_semi"), o.list_size), items)
     docs = items.select("id", F.concat_ws(" ", "text", *(["category"] if "category" in items.columns else [])).alias("text"))
-    kw = bm25(docs, asked, o.list_size)
+    kw = bm25(docs, asked, o.list_size) if index is None else index.search(asked, o.list_size)
     c = fuse([vec, kw], anchors(items), ("vector_sim", "bm25"))
     best_vector = F.max("vector_sim").over(Window.partitionBy("query_id"))
     c = c.withColumn("_best", best_vector).where(F.col("_best").isNull() | (F.col("_best") >= o.abstain_below)).drop("_best", "rrf")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import feedback as fb
+from lodestone.operators import postings
 from lodestone.operators import search as S
+from lodestone.sources.files import scratch
 
 from . import base as B
 
@@ -48,6 +50,27 @@ def bm25(spark, d):
     return S.bm25(_docs(spark, d), B.questions(spark, d)).select("query_id", "rank0", "id", F.round("score", 6).alias("score"))
 
 
+_ACTIVE = """atok AS (SELECT t.* FROM tok t JOIN items i USING (id) WHERE NOT i.deprecated),
+adl AS (SELECT id, sum(tf) AS dl FROM atok GROUP BY id),
+ast AS (SELECT (SELECT count(*) FROM items WHERE NOT deprecated) AS n, (SELECT sum(tf) FROM atok) / (SELECT count(*) FROM items WHERE NOT deprecated) AS avgdl),
+aidf0 AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM atok, ast GROUP BY term, n),
+aidf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM aidf0) ELSE raw END AS idf FROM aidf0),
+akw0 AS (SELECT query_id, id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN aidf USING (term) JOIN atok USING (term) JOIN adl USING (id), ast GROUP BY ALL),
+akw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank0 FROM akw0) WHERE rank0 < 10)
+"""
+
+
+@query("t01_s08_stored_postings", _ACTIVE + "SELECT query_id, rank0::INT AS rank0, id, round(score, 6) AS score FROM akw")
+def stored_postings(spark, d):
+    """An index of all items in two segments, the deprecated ones removed, then merged; all questions searched."""
+    index, docs = postings.Postings(spark, scratch(spark)), _docs(spark, d)
+    index.add(docs.where("id % 2 = 0"))
+    index.add(docs.where("id % 2 <> 0"))
+    index.remove(docs.join(B.items(spark, d).where("deprecated").select("id"), "id", "left_semi"))
+    index.merge()
+    return index.search(B.questions(spark, d)).select("query_id", "rank0", "id", F.round("score", 6).alias("score"))
+
+
 @query("j09_vector_topk", "SELECT query_id, r::INT AS rank0, id, round(score, 6) AS score FROM v1")
 def vectors(spark, d):
     return S.nearest(B.vectors(spark, d), B.question_vectors(spark, d)).select("query_id", "rank0", "id", F.round("score", 6).alias("score"))
