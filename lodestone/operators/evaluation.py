@@ -6,30 +6,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A useful result scores at least this much; a query that should abstain stays below that.
+USEFUL, ABSTAIN = 0.40, 0.30
+#: Weights of p1, p3, abstain, separation and useful in the three objectives.
+OBJECTIVES = {"composite": (0.35, 0.20, 0.25, 0.10, 0.10), "hook": (0.30, 0.15, 0.35, 0.10, 0.10), "interactive": (0.25, 0.30, 0.10, 0.10, 0.25)}
+
+
 def _share(hit: Column) -> Column:
     return F.coalesce(F.avg(hit.cast("double")), F.lit(0.0))
 
 
-def retrieval_metrics(results: DataFrame, labels: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """p1, p3, useful, abstain, separation and three composites (lower is better), by extra keys.
-
-    labels: query_id, expect (relevant, useful, abstain), expected array<long>; results: query_id,
-    rank0, id, score (and keys). A query that should abstain is right when it has no result.
-    """
-    by = by or []
+def _judged(results: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each labelled query (and value of by): expect, best score (0 without results), hits among one and three."""
     first = results.where("rank0 = 0").select(*by, "query_id", F.col("id").alias("top"), F.col("score").alias("best"))
     three = results.where("rank0 < 3").groupBy(*by, "query_id").agg(F.collect_set("id").alias("three"))
     base = results.select(*by).distinct().crossJoin(labels) if by else labels
     j = base.join(first, [*by, "query_id"], "left").join(three, [*by, "query_id"], "left")
-    hit1 = F.coalesce(F.array_contains("expected", F.col("top")), F.lit(False))
-    hit3 = F.coalesce(F.arrays_overlap("expected", "three"), F.lit(False))
+    j = j.withColumns({"h1": F.coalesce(F.array_contains("expected", F.col("top")), F.lit(False)), "h3": F.coalesce(F.arrays_overlap("expected", "three"), F.lit(False)), "best": F.coalesce("best", F.lit(0.0))})
+    return j.drop("top", "three")
+
+
+def _measured(judged: DataFrame, by: list[str]) -> DataFrame:
+    """The metrics of judged rows, by keys."""
     rel, use, no = (F.col("expect") == x for x in ("relevant", "useful", "abstain"))
-    j = j.select(*by, F.when(rel, hit1).alias("h1"), F.when(rel, hit3).alias("h3"), F.when(use, F.col("top").isNotNull()).alias("u"), F.when(no, F.col("top").isNull()).alias("a"), F.when(rel, F.coalesce("best", F.lit(0.0))).alias("sr"), F.when(no, F.coalesce("best", F.lit(0.0))).alias("sa"))
-    m = j.groupBy(*by).agg(_share(F.col("h1")).alias("p1"), _share(F.col("h3")).alias("p3"), _share(F.col("u")).alias("useful"), _share(F.col("a")).alias("abstain"), (F.coalesce(F.avg("sr"), F.lit(0.0)) - F.coalesce(F.avg("sa"), F.lit(0.0))).alias("separation"))
-    parts = [1 - F.col(c) for c in ("p1", "p3", "abstain", "separation", "useful")]
-    for name, w in (("composite", (0.35, 0.20, 0.25, 0.10, 0.10)), ("hook", (0.30, 0.15, 0.35, 0.10, 0.10)), ("interactive", (0.25, 0.30, 0.10, 0.10, 0.25))):
-        m = m.withColumn(name, sum((p * x for p, x in zip(parts, w, strict=True)), F.lit(0.0)))
-    return m
+    exact = rel & (F.size("expected") > 0)
+    best = F.col("best")
+    m = judged.groupBy(*by).agg(
+        _share(F.when(exact, F.col("h1"))).alias("p1"),
+        _share(F.when(exact, F.col("h3"))).alias("p3"),
+        _share(F.when(use, best >= USEFUL)).alias("useful"),
+        _share(F.when(no, best < ABSTAIN)).alias("abstain"),
+        F.coalesce(F.stddev_samp(best), F.lit(0.0)).alias("score_std"),
+        *(F.coalesce(F.avg(F.when(x, best)), F.lit(0.0)).alias(f"mean_{n}") for n, x in (("relevant", exact), ("useful", use), ("abstain", no))),
+        F.count_if(exact | use | no).alias("n_labels"),
+    )
+    m = m.withColumn("separation", F.col("mean_relevant") - F.col("mean_abstain"))
+    parts = [F.col("p1"), F.col("p3"), F.col("abstain"), F.least("separation", F.lit(1.0)), F.col("useful")]
+    return m.withColumns({n: 1.0 - sum((p * x for p, x in zip(parts, w, strict=True)), F.lit(0.0)) for n, w in OBJECTIVES.items()})
+
+
+def retrieval_metrics(results: DataFrame, labels: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """p1, p3, useful, abstain, score_std, separation, the means behind it, n_labels and three objectives (lower is better), by extra keys.
+
+    labels: query_id, expect (relevant, useful, abstain), expected array<long>; results: query_id,
+    rank0, id, score (and keys). A query without results (filtered ones too) scores 0: it is no hit,
+    not useful, and right to abstain. Separation counts as 1 at most in the objectives.
+    """
+    by = by or []
+    return _measured(_judged(results, labels, by), by)
+
+
+def bucket_metrics(results: DataFrame, labels: DataFrame) -> DataFrame:
+    """retrieval_metrics() of each bucket: expect:<label> and type:<type> (labels.type; null is a prompt)."""
+    keys = F.array(F.concat(F.lit("expect:"), "expect"), F.concat(F.lit("type:"), F.coalesce("type", F.lit("prompt"))))
+    return _measured(_judged(results, labels, []).withColumn("bucket", F.explode(keys)), ["bucket"])
+
+
+def yield_tiers(evaluations: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """total, applied, relevant, neutral, negative and yield_rate of evaluations (relevance string, tag_scores map<string, double>).
+
+    A relevance that is given decides (unknown ones are neutral). Without it the mean of the tag
+    scores does: applied above 0.3, relevant above 0, negative below -0.1; no scores are neutral.
+    """
+    given = F.coalesce("relevance", F.lit(""))
+    scores = F.map_values("tag_scores")
+    mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / F.size(scores))
+    inferred = F.when(mean > 0.3, "applied").when(mean > 0, "relevant").when(mean < -0.1, "negative").otherwise("neutral")
+    tier = F.when(given == "", inferred).when(given.isin("applied", "relevant", "negative"), given).otherwise("neutral")
+    g = evaluations.withColumn("_tier", tier).groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("_tier") == t).alias(t) for t in ("applied", "relevant", "neutral", "negative")))
+    return g.withColumn("yield_rate", F.round((F.col("applied") + F.col("relevant")) / F.greatest("total", F.lit(1)), 4))
 
 
 def sweep(parts: DataFrame, labels: DataFrame, configs: DataFrame, top: int = 3) -> DataFrame:
@@ -101,10 +146,18 @@ def trajectory(ranks: DataFrame, missing: int = 21) -> DataFrame:
     return g.join(conv, "query_id", "left").withColumn("improvement", F.col("first_rank") - F.col("last_rank"))
 
 
-def trajectory_summary(t: DataFrame) -> DataFrame:
-    """Means of trajectory() and a composite with weights 3, 1.5, 5 and 1."""
-    m = t.agg(F.avg("improvement").alias("improvement"), (_share(F.col("last_rank") == 1) - _share(F.col("first_rank") == 1)).alias("top1_gain"), (_share(F.col("last_rank") <= 3) - _share(F.col("first_rank") <= 3)).alias("top3_gain"), F.avg("converged").alias("converged"))
-    return m.withColumn("composite", 3 * F.col("top1_gain") + 1.5 * F.col("top3_gain") + F.col("improvement") / 5 - F.col("converged") / 1)
+def trajectory_summary(t: DataFrame, n_rounds: int) -> DataFrame:
+    """Sums over trajectory() of rounds 0 .. n_rounds - 1: improved queries, gains of first and of third places, mean convergence (n_rounds where there is none) and the composite."""
+    n = lambda c, most: F.count_if(F.col(c) <= most)
+    m = t.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("improvement") > 0).alias("improved"),
+        F.avg("improvement").alias("avg_improvement"),
+        (n("last_rank", 1) - n("first_rank", 1)).alias("top1_gain"),
+        (n("last_rank", 3) - n("first_rank", 3)).alias("top3_gain"),
+        F.avg(F.coalesce("converged", F.lit(n_rounds))).alias("avg_convergence"),
+    ).where("total > 0")
+    return m.withColumn("composite", F.col("top1_gain") * 3.0 + F.col("top3_gain") * 1.5 + F.col("improved") / F.col("total") * 5.0 + F.col("avg_improvement"))
 
 
 def recall_metrics(matches: DataFrame, direct: float = 0.90, border: float = 0.80) -> DataFrame:

@@ -2,39 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import values as V
 
 
-def relevance(events: DataFrame, alpha: float = V.EMA_ALPHA, limit: float = V.EMA_LIMIT) -> DataFrame:
-    """Ordered fold of events (item_id, tag, raw, weight, seq) to clamped averages and counters.
+_MAP = "struct<a:double,b:double,lo:double,hi:double>"
+_WIDE = 1e300
+
+
+def _composed(maps: Column) -> Column:
+    """The clamped line that a list of them gives one after another, as a, b, lo, hi of x -> min(hi, max(lo, a x + b)).
 
-    An event moves the score by s = clamp((1 - alpha) * s + alpha * raw * weight). Events of a pair
-    are folded in order of seq within one aggregate; pairs are independent.
+    Clamped lines with a >= 0 are closed under composition, so a list may be cut anywhere and its
+    parts composed apart.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", (F.col("raw") * F.col("weight")).alias("x"))))
 
-    def step(s, e):
-        return F.greatest(F.lit(-limit), F.least(F.lit(limit), (1 - alpha) * s + alpha * e["x"]))
+    def then(f: Column, g: Column) -> Column:
+        into = lambda x: F.greatest(g["lo"], F.least(g["hi"], g["a"] * x + g["b"]))
+        return F.struct((g["a"] * f["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"), into(f["lo"]).alias("lo"), into(f["hi"]).alias("hi"))
 
-    return events.groupBy("item_id", "tag").agg(
-        F.aggregate(ordered, F.lit(0.0), step).alias("score"),
-        F.count_if(F.col("raw") > 0).cast("int").alias("positive_evals"),
-        F.count_if(F.col("raw") < 0).cast("int").alias("negative_evals"),
-        F.max("seq").alias("last_seq"),
-    )
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(-_WIDE).alias("lo"), F.lit(_WIDE).alias("hi"))
+    return F.aggregate(maps, same.cast(_MAP), then)
+
+
+def relevance(events: DataFrame, alpha: float = V.EMA_ALPHA, limit: float = V.EMA_LIMIT, width: int = 4096) -> DataFrame:
+    """Ordered fold of events (item_id, tag, raw, weight, seq) to clamped averages and counters.
+
+    An event moves the score by s = clamp((1 - alpha) * s + alpha * raw * weight), which is a clamped
+    line in s. Events of a pair are composed in ranges of ``width`` values of seq, ranges in ranges
+    of ranges, and those to one line, applied to 0: no list holds more than ``width`` events of a
+    pair whose seq is unique, and a pair that most events belong to is many groups.
+    """
+    w = F.lit(float(width))
+    line = F.struct(F.lit(1.0 - alpha).alias("a"), (alpha * F.col("raw") * F.col("weight")).alias("b"), F.lit(float(-limit)).alias("lo"), F.lit(float(limit)).alias("hi"))
+    one = events.select("item_id", "tag", "seq", F.floor(F.col("seq") / w).alias("_r"), line.alias("_f"), (F.col("raw") > 0).cast("int").alias("_pos"), (F.col("raw") < 0).cast("int").alias("_neg"))
+    keys, at = ["item_id", "tag"], "seq"
+    for by in (["_r"], ["_q"], []):
+        lines = F.transform(F.array_sort(F.collect_list(F.struct(at, "_f"))), lambda x: x["_f"])
+        one = one.groupBy(*keys, *by).agg(_composed(lines).alias("_f"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"), F.max("seq").alias("seq"))
+        if by == ["_r"]:
+            one = one.withColumn("_q", F.floor(F.col("_r") / w))
+        at = by[0] if by else at
+    score = F.greatest(F.col("_f.lo"), F.least(F.col("_f.hi"), F.col("_f.b")))
+    return one.select("item_id", "tag", score.alias("score"), F.col("_pos").cast("int").alias("positive_evals"), F.col("_neg").cast("int").alias("negative_evals"), F.col("seq").alias("last_seq"))
 
 
 def relevance_bounded(events: DataFrame, alpha: float = V.EMA_ALPHA) -> DataFrame:
-    """relevance() for events whose |raw * weight| never exceeds the limit: the clamp cannot fire,
-    so the score is a plain weighted sum that combines before the shuffle of its window."""
-    w = Window.partitionBy("item_id", "tag").orderBy(F.desc("seq"))
-    aged = events.withColumn("age", F.row_number().over(w) - 1)
-    x = F.col("raw") * F.col("weight") * alpha * F.pow(F.lit(1 - alpha), F.col("age"))
-    return aged.groupBy("item_id", "tag").agg(F.sum(x).alias("score"), F.count_if(F.col("raw") > 0).cast("int").alias("positive_evals"), F.count_if(F.col("raw") < 0).cast("int").alias("negative_evals"))
+    """relevance() for events whose |raw * weight| never exceeds the limit: the clamp cannot fire, so lines without bounds are composed."""
+    return relevance(events, alpha, _WIDE).drop("last_seq")
 
 
 def mean_over_rows(rel: DataFrame, tags: list[str]) -> DataFrame:

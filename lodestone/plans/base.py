@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import search
 from lodestone.session import table
 
 
@@ -44,6 +45,12 @@ def verdict_events(spark: SparkSession, d: str) -> DataFrame:
     return log(spark, d).select("item_id", F.col("event_type").alias("tag"), (F.col("value") / 250.0 - 1.0).alias("raw"), F.lit(1.0).alias("weight"), F.col("event_id").alias("seq"))
 
 
+def in_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Active items that a session in the repository src7 sees, where src3 and src4 are isolated."""
+    active = items(spark, d).where("not deprecated")
+    return search.isolated_scope(active, item_tags(spark, d), audit(spark, d), "src7", ["src3", "src4"])
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -98,10 +105,13 @@ audit AS (SELECT session_id, max(ts) AS ts, 'src' || (user_id % 20) AS repo FROM
 processed AS (SELECT session_id, CASE WHEN s > 12 THEN 'completed' ELSE 'failed' END AS status, e % 5 AS retry_count FROM
   (SELECT session_id, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'signup') AS s, count(*) FILTER (event_type = 'error') AS e FROM log GROUP BY session_id) WHERE p > 10),
 turns AS (SELECT conv_id::VARCHAR AS session, turn AS line_no, role, text FROM conversations WHERE role IN ('user', 'assistant')),
+-- what a search sees
+ties AS (SELECT id, origin_repo AS repo FROM items WHERE origin_repo IS NOT NULL UNION SELECT item_id, substr(tag, 6) FROM item_tags WHERE tag LIKE 'repo:%' UNION SELECT i.id, a.repo FROM items i JOIN audit a ON a.session_id = i.source_session),
+scope AS (SELECT * FROM items WHERE true),
 -- keyword list
-tok AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text || ' ' || category), '[\p{L}\p{N}_]+')) AS term FROM items) GROUP BY ALL),
+tok AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text || ' ' || category), '[\p{L}\p{N}_]+')) AS term FROM scope) GROUP BY ALL),
 dl AS (SELECT id, sum(tf) AS dl FROM tok GROUP BY id),
-st AS (SELECT (SELECT count(*) FROM items) AS n, (SELECT sum(tf) FROM tok) / (SELECT count(*) FROM items) AS avgdl),
+st AS (SELECT (SELECT count(*) FROM scope) AS n, (SELECT sum(tf) FROM tok) / (SELECT count(*) FROM scope) AS avgdl),
 idf0 AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tok, st GROUP BY term, n),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM idf0) ELSE raw END AS idf FROM idf0),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM questions) GROUP BY ALL),
@@ -112,7 +122,7 @@ vec AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
 vn AS (SELECT id, e, label, sqrt(list_inner_product(e, e)) + 1e-10 AS norm FROM vec),
 v0 AS (SELECT q.query_id, v.id, list_inner_product(a.e, v.e) / (a.norm * v.norm) AS score FROM questions q JOIN vn a ON a.id = q.query_id, vn v),
 v1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS r FROM v0) WHERE r < 10),
-vl AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY r) - 1 AS rank0 FROM v1 WHERE id IN (SELECT id FROM items)),
+vl AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY r) - 1 AS rank0 FROM v1 WHERE id IN (SELECT id FROM scope)),
 -- fusion
 an AS (SELECT greatest(1, n // 5) AS k, 2.0 / (greatest(1, n // 5) + 1) AS hi, 1.0 / (greatest(1, n // 5) + 10) AS lo FROM st),
 rrf AS (SELECT query_id, id, sum(1.0 / (k + 1 + rank0)) AS rrf FROM (SELECT query_id, id, rank0 FROM kw UNION ALL SELECT query_id, id, rank0 FROM vl), an GROUP BY query_id, id),
@@ -120,6 +130,15 @@ fused AS (SELECT query_id, id, rrf, (rrf - lo) / (hi - lo) AS score FROM rrf, an
 """
 
 
+#: Active items, without those tied to the isolated repositories src3 and src4.
+IN_SCOPE = "NOT deprecated AND id NOT IN (SELECT id FROM ties WHERE repo IN ('src3', 'src4'))"
+
+
+#: A body that holds this searches what is in scope, others all items.
+SCOPED = "/* in scope */"
+
+
 def sql(body: str, recursive: bool = False) -> str:
+    scope = IN_SCOPE if SCOPED in body else "true"
     start = "WITH RECURSIVE " if recursive else "WITH "
-    return start + SQL.strip() + "\n" + (body if body.lstrip().upper().startswith("SELECT") else ", " + body)
+    return start + SQL.strip().replace("FROM items WHERE true", f"FROM items WHERE {scope}") + "\n" + (body if body.lstrip().upper().startswith("SELECT") else ", " + body)

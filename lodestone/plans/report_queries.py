@@ -84,16 +84,31 @@ def subsets(spark, d):
 
 
 def _labels(spark, d):
+    """Two thirds of the labels are of tool calls, before and after them."""
     q = B.questions(spark, d)
     lab = B.items(spark, d).select(F.col("id").alias("query_id"), "quality")
     j = q.join(lab, "query_id", "left")
     expect = F.when(F.col("quality") == 1, "relevant").when(F.col("quality") == 0, "abstain").otherwise("useful")
-    return j.select("query_id", expect.alias("expect"), F.array("query_id").alias("expected"))
+    kind = F.when(F.col("query_id") % 3 == 1, "tool").when(F.col("query_id") % 3 == 2, "post_tool")
+    return j.select("query_id", expect.alias("expect"), F.array("query_id").alias("expected"), kind.alias("type"))
 
 
-_LABELS = """lb AS (SELECT query_id, CASE WHEN quality = 1 THEN 'relevant' WHEN quality = 0 THEN 'abstain' ELSE 'useful' END AS expect FROM questions LEFT JOIN items ON id = query_id)
+_LABELS = """lb AS (SELECT query_id, CASE WHEN quality = 1 THEN 'relevant' WHEN quality = 0 THEN 'abstain' ELSE 'useful' END AS expect,
+  CASE query_id % 3 WHEN 1 THEN 'tool' WHEN 2 THEN 'post_tool' ELSE 'prompt' END AS type FROM questions LEFT JOIN items ON id = query_id)
 """
 
+_METRICS = ("p1", "p3", "useful", "abstain", "score_std", "separation", "composite", "hook", "interactive")
+_MEASURES = """avg((coalesce(top = query_id, false))::INT) FILTER (expect = 'relevant') AS p1, avg(coalesce(hit, false)::INT) FILTER (expect = 'relevant') AS p3,
+  avg((best >= 0.40)::INT) FILTER (expect = 'useful') AS useful, avg((best < 0.30)::INT) FILTER (expect = 'abstain') AS abstain, stddev_samp(best) AS score_std,
+  coalesce(avg(best) FILTER (expect = 'relevant'), 0) - coalesce(avg(best) FILTER (expect = 'abstain'), 0) AS separation"""
+
+
+def _shown_sql(k: str = "") -> str:
+    c = "coalesce({}, 0)".format
+    objective = lambda a, b, d, e, f: f"1 - ({a} * {c('p1')} + {b} * {c('p3')} + {d} * {c('abstain')} + {e} * least(separation, 1) + {f} * {c('useful')})"
+    all_three = {"composite": objective(0.35, 0.20, 0.25, 0.10, 0.10), "hook": objective(0.30, 0.15, 0.35, 0.10, 0.10), "interactive": objective(0.25, 0.30, 0.10, 0.10, 0.25)}
+    return f"SELECT {k}" + ", ".join(f"round({all_three.get(m, c(m))}, 6) + 0.0 AS {m}" for m in _METRICS) + " FROM m"
+
 
 def _metrics_sql(source: str, by: str = "") -> str:
     k = f"{by}, " if by else ""
@@ -101,16 +116,13 @@ def _metrics_sql(source: str, by: str = "") -> str:
     base = f"(SELECT DISTINCT {by} FROM {source}), lb" if by else "lb"
     return f"""f AS (SELECT {k}query_id, id AS top, score AS best FROM {source} WHERE rank0 = 0),
 h AS (SELECT {k}query_id, bool_or(id = query_id) AS hit FROM {source} WHERE rank0 < 3 GROUP BY ALL),
-j AS (SELECT {k}query_id, expect, top, best, hit FROM (SELECT * FROM {base}) LEFT JOIN f {u} LEFT JOIN h {u}),
-m AS (SELECT {k}coalesce(avg((coalesce(top = query_id, false))::INT) FILTER (expect = 'relevant'), 0) AS p1, coalesce(avg(coalesce(hit, false)::INT) FILTER (expect = 'relevant'), 0) AS p3,
-  coalesce(avg((top IS NOT NULL)::INT) FILTER (expect = 'useful'), 0) AS useful, coalesce(avg((top IS NULL)::INT) FILTER (expect = 'abstain'), 0) AS abstain,
-  coalesce(avg(coalesce(best, 0)) FILTER (expect = 'relevant'), 0) - coalesce(avg(coalesce(best, 0)) FILTER (expect = 'abstain'), 0) AS separation FROM j {'GROUP BY ' + by if by else ''})
-SELECT {k}round(p1, 6) AS p1, round(p3, 6) AS p3, round(useful, 6) AS useful, round(abstain, 6) AS abstain, round(separation, 6) + 0.0 AS separation,
-  round(0.35 * (1 - p1) + 0.20 * (1 - p3) + 0.25 * (1 - abstain) + 0.10 * (1 - separation) + 0.10 * (1 - useful), 6) AS composite FROM m"""
+j AS (SELECT {k}query_id, expect, type, top, coalesce(best, 0) AS best, hit FROM (SELECT * FROM {base}) LEFT JOIN f {u} LEFT JOIN h {u}),
+m AS (SELECT {k}{_MEASURES} FROM j {'GROUP BY ' + by if by else ''})
+{_shown_sql(k)}"""
 
 
 def _rounded(m, *keys):
-    return m.select(*keys, *(F.round(c, 6).alias(c) for c in ("p1", "p3", "useful", "abstain", "separation", "composite")))
+    return m.select(*keys, *((F.round(c, 6) + 0.0).alias(c) for c in _METRICS))
 
 
 _TOP3 = "t3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank0 FROM fused) WHERE rank0 < 3), "
@@ -158,19 +170,20 @@ _PRESETS = [("semantic_only", 0, 0, 0, 0.0, 0.0), ("semantic_plus_tags", 1, 0, 0
 
 
 @query("e08_ablation", _LABELS + ", " + SQ._FULL.replace("max(score) < 0.2", "max(score) < -9") + f""", pz AS (SELECT * FROM (VALUES {str(_PRESETS)[1:-1]}) AS x(preset, wt, wr, wf, ab, mt)),
-x AS (SELECT preset, ab, mt, query_id, id, (rrf + wr * repo_delta + wt * tag_affinity + wf * feedback_delta) * recency_multiplier AS score, max(vector_sim) OVER (PARTITION BY preset, query_id) AS vb FROM c2, pz),
+x AS (SELECT preset, ab, mt, query_id, id, (rrf + wr * repo_delta + wt * tag_affinity + wf * feedback_delta) * recency_multiplier AS score, vec_best AS vb FROM c2 LEFT JOIN (SELECT query_id, max(score) AS vec_best FROM vl GROUP BY query_id) USING (query_id), pz),
 rx AS (SELECT *, row_number() OVER (PARTITION BY preset, query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank0, max(score) OVER (PARTITION BY preset, query_id) AS b FROM x),
-ax AS (SELECT * FROM rx WHERE rank0 < 3 AND b >= mt AND vb >= ab), """ + _metrics_sql("ax", "preset"))
+ax AS (SELECT * FROM rx WHERE rank0 < 3 AND b >= mt AND (vb IS NULL OR vb >= ab)), """ + _metrics_sql("ax", "preset"))
 def ablation(spark, d):
     """The six presets, scored from the parts of one search that keeps all candidates."""
     parts = SQ._full(spark, d, diagnostics=True, settings=S.Settings(top=20, abstain_below=-9.0, min_top1=-9.0, tag_penalty=-0.1))
     presets = spark.createDataFrame(_PRESETS, "preset string, wt int, wr int, wf int, ab double, mt double")
     x = parts.crossJoin(F.broadcast(presets))  # two lists of ten a query, six rows
     score = (F.col("rrf_normalized") + F.col("wr") * F.col("repo_delta") + F.col("wt") * F.col("tag_affinity") + F.col("wf") * F.col("feedback_delta")) * F.col("recency_multiplier")
+    near = S.rescope(S.nearest(B.vectors(spark, d), B.question_vectors(spark, d)), B.in_scope(spark, d)).groupBy("query_id").agg(F.max("score").alias("vb"))
     w = Window.partitionBy("preset", "query_id")
-    x = x.withColumns({"score": score, "vb": F.max("vector_sim").over(w)})
+    x = x.join(near, "query_id", "left").withColumn("score", score)
     x = x.withColumns({"rank0": F.row_number().over(w.orderBy(F.round("score", 9).desc(), "id")) - 1, "b": F.max("score").over(w)})
-    best = x.where((F.col("rank0") < 3) & (F.col("b") >= F.col("mt")) & (F.col("vb") >= F.col("ab")))
+    best = x.where((F.col("rank0") < 3) & (F.col("b") >= F.col("mt")) & (F.col("vb").isNull() | (F.col("vb") >= F.col("ab"))))
     return _rounded(E.retrieval_metrics(best.select("preset", "query_id", "rank0", "id", "score"), _labels(spark, d), ["preset"]), "preset")
 
 
@@ -183,12 +196,10 @@ def sweep_parts(spark, d):
     return fused.select("query_id", "id", F.col("score").alias("base")).join(best, "query_id", "left").join(tag, "id", "left").join(S.repo_prior(rel, "click").withColumnRenamed("repo_prior", "repo"), "id", "left").na.fill(0.0, ["tag", "repo"])
 
 
-@query("a15_bucket_metrics", _LABELS + """, k AS (SELECT query_id, max(score) AS best FROM fused GROUP BY query_id)
-SELECT coalesce(expect, 'all') AS expect, count(*)::BIGINT AS n, round(avg(best), 6) AS mean_best FROM lb LEFT JOIN k USING (query_id) GROUP BY GROUPING SETS ((expect), ())""")
+@query("a15_bucket_metrics", _LABELS + ", " + _TOP3 + _metrics_sql("t3").split("m AS (")[0] + f"""jb AS (SELECT *, unnest(['expect:' || expect, 'type:' || type]) AS bucket FROM j), m AS (SELECT bucket, {_MEASURES} FROM jb GROUP BY bucket) """ + _shown_sql("bucket, "))
 def buckets(spark, d):
-    best = SQ._fused(spark, d)[2].groupBy("query_id").agg(F.max("score").alias("best"))
-    j = _labels(spark, d).join(best, "query_id", "left")
-    return j.groupingSets([["expect"], []], "expect").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("best"), 6).alias("mean_best")).select(F.coalesce("expect", F.lit("all")).alias("expect"), "n", "mean_best")
+    """All metrics by expected outcome and by type of query."""
+    return _rounded(E.bucket_metrics(S.top_k(SQ._fused(spark, d)[2], 3), _labels(spark, d)), "bucket")
 
 
 _RANKS = "rk AS (SELECT item_id AS query_id, (day(ts) - 1) // 6 AS round, min(1 + event_id % 25) AS rank FROM log GROUP BY ALL)"
@@ -205,6 +216,16 @@ def trajectory(spark, d):
     return E.trajectory(_ranks(spark, d))
 
 
+@query("a16_trajectory_summary", _RANKS + """, g AS (SELECT query_id, arg_min(rank, round) AS a, arg_max(rank, round) AS z FROM rk GROUP BY query_id),
+c AS (SELECT g.*, coalesce((SELECT min(round) FROM rk WHERE rk.query_id = g.query_id AND round >= 1 AND rank = z), 5) AS conv FROM g)
+SELECT count(*)::BIGINT AS total, count(*) FILTER (a > z)::BIGINT AS improved, round(avg(a - z), 6) AS avg_improvement, (count(*) FILTER (z = 1) - count(*) FILTER (a = 1))::BIGINT AS top1_gain,
+  (count(*) FILTER (z <= 3) - count(*) FILTER (a <= 3))::BIGINT AS top3_gain, round(avg(conv), 6) AS avg_convergence,
+  round((count(*) FILTER (z = 1) - count(*) FILTER (a = 1)) * 3.0 + (count(*) FILTER (z <= 3) - count(*) FILTER (a <= 3)) * 1.5 + count(*) FILTER (a > z) / count(*) * 5.0 + avg(a - z), 6) AS composite FROM c""")
+def trajectory_summary(spark, d):
+    got = E.trajectory_summary(E.trajectory(_ranks(spark, d)), 5)
+    return got.withColumns({c: F.round(c, 6) for c in ("avg_improvement", "avg_convergence", "composite")})
+
+
 @query("a17_a18_recall", """b AS (SELECT query_id, max(score) AS s FROM v0 WHERE id <> query_id GROUP BY query_id), m AS (SELECT CASE WHEN quality = 0 THEN 'bad' ELSE 'good' END AS kind, s * 2 AS s FROM b LEFT JOIN items ON id = query_id)
 SELECT count(*) FILTER (s >= 0.9)::BIGINT AS direct, count(*) FILTER (s < 0.9 AND s >= 0.8)::BIGINT AS borderline, count(*) FILTER (s < 0.8)::BIGINT AS missed, round(avg((s >= 0.85)::INT) FILTER (kind = 'good'), 6) AS recall, round(avg((s < 0.85)::INT) FILTER (kind = 'bad'), 6) AS avoidance FROM m""")
 def recall(spark, d):
@@ -235,10 +256,18 @@ def yields(spark, d):
     return E.yield_by(y, "repo").withColumn("mean_ratio", F.round("mean_ratio", 6)).withColumn("pooled", F.round("pooled", 6))
 
 
-@query("a20_yield_tiers", _Y + " SELECT CASE WHEN total = 0 THEN 'none' WHEN positive >= total * 0.5 THEN 'high' ELSE 'low' END AS tier, count(*)::BIGINT AS n FROM y GROUP BY 1")
+@query("a20_yield_tiers", """e AS (SELECT 'src' || (user_id % 20) AS repo, session_id, item_id, event_type, avg(value / 250.0 - 1.0) AS s FROM log GROUP BY ALL),
+v AS (SELECT repo, CASE item_id % 7 WHEN 0 THEN 'applied' WHEN 1 THEN 'negative' WHEN 2 THEN 'other' ELSE '' END AS rel, avg(s) FILTER (event_type <> 'view') AS m FROM e GROUP BY repo, session_id, item_id),
+t AS (SELECT repo, CASE WHEN rel IN ('applied', 'negative') THEN rel WHEN rel <> '' THEN 'neutral' WHEN m > 0.3 THEN 'applied' WHEN m > 0 THEN 'relevant' WHEN m < -0.1 THEN 'negative' ELSE 'neutral' END AS tier FROM v)
+SELECT repo, count(*)::BIGINT AS total, count(*) FILTER (tier = 'applied')::BIGINT AS applied, count(*) FILTER (tier = 'relevant')::BIGINT AS relevant, count(*) FILTER (tier = 'neutral')::BIGINT AS neutral,
+  count(*) FILTER (tier = 'negative')::BIGINT AS negative, round(count(*) FILTER (tier IN ('applied', 'relevant')) / count(*), 4) AS yield_rate FROM t GROUP BY repo""")
 def tiers(spark, d):
-    y = B.log(spark, d).groupBy("session_id").agg(F.count_if(F.col("event_type") == "purchase").alias("positive"), F.count_if(F.col("event_type").isin("purchase", "error")).alias("total"))
-    return y.groupBy(F.when(F.col("total") == 0, "none").when(F.col("positive") >= F.col("total") * 0.5, "high").otherwise("low").alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    """An evaluation per session and item: mean scores by tag, views aside; some carry a relevance of their own."""
+    e = B.log(spark, d).groupBy(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("repo"), "session_id", "item_id", "event_type").agg(F.avg(F.col("value") / 250.0 - 1.0).alias("s"))
+    pairs = F.collect_list(F.when(F.col("event_type") != "view", F.struct("event_type", "s")))
+    given = F.col("item_id") % 7
+    v = e.groupBy("repo", "session_id", "item_id").agg(F.map_from_entries(pairs).alias("tag_scores")).withColumn("relevance", F.when(given == 0, "applied").when(given == 1, "negative").when(given == 2, "other"))
+    return E.yield_tiers(v, ["repo"])
 
 
 _PAIRS = "c AS (SELECT a.id AS a, b.id AS b, round(list_inner_product(a.e, b.e) / (a.norm * b.norm), 9) AS s FROM vn a, vn b WHERE a.id < b.id) "

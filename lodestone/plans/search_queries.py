@@ -8,7 +8,7 @@ from lodestone.functions import text as T
 from lodestone.operators import feedback as fb
 from lodestone.operators import postings
 from lodestone.operators import search as S
-from lodestone.sources.files import scratch
+from lodestone.sources.files import scratch, stored
 
 from . import base as B
 
@@ -168,7 +168,7 @@ def _pairs(tags):
     return a.crossJoin(F.broadcast(b)).select("tag", "other", T.cosine("ea", "eb").alias("sim"))
 
 
-_FULL = _TAGV + """, p3 AS (SELECT query_id, tag FROM pt WHERE rank0 < 3),
+_FULL = _TAGV + B.SCOPED + """, p3 AS (SELECT query_id, tag FROM pt WHERE rank0 < 3),
 it AS (SELECT id, 'label' || label AS tag FROM vec),
 pr AS (SELECT a.tag, b.tag AS other, list_inner_product(a.e, b.e) / (a.norm * b.norm) AS sim FROM tn a, tn b),
 rel2 AS (SELECT item_id, tag, sum(0.3 * raw * pow(0.7, n)) AS score, count(*) FILTER (raw > 0) AS pos, count(*) FILTER (raw < 0) AS neg FROM (SELECT *, row_number() OVER (PARTITION BY item_id, tag ORDER BY seq DESC) - 1 AS n
@@ -196,7 +196,9 @@ def _cut(top, least, where="true", floor=-9):
 
 
 def _full(spark, d, repo=True, diagnostics=False, **more):
-    """search() with everything it can use: repositories, content tags, feedback, recency."""
+    """search() over the items in scope with everything it can use: repositories, content tags, feedback, recency."""
+    seen = stored(B.in_scope(spark, d).select("id"))
+    items = B.items(spark, d).join(seen, "id", "left_semi")
     tags, prompt = _prompt_tags(spark, d)
     label = F.concat(F.lit("label"), F.col("label").cast("string"))
     own = B.vectors(spark, d).select(F.col("id").alias("item_id"), label.alias("tag"))
@@ -205,7 +207,7 @@ def _full(spark, d, repo=True, diagnostics=False, **more):
     q = B.questions(spark, d)
     if repo:
         q = q.withColumn("repo", F.concat(F.lit("src"), (F.col("query_id") % 3).cast("string")))
-    return S.search(B.items(spark, d), q, B.vectors(spark, d), B.question_vectors(spark, d), own, fb.relevance(events), prompt, _pairs(tags), F.timestamp_seconds(F.lit(1735689600)), diagnostics=diagnostics, **more)
+    return S.search(items, q, B.vectors(spark, d), B.question_vectors(spark, d), own, fb.relevance(events), prompt, _pairs(tags), F.timestamp_seconds(F.lit(1735689600)), diagnostics=diagnostics, **more)
 
 
 @query("r_full_search", _FULL + f", t AS ({_cut(3, 0.05)}) SELECT {_SHOWN}, {_NINE} FROM t")
@@ -267,8 +269,7 @@ def unseen(spark, d):
     return S.not_shown(clicks, B.shown(spark, d))
 
 
-@query("j08_isolated_scope", """ties AS (SELECT id, origin_repo AS repo FROM items WHERE origin_repo IS NOT NULL UNION SELECT item_id, substr(tag, 6) FROM item_tags WHERE tag LIKE 'repo:%' UNION SELECT i.id, a.repo FROM items i JOIN audit a ON a.session_id = i.source_session)
-SELECT 'src3' AS repo, id FROM items WHERE id IN (SELECT id FROM ties WHERE repo = 'src3') UNION ALL SELECT 'src7', id FROM items WHERE id NOT IN (SELECT id FROM ties WHERE repo IN ('src3', 'src4'))""")
+@query("j08_isolated_scope", """SELECT 'src3' AS repo, id FROM items WHERE id IN (SELECT id FROM ties WHERE repo = 'src3') UNION ALL SELECT 'src7', id FROM items WHERE id NOT IN (SELECT id FROM ties WHERE repo IN ('src3', 'src4'))""")
 def isolation(spark, d):
     i, t, a = B.items(spark, d), B.item_tags(spark, d), B.audit(spark, d)
     one = S.isolated_scope(i, t, a, "src3", ["src3", "src4"]).select(F.lit("src3").alias("repo"), "id")

@@ -563,7 +563,7 @@ def thresholds(spark, d):
     return got.withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
-@query("r29_one_configuration", RQ._LABELS + ", " + SQ._FULL + f", t AS ({SQ._cut(3, 0.05)}), " + RQ._metrics_sql("t"))
+@query("r29_one_configuration", RQ._LABELS + ", " + SQ._FULL + f", t AS (SELECT * REPLACE (round(score, 4) AS score) FROM ({SQ._cut(3, 0.05)})), " + RQ._metrics_sql("t"))
 def one_configuration(spark, d):
     """The metrics of the whole path under one configuration."""
     found = SQ._full(spark, d, settings=S.Settings(abstain_below=0.2, min_top1=0.05, tag_penalty=-0.1))

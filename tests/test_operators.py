@@ -152,10 +152,42 @@ def test_reduction_and_metrics(spark):
     g = spark.createDataFrame([(1, [1, 2, 3]), (2, [3, 4]), (3, [4, 5, 6])], "pos long, ids array<long>")
     r = E.reduction(g).first()
     assert (r.n_groups, r.n_ids) == (2, 6)
-    lab = spark.createDataFrame([(1, "relevant", [10]), (2, "abstain", []), (3, "useful", [])], "query_id long, expect string, expected array<long>")
-    res = spark.createDataFrame([(1, 0, 11, 0.9), (1, 1, 10, 0.8), (2, 0, 5, 0.2)], "query_id long, rank0 int, id long, score double")
+
+
+LABELS = [(1, "relevant", [10], None), (2, "abstain", [], "tool"), (3, "useful", [], "tool"), (4, "useful", [], None), (5, "abstain", [], None), (6, "abstain", [], None), (7, "relevant", [], "tool"), (8, "useful", [], None)]
+HITS = [(1, 0, 11, 1.9), (1, 1, 10, 0.8), (2, 0, 5, 0.3), (3, 0, 5, 0.4), (4, 0, 5, 0.39), (5, 0, 6, 0.29), (7, 0, 8, 0.7)]
+
+
+def test_metrics_follow_the_thresholds(spark):
+    """Useful from 0.40 on, abstain below 0.30, separation of 1 at most, a filtered query scores 0."""
+    import statistics
+
+    lab = spark.createDataFrame(LABELS, "query_id long, expect string, expected array<long>, type string")
+    res = spark.createDataFrame(HITS, "query_id long, rank0 int, id long, score double")
     m = E.retrieval_metrics(res, lab).first()
-    assert (m.p1, m.p3, m.useful, m.abstain, round(m.separation, 6)) == (0.0, 1.0, 0.0, 0.0, 0.7)
+    assert (m.p1, m.p3, m.n_labels) == (0.0, 1.0, 7)
+    assert (m.useful, m.abstain) == (pytest.approx(1 / 3), pytest.approx(2 / 3))
+    assert m.score_std == pytest.approx(statistics.stdev([1.9, 0.3, 0.4, 0.39, 0.29, 0.0, 0.7, 0.0]))
+    assert m.separation == pytest.approx(1.9 - 0.59 / 3)
+    assert m.composite == pytest.approx(1 - (0.20 + 0.25 * 2 / 3 + 0.10 + 0.10 / 3))
+    assert m.hook == pytest.approx(1 - (0.15 + 0.35 * 2 / 3 + 0.10 + 0.10 / 3)) and m.interactive == pytest.approx(1 - (0.30 + 0.10 * 2 / 3 + 0.10 + 0.25 / 3))
+    b = {r.bucket: r for r in E.bucket_metrics(res, lab).collect()}
+    assert set(b) == {"expect:relevant", "expect:useful", "expect:abstain", "type:prompt", "type:tool"}
+    assert (b["type:tool"].useful, b["type:tool"].abstain, b["type:tool"].p1, b["type:tool"].n_labels) == (1.0, 0.0, 0.0, 2)
+    assert (b["type:prompt"].useful, b["type:prompt"].abstain, b["type:prompt"].p3) == (0.0, 1.0, 1.0)
+
+
+def test_yield_tiers(spark):
+    rows = [("a", None, {"x": 0.9, "y": -0.1}), ("a", "", {"x": 0.3}), ("a", None, {"x": 0.0}), ("a", None, {"x": -0.1}), ("a", None, {"x": -0.2}), ("a", None, {}), ("a", None, None), ("b", "applied", {"x": -1.0}), ("b", "unknown", {"x": 1.0}), ("b", "negative", None)]
+    got = {r.k: tuple(r)[1:] for r in E.yield_tiers(spark.createDataFrame(rows, "k string, relevance string, tag_scores map<string, double>"), ["k"]).collect()}
+    assert got == {"a": (7, 1, 1, 4, 1, 0.2857), "b": (3, 1, 0, 1, 1, 0.3333)}
+
+
+def test_trajectory_summary(spark):
+    rows = [(1, i, x) for i, x in enumerate([5, 3, 1, 1])] + [(2, i, x) for i, x in enumerate([2, 2, 2, 2])] + [(3, i, x) for i, x in enumerate([1, None, 4, 6])]
+    s = E.trajectory_summary(E.trajectory(spark.createDataFrame(rows, "query_id long, round int, rank int")), 4).first()
+    assert (s.total, s.improved, s.top1_gain, s.top3_gain) == (3, 1, 0, 0) and s.avg_improvement == pytest.approx(-1 / 3)
+    assert s.avg_convergence == pytest.approx((2 + 1 + 3) / 3) and s.composite == pytest.approx(5 / 3 - 1 / 3)
 
 
 def test_sets_and_status(spark):
