@@ -8,7 +8,8 @@ which its k best must lie, whichever is smaller. What is skipped provably holds
 
 Equal vectors are folded first, so a vector that a third of all rows share is one row. Cells are
 dealt into a grid of blocks of about ``block`` members and as many visitors, so a heavy cell is
-many tasks and no group holds more than that. On the driver and in broadcasts lie the pivots and
+many tasks and no group holds more than that. Vectors travel packed, a row for what a batch sends
+to a block. On the driver and in broadcasts lie the pivots and
 the bounds and sizes of their cells, whatever the number of vectors; the plan has one form at any size.
 
 Defined cases: rows with a null, empty or non-finite embedding have no neighbour; a vector too
@@ -25,13 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.sources.files import stored
 
-from .search import Best
-
 SHORT = 0.01
 _CANDIDATE = "rep long, id long, score double"
 _CANDIDATE_ARROW = pa.schema([("rep", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
@@ -190,48 +190,98 @@ def visit_counts(visitors: DataFrame, cells: Cells, least: float, wider: bool =
     return out
 
 
+_PACKED = "reps binary, vectors binary, sizes binary, ids binary, ns binary, cell int, mb int, vb int"
+_PACKED_ARROW = pa.schema([*((c, pa.binary()) for c in ("reps", "vectors", "sizes", "ids", "ns")), *((c, pa.int32()) for c in ("cell", "mb", "vb"))])
+
+
+@dataclass(frozen=True)
+class Block:
+    """Vectors of one block: least ids, unit rows, the ids of each (ids[starts[i] : starts[i + 1]]) and numbers of rows."""
+
+    reps: np.ndarray
+    units: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
+    ns: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table) -> Block:
+        """From packed rows."""
+        held = lambda c, t: np.frombuffer(b"".join(rows[c].to_pylist()), t)
+        reps = held("reps", np.int64)
+        e = held("vectors", np.float32).astype(np.float64).reshape(len(reps), -1)
+        starts = np.concatenate([[0], np.cumsum(held("sizes", np.int32))])
+        return Block(reps, _unit(e), starts, held("ids", np.int64), held("ns", np.int64))
+
+
 def _grid(visitors: DataFrame, members: DataFrame, cells: Cells, least: float, block: int, wider: bool) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the block of the grid (cell, mb, vb) that each of their rows goes to."""
+    """Both sides by block of the grid (cell, mb, vb); what a batch sends to a block is one packed row."""
     n_visits = visit_counts(visitors, cells, least, wider)
     n_mb, n_vb = np.maximum(1, -(-cells.size // block)), -(-n_visits // block)
-    shape = "rep long, embedding array<float>, ids array<long>, n long, cell int, mb int, vb int"
-    keys = [pa.field("cell", pa.int32()), pa.field("mb", pa.int32()), pa.field("vb", pa.int32())]
-
-    def placed(b: pa.RecordBatch, row, cell, mb, vb) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(row), 2000):
-            s = slice(i, i + 2000)
-            got = b.take(pa.array(row[s]))
-            yield pa.RecordBatch.from_arrays([*got.columns, *(pa.array(x[s].astype(np.int32)) for x in (cell, mb, vb))], schema=pa.schema([*got.schema, *keys]))
 
     def steps(n: np.ndarray) -> np.ndarray:
         return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
-    def as_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
-            cell, _ = _cell_of(_matrix(b.column(1)), cells.pivots)
-            mb = _spread(b.column(0).to_numpy(), n_mb[cell])
-            row, vb = np.repeat(np.arange(len(cell)), n_vb[cell]), steps(n_vb[cell])
-            yield from placed(b, row, cell[row], mb[row], vb)
-
-    def as_visitors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
-            at, cell = np.nonzero(visited(_matrix(b.column(1)), cells, least, wider))
-            vb = _spread(b.column(0).to_numpy()[at], n_vb[cell])
-            row, mb = np.repeat(np.arange(len(at)), n_mb[cell]), steps(n_mb[cell])
-            yield from placed(b, at[row], cell[row], mb, vb[row])
+    def packed(batches: Iterator[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]:
+        """places(reps, vectors) gives row, cell, mb, vb of every place that a row of the batch goes to."""
+        for b in _parts(batches, 2000):
+            if not b.num_rows:
+                continue
+            reps, vectors, ns = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(3).to_numpy()
+            sizes = pc.list_value_length(b.column(2)).to_numpy().astype(np.int32)
+            ids, ends = b.column(2).flatten().to_numpy(), np.cumsum(sizes)
+            small = vectors.astype(np.float32)
+            row, cell, mb, vb = places(reps, vectors)
+            order = np.lexsort((row, vb, mb, cell))
+            row, keys = row[order], np.stack([cell[order], mb[order], vb[order]])
+            edges = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0), True]) if len(row) else []
+            for i, j in itertools.pairwise(edges):
+                r = row[i:j]
+                own = np.repeat(ends[r] - sizes[r], sizes[r]) + steps(sizes[r])
+                out = [x.tobytes() for x in (reps[r], small[r], sizes[r], ids[own], ns[r])]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in out), *(pa.array([int(x)], pa.int32()) for x in keys[:, i])], schema=_PACKED_ARROW)
+
+    def of_member(reps: np.ndarray, vectors: np.ndarray) -> tuple:
+        cell, _ = _cell_of(vectors, cells.pivots)
+        row = np.repeat(np.arange(len(cell)), n_vb[cell])
+        return row, cell[row], _spread(reps, n_mb[cell])[row], steps(n_vb[cell])
+
+    def of_visitor(reps: np.ndarray, vectors: np.ndarray) -> tuple:
+        seen = np.concatenate([visited(vectors[i : i + 250], cells, least, wider) for i in range(0, len(vectors), 250)])
+        at, cell = np.nonzero(seen)
+        row = np.repeat(np.arange(len(at)), n_mb[cell])
+        return at[row], cell[row], steps(n_mb[cell]), _spread(reps[at], n_vb[cell])[row]
 
     columns = ("rep", "embedding", "ids", "n")
-    return visitors.select(*columns).mapInArrow(as_visitors, shape), members.select(*columns).mapInArrow(as_members, shape)
+    return visitors.select(*columns).mapInArrow(lambda x: packed(x, of_visitor), _PACKED), members.select(*columns).mapInArrow(lambda x: packed(x, of_member), _PACKED)
 
 
-def _met(visitors: DataFrame, members: DataFrame, meet, schema: str) -> DataFrame:
+def _met(visitors: DataFrame, members: DataFrame, meet, schema: str, empty: pa.Schema) -> DataFrame:
     """meet(visitors, members) over each block of the grid."""
     keys = ("cell", "mb", "vb")
-    return visitors.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(meet, schema)
+
+    def run(v: pa.Table, m: pa.Table) -> pa.Table:
+        return meet(Block.of(v), Block.of(m)) if v.num_rows and m.num_rows else empty.empty_table()
+
+    return visitors.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _best(s: np.ndarray, first: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best entries of each row from least on, by value rounded to nine digits, then first."""
+    bar = np.full(len(s), least - 1e-9)
+    if s.shape[1] > k and np.count_nonzero(s >= least - 1e-9) > 8 * k * len(s):
+        bar = np.maximum(bar, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 2e-9)
+    row, col = np.nonzero(s >= bar[:, None])
+    near = np.round(s[row, col], 9)
+    row, col, near = row[near >= least], col[near >= least], near[near >= least]
+    order = np.lexsort((first[col], -near, row))
+    row, col = row[order], col[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[nth < k], col[nth < k]
 
 
 # --- joins ------------------------------------------------------------------------------------
-def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, k: int = 8, block: int = 2000, per_cell: int = 500, most_cells: int = 1024) -> DataFrame:
+def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, k: int = 8, block: int = 2000, per_cell: int = 1000, most_cells: int = 1024) -> DataFrame:
     """source_id, target_id, similarity, rank0: for each id of left (id, embedding) the k most similar other ids of right, from least on."""
     same = left is right
     members = stored(folded(right, k + 1))
@@ -239,25 +289,15 @@ def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, k: int = 8
     n = members.count()
     cells = measured(members, choose_pivots(members, n, per_cell, most_cells), k + 1)
 
-    def meet(v: pa.Table, m: pa.Table) -> pa.Table:
-        if not v.num_rows or not m.num_rows:
-            return _CANDIDATE_ARROW.empty_table()
-        v, m = v.combine_chunks(), m.combine_chunks()
-        rep, first = v["rep"].to_numpy(), m["rep"].to_numpy()
-        s = _unit(_matrix(v["embedding"].combine_chunks())) @ _unit(_matrix(m["embedding"].combine_chunks())).T
-        best = Best(len(rep), k + 1)
-        best.add(first, np.where(np.round(s, 9) >= least, s, -np.inf))
-        row, col = np.nonzero(np.isfinite(best.scores))
-        order = np.argsort(first)
-        at = order[np.searchsorted(first, best.ids[row, col], sorter=order)]
-        ids = m["ids"].combine_chunks()
-        starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-        size = np.diff(starts)[at]
-        of = np.repeat(np.arange(len(at)), size)
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + starts[at][of]
-        return pa.table([rep[row][of], flat[place], best.scores[row, col][of]], schema=_CANDIDATE_ARROW)
-
-    found = _met(*_grid(visitors, members, cells, least, block, False), meet, _CANDIDATE)
+    def meet(v: Block, m: Block) -> pa.Table:
+        s = v.units @ m.units.T
+        row, col = _best(s, m.reps, k + 1, least)
+        size = np.diff(m.starts)[col]
+        of = np.repeat(np.arange(len(col)), size)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + m.starts[col][of]
+        return pa.table([v.reps[row][of], m.ids[place], s[row, col][of]], schema=_CANDIDATE_ARROW)
+
+    found = _met(*_grid(visitors, members, cells, least, block, False), meet, _CANDIDATE, _CANDIDATE_ARROW)
     near = F.round("score", 9).desc()
     top = found.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(near, "id"))).where(F.col("_r") <= k + 1)
     lone = visitors.where("n = 1").select(F.col("rep").alias("source_id"), "rep")
@@ -267,7 +307,7 @@ def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, k: int = 8
     return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("source_id", F.col("id").alias("target_id"), F.col("score").alias("similarity"), (F.col("_r") - 1).alias("rank0"))
 
 
-def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int = 2000, per_cell: int = 500, most_cells: int = 1024) -> DataFrame:
+def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int = 2000, per_cell: int = 1000, most_cells: int = 1024) -> DataFrame:
     """Parts of the distribution over all pairs a < b: number and sum of all, the largest similarity, n_above (from least on), and the k best pairs from least on.
 
     The sum needs no pair: it is half of the squared length of the sum of unit vectors less their
@@ -284,26 +324,21 @@ def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int = 2000,
     def crossing(ids_a: list, ids_b: list, s: float) -> list:
         return sorted((-s, min(a, b), max(a, b)) for a in ids_a for b in ids_b)[:k]
 
-    def meet(v: pa.Table, m: pa.Table) -> pa.Table:
-        if not v.num_rows or not m.num_rows:
-            return _PART_ARROW.empty_table()
-        rep_v, rep_m = v["rep"].to_numpy(), m["rep"].to_numpy()
-        upper = rep_v[:, None] < rep_m[None]
-        s = np.round(_unit(_matrix(v["embedding"].combine_chunks())) @ _unit(_matrix(m["embedding"].combine_chunks())).T, 9)[upper]
+    def meet(v: Block, m: Block) -> pa.Table:
+        upper = v.reps[:, None] < m.reps[None]
+        s = np.round(v.units @ m.units.T, 9)[upper]
         if not len(s):
             return _PART_ARROW.empty_table()
         i, j = np.nonzero(upper)
         bar = max(least, float(np.partition(s, -k)[-k]) if len(s) > k else least)
         at = np.flatnonzero(s >= bar)
-        ids_v, ids_m = v["ids"].combine_chunks(), m["ids"].combine_chunks()
-        ties = at[np.lexsort((rep_m[j[at]], rep_v[i[at]], -s[at]))]
         pairs: list = []
-        for x in ties:  # pairs of one similarity, until k of them with a larger one are held
+        for x in at[np.lexsort((m.reps[j[at]], v.reps[i[at]], -s[at]))]:  # until k pairs of ids with a larger one are held
             if len(pairs) >= k and -pairs[k - 1][0] > s[x]:
                 break
-            pairs = sorted(pairs + crossing(ids_v[int(i[x])].as_py(), ids_m[int(j[x])].as_py(), float(s[x])))[:k]
-        weight = v["n"].to_numpy()[i] * m["n"].to_numpy()[j]
-        return pa.Table.from_pylist([part(s=s, weight=weight, pairs=pairs)], schema=_PART_ARROW)
+            own = (b.ids[b.starts[y] : b.starts[y + 1]].tolist() for b, y in ((v, i[x]), (m, j[x])))
+            pairs = sorted(pairs + crossing(*own, float(s[x])))[:k]
+        return pa.Table.from_pylist([part(s=s, weight=v.ns[i] * m.ns[j], pairs=pairs)], schema=_PART_ARROW)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of equal vectors."""
@@ -332,6 +367,6 @@ def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int = 2000,
     at = members.select("embedding", "n").mapInArrow(summed, "rows long, own double, at int, x double").groupBy("at").agg(F.sum("rows").alias("rows"), F.sum("own").alias("own"), F.sum("x").alias("x"))
     one = at.agg(F.sum("rows").alias("rows"), ((F.sum(F.col("x") * F.col("x")) - F.sum("own")) / 2).alias("total")).where("rows > 1")
     whole = one.select((F.col("rows") * (F.col("rows") - 1) / 2).cast("long").alias("n"), "total", F.lit(None).cast("double").alias("top"), F.lit(0).cast("long").alias("n_above"), F.array().cast(_BEST).alias("best"))
-    met = _met(*_grid(members, members, cells, least, block, True), meet, _PART)
+    met = _met(*_grid(members, members, cells, least, block, True), meet, _PART, _PART_ARROW)
     copies = members.select("rep", "embedding", "ids", "n").mapInArrow(alone, _PART)
     return whole.unionByName(met).unionByName(copies)

@@ -9,6 +9,7 @@ from lodestone.operators import dedup as D
 from lodestone.operators import retrieval as R
 from lodestone.operators import search as S
 from lodestone.operators import state as M
+from lodestone.operators.snapshots import Snapshots, merge_groups
 from lodestone.sources import files
 
 from . import base as B
@@ -393,6 +394,32 @@ def merged_log(spark, d):
     return out.select("session_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+@query("x08_s27_snapshots", """g AS (SELECT id, occurrence_count, count(*) OVER (PARTITION BY text) AS n, first_value(id) OVER (PARTITION BY text ORDER BY dedup_verified DESC, occurrence_count DESC, id) AS survivor FROM items WHERE NOT deprecated),
+mp AS (SELECT id AS absorbed, survivor FROM g WHERE n > 1 AND id <> survivor), so AS (SELECT survivor AS id, sum(occurrence_count) AS n FROM g WHERE n > 1 GROUP BY survivor),
+v AS (SELECT 1 AS version, deprecated OR id IN (SELECT absorbed FROM mp) AS gone, coalesce(so.n, occurrence_count) AS n FROM items LEFT JOIN so USING (id) UNION ALL SELECT unnest([0, 2]), deprecated, occurrence_count FROM items),
+t AS (SELECT v AS version, count(*) AS tags FROM item_tags, (SELECT unnest([0, 2]) AS v) GROUP BY v UNION ALL SELECT 1, count(*) FROM (SELECT DISTINCT coalesce(survivor, item_id), tag FROM item_tags LEFT JOIN mp ON absorbed = item_id))
+SELECT version::INT AS version, count(*) FILTER (NOT gone)::BIGINT AS active, sum(n)::BIGINT AS occurrences, any_value(tags)::BIGINT AS tags, (SELECT count(*) FROM items WHERE NOT deprecated AND id % 50 = 0)::BIGINT AS put_aside FROM v JOIN t USING (version) GROUP BY version""")
+def snapshots(spark, d):
+    """Items and tags as version 0; groups of equal active texts merge as version 1, groups of one item are put aside; version 2 restores 0."""
+    i = B.items(spark, d)
+    store = Snapshots(spark, files.scratch(spark))
+    store.commit({"items": i, "item_tags": B.item_tags(spark, d)}, -1)
+    active = i.where("not deprecated")
+    same = active.groupBy("text").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1).select("ids", "text", F.array_min("ids").alias("pos"))
+    alone = active.where("id % 50 = 0").select(F.array("id").alias("ids"), "text", (F.col("id") + (1 << 40)).alias("pos"))
+    groups = same.unionByName(alone).select((F.col("pos") % 8).alias("batch"), "pos", "ids", F.col("text").alias("canonical_text"), F.lit(1.0).alias("confidence"), F.lit("same text").alias("reason"))
+    _, aside = merge_groups(store, groups)
+    n = aside.count()
+    store.restore(0)
+    out = None
+    for version in (0, 1, 2):
+        t = store.read(version)
+        one = t["items"].agg(F.count_if(~F.col("deprecated")).alias("active"), F.sum("occurrence_count").alias("occurrences")).crossJoin(t["item_tags"].agg(F.count(F.lit(1)).alias("tags")))
+        one = one.select(F.lit(version).alias("version"), "active", "occurrences", "tags", F.lit(n).cast("long").alias("put_aside"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("m12_merge_shown", _MAP + "SELECT session_id, coalesce(survivor, item_id) AS item_id, min(shown_at) AS shown_at FROM shown LEFT JOIN mp ON absorbed = item_id GROUP BY ALL")
 def merged_shown(spark, d):
     m = _map(spark, d)[1].select("survivor", "absorbed")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feedback_queries, item_queries, report_queries, search_queries, transcript_queries, upkeep_queries
+from . import feedback_queries, item_queries, report_queries, search_queries, stream_queries, transcript_queries, upkeep_queries
 
-_MODULES = (search_queries, item_queries, feedback_queries, report_queries, transcript_queries, upkeep_queries)
+_MODULES = (search_queries, item_queries, feedback_queries, report_queries, transcript_queries, stream_queries, upkeep_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,9 @@ def commit(spark: SparkSession, folder: str, version: int, content: dict) -> Non
 def delete(spark: SparkSession, path: str) -> None:
     at, fs = _at(spark, path)
     fs.delete(at, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """Names and times of change (s) of what lies in path."""
+    at, fs = _at(spark, path)
+    return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(at)] if fs.exists(at) else []

@@ -89,7 +89,7 @@ class InOrder(StatefulProcessor):
             self._folded_at.update((before,))
             held = [r for r in held if r[0] > watermark]
             self._held.put(held) if held else self._held.clear()
-        wanted = {max(r[0] for r in held)} if held else set()
+        wanted = {min(r[0] for r in held)} if held else set()
         if self._ttl is not None and self._last.exists():
             wanted.add(self._last.get()[0] + self._ttl)
         for t in set(self._handle.listTimers()) - wanted:

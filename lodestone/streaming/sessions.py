@@ -1,46 +1,9 @@
-"""Incremental counterparts of the batch operators, on Structured Streaming."""
+"""Batch rules of the incremental operators, and first showings (Z02-Z04, Z07, Z09); ``ordered.py`` has the streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from lodestone.functions import values as V
-
-
-def buffered_turns(lines: DataFrame, least_chars: int = 20_000, least_bytes: int = 10_240, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """session, text, offset: new text of a session once it has gathered enough.
-
-    lines: session, line_no, text, end (bytes). Below the thresholds text stays in state and the
-    offset does not move, so that text is read again from there; a session without input for ttl_ms is forgotten.
-    """
-
-    def run(key, frames, state: GroupState):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, size, offset = state.get if state.exists else ("[]", 0, 0)
-        import json
-
-        parts = json.loads(held)
-        for f in frames:
-            for r in f.sort_values("line_no").itertuples():
-                parts.append([int(r.line_no), r.text])
-                size = max(size, int(r.end))
-        parts.sort()
-        text = "\n".join(t for _, t in parts)
-        if len(text) >= least_chars and size >= least_bytes:
-            state.update(("[]", size, size))
-            state.setTimeoutDuration(ttl_ms)
-            yield pd.DataFrame([(key[0], text, size)], columns=["session", "text", "offset"])
-        else:
-            state.update((json.dumps(parts), size, offset))
-            state.setTimeoutDuration(ttl_ms)
-
-    return lines.groupBy("session").applyInPandasWithState(run, "session string, text string, offset long", "held string, size long, offset long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def first_shown(shown: DataFrame, event_time: str | None = None, within: str = "24 hours") -> DataFrame:
@@ -55,23 +18,6 @@ def first_shown(shown: DataFrame, event_time: str | None = None, within: str = "
     return shown.withWatermark(event_time, within).dropDuplicatesWithinWatermark(keys)
 
 
-def running_relevance(events: DataFrame, alpha: float = V.EMA_ALPHA, limit: float = V.EMA_LIMIT) -> DataFrame:
-    """item_id, tag, score, positive_evals, negative_evals after each micro-batch (update mode)."""
-
-    def run(key, frames, state: GroupState):
-        import pandas as pd
-
-        s, pos, neg = state.get if state.exists else (0.0, 0, 0)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for raw, weight in zip(rows["raw"], rows["weight"], strict=True):
-            s = max(-limit, min(limit, (1 - alpha) * s + alpha * raw * weight))
-            pos, neg = pos + int(raw > 0), neg + int(raw < 0)
-        state.update((float(s), pos, neg))
-        yield pd.DataFrame([(key[0], key[1], float(s), pos, neg)], columns=["item_id", "tag", "score", "positive_evals", "negative_evals"])
-
-    return events.groupBy("item_id", "tag").applyInPandasWithState(run, "item_id long, tag string, score double, positive_evals int, negative_evals int", "s double, p int, n int", "update", GroupStateTimeout.NoTimeout)
-
-
 def new_narrations(rows: DataFrame) -> DataFrame:
     """Narrations (session, seq, narration) that differ from the session's one before; for micro-batches or tables."""
     from pyspark.sql import Window

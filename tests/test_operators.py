@@ -265,25 +265,6 @@ def run_stream(spark, df, tmp_path, name, mode):
         q.stop()
 
 
-def test_running_relevance_equals_batch(spark, tmp_path):
-    rows = [(i % 2, "t", ((i * 37) % 21 - 10) / 10, 1.0, i) for i in range(40)]
-    for n in range(4):
-        spark.createDataFrame(rows[n * 10 : n * 10 + 10], EV).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-    stream = spark.readStream.schema(EV.replace("long", "bigint")).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
-    got = run_stream(spark, Z.running_relevance(stream), tmp_path, "rel", "update")
-    want = {r.item_id: r.score for r in fb.relevance(spark.createDataFrame(rows, EV)).collect()}
-    assert {i: any(abs(r.score - s) < 1e-9 for r in got if r.item_id == i) for i, s in want.items()} == dict.fromkeys(want, True)
-
-
-def test_turns_are_held_below_the_threshold(spark, tmp_path):
-    schema = "session string, line_no bigint, text string, end bigint"
-    rows = [("a", i, "x" * 6000, (i + 1) * 6001) for i in range(5)] + [("b", 0, "y" * 100, 101)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/turns")
-    stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/turns")
-    got = run_stream(spark, Z.buffered_turns(stream), tmp_path, "held", "append")
-    assert [(r.session, r.offset) for r in got] == [("a", 30005)] and len(got[0].text) == 30004
-
-
 def test_first_showings_on_a_stream(spark, tmp_path):
     schema = "session_id string, item_id bigint, at timestamp"
     for n in range(2):
