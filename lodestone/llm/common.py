@@ -35,10 +35,21 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    _made.append(path)
     release(spark)
     return out
 
 
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that written() has made in this driver; call it once no result that reads them is needed."""
+    while _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files that no plan refers to any more."""
     for _ in range(2):  # the listener bus lets go of a finished query a moment later
