@@ -173,6 +173,30 @@ def merge_precision(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(((F.count_if(F.col("verdict") == "correct") + 0.5 * F.count_if(F.col("verdict") == "partial")) / n).alias("precision"), n.alias("judged"))
 
 
+def judged_evaluations(evaluations: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """item_id, avg_score, direction, verdict, judge_confidence: evaluations (item_id, tag_scores map) with a judge's verdicts (item_id, verdict, confidence).
+
+    The direction is that of the mean score, neutral within 0.1 of 0. An evaluation that the judge
+    gave no verdict for has the verdict error.
+    """
+    scores = F.map_values("tag_scores")
+    mean = F.coalesce(F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(scores), F.lit(0)), F.lit(0.0))
+    e = evaluations.select("item_id", F.round(mean, 3).alias("avg_score"), F.when(mean > 0.1, "POSITIVE").when(mean < -0.1, "NEGATIVE").otherwise("NEUTRAL").alias("direction"))
+    v = verdicts.select("item_id", "verdict", F.col("confidence").alias("judge_confidence"))
+    return e.join(v, "item_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("error")))
+
+
+def judged_merges(groups: DataFrame, items: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """group_id, n_known, original_confidence, verdict, judge_confidence: merge groups (group_id, ids, confidence) with verdicts (group_id, verdict, confidence).
+
+    Groups with fewer than two known items are not judged and left out.
+    """
+    known = groups.select("group_id", F.explode("ids").alias("id")).join(items.select("id"), "id", "left_semi").groupBy("group_id").agg(F.count(F.lit(1)).alias("n_known")).where("n_known >= 2")
+    j = groups.select("group_id", F.col("confidence").alias("original_confidence")).join(known, "group_id")
+    j = j.join(verdicts.select("group_id", "verdict", F.col("confidence").alias("judge_confidence")), "group_id", "left")
+    return j.select("group_id", "n_known", "original_confidence", F.coalesce("verdict", F.lit("error")).alias("verdict"), "judge_confidence")
+
+
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """Share of items (item_id, score) on whose sign two judges agree."""
     sign = lambda c: F.when(F.col(c) > 0.1, 1).when(F.col(c) < -0.1, -1).otherwise(0)

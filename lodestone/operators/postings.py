@@ -48,7 +48,7 @@ _FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score"
 class Postings:
     """The index in one folder; every method reads the version that is the latest when it is called."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, items_per_stripe: int = 20_000, least_stripes: int = 8):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, items_per_stripe: int = 20_000, least_stripes: int = 8):
         self._spark, self._path = spark, path.rstrip("/")
         self._buckets, self._per_stripe, self._least = buckets, items_per_stripe, least_stripes
 
@@ -77,8 +77,7 @@ class Postings:
         docs = _counted(items)
         n, length = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
         stripes = old["stripes"] if old["n"] else max(self._least, -(-n // self._per_stripe))
-        rows = docs.select("id", "len", F.explode("tokens").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        name = self._segment(rows, stripes)
+        name = self._segment(docs.select("id", "len", "tokens").mapInArrow(_terms, "term string, id long, len int, tf int"), stripes)
         return self._commit(old, old | {"segments": [*old["segments"], name], "stripes": stripes, "n": old["n"] + n, "length": old["length"] + length})
 
     def remove(self, items: DataFrame) -> dict:
@@ -111,10 +110,10 @@ class Postings:
     def _segment(self, rows: DataFrame, stripes: int) -> str:
         """Writes postings (term, id, len, tf) and their dictionary."""
         name = f"s{uuid.uuid4().hex}"
-        entry = F.struct("id", "tf", F.col("len").cast("int").alias("len"))
-        lists = rows.groupBy("term", _stripe(stripes)).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        packed = lists.select(self._bucket(), "term", "stripe", "entries").mapInArrow(_packed, _POSTINGS)
-        packed.repartition(self._buckets, "bucket").sortWithinPartitions("bucket", "term", "stripe", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self._path}/{name}/postings")
+        dealt = rows.select(self._bucket(), "term", _stripe(stripes), F.struct("id", "tf", "len").alias("entry")).repartition("bucket", "stripe")
+        lists = dealt.groupBy("bucket", "term", "stripe").agg(F.array_sort(F.collect_list("entry")).alias("entries"))  # where it lies
+        packed = lists.mapInArrow(_packed, _POSTINGS)
+        packed.sortWithinPartitions("bucket", "term", "stripe", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self._path}/{name}/postings")
         held = self._read(f"{name}/postings", _POSTINGS)
         self._dictionary(held.groupBy("term").agg(F.sum("n").alias("df")), name)
         return name
@@ -189,6 +188,18 @@ def _stripe(stripes: int):
     return F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int").alias("stripe")
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, id, len, tf of items (id, len, tokens): tokens are counted where they lie."""
+    for b in batches:
+        words = b.column(2).flatten().dictionary_encode()
+        if not len(words):
+            continue
+        row, code = np.repeat(np.arange(b.num_rows), b.column(1).to_numpy()), words.indices.to_numpy()
+        key, tf = np.unique(row * len(words.dictionary) + code, return_counts=True)
+        row, code = pa.array(key // len(words.dictionary)), pa.array(key % len(words.dictionary))
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(code), b.column(0).take(row), b.column(1).take(row), pa.array(tf.astype(np.int32))], names=["term", "id", "len", "tf"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of the sorted entries of each (term, stripe)."""
     names = ("bucket", "term", "stripe", "block", "n", "max_tf", "min_len", "first", "last", "ids", "tfs", "lens")

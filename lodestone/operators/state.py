@@ -116,6 +116,31 @@ def set_status(items: DataFrame, marked: DataFrame, bits: int) -> DataFrame:
     return out.drop("_hit")
 
 
+def dedup_outcomes(items: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """items (id, dedup_verified, dedup_attempts, dedup_last_error) after dedup runs (id, error, seq; error null: no merge needed).
+
+    A run without error verifies an item and clears its error; an error counts an attempt and is kept
+    until a later run has none. Verified items stay so.
+    """
+    g = outcomes.groupBy("id").agg(F.max(F.col("error").isNull()).alias("_ok"), F.count_if(F.col("error").isNotNull()).cast("int").alias("_n"), F.max_by(F.struct("error"), "seq").alias("_last"))
+    j = items.join(g, "id", "left")
+    hit = F.col("_n").isNotNull()
+    return j.withColumns({
+        "dedup_verified": F.coalesce("dedup_verified", F.lit(False)) | F.coalesce("_ok", F.lit(False)),
+        "dedup_attempts": F.coalesce("dedup_attempts", F.lit(0)) + F.coalesce("_n", F.lit(0)),
+        "dedup_last_error": F.when(hit, F.col("_last.error")).otherwise(F.col("dedup_last_error")),
+    }).drop("_ok", "_n", "_last")
+
+
+def category_listing(items: DataFrame, prefix: str | None = None, include_deprecated: bool = False, limit: int = 0, offset: int = 0) -> DataFrame:
+    """Items in order of category, then id: those of a category or below it, a page of ``limit`` rows (0: all)."""
+    shown = items if include_deprecated else items.where(~F.col("deprecated"))
+    if prefix:
+        shown = shown.where(F.col("category").startswith(prefix))
+    page = shown.orderBy("category", "id").offset(offset)
+    return page.limit(limit) if limit else page
+
+
 def uncurated(items: DataFrame) -> DataFrame:
     return items.where(~F.col("deprecated") & (F.col("status").isNull() | (F.col("status").bitwiseAND(CURATED) == 0)))
 

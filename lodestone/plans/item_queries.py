@@ -297,6 +297,21 @@ def listing(spark, d):
     return j.orderBy(F.desc("best"), "id").limit(50)
 
 
+@query("t08_category_listing", "SELECT category, id FROM items WHERE NOT deprecated AND category LIKE 'en%' ORDER BY category, id LIMIT 40 OFFSET 10")
+def category_listing(spark, d):
+    return M.category_listing(B.items(spark, d), "en", limit=40, offset=10).select("category", "id")
+
+
+@query("m09_dedup_outcomes", """o AS (SELECT item_id AS id, CASE WHEN event_type = 'error' THEN 'e' || event_id END AS error, event_id AS seq FROM log WHERE event_type IN ('error', 'purchase')),
+g AS (SELECT id, bool_or(error IS NULL) AS ok, count(error) AS n, arg_max(coalesce(error, ''), seq) AS last FROM o GROUP BY id)
+SELECT id, dedup_verified OR coalesce(ok, false) AS dedup_verified, (id % 3 + coalesce(n, 0))::INT AS dedup_attempts, CASE WHEN n IS NULL THEN 'old' ELSE nullif(last, '') END AS dedup_last_error FROM items LEFT JOIN g USING (id)""")
+def dedup_outcomes(spark, d):
+    """Purchases are runs without an error; items carry attempts and an error from before."""
+    i = B.items(spark, d).select("id", "dedup_verified", (F.col("id") % 3).cast("int").alias("dedup_attempts"), F.lit("old").alias("dedup_last_error"))
+    runs = B.log(spark, d).where("event_type in ('error', 'purchase')").select(F.col("item_id").alias("id"), F.when(F.col("event_type") == "error", F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error"), F.col("event_id").alias("seq"))
+    return M.dedup_outcomes(i, runs)
+
+
 @query("t09_tag_hint", "SELECT tag, count(DISTINCT item_id)::BIGINT AS freq FROM item_tags GROUP BY tag ORDER BY 2 DESC, 1 LIMIT 50")
 def hint(spark, d):
     return files.tag_vocabulary(B.item_tags(spark, d)).orderBy(F.desc("freq"), "tag").limit(50)

@@ -241,6 +241,29 @@ def precision(spark, d):
     return E.merge_precision(v).withColumn("precision", F.round("precision", 6))
 
 
+@query("e14_judged_evaluations", """e AS (SELECT item_id, avg(s) AS m FROM (SELECT item_id, event_type, avg(value / 250.0 - 1.0) AS s FROM log GROUP BY ALL) GROUP BY item_id),
+v AS (SELECT item_id, CASE WHEN m > 0.1 THEN 'POSITIVE' WHEN m < -0.1 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS direction, CASE item_id % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'questionable' WHEN 2 THEN 'wrong' ELSE 'error' END AS verdict, CASE WHEN item_id % 4 < 3 THEN (item_id % 10) / 10.0 END AS c FROM e)
+SELECT direction, verdict, count(*)::BIGINT AS n, round(avg(c), 6) AS mean_confidence FROM v GROUP BY ALL""")
+def judged_evaluations(spark, d):
+    """Every fourth evaluation got no verdict."""
+    tag = B.log(spark, d).groupBy("item_id", "event_type").agg(F.avg(F.col("value") / 250.0 - 1.0).alias("s"))
+    e = tag.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "s"))).alias("tag_scores"))
+    k = F.col("item_id") % 4
+    v = e.where(k < 3).select("item_id", F.when(k == 0, "correct").when(k == 1, "questionable").otherwise("wrong").alias("verdict"), ((F.col("item_id") % 10) / 10.0).alias("confidence"))
+    return E.judged_evaluations(e, v).groupBy("direction", "verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("judge_confidence"), 6).alias("mean_confidence"))
+
+
+@query("e14_judged_merges", """g AS (SELECT min(id) AS group_id, count(*) AS n_known FROM items GROUP BY text)
+SELECT group_id, n_known::BIGINT AS n_known, 0.9::DOUBLE AS original_confidence, CASE group_id % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' WHEN 2 THEN 'wrong' ELSE 'error' END AS verdict, CASE WHEN group_id % 4 < 3 THEN 0.5::DOUBLE END AS judge_confidence FROM g WHERE n_known >= 2""")
+def judged_merges(spark, d):
+    """Groups of equal texts, each with an id that no item has; every fourth group got no verdict."""
+    i = B.items(spark, d)
+    g = i.groupBy("text").agg(F.min("id").alias("group_id"), F.collect_list("id").alias("ids")).select("group_id", F.concat("ids", F.array(-F.col("group_id") - 1)).alias("ids"), F.lit(0.9).alias("confidence"))
+    k = F.col("group_id") % 4
+    v = g.where(k < 3).select("group_id", F.when(k == 0, "correct").when(k == 1, "partial").otherwise("wrong").alias("verdict"), F.lit(0.5).alias("confidence"))
+    return E.judged_merges(g, i, v)
+
+
 @query("a21_agreement", "s AS (SELECT item_id, tag, CASE WHEN score > 0.1 THEN 1 WHEN score < -0.1 THEN -1 ELSE 0 END AS s FROM rel) SELECT count(*)::BIGINT AS n, round(avg((a.s = b.s)::INT), 6) AS agreement FROM s a JOIN s b USING (item_id) WHERE a.tag = 'click' AND b.tag = 'view'")
 def agreement(spark, d):
     r = _rel(spark, d)

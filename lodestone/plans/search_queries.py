@@ -60,7 +60,7 @@ akw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 """
 
 
-@query("t01_s08_stored_postings", _ACTIVE + "SELECT query_id, rank0::INT AS rank0, id, round(score, 6) AS score FROM akw")
+@query("index_search_t01_s08", _ACTIVE + "SELECT query_id, rank0::INT AS rank0, id, round(score, 6) AS score FROM akw")
 def stored_postings(spark, d):
     """An index of all items in two segments, the deprecated ones removed, then merged; all questions searched."""
     index, docs = postings.Postings(spark, scratch(spark)), _docs(spark, d)
