@@ -230,13 +230,3 @@ def curation(items: DataFrame, verdicts: DataFrame) -> DataFrame:
     j = items.join(v, "id", "left")
     s = F.coalesce("status", F.lit(0)).bitwiseOR(1).bitwiseOR(F.when(F.col("r") == 1, 2).otherwise(0))
     return j.withColumn("status", F.when(F.col("r").isNotNull(), s).otherwise(F.col("status"))).withColumn("deprecated", F.col("deprecated") | (F.coalesce("r", F.lit(0)) == 1)).drop("r")
-
-
-def passes(run_pass, most: int = 10, single: bool = False, scan_only: bool = False) -> list[int]:
-    """Merges per pass of run_pass() until a pass merges nothing."""
-    out = []
-    while len(out) < (1 if single or scan_only else most):
-        out.append(run_pass())
-        if not out[-1]:
-            break
-    return out

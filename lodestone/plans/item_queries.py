@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import dedup as D
+from lodestone.operators import passes as P
 from lodestone.operators import retrieval as R
 from lodestone.operators import search as S
 from lodestone.operators import state as M
@@ -448,6 +449,21 @@ def greedy(spark, d):
     return D.greedy_chunks(B.vectors(spark, d).select("id", "embedding"))
 
 
+def _pass_sql(i):
+    """Tables of one pass over v<i>: n<i> with norms, t<i> nearest of each from 0.3 on, m<i> mutual ones, v<i + 1> what is left."""
+    return f"""n{i} AS (SELECT id, e::DOUBLE[] AS e, sqrt(list_inner_product(e::DOUBLE[], e::DOUBLE[])) + 1e-10 AS norm FROM v{i}_),
+t{i} AS (SELECT a, arg_max(b, (s, -b)) AS b FROM (SELECT x.id AS a, y.id AS b, round(list_inner_product(x.e, y.e) / (x.norm * y.norm), 9) AS s FROM n{i} x, n{i} y WHERE x.id <> y.id) WHERE s >= 0.3 GROUP BY a),
+m{i} AS (SELECT p.a AS survivor, p.b AS absorbed FROM t{i} p JOIN t{i} q ON q.a = p.b AND q.b = p.a WHERE p.a < p.b),
+v{i + 1}_ AS (SELECT id, CASE WHEN m.absorbed IS NULL THEN x.e ELSE list_transform(range(1, len(x.e) + 1), lambda k: (x.e[k]::DOUBLE + y.e[k]::DOUBLE)::FLOAT) END AS e FROM v{i}_ x LEFT JOIN m{i} m ON m.survivor = x.id LEFT JOIN (SELECT id AS yid, e FROM v{i}_) y ON y.yid = m.absorbed WHERE x.id NOT IN (SELECT absorbed FROM m{i}))"""
+
+
+@query("x09_passes", "v0_ AS (SELECT vec_id AS id, embedding AS e FROM embeddings), " + _pass_sql(0) + ", " + _pass_sql(1) + " SELECT 1::INT AS pass, survivor, absorbed FROM m0 UNION ALL SELECT 2, survivor, absorbed FROM m1")
+def passes(spark, d):
+    """Two passes in which each other's nearest merge, the second one over lists that carry over."""
+    v = B.vectors(spark, d).select("id", "embedding")
+    return P.dedup_passes(v, P.mutual_nearest, P.summed, 0.3, most=2)[1]
+
+
 @query("x05_batches", _CAND + """, g AS (SELECT source_id, any_value(length(s.text)) AS chars, list(struct_pack(id := target_id, n := length(t.text))) AS near, row_number() OVER (ORDER BY source_id) AS n
   FROM r JOIN items s ON s.id = source_id JOIN items t ON t.id = target_id WHERE rank0 < 8 GROUP BY source_id),
 walk AS (SELECT 0::BIGINT AS n, -1::BIGINT AS source_id, 0::BIGINT AS batch, 0::BIGINT AS used, []::BIGINT[] AS shown
