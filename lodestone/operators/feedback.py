@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -111,6 +111,18 @@ def pin_history(events: DataFrame, alpha: float = V.EMA_ALPHA, limit: float = V.
     return events.select("item_id", "tag", "raw", "weight", "seq").groupBy("item_id").applyInPandas(fold, "item_id long, seq long, pinned boolean")
 
 
+def evaluation_batches(shown: DataFrame, items: DataFrame, size: int = 15) -> DataFrame:
+    """session_id, batch, ids: the known items shown in a session (session_id, item_id), in order of id, by batches of at most ``size``.
+
+    Places in a session come from a window by session; what a session was shown is bounded by what
+    fits a conversation.
+    """
+    known = shown.select("session_id", "item_id").distinct().join(items.select(F.col("id").alias("item_id")), "item_id", "left_semi")
+    w = Window.partitionBy("session_id").orderBy("item_id")
+    placed = known.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    return placed.groupBy("session_id", "batch").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+
+
 def attribution_events(verdicts: DataFrame, item_tags: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
     """Tag events of evaluation verdicts (item_id, repo, score -3..3, found, seq).
 

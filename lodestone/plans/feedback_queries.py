@@ -96,6 +96,14 @@ _V = """v AS (SELECT item_id, 'src' || (user_id % 20) AS repo, event_id AS seq,
 """
 
 
+@query("e02_evaluation_batches", """k AS (SELECT DISTINCT session_id, item_id FROM shown WHERE item_id IN (SELECT id FROM items WHERE NOT deprecated)),
+p AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY item_id) - 1) // 15 AS batch FROM k)
+SELECT session_id, batch::BIGINT AS batch, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM p GROUP BY session_id, batch""")
+def evaluation_batches(spark, d):
+    got = fb.evaluation_batches(B.shown(spark, d), B.items(spark, d).where("not deprecated"))
+    return got.select("session_id", "batch", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
 @query("e04_tag_events", _V + "SELECT item_id, 'repo:' || repo AS tag, round(raw, 6) AS raw, seq FROM v WHERE raw <> 0 UNION ALL SELECT v.item_id, tag, round(raw, 6), seq FROM v JOIN item_tags t USING (item_id) WHERE raw <> 0 AND tag NOT LIKE 'repo:%'")
 def tag_events(spark, d):
     log = B.log(spark, d)
