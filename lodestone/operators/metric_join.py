@@ -7,7 +7,7 @@ for a member within its reach: the angle of the least similarity asked for, or t
 which its k best must lie, whichever is smaller. What is skipped provably holds no result.
 
 Equal vectors are folded first, so a vector that a third of all rows share is one row. Cells are
-dealt into a grid of blocks of about ``block`` members and as many visitors, so a heavy cell is
+dealt into a grid of blocks of about ``block`` members and twice as many visitors, so a heavy cell is
 many tasks and no group holds more than that. Vectors travel packed, a row for what a batch sends
 to a block. On the driver and in broadcasts lie the pivots and
 the bounds and sizes of their cells, whatever the number of vectors; the plan has one form at any size.
@@ -217,7 +217,7 @@ class Block:
 def _grid(visitors: DataFrame, members: DataFrame, cells: Cells, least: float, block: int, wider: bool) -> tuple[DataFrame, DataFrame]:
     """Both sides by block of the grid (cell, mb, vb); what a batch sends to a block is one packed row."""
     n_visits = visit_counts(visitors, cells, least, wider)
-    n_mb, n_vb = np.maximum(1, -(-cells.size // block)), -(-n_visits // block)
+    n_mb, n_vb = np.maximum(1, -(-cells.size // block)), -(-n_visits // (2 * block))
 
     def steps(n: np.ndarray) -> np.ndarray:
         return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -281,7 +281,7 @@ def _best(s: np.ndarray, first: np.ndarray, k: int, least: float) -> tuple[np.nd
 
 
 # --- joins ------------------------------------------------------------------------------------
-def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, k: int = 8, block: int = 2000, per_cell: int = 1000, most_cells: int = 1024) -> DataFrame:
+def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, k: int = 8, block: int = 2000, per_cell: int = 2000, most_cells: int = 1024) -> DataFrame:
     """source_id, target_id, similarity, rank0: for each id of left (id, embedding) the k most similar other ids of right, from least on."""
     same = left is right
     members = stored(folded(right, k + 1))
@@ -307,7 +307,7 @@ def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, k: int = 8
     return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("source_id", F.col("id").alias("target_id"), F.col("score").alias("similarity"), (F.col("_r") - 1).alias("rank0"))
 
 
-def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int = 2000, per_cell: int = 1000, most_cells: int = 1024) -> DataFrame:
+def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int = 2000, per_cell: int = 2000, most_cells: int = 1024) -> DataFrame:
     """Parts of the distribution over all pairs a < b: number and sum of all, the largest similarity, n_above (from least on), and the k best pairs from least on.
 
     The sum needs no pair: it is half of the squared length of the sum of unit vectors less their
