@@ -1,7 +1,9 @@
 """Exact Jaccard join of word n-gram sets, with skipping by set relations.
 
-1. Texts are cut into n-grams once; the sets are written and read from then on. Sets that are equal
-   become one class; copies never take part in the join.
+1. Texts are cut into n-grams; of each set its size, a digest and its lowest tokens are written,
+   enough for a prefix a third of which is frequent. Sets that are equal become one class; copies
+   never take part in the join. Whole sets are made again from the texts, and only for documents
+   whose lowest tokens are too frequent (2.) and for those that the last join ships (4.).
 2. Tokens (n-gram hashes) are ordered by hash, with tokens that many documents hold put last. Two
    sets that reach the threshold share a token among the first few of both (prefix filter).
    Tokens that one class alone holds there are dropped.
@@ -58,6 +60,12 @@ def prefix_size(size: int, pct: int) -> int:
     return size - -(-size * pct // 100) + 1
 
 
+def kept_size(size: int, pct: int) -> int:
+    """How many lowest tokens of a set are written."""
+    p = prefix_size(size, pct)
+    return min(size, p + p // 2 + 16)
+
+
 def needed(a, b, pct: int):
     """Least intersection of sets of sizes a and b that reach pct percent."""
     return -(-(a + b) * pct // (100 + pct))
@@ -217,7 +225,8 @@ class _Forest:
         return True
 
 
-def _sets(n: int):
+def _sets(n: int, pct: int | None = None):
+    """Size, digest and tokens of each text's set: all of them, or with pct those that are kept."""
     schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
@@ -225,7 +234,8 @@ def _sets(n: int):
             for d, text in rows(batches, "doc_id", "text"):
                 s = shingles(text, n).tobytes()
                 s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(s), "<i8").tolist()
-                yield d, len(s) // 8, s1, s2, s
+                size = len(s) // 8
+                yield d, size, s1, s2, s if pct is None else s[: 8 * kept_size(size, pct)]
 
         yield from chunked(made(), schema, 2000)
 
@@ -260,8 +270,8 @@ def _frequent_in(chunk_tokens: int = 1 << 21):
 def frequent_tokens(sets: DataFrame, least: int, most: int) -> np.ndarray:
     """Tokens that at least ``least`` documents hold, by falling frequency, at most ``most``.
 
-    Counts are over all documents for the lowest quarter of hashes, where prefixes lie; of higher
-    ones, tokens that no task meets twice are left out.
+    Counts are over the tokens that sets holds, whole for the lowest quarter of hashes, where
+    prefixes lie; of higher ones, tokens that no task meets twice are left out.
     """
     local = sets.select("tokens").mapInArrow(_frequent_in(), "token long, n long")
     top = local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most)
@@ -277,18 +287,27 @@ class Order:
         self.sorted = frequent[self.place]
         self.total = len(frequent)
 
+    def _hot(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.sorted, s), self.total - 1)
+        return at, self.sorted[at] == s
+
+    def cold(self, s: np.ndarray) -> np.ndarray:
+        """The tokens of s that are not frequent, by hash."""
+        return s[~self._hot(s)[1]] if len(s) and self.total else s
+
     def __call__(self, s: np.ndarray) -> np.ndarray:
         if not len(s) or not self.total:
             return s
-        at = np.minimum(np.searchsorted(self.sorted, s), self.total - 1)
-        hot = self.sorted[at] == s
+        at, hot = self._hot(s)
         if not hot.any():
             return s
         late = s[hot][np.argsort(-self.place[at[hot]], kind="stable")]
         return np.concatenate([s[~hot], late])
 
 
-def _prefixes(pct: int, order):
+def _prefixes(pct: int, order, whole: bool):
+    """First tokens of each set in the order: from its lowest ones (null where these hold too few that
+    are not frequent), or from whole sets, for those alone."""
     schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -296,14 +315,23 @@ def _prefixes(pct: int, order):
 
         def made():
             for d, size, s1, s2, tokens in rows(batches, "doc_id", "size", "s1", "s2", "tokens"):
-                p = by(np.frombuffer(tokens, np.uint64))[: prefix_size(size, pct)]
-                yield d, size, s1, s2, signed(np.ascontiguousarray(p))
+                s, k, p = np.frombuffer(tokens, np.uint64), kept_size(size, pct), prefix_size(size, pct)
+                first = by(s)[:p] if k == size else by.cold(s[:k])[:p]
+                lacks = len(first) < p
+                if whole and not lacks:
+                    continue
+                if lacks:
+                    first = by(s)[:p] if whole else None
+                yield d, size, s1, s2, None if first is None else signed(np.ascontiguousarray(first))
 
         yield from chunked(made(), schema, 2000)
 
     return run
 
 
+_PREFIXES = "doc_id long, size long, s1 long, s2 long, prefix array<long>"
+
+
 def _classes(sig: DataFrame) -> DataFrame:
     """class_id, lead, s1, s2, size of each distinct set; lead is its least doc_id.
 
@@ -340,7 +368,7 @@ def _meetings(cut: DataFrame, pct: int) -> DataFrame:
 
 
 def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block_tokens: int = 1 << 19, least_frequent: int = 12, most_frequent: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes, links and bridges of docs (doc_id, text).
+    """Classes, links and bridges of docs (doc_id, text), which is read up to three times.
 
     First table: doc_id, size, class_id, lead (least doc_id with an equal set). Second: class_id, to
     (links of a spanning forest; null for rows that only count), n_links (links of class_id to
@@ -348,7 +376,7 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(slim.mapInArrow(_sets(n), _SETS), "sets")
+    sets = written(slim.mapInArrow(_sets(n, pct), _SETS), "sets")
     order = spark.sparkContext.broadcast(Order(frequent_tokens(sets, least_frequent, most_frequent)))
     sig = sets.select("doc_id", "size", "s1", "s2")
     classes = written(_classes(sig), "classes")
@@ -358,11 +386,19 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
 
     # sort-merge joins throughout: none of these tables has a size bound
     # prefix rows of one document per class, of tokens that two classes share
-    prefixes = sets.where("size > 0 and doc_id is not null").mapInArrow(_prefixes(pct, order), "doc_id long, size long, s1 long, s2 long, prefix array<long>")
-    spread = prefixes.join(names.hint("merge"), same & (F.col("doc_id") == F.col("lead"))).select("class_id", "size", F.posexplode("prefix").alias("pos", "token"))
+    def of_classes(some: DataFrame, whole: bool) -> DataFrame:
+        prefixes = some.where("size > 0 and doc_id is not null").mapInArrow(_prefixes(pct, order, whole), _PREFIXES)
+        return prefixes.join(names.hint("merge"), same & (F.col("doc_id") == F.col("lead"))).select("class_id", "lead", "size", "prefix")
+
+    firsts = written(of_classes(sets, False), "firsts")
+    discard(sets)
+    again = only_marked(slim, "doc_id", firsts.where("prefix is null").select(F.col("lead").alias("id"))).mapInArrow(_sets(n), _SETS)
+    all_firsts = firsts.where("prefix is not null").unionByName(of_classes(again, True))
+    spread = all_firsts.select("class_id", "size", F.posexplode("prefix").alias("pos", "token"))
     of_token = Window.partitionBy("token")
     shared = spread.withColumns({"g": F.count(F.lit(1)).over(of_token), "least": F.min("class_id").over(of_token)})
     prefix = written(shared.where("g > 1"), "prefix")
+    discard(firsts)
     large = prefix.where((F.col("g") > small) & (F.col("class_id") != F.col("least"))).select(F.col("class_id").alias("u"), F.col("least").alias("v"))
     p = prefix.where(F.col("g") <= small)
     a, b = (p.select("token", F.col("class_id").alias(x), F.col("size").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
@@ -375,7 +411,7 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
     discard(prefix)
 
     met = _meetings(_blocks(placed, block_tokens), pct)
-    near_sets = only_marked(sets.select("doc_id", "s1", "tokens"), "doc_id", placed.select(F.col("lead").alias("id")))
+    near_sets = only_marked(slim, "doc_id", placed.select(F.col("lead").alias("id"))).mapInArrow(_sets(n), _SETS).select("doc_id", "s1", "tokens")
     shipped = near_sets.join(met.hint("merge"), (near_sets["doc_id"] == F.col("of")) & (near_sets["s1"] == F.col("h"))).select("c", "i", "j", "side", "id", "size", "tokens")
 
     def join_block(table: pa.Table) -> pa.Table:
@@ -396,7 +432,6 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
         return pa.table({"class_id": pa.array(cols[0], pa.int64()), "to": pa.array(cols[1], pa.int64()), "n_links": pa.array(cols[2], pa.int64())})
 
     found = written(shipped.groupBy("c", "i", "j").applyInArrow(join_block, "class_id long, to long, n_links long"), "links")
-    discard(sets)
     return members, found, classes.where("class_id <> lead").select(F.col("class_id").alias("u"), F.col("lead").alias("v"))
 
 
