@@ -7,8 +7,11 @@ for a member within its reach: the angle of the least similarity asked for, or t
 which its k best must lie, whichever is smaller. What is skipped provably holds no result.
 
 Equal vectors are folded first, so a vector that a third of all rows share is one row. Cells are
-dealt into a grid of blocks of about ``block`` members and twice as many visitors, so a heavy cell is
-many tasks and no group holds more than that. Vectors travel packed, a row for what a batch sends
+bundled and dealt into a grid of blocks of about ``block`` members and twice as many visitors, so a
+heavy cell is many tasks and no group holds much more than that. ``block`` is a 16th of the members
+between 2000 and 65 536, so where nothing can be skipped what is shipped grows with the vectors, not
+with their square, up to a million of them. Within a block visitors meet cell by cell, ``_TILE`` at a
+time, and hand on the k best of the whole block. Vectors travel packed, a row for what a batch sends
 to a block. On the driver and in broadcasts lie the pivots and
 the bounds and sizes of their cells, whatever the number of vectors; the plan has one form at any size.
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,7 @@ from pyspark.sql import functions as F
 from lodestone.sources.files import stored
 
 SHORT = 0.01
+_TILE = 2000
 _CANDIDATE = "rep long, id long, score double"
 _CANDIDATE_ARROW = pa.schema([("rep", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 _BEST = "array<struct<a:long,b:long,similarity:double>>"
@@ -174,17 +179,32 @@ def visited(e: np.ndarray, cells: Cells, least: float, wider: bool = False) -> n
     return np.concatenate([near, np.ones((len(e), 1), bool)], 1) & (cells.size > 0)[None]
 
 
-def visit_counts(visitors: DataFrame, cells: Cells, least: float, wider: bool = False) -> np.ndarray:
-    """Number of visitors of each cell."""
+def _visited(e: np.ndarray, cells: Cells, least: float, wider: bool) -> np.ndarray:
+    return np.concatenate([visited(e[i : i + 250], cells, least, wider) for i in range(0, len(e), 250)])
+
+
+def bundled(cells: Cells, block: int) -> np.ndarray:
+    """The bundle of each cell: neighbours in order that hold about ``block`` members together."""
+    before = np.cumsum(cells.size) - cells.size
+    return np.unique(before // block, return_inverse=True)[1]
+
+
+def _by_bundle(seen: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduceat(seen, starts, axis=1)
+
+
+def visit_counts(visitors: DataFrame, cells: Cells, least: float, wider: bool = False, starts: np.ndarray | None = None) -> np.ndarray:
+    """Number of visitors of each cell, or of each bundle, of which starts holds the first cells."""
+    starts = np.arange(len(cells.size)) if starts is None else starts
     schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(cells.size), np.int64)
+        n = np.zeros(len(starts), np.int64)
         for b in _parts(batches):
-            n += visited(_matrix(b.column(0)), cells, least, wider).sum(0)
+            n += _by_bundle(visited(_matrix(b.column(0)), cells, least, wider), starts).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], schema=schema)
 
-    out = np.zeros(len(cells.size), np.int64)
+    out = np.zeros(len(starts), np.int64)
     for r in visitors.select("embedding").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r.cell] = r.n
     return out
@@ -196,10 +216,10 @@ _PACKED_ARROW = pa.schema([*((c, pa.binary()) for c in ("reps", "vectors", "size
 
 @dataclass(frozen=True)
 class Block:
-    """Vectors of one block: least ids, unit rows, the ids of each (ids[starts[i] : starts[i + 1]]) and numbers of rows."""
+    """Vectors of one block: least ids, rows as they are and as units, the ids of each (ids[starts[i] : starts[i + 1]]) and numbers of rows."""
 
     reps: np.ndarray
-    units: np.ndarray
+    vectors: np.ndarray
     starts: np.ndarray
     ids: np.ndarray
     ns: np.ndarray
@@ -209,15 +229,27 @@ class Block:
         """From packed rows."""
         held = lambda c, t: np.frombuffer(b"".join(rows[c].to_pylist()), t)
         reps = held("reps", np.int64)
-        e = held("vectors", np.float32).astype(np.float64).reshape(len(reps), -1)
+        e = held("vectors", np.float32).reshape(len(reps), -1)
         starts = np.concatenate([[0], np.cumsum(held("sizes", np.int32))])
-        return Block(reps, _unit(e), starts, held("ids", np.int64), held("ns", np.int64))
+        return Block(reps, e, starts, held("ids", np.int64), held("ns", np.int64))
+
+    def some(self, rows: np.ndarray) -> Block:
+        size = np.diff(self.starts)[rows]
+        starts = np.concatenate([[0], np.cumsum(size)])
+        own = np.arange(starts[-1]) + np.repeat(self.starts[rows] - starts[:-1], size)
+        return Block(self.reps[rows], self.vectors[rows], starts, self.ids[own], self.ns[rows])
+
+    @cached_property
+    def units(self) -> np.ndarray:
+        return _unit(self.vectors.astype(np.float64))
 
 
 def _grid(visitors: DataFrame, members: DataFrame, cells: Cells, least: float, block: int, wider: bool) -> tuple[DataFrame, DataFrame]:
-    """Both sides by block of the grid (cell, mb, vb); what a batch sends to a block is one packed row."""
-    n_visits = visit_counts(visitors, cells, least, wider)
-    n_mb, n_vb = np.maximum(1, -(-cells.size // block)), -(-n_visits // (2 * block))
+    """Both sides by block of the grid (bundle as cell, mb, vb); what a batch sends to a block is one packed row."""
+    bundle = bundled(cells, block)
+    starts = np.flatnonzero(np.r_[True, bundle[1:] != bundle[:-1]])
+    n_visits = visit_counts(visitors, cells, least, wider, starts)
+    n_mb, n_vb = np.maximum(1, (np.add.reduceat(cells.size, starts) + block // 2) // block), -(-n_visits // (2 * block))
 
     def steps(n: np.ndarray) -> np.ndarray:
         return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -242,13 +274,13 @@ def _grid(visitors: DataFrame, members: DataFrame, cells: Cells, least: float, b
                 yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in out), *(pa.array([int(x)], pa.int32()) for x in keys[:, i])], schema=_PACKED_ARROW)
 
     def of_member(reps: np.ndarray, vectors: np.ndarray) -> tuple:
-        cell, _ = _cell_of(vectors, cells.pivots)
+        cell = bundle[_cell_of(vectors, cells.pivots)[0]]
         row = np.repeat(np.arange(len(cell)), n_vb[cell])
         return row, cell[row], _spread(reps, n_mb[cell])[row], steps(n_vb[cell])
 
     def of_visitor(reps: np.ndarray, vectors: np.ndarray) -> tuple:
-        seen = np.concatenate([visited(vectors[i : i + 250], cells, least, wider) for i in range(0, len(vectors), 250)])
-        at, cell = np.nonzero(seen)
+        seen = _visited(vectors, cells, least, wider)
+        at, cell = np.nonzero(_by_bundle(seen, starts))
         row = np.repeat(np.arange(len(at)), n_mb[cell])
         return at[row], cell[row], steps(n_mb[cell]), _spread(reps[at], n_vb[cell])[row]
 
@@ -256,14 +288,42 @@ def _grid(visitors: DataFrame, members: DataFrame, cells: Cells, least: float, b
     return visitors.select(*columns).mapInArrow(lambda x: packed(x, of_visitor), _PACKED), members.select(*columns).mapInArrow(lambda x: packed(x, of_member), _PACKED)
 
 
-def _met(visitors: DataFrame, members: DataFrame, meet, schema: str, empty: pa.Schema) -> DataFrame:
-    """meet(visitors, members) over each block of the grid."""
+def _met(visitors: DataFrame, members: DataFrame, cells: Cells, least: float, block: int, wider: bool, meet, schema: str, empty: pa.Schema, cut=None) -> DataFrame:
+    """meet(visitors, members) for each block of the grid, a tile of visitors and a cell of members at a time; cut(table) shortens what a tile has met."""
     keys = ("cell", "mb", "vb")
 
     def run(v: pa.Table, m: pa.Table) -> pa.Table:
-        return meet(Block.of(v), Block.of(m)) if v.num_rows and m.num_rows else empty.empty_table()
-
-    return visitors.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(run, schema)
+        if not v.num_rows or not m.num_rows:
+            return empty.empty_table()
+        v, m, out = Block.of(v), Block.of(m), []
+        home = np.concatenate([_cell_of(m.vectors[i : i + _TILE].astype(np.float64), cells.pivots)[0] for i in range(0, len(m.reps), _TILE)])
+        own = [(c, m.some(r[i : i + _TILE])) for c in np.unique(home).tolist() for r in [np.flatnonzero(home == c)] for i in range(0, len(r), _TILE)]
+        for i in range(0, len(v.reps), _TILE):
+            tile, found = v.some(np.arange(i, min(i + _TILE, len(v.reps)))), []
+            seen = _visited(tile.vectors.astype(np.float64), cells, least, wider)
+            for c, part in own:
+                at = np.flatnonzero(seen[:, c])
+                if len(at):
+                    found.append(meet(tile if len(at) == len(seen) else tile.some(at), part))
+            if found:
+                found = pa.concat_tables(found)
+                out.append(cut(found) if cut else found)
+        return pa.concat_tables(out) if out else empty.empty_table()
+
+    v, m = _grid(visitors, members, cells, least, block, wider)
+    return v.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _size_of_blocks(n: int) -> int:
+    return int(np.clip(n // 16, 2000, 65_536))
+
+
+def _k_best(found: pa.Table, k: int) -> pa.Table:
+    """The k best candidates of each rep."""
+    rep, ids, s = (found[c].to_numpy() for c in ("rep", "id", "score"))
+    order = np.lexsort((ids, -np.round(s, 9), rep))
+    rep = rep[order]
+    return found.take(order[np.arange(len(rep)) - np.searchsorted(rep, rep) < k])
 
 
 def _best(s: np.ndarray, first: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +341,7 @@ def _best(s: np.ndarray, first: np.ndarray, k: int, least: float) -> tuple[np.nd
 
 
 # --- joins ------------------------------------------------------------------------------------
-def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, k: int = 8, block: int = 2000, per_cell: int = 2000, most_cells: int = 1024) -> DataFrame:
+def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, k: int = 8, block: int | None = None, per_cell: int = 2000, most_cells: int = 1024) -> DataFrame:
     """source_id, target_id, similarity, rank0: for each id of left (id, embedding) the k most similar other ids of right, from least on."""
     same = left is right
     members = stored(folded(right, k + 1))
@@ -297,7 +357,7 @@ def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, k: int = 8
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + m.starts[col][of]
         return pa.table([v.reps[row][of], m.ids[place], s[row, col][of]], schema=_CANDIDATE_ARROW)
 
-    found = _met(*_grid(visitors, members, cells, least, block, False), meet, _CANDIDATE, _CANDIDATE_ARROW)
+    found = _met(visitors, members, cells, least, block or _size_of_blocks(n), False, meet, _CANDIDATE, _CANDIDATE_ARROW, lambda x: _k_best(x, k + 1))
     near = F.round("score", 9).desc()
     top = found.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(near, "id"))).where(F.col("_r") <= k + 1)
     lone = visitors.where("n = 1").select(F.col("rep").alias("source_id"), "rep")
@@ -307,14 +367,15 @@ def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, k: int = 8
     return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("source_id", F.col("id").alias("target_id"), F.col("score").alias("similarity"), (F.col("_r") - 1).alias("rank0"))
 
 
-def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int = 2000, per_cell: int = 2000, most_cells: int = 1024) -> DataFrame:
+def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int | None = None, per_cell: int = 2000, most_cells: int = 1024) -> DataFrame:
     """Parts of the distribution over all pairs a < b: number and sum of all, the largest similarity, n_above (from least on), and the k best pairs from least on.
 
     The sum needs no pair: it is half of the squared length of the sum of unit vectors less their
     own squares. The other figures come from the pairs within reach of least or of a vector's best.
     """
     members = stored(folded(vectors, k + 1))
-    cells = measured(members, choose_pivots(members, members.count(), per_cell, most_cells), 2)
+    n_members = members.count()
+    cells = measured(members, choose_pivots(members, n_members, per_cell, most_cells), 2)
 
     def part(n=None, total=None, s=None, weight=None, pairs=()) -> dict:
         """s: similarities; weight: number of pairs of ids of each."""
@@ -367,6 +428,6 @@ def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int = 2000,
     at = members.select("embedding", "n").mapInArrow(summed, "rows long, own double, at int, x double").groupBy("at").agg(F.sum("rows").alias("rows"), F.sum("own").alias("own"), F.sum("x").alias("x"))
     one = at.agg(F.sum("rows").alias("rows"), ((F.sum(F.col("x") * F.col("x")) - F.sum("own")) / 2).alias("total")).where("rows > 1")
     whole = one.select((F.col("rows") * (F.col("rows") - 1) / 2).cast("long").alias("n"), "total", F.lit(None).cast("double").alias("top"), F.lit(0).cast("long").alias("n_above"), F.array().cast(_BEST).alias("best"))
-    met = _met(*_grid(members, members, cells, least, block, True), meet, _PART, _PART_ARROW)
+    met = _met(members, members, cells, least, block or _size_of_blocks(n_members), True, meet, _PART, _PART_ARROW)
     copies = members.select("rep", "embedding", "ids", "n").mapInArrow(alone, _PART)
     return whole.unionByName(met).unionByName(copies)

@@ -113,3 +113,13 @@ def test_the_plan_does_not_grow_with_the_rows(spark, crowd):
     v, _, _ = crowd
     size = lambda d: [d._jdf.queryExecution().optimizedPlan().toString().count(x) for x in ("Join", "Union", "CoGroup", "Window")]
     assert size(M.best_pairs(v.limit(40), v.limit(40), block=5, per_cell=5)) == size(M.best_pairs(v, v, block=5, per_cell=5))
+
+
+def test_vectors_are_shipped_by_blocks_not_by_cells(spark):
+    """Random vectors skip nothing: each goes to every block of members, however many cells there are."""
+    e = np.random.default_rng(2).normal(size=(600, 8)).astype(np.float32)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "id long, embedding array<float>").repartition(2)
+    members = M.stored(M.folded(v, 3))
+    cells = M.measured(members, M.choose_pivots(members, 600, 10, 1024), 3)
+    visitors, _ = M._grid(members, members, cells, -1.0, 200, True)
+    assert visitors.selectExpr("sum(length(reps) / 8) AS n").first().n <= 600 * 4
