@@ -9,6 +9,7 @@ from lodestone.functions import text as T
 
 from . import dedup as D
 from . import state as M
+from .metric_join import best_in_groups
 from .search import nearest
 
 
@@ -142,9 +143,9 @@ def confirmations(items: DataFrame, extracted: DataFrame, skipped: DataFrame, le
     An item is confirmed if any of its usable sessions gives a text (session_id, embedding) near it,
     and skipped if it has no usable session; a session that was read but gave nothing confirms nothing.
     """
-    s = items.select("id", F.explode("source_sessions").alias("session_id"), F.col("embedding").alias("ea")).join(skipped.select("session_id"), "session_id", "left_anti")
-    best = s.join(extracted.select("session_id", F.col("embedding").alias("eb")), "session_id", "left").groupBy("id").agg(F.max(F.round(T.cosine("ea", "eb"), 9)).alias("best"))
-    j = items.select("id").join(best.withColumn("usable", F.lit(True)), "id", "left")
+    s = items.select("id", F.explode("source_sessions").alias("session_id"), "embedding").join(skipped.select("session_id"), "session_id", "left_anti")
+    best = best_in_groups(s, extracted.withColumn("id", F.lit(0)), "session_id", ["id"], "best_id").groupBy("id").agg(F.max("s").alias("best"))
+    j = items.select("id").join(s.select("id").distinct().withColumn("usable", F.lit(True)), "id", "left").join(best, "id", "left")
     return j.select("id", F.when(F.col("usable").isNull(), "skipped").when(F.col("best") >= least, "confirmed").otherwise("unconfirmed").alias("result"))
 
 
@@ -166,8 +167,8 @@ def gate_outcome(items: DataFrame, verdicts: DataFrame, groups: DataFrame, label
     alone = kept.join(member, "id", "left_anti").select("session_id", "embedding")
     canon = member.join(items.select("id", "session_id"), "id").join(groups.select("group_id", "embedding"), "group_id").select("session_id", "embedding")
     pool = alone.unionByName(canon)
-    l = labels.select("label_id", "kind", "session_id", F.col("embedding").alias("ea")).join(pool.withColumnRenamed("embedding", "eb"), "session_id")
-    best = l.groupBy("label_id", "kind").agg(F.max(F.round(T.cosine("ea", "eb"), 9)).alias("best"))
+    met = best_in_groups(labels, pool.withColumn("id", F.lit(0)), "session_id", ["label_id", "kind"])
+    best = met.groupBy("label_id", "kind").agg(F.max("s").alias("best"))
     near = F.col("best") >= least
     fared = best.agg(F.count_if((F.col("kind") == "good") & near).alias("good_found"), F.count_if(F.col("kind") == "good").alias("good_total"), F.count_if((F.col("kind") == "bad") & ~near).alias("bad_avoided"), F.count_if(F.col("kind") == "bad").alias("bad_total"))
     counts = verdicts.agg(F.count_if(F.col("verdict") == "keep").alias("kept"), F.count_if(F.col("verdict") == "reject").alias("rejected"))

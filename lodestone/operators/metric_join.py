@@ -431,3 +431,42 @@ def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int | None
     met = _met(members, members, cells, least, block or _size_of_blocks(n_members), True, meet, _PART, _PART_ARROW)
     copies = members.select("rep", "embedding", "ids", "n").mapInArrow(alone, _PART)
     return whole.unionByName(met).unionByName(copies)
+
+
+def best_in_groups(left: DataFrame, right: DataFrame, key: str, keep: list[str], named: str = "id", block: int = 32_768) -> DataFrame:
+    """keep, s, id (as named): the best row of right (key, id, embedding) with its key, for each row of left (key, keep, embedding).
+
+    s is the cosine rounded to nine digits, null without vectors; ties go to the smaller id. Rows of a
+    key are dealt to blocks of both sides, so a key of any size is many tasks, and each block gives one
+    row for a row of left: the caller takes the best of them.
+    """
+    left = left.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *keep, F.col("embedding").cast("array<float>").alias("embedding"))
+    right = right.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col("id").cast("long").alias("_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    counted = lambda d, n: d.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    sizes = counted(left, "_nl").join(counted(right, "_nr"), "_key")
+    own = lambda n, ids: F.pmod(F.xxhash64(*ids), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(sizes, "_key").select("_key", own("_nl", [*keep, "embedding"]).alias("_i"), each("_nr").alias("_j"), *keep, "embedding")
+    b = right.join(sizes, "_key").select("_key", each("_nl").alias("_i"), own("_nr", ["_id", "embedding"]).alias("_j"), "_id", "embedding")
+    types = dict(left.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "s double", f"`{named}` long"])
+
+    def vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        some = np.flatnonzero(pc.fill_null(pc.greater(pc.list_value_length(t["embedding"]), 0), False).to_numpy())
+        return some, _unit(_matrix(t["embedding"].combine_chunks().take(pa.array(some)))) if len(some) else np.zeros((0, 0))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.sort_by("_id")
+        (at, u), (of, v) = vectors(x), vectors(y)
+        s, ids = np.full(x.num_rows, np.nan), np.zeros(x.num_rows, np.int64)
+        none = np.ones(x.num_rows, bool)
+        if len(at) and len(of):
+            known = y["_id"].to_numpy()[of]
+            for i in range(0, len(at), 250):
+                near = np.round(u[i : i + 250] @ v.T, 9)
+                best = near.argmax(1)
+                r = at[i : i + 250]
+                s[r], ids[r], none[r] = near[np.arange(len(r)), best], known[best], False
+        return pa.table([*(x[c] for c in keep), pa.array(s, mask=none), pa.array(ids, mask=none)], names=[*keep, "s", named])
+
+    return a.groupBy("_key", "_i", "_j").cogroup(b.groupBy("_key", "_i", "_j")).applyInArrow(lambda x, y: run(x, y) if x.num_rows and y.num_rows else run(x.slice(0, 0), y.slice(0, 0)), schema)

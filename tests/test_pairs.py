@@ -123,3 +123,20 @@ def test_vectors_are_shipped_by_blocks_not_by_cells(spark):
     cells = M.measured(members, M.choose_pivots(members, 600, 10, 1024), 3)
     visitors, _ = M._grid(members, members, cells, -1.0, 200, True)
     assert visitors.selectExpr("sum(length(reps) / 8) AS n").first().n <= 600 * 4
+
+
+def test_best_of_a_session_is_found_in_blocks(spark, crowd):
+    """Most rows lie in one session, which is dealt to many blocks; ties go to the smaller id."""
+    from lodestone.operators import retrieval as R
+
+    v, ids, s = crowd
+    side = v.where("id < 90000").selectExpr("id", "(id - 1) / 3 AS n", "embedding", "CASE WHEN id % 10 < 8 THEN 'a' ELSE 'b' END AS session_id")
+    left, right = side.where("n % 3 = 0").withColumnRenamed("id", "label_id"), side.where("n % 3 <> 0")
+    got = {(x.label_id, round(x.s, 9), x.id) for x in M.best_in_groups(left, right, "session_id", ["label_id"], block=1000).collect()}
+    home = ["a" if i % 10 < 8 else "b" for i in ids.tolist()]
+    best = {i: min((-s[i, j], int(ids[j])) for j in range(900) if j % 3 and home[j] == home[i]) for i in range(0, 900, 3)}
+    assert got == {(int(ids[i]), -x, j) for i, (x, j) in best.items()}
+    many = M.best_in_groups(left, right, "session_id", ["label_id"], block=40).groupBy("label_id").agg({"s": "max"}).collect()
+    assert {x[0]: round(x[1], 9) for x in many} == {int(ids[i]): -x for i, (x, _) in best.items()}
+    labels = left.selectExpr("label_id", "'good' AS kind", "session_id", "embedding")
+    assert "CoGroups" in R.best_in_session(labels, right)._jdf.queryExecution().optimizedPlan().toString()
