@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.sources import versions
 
-from .search import _blocks_of, top_k
+from .search import _blocks_of, _slices, top_k
 
 _BLOCK = 128
 _POSTINGS = "bucket int, term string, stripe int, block int, n int, max_tf int, min_len int, first long, last long, ids binary, tfs binary, lens binary"
@@ -190,7 +190,7 @@ def _stripe(stripes: int):
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """term, id, len, tf of items (id, len, tokens): tokens are counted where they lie."""
-    for b in batches:
+    for b in _slices(batches, 500):
         words = b.column(2).flatten().dictionary_encode()
         if not len(words):
             continue
@@ -204,7 +204,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of the sorted entries of each (term, stripe)."""
     names = ("bucket", "term", "stripe", "block", "n", "max_tf", "min_len", "first", "last", "ids", "tfs", "lens")
     types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    for b in batches:
+    for b in _slices(batches, 500):
         entries = b.column(3)
         flat = entries.flatten()
         ids, tfs, lens = (flat.field(i).to_numpy() for i in range(3))
@@ -235,9 +235,7 @@ def _numbers(held: bytes) -> np.ndarray:
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """term, id, len, tf of stored blocks."""
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in _slices(batches, 500):
         col = lambda c: b.column(b.schema.get_field_index(c))
         n = col("n").to_numpy()
         ids = np.concatenate([f + np.cumsum(_numbers(d)) for f, d in zip(col("first").to_pylist(), col("ids").to_pylist(), strict=True)])
