@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,17 +223,25 @@ def top_pairs(parts: DataFrame, k: int = 10) -> DataFrame:
 def reduction(groups: DataFrame) -> DataFrame:
     """kept groups, ids in them and share removed: a group counts if two of its ids are new.
 
-    Groups (pos, ids) are folded in order; all ids of a counted group are then known.
+    Groups (pos, ids) are folded in order, as each depends on those before it; all ids of a counted
+    group are then known. One task streams the sorted groups and holds the known ids as a set, so
+    its time grows with the groups and its memory with the ids.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "ids")))
-    start = F.struct(F.array().cast("array<bigint>").alias("seen"), F.lit(0).alias("kept"))
 
-    def step(s, g):
-        new = F.size(F.array_except(g["ids"], s["seen"])) >= 2
-        return F.struct(F.when(new, F.array_union(s["seen"], g["ids"])).otherwise(s["seen"]).alias("seen"), (s["kept"] + F.when(new, 1).otherwise(0)).alias("kept"))
-
-    r = groups.agg(F.aggregate(ordered, start, step).alias("r"))
-    return r.select(F.col("r.kept").alias("n_groups"), F.size("r.seen").alias("n_ids"), (F.size("r.seen") - F.col("r.kept")).alias("n_removed"))
+    def fold(batches):
+        seen, kept = set(), 0
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                for ids in b.column(0).slice(i, 1000).to_pylist():
+                    new = set(ids).difference(seen)
+                    if len(new) >= 2:
+                        seen |= new
+                        kept += 1
+        yield pa.RecordBatch.from_pydict({"kept": [kept], "known": [len(seen)]})
+
+    one = groups.select("pos", "ids").repartition(1).sortWithinPartitions("pos", "ids").select("ids").mapInArrow(fold, "kept long, known long")
+    n = one.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("int").alias(c) for c in ("kept", "known")))
+    return n.select(F.col("kept").alias("n_groups"), F.col("known").alias("n_ids"), (F.col("known") - F.col("kept")).alias("n_removed"))
 
 
 def judge_sample(scores: DataFrame, n: int) -> DataFrame:
