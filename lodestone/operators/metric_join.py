@@ -433,6 +433,102 @@ def pair_parts(vectors: DataFrame, least: float, k: int = 10, block: int | None
     return whole.unionByName(met).unionByName(copies)
 
 
+def _nearest(v: Block, m: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rows of v, rows of m, similarity in billionths: the k best others of m (by rep) for each vector of v, ties to the smaller id.
+
+    Single precision finds what may be among them, and that is computed again in double.
+    """
+    small_v, small_m = v.units.astype(np.float32), m.units.astype(np.float32)
+    slack, out = 2.5e-7 * max(small_m.shape[1], 16), []
+
+    def exact(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        other = v.reps[row] != m.reps[col]
+        row, col = row[other], col[other]
+        parts = [np.einsum("ij,ij->i", v.units[row[i : i + 50_000]], m.units[col[i : i + 50_000]]) for i in range(0, len(row), 50_000)]
+        s = np.rint(np.concatenate(parts or [np.zeros(0)]) * 1e9).astype(np.int64)
+        order = np.argsort((row << 32) - s, kind="stable")  # what is equal stays by place, which is by id
+        row, col, s = row[order], col[order], s[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[kept], col[kept], s[kept].astype(np.int32)
+
+    for i in range(0, len(v.reps), 1000):
+        tile = small_v[i : i + 1000]
+        bar, held, size = np.full(len(tile), -np.inf, np.float32), [], 0
+        for j in range(0, len(m.reps), 4096):
+            s = tile @ small_m[j : j + 4096].T
+            if not j and s.shape[1] > k + 1:
+                bar = np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1] - np.float32(slack)
+            row, col = np.divmod(np.flatnonzero(s >= bar[:, None]), s.shape[1])
+            held.append((row + i, col + j))
+            size += len(row)
+            if size > 3 * k * len(tile) or j + 4096 >= len(m.reps):
+                row, col, s = exact(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                full = np.flatnonzero(np.bincount(row - i, minlength=len(tile)) == k)
+                bar[full] = s[np.searchsorted(row, full + i, "right") - 1] / 1e9 - slack
+                held, size = [(row, col)], len(row)
+        out.append((row, col, s))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def nearest_lists(members: DataFrame, k: int, most_visitors: int = 65_536, most_members: int = 262_144) -> DataFrame:
+    """rep, near, billionths: for each row of members (rep, embedding; all different) the reps of the k most similar others
+    and the similarities in billionths, packed, by falling similarity and then by rep.
+
+    No similarity is asked for, so nothing can be skipped: all pairs are computed, in a grid of at most 16 blocks of
+    visitors by 4 of members up to a million vectors, and of blocks of bounded size beyond.
+    """
+    n = members.count()
+    n_vb = max(int(np.clip(n // 1000, 1, 16)), -(-n // most_visitors))
+    n_mb = max(int(np.clip(n // 4000, 1, 4)), -(-n // most_members))
+    schema = pa.schema([("vb", pa.int32()), ("mb", pa.int32()), ("reps", pa.binary()), ("vectors", pa.binary())])
+
+    def packed(own: int, others: int, visits: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _parts(batches, 2000):
+                reps, vectors = b.column(0).to_numpy(), _matrix(b.column(1)).astype(np.float32)
+                block = _spread(reps, np.full(len(reps), own))
+                for x in np.unique(block).tolist():
+                    held = [a[block == x].tobytes() for a in (reps, vectors)]
+                    here, there = pa.array([x] * others, pa.int32()), pa.array(range(others), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*((here, there) if visits else (there, here)), *(pa.array([h] * others, pa.binary()) for h in held)], schema=schema)
+
+        return members.select("rep", "embedding").mapInArrow(run, "vb int, mb int, reps binary, vectors binary")
+
+    def of(rows: pa.Table) -> Block:
+        reps, vectors = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("reps", np.int64), ("vectors", np.float32)))
+        none, order = np.zeros(0, np.int64), np.argsort(reps, kind="stable")
+        return Block(reps[order], vectors.reshape(len(reps), -1)[order], none, none, none)
+
+    lists = pa.schema([("vb", pa.int32()), ("rep", pa.int64()), ("near", pa.binary()), ("billionths", pa.binary())])
+
+    def listed(vb: int, rep: np.ndarray, near: np.ndarray, s: np.ndarray) -> pa.Table:
+        edges = np.flatnonzero(np.r_[True, rep[1:] != rep[:-1], True]) if len(rep) else np.zeros(1, np.int64)
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in itertools.pairwise(edges.tolist())], pa.binary())
+        return pa.table([pa.array([vb] * (len(edges) - 1), pa.int32()), rep[edges[:-1]], cut(near), cut(s)], schema=lists)
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return lists.empty_table()
+        v, m = of(x), of(y)
+        row, col, s = _nearest(v, m, k)
+        return listed(x["vb"][0].as_py(), v.reps[row], m.reps[col], s)
+
+    def merged(x: pa.Table) -> pa.Table:
+        near, s = (np.frombuffer(b"".join(x[c].to_pylist()), t) for c, t in (("near", np.int64), ("billionths", np.int32)))
+        rep = np.repeat(x["rep"].to_numpy(), pc.binary_length(x["near"]).to_numpy() // 8)
+        order = np.lexsort((near, -s, rep))
+        rep = rep[order]
+        order = order[np.arange(len(rep)) - np.searchsorted(rep, rep) < k]
+        return listed(x["vb"][0].as_py(), *(np.repeat(x["rep"].to_numpy(), pc.binary_length(x["near"]).to_numpy() // 8)[order], near[order], s[order]))
+
+    visitors, met = packed(n_vb, n_mb, True), packed(n_mb, n_vb, False)
+    types = "vb int, rep long, near binary, billionths binary"
+    # as many partitions as blocks, so that several rarely share one
+    dealt = [d.repartition(n_vb * n_mb, "vb", "mb").groupBy("vb", "mb") for d in (visitors, met)]
+    found = dealt[0].cogroup(dealt[1]).applyInArrow(meet, types)
+    return found.groupBy("vb").applyInArrow(merged, types).select("rep", "near", "billionths")
+
+
 def best_in_groups(left: DataFrame, right: DataFrame, key: str, keep: list[str], named: str = "id", block: int = 32_768) -> DataFrame:
     """keep, s, id (as named): the best row of right (key, id, embedding) with its key, for each row of left (key, keep, embedding).
 
