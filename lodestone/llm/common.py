@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import time
@@ -41,6 +42,7 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 _made: list[str] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 
 
 def clear(spark: SparkSession) -> None:
@@ -56,6 +58,9 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.2)
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:  # else the driver keeps what its largest table took
+        _trim(0)
 
 
 def small_batches(spark: SparkSession, most: int = 2000) -> None:
