@@ -19,18 +19,20 @@ if sys.byteorder != "little":
     raise ImportError("ids are kept in little-endian order")
 
 
-_MARKS = (".", ",", ";", "!", "?")
+_MARKS = ".,;!?#*$%&|<>"  # not the apostrophe, which some letters follow in one piece
 
 # bytes as the characters that byte-level vocabularies write them in: visible Latin-1 characters
 # stand for themselves, the others for those from U+0100 on, in order
 _VISIBLE = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+# the same for whole characters below U+0130; every one has an entry, as missing ones are slow to look up
+_SHOWN = ["".join(chr(_BYTE_CHARS.get(b, b)) for b in chr(c).encode()) for c in range(0x130)]
 
 
 class Encoder:
     """text -> ids as little-endian bytes (uint16 where the vocabulary fits, else uint32)."""
 
-    def __init__(self, path: str, spaces_count: bool, most: int = 150_000):
+    def __init__(self, path: str, spaces_count: bool, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
@@ -41,23 +43,45 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self._t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._spaces, self._most, self._memo, self._heads, self._once = spaces_count, most, {}, {}, set()
-        self._marks = {m: self.whole(m) for m in ("", *_MARKS)}
+        self._lead = _SHOWN[ord(" ")] if spaces_count else ""
+        self._begins = None  # by id: whether the token begins with a space
+        if spaces_count:
+            tokens = self._t.get_vocab(with_added_tokens=True)
+            if not any(self._lead in t.lstrip(self._lead) for t in tokens):
+                self._begins = np.zeros(max(tokens.values()) + 1, bool)
+                self._begins[[i for t, i in tokens.items() if t[:1] == self._lead]] = True
+        self._marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self._t.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _alone(self, w: str) -> bytes:
-        """Ids of a word that neither the normaliser nor the pre-tokeniser would change or split."""
-        shown = w if w.isascii() and w[0] != " " else w.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return array(self._code, [t.id for t in self._model.tokenize(shown)]).tobytes()
+        """Ids of a word of characters below U+0130 that neither the normaliser nor the pre-tokeniser would change or split."""
+        shown = w if w.isascii() else w.translate(_SHOWN)
+        return array(self._code, [t.id for t in self._model.tokenize(self._lead + shown)]).tobytes()
+
+    def _many_alone(self, ws: list[str]) -> list[bytes]:
+        """Ids of each of such words: where no token goes on beyond a space, words are merged as one run and cut at their spaces."""
+        if self._begins is None:
+            return list(map(self._alone, ws))
+        out, width = [], self.dtype.itemsize
+        for i in range(0, len(ws), 200):
+            part = ws[i : i + 200]
+            run = self._lead.join(["", *(w if w.isascii() else w.translate(_SHOWN) for w in part)])
+            ids = np.array([t.id for t in self._model.tokenize(run)], self.dtype)
+            cut = (np.flatnonzero(self._begins[ids]) * width).tolist()
+            cut.append(len(ids) * width)
+            held = ids.tobytes()
+            out += [held[a:b] for a, b in itertools.pairwise(cut)]
+        return out
 
     def _fill(self, new: set[str], lead: str) -> None:
-        """Adds words to the memo; a word with line feeds or a mark at its end is joined from its parts.
+        """Adds words to the memo; a word with line feeds or marks at its end is joined from its parts.
 
-        Words of letters below U+0130 are simple: beyond, lower case may hold marks. A mark at the
-        end of such a word is always split off.
+        Words of letters below U+0130 are simple: beyond, lower case may hold marks. Up to three
+        marks at the end of such a word are always split off together.
         """
-        memo, marks, alone = self._memo, self._marks, self._alone
+        memo, marks = self._memo, self._marks
         odd = [w for w in new if "\n" in w] if lead else []
         if odd:
             new.difference_update(odd)
@@ -66,20 +90,31 @@ class Encoder:
                 new.add(first)
                 new.update(map("\n".__add__, rest))
             new.difference_update(memo)
-        others, lower = [], not self._spaces
-        for w in new:
-            mark = w[-1:]
-            core = w[:-1] if mark in marks else w
-            if core.isalpha() and self._letters and (core.isascii() or max(core) < "\u0130"):
-                if lower:
-                    core = core.lower()
-                got = memo.get(core)
-                if got is None:
-                    got = memo[core] = alone(lead + core)
-                if core != w:
-                    memo[w] = got + marks[w[len(core) :]]
-            else:
+        others, lower, cores, marked = [], not self._spaces, set(), []
+        for w in new if self._letters else ():
+            core = w
+            if not w.isalpha():
+                core = w.rstrip(_MARKS)
+                if not core.isalpha() or len(w) > len(core) + 3:
+                    others.append(w)
+                    continue
+            if not core.isascii() and max(core) >= "\u0130":
                 others.append(w)
+                continue
+            if lower:
+                core = core.lower()
+            cores.add(core)
+            if core != w:
+                marked.append((w, core))
+        cores = list(itertools.filterfalse(memo.__contains__, cores))
+        memo.update(zip(cores, self._many_alone(cores), strict=True))
+        for w, core in marked:
+            end = w[len(core) :]
+            if end not in marks:
+                marks[end] = self.whole(end)
+            memo[w] = memo[core] + marks[end]
+        if not self._letters:
+            others = list(new)
         for i in range(0, len(others), 20_000):
             part = others[i : i + 20_000]
             shown = [w if w[:1] == "\n" else lead + w for w in part] if lead else part
