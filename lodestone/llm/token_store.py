@@ -149,8 +149,8 @@ def write_store(docs: DataFrame, path: str, vocab: str, end_id: int, shard_token
                 return (part, (part << 32) + n, base, len(keys), held, keys[0], keys[-1], width, k.tobytes(), starts.tobytes(), b"".join(parts), pack_index(k))
 
             for b in batches:
-                for i in range(0, b.num_rows, 500):
-                    rows_ = b.slice(i, 500)
+                for i in range(0, b.num_rows, 2000):
+                    rows_ = b.slice(i, 2000)
                     for k, e in zip(rows_.column(0).to_pylist(), enc.many([t or "" for t in rows_.column(1).to_pylist()]), strict=True):
                         k = NULL_KEY if k is None else k
                         if held >= shard_tokens:

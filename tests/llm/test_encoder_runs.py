@@ -41,3 +41,41 @@ def test_release_hands_free_memory_back(spark, monkeypatch):
     monkeypatch.setattr(common, "_trim", calls.append)
     common.release(spark)
     assert calls == [0]
+
+
+@pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_in_lines_and_with_marks_need_no_tokenizer_of_their_own(name, spaces):
+    e = encoding.Encoder(encoding.vocabulary(name), spaces)
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdeXYZÀÁäßéñ", k=r.randint(1, 12))) for _ in range(900)]
+    texts = ["".join(w + r.choice(["", ",", ".***", "$$$$$"]) + r.choice([" ", " ", "\n"]) for w in words[i : i + 90]) + "end" for i in range(0, 900, 90)]
+    passed = []
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def encode_batch_fast(self, x, **kw):
+            passed.extend(x)
+            return self.of.encode_batch_fast(x, **kw)
+
+        def encode(self, x, **kw):
+            passed.append(x)
+            return self.of.encode(x, **kw)
+
+    whole = [e.whole(t) for t in texts]
+    e._t = Counted(e._t)
+    assert e.many(texts) == whole
+    assert not passed
+
+
+@pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_a_full_memo_keeps_what_several_blocks_have(name, spaces):
+    e = encoding.Encoder(encoding.vocabulary(name), spaces, most=60)
+    r = random.Random(4)
+    for n in range(30):
+        texts = ["À Á often\nfound, here " + " ".join("".join(r.choices("abcde'1\t Ж", k=5)).strip() + "x" for _ in range(20)) for _ in range(3)]
+        if n:
+            assert " often"[not spaces :].strip() in e._memo
+        assert e.many([*texts, "", "a  b", "\n"]) == [e.whole(t) for t in [*texts, "", "a  b", "\n"]]
+        assert len(e._memo) < 200
