@@ -7,7 +7,7 @@ import gc
 import re
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +58,48 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.2)
+    give_back()  # else the driver keeps what its largest table took
+
+
+def give_back() -> None:
+    """Hands this process's freed memory back to the system."""
     pa.default_memory_pool().release_unused()
-    if _trim is not None:  # else the driver keeps what its largest table took
+    if _trim is not None:
         _trim(0)
 
 
+#: What a Python worker keeps from task to task, by kind.
+_kept: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    return _kept.setdefault(kind, {})
+
+
+def forget_all_but(kind: str | None) -> None:
+    for k in [k for k in _kept if k != kind]:
+        del _kept[k]
+    give_back()
+
+
+def tidy(run: Callable, kind: str | None = None) -> Callable:
+    """The same function of batches, for a worker that other steps used before and will use again.
+
+    Workers stay, so a step would run beside the memos of earlier steps and what those had freed.
+    Before the first batch all kept things but those of this kind go; after the last one freed
+    memory goes back.
+    """
+
+    def alone(batches):
+        forget_all_but(kind)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return alone
+
+
 def small_batches(spark: SparkSession, most: int = 2000) -> None:
     """Keeps what Python workers hold at a time small: texts are long, Spark's default is 10000 rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -113,14 +150,11 @@ class WordHashes:
             return np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
 
 
-_shared_words: WordHashes | None = None
-
-
 def _stable(ws: list[str]) -> np.ndarray:
-    global _shared_words
-    if _shared_words is None:
-        _shared_words = WordHashes()
-    return _shared_words(ws)
+    held = kept("words")
+    if not held:
+        held[None] = WordHashes()
+    return held[None](ws)
 
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))

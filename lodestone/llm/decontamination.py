@@ -24,13 +24,14 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunked, documents_only, mix
+from .common import chunked, documents_only, mix, tidy
 
 _GAP = re.compile(r"[\W_]+")
 _RUN = re.compile(r"[^\W_]+")
@@ -342,13 +343,15 @@ def clean_only(docs: DataFrame, benchmark: DataFrame, block_chars: int = 2_000_0
 def _clean(index):
     import pandas as pd
 
-    def clean(text: pd.Series) -> pd.Series:
-        ids = pa.array(range(len(text)), pa.int64())
-        batch = pa.RecordBatch.from_arrays([ids, pa.array([None if pd.isna(t) else t for t in text], pa.string())], ["doc_id", "text"])
-        bad = {i for b in _scan(index)(iter([batch])) for i in b.column(0).to_pylist()}
-        return pd.Series([i not in bad for i in range(len(text))], dtype=bool)
+    def run(texts):
+        for text in texts:
+            ids = pa.array(range(len(text)), pa.int64())
+            batch = pa.RecordBatch.from_arrays([ids, pa.array([None if pd.isna(t) else t for t in text], pa.string())], ["doc_id", "text"])
+            bad = {i for b in _scan(index)(iter([batch])) for i in b.column(0).to_pylist()}
+            yield pd.Series([i not in bad for i in range(len(text))], dtype=bool)
 
-    clean.__annotations__ = {"text": pd.Series, "return": pd.Series}
+    clean = tidy(run)
+    clean.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(clean, "boolean")
 
 

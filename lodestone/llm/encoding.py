@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back, kept
+
 if sys.byteorder != "little":
     raise ImportError("ids are kept in little-endian order")
 
@@ -47,7 +49,7 @@ class Encoder:
     The memo gives each piece a number; its ids lie in one array, from which those of whole texts are gathered.
     """
 
-    def __init__(self, path: str, spaces_count: bool, most: int = 400_000):
+    def __init__(self, path: str, spaces_count: bool, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
@@ -218,18 +220,16 @@ class Encoder:
         return out
 
 
-_open: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, spaces_count: bool) -> Encoder:
     """One encoder per worker and vocabulary."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = (path, spaces_count)
-    if key not in _open:
-        _open[key] = Encoder(path, spaces_count)
-    return _open[key]
+    key, held = (path, spaces_count), kept("encoders")
+    if key not in held:
+        held[key] = Encoder(path, spaces_count)
+        give_back()  # what reading the vocabulary took
+    return held[key]
 
 
 def vocabulary(name: str) -> str:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunked, documents_only, mix, rows, written
+from .common import chunked, documents_only, mix, rows, tidy, written
 from .encoding import encoder, vocabulary
 
 BUCKETS, DIMS, BITS = 256, 3, 10
@@ -82,12 +82,12 @@ def hilbert(p: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-_ENCODED = "curve long, doc_id long, ids binary"
+_ENCODED = "curve long, doc_id long, width int, ids binary"
 
 
 def encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
-    """curve, doc_id, ids (bytes, with the end id) of each document."""
-    schema = pa.schema([("curve", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+    """curve, doc_id, width (bytes an id), ids (bytes, with the end id) of each document."""
+    schema = pa.schema([("curve", pa.int64()), ("doc_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
 
     def run(batches):
         enc = encoder(vocab, False)
@@ -100,12 +100,12 @@ def encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
                     ids = enc.many([t or "" for t in part.column(1).to_pylist()])
                     curve = hilbert(points([np.frombuffer(e, enc.dtype) for e in ids])).tolist()
                     for c, k, e in zip(curve, part.column(0).to_pylist(), ids, strict=True):
-                        yield c, k, e + end
+                        yield c, k, enc.dtype.itemsize, e + end
 
         yield from chunked(made(), schema)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, _ENCODED)
+    return slim.mapInArrow(tidy(run, "encoders"), _ENCODED)
 
 
 def cuts(total: int, most: int) -> list[int]:
@@ -118,37 +118,52 @@ def cuts(total: int, most: int) -> list[int]:
     return out
 
 
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
 def pack(docs: DataFrame, vocab: str, end_id: int = 1, most: int = 2048) -> DataFrame:
     """A row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, curve, ids."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("curve", pa.int64()), ("ids", pa.binary())])
+    return _packed(docs, vocab, end_id, most, False)
+
+
+def pieces(docs: DataFrame, vocab: str, end_id: int = 1, most: int = 2048) -> DataFrame:
+    """pack() with a checksum in place of the ids and of their place on the curve."""
+    return _packed(docs, vocab, end_id, most, True)
+
+
+def _packed(docs: DataFrame, vocab: str, end_id: int, most: int, checked: bool) -> DataFrame:
+    out = PIECES if checked else "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, curve long, ids binary"
+    schema = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.binary()) for c in out.split(", ")])
     ready = written(encoded(docs, vocab, end_id), "encoded")
 
     def run(batches):
-        width = encoder(vocab, False).dtype.itemsize
         first = TaskContext.get().partitionId() << 40
 
-        def pieces(curve, doc_id, ids, at, lo, hi):
+        def piece(curve, doc_id, width, ids, at, lo, hi):
+            if checked:
+                crc = zlib.crc32(np.frombuffer(ids, f"<u{width}", hi - lo, lo * width).astype("<u4"))
+                return doc_id, lo, hi - lo, crc, len(ids) // width, first + at[0], at[1]
             return doc_id, lo, hi - lo, len(ids) // width, first + at[0], at[1], curve, ids[lo * width : hi * width]
 
         def made():
             seq, offset, tail = 0, 0, []
-            for curve, doc_id, ids in rows(batches, "curve", "doc_id", "ids"):
+            for curve, doc_id, width, ids in rows(batches, "curve", "doc_id", "width", "ids"):
                 n, lo = len(ids) // width, 0
                 while lo < n:
                     hi = min(n, lo + most - offset)
-                    tail.append((curve, doc_id, ids, (seq, offset), lo, hi))
+                    tail.append((curve, doc_id, width, ids, (seq, offset), lo, hi))
                     offset += hi - lo
                     lo = hi
                     if offset == most:
                         for p in tail:
-                            yield pieces(*p)
+                            yield piece(*p)
                         seq, offset, tail = seq + 1, 0, []
             sizes = cuts(offset, most)
             used = 0
-            for curve, doc_id, ids, _, lo, hi in tail:
+            for curve, doc_id, width, ids, _, lo, hi in tail:
                 while lo < hi:
                     take = min(hi - lo, sizes[0] - used)
-                    yield pieces(curve, doc_id, ids, (seq, used), lo, lo + take)
+                    yield piece(curve, doc_id, width, ids, (seq, used), lo, lo + take)
                     lo, used = lo + take, used + take
                     if used == sizes[0]:
                         sizes, seq, used = sizes[1:], seq + 1, 0
@@ -156,27 +171,7 @@ def pack(docs: DataFrame, vocab: str, end_id: int = 1, most: int = 2048) -> Data
         yield from chunked(made(), schema)
 
     placed = ready.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
-    return placed.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, curve long, ids binary")
-
-
-def _checked(width_of: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-
-    def run(batches):
-        dtype = encoder(width_of, False).dtype
-        for b in batches:
-            crc = [zlib.crc32(np.frombuffer(x, dtype).astype("<u4").tobytes()) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(crc, pa.int64()) if f.name == "ids_crc32" else b.column(f.name) for f in schema], schema=schema)
-
-    return run
-
-
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-
-
-def pieces(docs: DataFrame, vocab: str, end_id: int = 1, most: int = 2048) -> DataFrame:
-    """pack() with a checksum in place of the ids."""
-    return pack(docs, vocab, end_id, most).mapInArrow(_checked(vocab), PIECES)
+    return placed.mapInArrow(tidy(run), out)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

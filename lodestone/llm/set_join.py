@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, chunked, discard, documents_only, mix, only_marked, rolling, rows, signed, word_hashes, written
+from .common import WORD, chunked, discard, documents_only, mix, only_marked, rolling, rows, signed, tidy, word_hashes, written
 from .graph import components
 
 
@@ -273,7 +273,7 @@ def frequent_tokens(sets: DataFrame, least: int, most: int) -> np.ndarray:
     Counts are over the tokens that sets holds, whole for the lowest quarter of hashes, where
     prefixes lie; of higher ones, tokens that no task meets twice are left out.
     """
-    local = sets.select("tokens").mapInArrow(_frequent_in(), "token long, n long")
+    local = sets.select("tokens").mapInArrow(tidy(_frequent_in(), "words"), "token long, n long")
     top = local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most)
     got = top.toArrow()
     return got.column("token").to_numpy().astype(np.int64).view(np.uint64)
@@ -376,7 +376,7 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(slim.mapInArrow(_sets(n, pct), _SETS), "sets")
+    sets = written(slim.mapInArrow(tidy(_sets(n, pct), "words"), _SETS), "sets")
     order = spark.sparkContext.broadcast(Order(frequent_tokens(sets, least_frequent, most_frequent)))
     sig = sets.select("doc_id", "size", "s1", "s2")
     classes = written(_classes(sig), "classes")
@@ -387,12 +387,12 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
     # sort-merge joins throughout: none of these tables has a size bound
     # prefix rows of one document per class, of tokens that two classes share
     def of_classes(some: DataFrame, whole: bool) -> DataFrame:
-        prefixes = some.where("size > 0 and doc_id is not null").mapInArrow(_prefixes(pct, order, whole), _PREFIXES)
+        prefixes = some.where("size > 0 and doc_id is not null").mapInArrow(tidy(_prefixes(pct, order, whole), "words"), _PREFIXES)
         return prefixes.join(names.hint("merge"), same & (F.col("doc_id") == F.col("lead"))).select("class_id", "lead", "size", "prefix")
 
     firsts = written(of_classes(sets, False), "firsts")
     discard(sets)
-    again = only_marked(slim, "doc_id", firsts.where("prefix is null").select(F.col("lead").alias("id"))).mapInArrow(_sets(n), _SETS)
+    again = only_marked(slim, "doc_id", firsts.where("prefix is null").select(F.col("lead").alias("id"))).mapInArrow(tidy(_sets(n), "words"), _SETS)
     all_firsts = firsts.where("prefix is not null").unionByName(of_classes(again, True))
     spread = all_firsts.select("class_id", "size", F.posexplode("prefix").alias("pos", "token"))
     of_token = Window.partitionBy("token")
@@ -411,7 +411,7 @@ def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block
     discard(prefix)
 
     met = _meetings(_blocks(placed, block_tokens), pct)
-    near_sets = only_marked(slim, "doc_id", placed.select(F.col("lead").alias("id"))).mapInArrow(_sets(n), _SETS).select("doc_id", "s1", "tokens")
+    near_sets = only_marked(slim, "doc_id", placed.select(F.col("lead").alias("id"))).mapInArrow(tidy(_sets(n), "words"), _SETS).select("doc_id", "s1", "tokens")
     shipped = near_sets.join(met.hint("merge"), (near_sets["doc_id"] == F.col("of")) & (near_sets["s1"] == F.col("h"))).select("c", "i", "j", "side", "id", "size", "tokens")
 
     def join_block(table: pa.Table) -> pa.Table:

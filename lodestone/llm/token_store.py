@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunked, documents_only, mix, rows, shared_dir
+from .common import chunked, documents_only, mix, rows, shared_dir, tidy
 from .encoding import encoder, vocabulary
 
 NULL_KEY = -(1 << 63)
@@ -168,7 +168,7 @@ def write_store(docs: DataFrame, path: str, vocab: str, end_id: int, shard_token
     slim = slim.withColumn("h", F.xxhash64("text"))  # rows of one doc_id, or of none, are dealt too
     placed = slim.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     # row groups of a few shards, so that a lookup reads little besides
-    placed.mapInArrow(run, _SHARDS).write.option("compression", "uncompressed").option("parquet.block.size", 8 << 20).parquet(path)
+    placed.mapInArrow(tidy(run, "encoders"), _SHARDS).write.option("compression", "uncompressed").option("parquet.block.size", 8 << 20).parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

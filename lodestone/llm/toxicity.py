@@ -32,6 +32,7 @@ import itertools
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunked, documents_only, rows
+from .common import chunked, documents_only, rows, tidy
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -292,18 +293,20 @@ def score_documents(docs: DataFrame, model: Neighbours) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, *_ in got]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], schema=schema)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, _SCORED)
+    return slim.mapInArrow(tidy(run), _SCORED)
 
 
 def without_toxic(docs: DataFrame, model: Neighbours, threshold: float = 0.5) -> DataFrame:
     """Rows of docs whose score is below the threshold, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def clean(text: pd.Series) -> pd.Series:
-        got = shared.value.score_many([None if pd.isna(t) else t for t in text])
-        return pd.Series([s < threshold for s, *_ in got], dtype=bool)
+    def run(texts):
+        for text in texts:
+            got = shared.value.score_many([None if pd.isna(t) else t for t in text])
+            yield pd.Series([s < threshold for s, *_ in got], dtype=bool)
 
-    clean.__annotations__ = {"text": pd.Series, "return": pd.Series}
+    clean = tidy(run)
+    clean.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.where(F.pandas_udf(clean, "boolean")(F.col("text").cast("string")))
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestone.llm import common, encoding
+from lodestone.llm import common, encoding, packing
 
 
 @pytest.mark.parametrize(("name", "spaces", "most"), [("byte_bpe_50k.json", True, 20), ("word_bpe_49k.json", False, 2000)])
@@ -79,3 +79,26 @@ def test_a_full_memo_keeps_what_several_blocks_have(name, spaces):
             assert " often"[not spaces :].strip() in e._memo
         assert e.many([*texts, "", "a  b", "\n"]) == [e.whole(t) for t in [*texts, "", "a  b", "\n"]]
         assert len(e._memo) < 200
+
+
+def test_a_step_drops_what_other_steps_left_in_its_worker(monkeypatch):
+    trims = []
+    monkeypatch.setattr(common, "_trim", trims.append)
+    monkeypatch.setattr(common, "_kept", {})
+    common.word_hashes(["a"])
+    e = encoding.encoder(encoding.vocabulary("word_bpe_49k.json"), False)
+    del trims[:]
+
+    def run(batches):
+        for b in batches:
+            assert "words" not in common._kept
+            yield b, encoding.encoder(encoding.vocabulary("word_bpe_49k.json"), False) is e
+
+    assert list(common.tidy(run, "encoders")([1, 2])) == [(1, True), (2, True)]
+    assert trims == [0, 0]  # before and after
+
+
+def test_packing_opens_no_second_worker_for_checksums(spark, capsys):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    packing.pieces(docs, encoding.vocabulary("word_bpe_49k.json")).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
