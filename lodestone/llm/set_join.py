@@ -1,15 +1,15 @@
 """Exact Jaccard join of word n-gram sets, with skipping by set relations.
 
-1. Texts are cut into n-grams; of each set its size, a digest and its lowest tokens are written,
-   enough for a prefix a third of which is frequent. Sets that are equal become one class; copies
-   never take part in the join. Whole sets are made again from the texts, and only for documents
-   whose lowest tokens are too frequent (2.) and for those that the last join ships (4.).
-2. Tokens (n-gram hashes) are ordered by hash, with tokens that many documents hold put last. Two
-   sets that reach the threshold share a token among the first few of both (prefix filter).
-   Tokens that one class alone holds there are dropped.
-3. Token groups of at most ``small`` classes give pairs, which are counted; a pair stays if its
-   shared prefix tokens and what can still follow their last positions allow the overlap.
-   Larger groups give only edges to their least class.
+1. Texts are cut into n-grams; of each set its size, a digest and the hashes of some of its parts
+   (2.) are written. Sets that are equal become one class; copies never take part in the join. Whole
+   sets are made again from the texts, and only for those that the last join ships (4.).
+2. Sizes fall into spans. For a span, tokens (n-gram hashes) are dealt to a fixed number of parts by
+   ranges of hash. Two sets that reach the threshold differ in at most d tokens, so at most d parts
+   differ, and among the first d + 1 parts of both, in any order of parts that goes by what they
+   hold, one is the same (prefix filter over parts). Parts with most tokens come first: sets meet
+   by several tokens that agree, not by a single one, which unrelated texts share ever more often
+   as tables grow. A set is dealt by its own span and by those of smaller sets it may link with.
+3. All sets that hold a part give edges to the least of them; pairs are not listed.
 4. Components of these candidate edges are the places where links can be. A component is cut into
    blocks of about ``block_tokens`` tokens in order of set size, and only blocks whose sizes can
    reach the threshold meet. What is in a block is joined there by ``links``: index lists are read
@@ -18,8 +18,7 @@
 5. Blocks report a spanning forest and link counts, so links within a group of near copies are
    found without being listed.
 
-The order of tokens only affects speed; any order gives the same links. The list of frequent
-tokens is bounded (``most_frequent``) and broadcast.
+The number and the order of parts only affect speed; any give the same links.
 
 Defined cases: null texts and texts without words have empty sets, link with nothing and form
 classes of their own; with fewer words than n the whole sequence is the one element; rows with
@@ -30,6 +29,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, chunked, discard, documents_only, mix, only_marked, rolling, rows, signed, tidy, word_hashes, written
+from .common import WORD, chunked, discard, documents_only, mix, only_marked, rolling, rows, tidy, word_hashes, written
 from .graph import components
 
 
@@ -55,20 +55,60 @@ def shingles(text: str | None, n: int = 4) -> np.ndarray:
     return np.unique(rolling(h, n))
 
 
-def prefix_size(size: int, pct: int) -> int:
-    """How many first tokens must share one with any set that reaches the threshold."""
-    return size - -(-size * pct // 100) + 1
+def needed(a, b, pct: int):
+    """Least intersection of sets of sizes a and b that reach pct percent."""
+    return -(-(a + b) * pct // (100 + pct))
 
 
-def kept_size(size: int, pct: int) -> int:
-    """How many lowest tokens of a set are written."""
-    p = prefix_size(size, pct)
-    return min(size, p + p // 2 + 16)
+#: Sizes of sets fall into spans: the j-th ends with the j-th of these.
+SPANS = [1]
+while SPANS[-1] < 1 << 40:
+    SPANS.append(max(SPANS[-1] + 1, SPANS[-1] * 8 // 5))
 
 
-def needed(a, b, pct: int):
-    """Least intersection of sets of sizes a and b that reach pct percent."""
-    return -(-(a + b) * pct // (100 + pct))
+def apart(a: int, b: int, pct: int) -> int:
+    """Most tokens in which sets of sizes a and b differ that reach pct percent."""
+    return (a + b) * (100 - pct) // (100 + pct)
+
+
+def n_parts(span: int, pct: int) -> int:
+    """How many parts sets of a span are dealt to: about 1.6 times as many as may differ."""
+    top = SPANS[span]
+    return max(apart(top, top * 100 // pct, pct) + 1, top * (100 - pct) * 32 // (pct * 25))
+
+
+def parts(s: np.ndarray, pct: int) -> np.ndarray:
+    """Hashes of those parts of a sorted set of which any set that reaches pct percent has one, too.
+
+    The top byte of a hash falls with the number of tokens, the rest depends on span, part and tokens.
+    """
+    size, out = len(s), []
+    if not size:
+        return s
+    own = bisect_left(SPANS, size)
+    high = s >> _32
+    for span in range(bisect_left(SPANS, -(-size * pct // 100)), own + 1):
+        d = apart(size, size * 100 // pct if span == own else SPANS[span], pct)
+        if not d:  # equal sets alone
+            continue
+        k = n_parts(span, pct)
+        part = high * np.uint64(k) >> _32
+        starts = np.concatenate((_FIRST, np.flatnonzero(part[1:] != part[:-1]) + 1))
+        n = np.concatenate((starts[1:], [size])) - starts
+        held = _held(np.add.reduceat(s, starts), part[starts], n, span)
+        if len(held) <= d:  # parts without tokens come last
+            lacks = np.setdiff1d(np.arange(k, dtype=np.uint64), part)
+            held = np.concatenate((held, _held(np.zeros_like(lacks), lacks, 0, span)))
+        out.append(np.partition(held, d)[: d + 1])
+    return np.concatenate(out) if out else s[:0]
+
+
+_32, _8, _FIRST = np.uint64(32), np.uint64(8), np.zeros(1, np.int64)
+
+
+def _held(tokens: np.ndarray, part: np.ndarray, n, span: int) -> np.ndarray:
+    few = (255 - np.minimum(n, 255)) << 56
+    return mix(tokens + (part + np.uint64((span << 40) + 1)) * np.uint64(0x9E3779B97F4A7C15)) >> _8 | np.asarray(few).astype(np.uint64)
 
 
 class Skipping:
@@ -226,16 +266,16 @@ class _Forest:
 
 
 def _sets(n: int, pct: int | None = None):
-    """Size, digest and tokens of each text's set: all of them, or with pct those that are kept."""
+    """Size, digest and tokens of each text's set; with pct the hashes of its parts in place of tokens."""
     schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
         def made():
             for d, text in rows(batches, "doc_id", "text"):
-                s = shingles(text, n).tobytes()
-                s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(s), "<i8").tolist()
-                size = len(s) // 8
-                yield d, size, s1, s2, s if pct is None else s[: 8 * kept_size(size, pct)]
+                s = shingles(text, n)
+                held = s.tobytes()
+                s1, s2 = np.frombuffer(xxhash.xxh3_128_digest(held), "<i8").tolist()
+                yield d, len(s), s1, s2, held if pct is None else parts(s, pct).tobytes()
 
         yield from chunked(made(), schema, 2000)
 
@@ -245,91 +285,14 @@ def _sets(n: int, pct: int | None = None):
 _SETS = "doc_id long, size long, s1 long, s2 long, tokens binary"
 
 
-def _frequent_in(chunk_tokens: int = 1 << 21):
-    schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
-
-    def run(batches):
-        def counted(held):
-            t, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = (c > 1) | (t < np.uint64(1 << 62))
-            return pa.RecordBatch.from_arrays([pa.array(signed(t[keep])), pa.array(c[keep].astype(np.int64))], schema=schema)
-
-        held, size = [], 0
-        for (tokens,) in rows(batches, "tokens"):
-            held.append(np.frombuffer(tokens, np.uint64))
-            size += len(held[-1])
-            if size >= chunk_tokens:
-                yield counted(held)
-                held, size = [], 0
-        if held:
-            yield counted(held)
-
-    return run
-
-
-def frequent_tokens(sets: DataFrame, least: int, most: int) -> np.ndarray:
-    """Tokens that at least ``least`` documents hold, by falling frequency, at most ``most``.
-
-    Counts are over the tokens that sets holds, whole for the lowest quarter of hashes, where
-    prefixes lie; of higher ones, tokens that no task meets twice are left out.
-    """
-    local = sets.select("tokens").mapInArrow(tidy(_frequent_in(), "words"), "token long, n long")
-    top = local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most)
-    got = top.toArrow()
-    return got.column("token").to_numpy().astype(np.int64).view(np.uint64)
-
-
-class Order:
-    """Order of tokens: by hash, frequent ones last (the most frequent at the end)."""
-
-    def __init__(self, frequent: np.ndarray):
-        self.place = np.argsort(frequent, kind="stable")
-        self.sorted = frequent[self.place]
-        self.total = len(frequent)
-
-    def _hot(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.sorted, s), self.total - 1)
-        return at, self.sorted[at] == s
-
-    def cold(self, s: np.ndarray) -> np.ndarray:
-        """The tokens of s that are not frequent, by hash."""
-        return s[~self._hot(s)[1]] if len(s) and self.total else s
-
-    def __call__(self, s: np.ndarray) -> np.ndarray:
-        if not len(s) or not self.total:
-            return s
-        at, hot = self._hot(s)
-        if not hot.any():
-            return s
-        late = s[hot][np.argsort(-self.place[at[hot]], kind="stable")]
-        return np.concatenate([s[~hot], late])
-
-
-def _prefixes(pct: int, order, whole: bool):
-    """First tokens of each set in the order: from its lowest ones (null where these hold too few that
-    are not frequent), or from whole sets, for those alone."""
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-
-    def run(batches):
-        by = order.value
-
-        def made():
-            for d, size, s1, s2, tokens in rows(batches, "doc_id", "size", "s1", "s2", "tokens"):
-                s, k, p = np.frombuffer(tokens, np.uint64), kept_size(size, pct), prefix_size(size, pct)
-                first = by(s)[:p] if k == size else by.cold(s[:k])[:p]
-                lacks = len(first) < p
-                if whole and not lacks:
-                    continue
-                if lacks:
-                    first = by(s)[:p] if whole else None
-                yield d, size, s1, s2, None if first is None else signed(np.ascontiguousarray(first))
-
-        yield from chunked(made(), schema, 2000)
-
-    return run
-
-
-_PREFIXES = "doc_id long, size long, s1 long, s2 long, prefix array<long>"
+def _spread(batches):
+    """part, id of every part that rows (doc_id, tokens) hold."""
+    for b in batches:
+        for i in range(0, b.num_rows, 1000):
+            ids, held = (b.column(c).slice(i, 1000) for c in (0, 1))
+            held = held.to_pylist()
+            part = np.frombuffer(b"".join(held), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.repeat(ids.to_numpy(), [len(x) // 8 for x in held]))], names=["part", "id"])
 
 
 def _classes(sig: DataFrame) -> DataFrame:
@@ -368,47 +331,30 @@ def _meetings(cut: DataFrame, pct: int) -> DataFrame:
 
 
 def set_links(docs: DataFrame, n: int = 4, pct: int = 85, small: int = 24, block_tokens: int = 1 << 19, least_frequent: int = 12, most_frequent: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes, links and bridges of docs (doc_id, text), which is read up to three times.
+    """Classes, links and bridges of docs (doc_id, text), which is read twice.
 
     First table: doc_id, size, class_id, lead (least doc_id with an equal set). Second: class_id, to
     (links of a spanning forest; null for rows that only count), n_links (links of class_id to
     other classes that the row stands for). Third: u, v: classes that rows of one doc_id lead.
+    small, least_frequent and most_frequent were settings of a join by single tokens; they have no effect.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = written(slim.mapInArrow(tidy(_sets(n, pct), "words"), _SETS), "sets")
-    order = spark.sparkContext.broadcast(Order(frequent_tokens(sets, least_frequent, most_frequent)))
     sig = sets.select("doc_id", "size", "s1", "s2")
     classes = written(_classes(sig), "classes")
     names = classes.select("class_id", "lead", F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("size").alias("t3"))
     same = (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("size") == F.col("t3"))
     members = written(sig.join(names.hint("merge"), same, "left").select("doc_id", "size", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("size") > 0, F.col("lead")).otherwise(F.col("doc_id")).alias("lead")), "members")
 
-    # sort-merge joins throughout: none of these tables has a size bound
-    # prefix rows of one document per class, of tokens that two classes share
-    def of_classes(some: DataFrame, whole: bool) -> DataFrame:
-        prefixes = some.where("size > 0 and doc_id is not null").mapInArrow(tidy(_prefixes(pct, order, whole), "words"), _PREFIXES)
-        return prefixes.join(names.hint("merge"), same & (F.col("doc_id") == F.col("lead"))).select("class_id", "lead", "size", "prefix")
-
-    firsts = written(of_classes(sets, False), "firsts")
+    # parts of one document per class, and of a few copies that the marks let pass; a copy is never
+    # the least of its part, as its lead holds the same ones
+    leads = classes.select(F.col("lead").alias("id"))
+    spread = only_marked(sets.where("size > 0 and doc_id is not null").select("doc_id", "tokens"), "doc_id", leads).mapInArrow(tidy(_spread), "part long, id long")
+    least = F.first("id").over(Window.partitionBy("part").orderBy("id"))
+    edges = spread.select(F.col("id").alias("u"), least.alias("v")).where("u <> v").distinct()
+    place = components(edges.join(leads.hint("merge"), F.col("u") == F.col("id"), "left_semi"))
     discard(sets)
-    again = only_marked(slim, "doc_id", firsts.where("prefix is null").select(F.col("lead").alias("id"))).mapInArrow(tidy(_sets(n), "words"), _SETS)
-    all_firsts = firsts.where("prefix is not null").unionByName(of_classes(again, True))
-    spread = all_firsts.select("class_id", "size", F.posexplode("prefix").alias("pos", "token"))
-    of_token = Window.partitionBy("token")
-    shared = spread.withColumns({"g": F.count(F.lit(1)).over(of_token), "least": F.min("class_id").over(of_token)})
-    prefix = written(shared.where("g > 1"), "prefix")
-    discard(firsts)
-    large = prefix.where((F.col("g") > small) & (F.col("class_id") != F.col("least"))).select(F.col("class_id").alias("u"), F.col("least").alias("v"))
-    p = prefix.where(F.col("g") <= small)
-    a, b = (p.select("token", F.col("class_id").alias(x), F.col("size").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * pct)
-    pairs = a.join(b, (a["token"] == b["token"]) & (F.col("a") > F.col("b")) & fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    reach = F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    near = pairs.where(reach * (100 + pct) >= (F.col("na") + F.col("nb")) * pct).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    place = components(large.unionAll(near))
-    placed = written(place.join(classes.select(F.col("class_id").alias("id"), "lead", "s1", "size"), "id"), "placed")
-    discard(prefix)
+    placed = written(classes.select(F.col("class_id").alias("id"), "lead", "s1", "size").join(place.withColumnRenamed("id", "of"), F.col("lead") == F.col("of")).drop("of"), "placed")
 
     met = _meetings(_blocks(placed, block_tokens), pct)
     near_sets = only_marked(slim, "doc_id", placed.select(F.col("lead").alias("id"))).mapInArrow(tidy(_sets(n), "words"), _SETS).select("doc_id", "s1", "tokens")
