@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,9 +111,8 @@ class Postings:
     def _segment(self, rows: DataFrame, stripes: int) -> str:
         """Writes postings (term, id, len, tf) and their dictionary."""
         name = f"s{uuid.uuid4().hex}"
-        dealt = rows.select(self._bucket(), "term", _stripe(stripes), F.struct("id", "tf", "len").alias("entry")).repartition("bucket", "stripe")
-        lists = dealt.groupBy("bucket", "term", "stripe").agg(F.array_sort(F.collect_list("entry")).alias("entries"))  # where it lies
-        packed = lists.mapInArrow(_packed, _POSTINGS)
+        dealt = rows.select(self._bucket(), "term", _stripe(stripes), "id", "tf", "len").repartition("bucket", "stripe")
+        packed = dealt.sortWithinPartitions("bucket", "term", "stripe", "id").mapInArrow(_streamed, _POSTINGS)
         packed.sortWithinPartitions("bucket", "term", "stripe", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self._path}/{name}/postings")
         held = self._read(f"{name}/postings", _POSTINGS)
         self._dictionary(held.groupBy("term").agg(F.sum("n").alias("df")), name)
@@ -200,33 +200,78 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([words.dictionary.take(code), b.column(0).take(row), b.column(1).take(row), pa.array(tf.astype(np.int32))], names=["term", "id", "len", "tf"])
 
 
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of sorted postings (bucket, term, stripe, id, tf, len); a list may go on in the next batch."""
+    rest = None
+    for b in batches:
+        now = pa.Table.from_batches([b])
+        now = (pa.concat_tables([rest, now]) if rest is not None else now).combine_chunks()
+        starts = _list_starts(now)
+        end = int(starts[-1]) if len(starts) else 0
+        if end:
+            yield _blocks(now.slice(0, end), starts[:-1])
+        rest = now.slice(end)
+    if rest is not None and rest.num_rows:
+        yield _blocks(rest, np.zeros(1, np.int64))
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the sorted entries of each (term, stripe)."""
-    names = ("bucket", "term", "stripe", "block", "n", "max_tf", "min_len", "first", "last", "ids", "tfs", "lens")
-    types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    """Blocks of whole lists (bucket, term, stripe, sorted entries of id, tf, len)."""
     for b in _slices(batches, 500):
-        entries = b.column(3)
-        flat = entries.flatten()
-        ids, tfs, lens = (flat.field(i).to_numpy() for i in range(3))
-        starts = entries.offsets.to_numpy() - entries.offsets[0].as_py()
-        out: list[tuple] = []
-        for row, (bucket, term, stripe) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)):
-            for at in range(starts[row], starts[row + 1], _BLOCK):
-                end = min(at + _BLOCK, starts[row + 1])
-                i, t, n = ids[at:end], tfs[at:end], lens[at:end]
-                steps = np.diff(i, prepend=i[0])
-                out.append((bucket, term, stripe, (at - starts[row]) // _BLOCK, end - at, int(t.max()), int(n.min()), int(i[0]), int(i[-1]), _bytes(steps), _bytes(t), _bytes(n)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=list(names))
+        n = pa.compute.list_value_length(b.column(3)).to_numpy()
+        if not n.sum():
+            continue
+        entries, row = b.column(3).flatten(), pa.array(np.repeat(np.arange(len(n)), n))
+        flat = pa.table([*(b.column(i).take(row) for i in range(3)), *entries.flatten()], names=["bucket", "term", "stripe", "id", "tf", "len"])
+        yield _blocks(flat, (np.cumsum(n) - n)[n > 0])
+
+
+def _list_starts(rows: pa.Table) -> np.ndarray:
+    if not rows.num_rows:
+        return np.zeros(0, np.int64)
+    code = rows.column(1).combine_chunks().dictionary_encode().indices.to_numpy()
+    bucket, stripe = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+    new = (code[1:] != code[:-1]) | (stripe[1:] != stripe[:-1]) | (bucket[1:] != bucket[:-1])
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _blocks(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """Blocks of whole lists that start at the given rows."""
+    n = rows.num_rows
+    pos = np.arange(n) - np.repeat(starts, np.diff(starts, append=n))
+    at = np.flatnonzero(pos % _BLOCK == 0)
+    ends = np.append(at[1:], n)
+    ids, tfs, lens = (rows.column(i).to_numpy().astype(np.int64) for i in (3, 4, 5))
+    steps = np.diff(ids, prepend=ids[0])
+    steps[at] = 0
+    head = rows.select([0, 1, 2]).take(pa.array(at)).combine_chunks()
+    cols = [(ends - at).astype(np.int32), np.maximum.reduceat(tfs, at).astype(np.int32), np.minimum.reduceat(lens, at).astype(np.int32), ids[at], ids[ends - 1]]
+    out = pa.table([*head.columns, (pos[at] // _BLOCK).astype(np.int32), *cols, *(pa.array(_coded(x, at, ends), pa.binary()) for x in (steps, tfs, lens))], names=["bucket", "term", "stripe", "block", "n", "max_tf", "min_len", "first", "last", "ids", "tfs", "lens"])
+    return out.combine_chunks().to_batches()[0]
 
 
 _WIDTHS = ("<u1", "<u2", "<u4", "<u8")
 
 
+def _coded(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The non-negative integers of each block in the least width of 1, 2, 4 or 8 bytes that holds the largest, after that width's number."""
+    width = np.searchsorted([1 << 8, 1 << 16, 1 << 32], np.maximum.reduceat(x, starts), side="right")
+    held = {w: (bytes([w]), x.astype(_WIDTHS[w]).tobytes()) for w in np.unique(width).tolist()}
+    return [held[w][0] + held[w][1][a << w : b << w] for w, a, b in zip(width.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _decoded(held: list[bytes], n: np.ndarray) -> np.ndarray:
+    """The integers of coded blocks of n each, in order."""
+    width, out = np.array([x[0] for x in held]), np.empty(int(n.sum()), np.int64)
+    for w in np.unique(width).tolist():
+        own = width == w
+        out[np.repeat(own, n)] = np.frombuffer(b"".join([held[i][1:] for i in np.flatnonzero(own).tolist()]), _WIDTHS[w])
+    return out
+
+
 def _bytes(x: np.ndarray) -> bytes:
-    """Non-negative integers in the least width of 1, 2, 4 or 8 bytes that holds the largest, after that width's number."""
-    w = int(np.searchsorted([1 << 8, 1 << 16, 1 << 32], int(x.astype(np.uint64).max()), side="right"))
-    return bytes([w]) + x.astype(np.uint64).astype(_WIDTHS[w]).tobytes()
+    """One block, coded."""
+    return _coded(x, np.zeros(1, np.int64), np.array([len(x)]))[0]
 
 
 def _numbers(held: bytes) -> np.ndarray:
@@ -235,12 +280,15 @@ def _numbers(held: bytes) -> np.ndarray:
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """term, id, len, tf of stored blocks."""
-    for b in _slices(batches, 500):
+    for b in _slices(batches, 5000):
         col = lambda c: b.column(b.schema.get_field_index(c))
         n = col("n").to_numpy()
-        ids = np.concatenate([f + np.cumsum(_numbers(d)) for f, d in zip(col("first").to_pylist(), col("ids").to_pylist(), strict=True)])
-        lens, tfs = (np.concatenate([_numbers(x) for x in col(c).to_pylist()]).astype(np.int32) for c in ("lens", "tfs"))
-        yield pa.RecordBatch.from_arrays([col("term").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(ids), pa.array(lens), pa.array(tfs)], names=["term", "id", "len", "tf"])
+        if not len(n):
+            continue
+        steps, lens, tfs = (_decoded(col(c).to_pylist(), n) for c in ("ids", "lens", "tfs"))
+        run = np.cumsum(steps)
+        ids = run + np.repeat(col("first").to_numpy() - run[np.cumsum(n) - n], n)
+        yield pa.RecordBatch.from_arrays([col("term").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(ids), pa.array(lens.astype(np.int32)), pa.array(tfs.astype(np.int32))], names=["term", "id", "len", "tf"])
 
 
 class Lists:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.operators import postings as P
@@ -101,3 +102,17 @@ def test_blocks_that_cannot_matter_are_not_decoded():
     got = dict(zip(ids.tolist(), scores.tolist(), strict=True))
     assert sorted(got, key=lambda i: (-round(got[i], 9), i))[:10] == best and all(got[i] == pytest.approx(want[i]) for i in best)
     assert lists.decoded < 20 < 20_000 // 128
+
+
+def test_lists_are_packed_as_they_stream_whatever_the_batches():
+    r = random.Random(2)
+    rows = [(1, t, s, i, r.choice([1, 300, 70000]), r.randint(1, 400)) for t, n in (("a", 300), ("b", 1), ("c", 128)) for s in (0, 2) for i in sorted(r.sample(range(-50, 1 << 34), n))]
+    names = ["bucket", "term", "stripe", "id", "tf", "len"]
+    types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    cut = lambda k: [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + k]), types)], names=names) for i in range(0, len(rows), k)]
+    want = [x for t, n in (("a", [128, 128, 44]), ("b", [1]), ("c", [128])) for _ in (0, 2) for x in [(t, k, v) for k, v in enumerate(n)]]
+    for k in (1, 100, 128, 5000):
+        blocks = pa.Table.from_batches(P._streamed(iter(cut(k))))
+        assert list(zip(*(blocks[c].to_pylist() for c in ("term", "block", "n")))) == want
+        back = pa.Table.from_batches(P._unpacked(iter(blocks.to_batches())))
+        assert list(zip(*(back[c].to_pylist() for c in ("term", "id", "tf", "len")))) == [(x[1], x[3], x[4], x[5]) for x in rows]
