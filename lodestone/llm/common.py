@@ -223,10 +223,28 @@ def only_marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     ids are marked in 2**26 bits, as 2**20 words at most: what is broadcast has that bound at any
     size, and the more ids there are the more rows pass. What passes is still to be joined.
     """
-    at = F.xxhash64(F.col(key))
-    word, bit = (lambda x: F.pmod(x, F.lit(1 << 20))), (lambda x: F.shiftright(x, 20).bitwiseAND(63).cast("int"))
+    return _by_marks(rows, key, ids, "inner").where(_marked(key) == 1).drop("_mark_word", "_mark_bits")
+
+
+def none_marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows that only_marked() leaves out, and those without a key: none of them is in ids."""
+    return _by_marks(rows, key, ids, "left").where(F.col(key).isNull() | (F.coalesce(_marked(key), F.lit(0)) == 0)).drop("_mark_word", "_mark_bits")
+
+
+def _mark_word(h):
+    return F.pmod(h, F.lit(1 << 20))
+
+
+def _mark_bit(h):
+    return F.shiftright(h, 20).bitwiseAND(63).cast("int")
+
+
+def _marked(key: str):
+    return F.call_function("shiftright", F.col("_mark_bits"), _mark_bit(F.xxhash64(F.col(key)))).bitwiseAND(1)
+
+
+def _by_marks(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
     of = F.xxhash64(F.col("id"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(of))
-    marks = ids.select(word(of).alias("_mark_word"), one.alias("bit")).groupBy("_mark_word").agg(F.bit_or("bit").alias("_mark_bits"))
-    hit = rows.join(F.broadcast(marks), word(at) == F.col("_mark_word"))
-    return hit.where(F.call_function("shiftright", F.col("_mark_bits"), bit(at)).bitwiseAND(1) == 1).drop("_mark_word", "_mark_bits")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), _mark_bit(of))
+    marks = ids.select(_mark_word(of).alias("_mark_word"), one.alias("bit")).groupBy("_mark_word").agg(F.bit_or("bit").alias("_mark_bits"))
+    return rows.join(F.broadcast(marks), _mark_word(F.xxhash64(F.col(key))) == F.col("_mark_word"), how)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, chunked, discard, documents_only, mix, only_marked, rolling, rows, tidy, word_hashes, written
+from .common import WORD, chunked, discard, documents_only, mix, none_marked, only_marked, rolling, rows, tidy, word_hashes, written
 from .graph import components
 
 
@@ -63,7 +63,7 @@ def needed(a, b, pct: int):
 #: Sizes of sets fall into spans: the j-th ends with the j-th of these.
 SPANS = [1]
 while SPANS[-1] < 1 << 40:
-    SPANS.append(max(SPANS[-1] + 1, SPANS[-1] * 8 // 5))
+    SPANS.append(2 * SPANS[-1])
 
 
 def apart(a: int, b: int, pct: int) -> int:
@@ -391,9 +391,19 @@ def set_components(docs: DataFrame, **settings) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """Rows of docs that are the least doc_id of their component; documents without words stay."""
-    own = set_components(docs, **settings).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_set_join_keep")).distinct()
-    return docs.join(own, docs["doc_id"].eqNullSafe(F.col("_set_join_keep")), "left_semi")
+    """Rows of docs that are the least doc_id of their component; documents without words stay.
+
+    docs is read twice more. Texts stay where they lie: what is not marked as gone passes, and only
+    the few kept rows whose mark is that of one that goes are joined.
+    """
+    least = F.max((F.col("doc_id") == F.col("component_id")).cast("int"))
+    own = written(set_components(docs, **settings).where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(least.alias("stays")), "own")
+    gone = own.where("stays = 0").select("id")
+    late = written(only_marked(own.where("stays = 1").select("id"), "id", gone), "late")
+    named = docs.withColumn("_set_join_id", F.col("doc_id").cast("long"))
+    doubtful = only_marked(only_marked(named, "_set_join_id", gone), "_set_join_id", late)
+    right = doubtful.join(late.withColumnRenamed("id", "_set_join_keep"), F.col("_set_join_id") == F.col("_set_join_keep"), "left_semi")
+    return none_marked(named, "_set_join_id", gone).unionAll(right).drop("_set_join_id")
 
 
 def op10_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
